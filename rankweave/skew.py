@@ -22,26 +22,31 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(stats, list(keys), how)
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, name: str) -> DataFrame:
-    """1-based position of each row within its key, without sorting a whole key in one task.
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, flag: Column, name: str) -> DataFrame:
+    """Number of flagged rows up to and including each row of its key, without sorting a whole key in one task.
 
     ``coarse`` cuts a key into consecutive pieces: it must not decrease along ``order``. Rows are
-    numbered inside a piece and shifted by the sizes of the pieces before it. Keys must not be null.
+    counted inside a piece and shifted by the flagged sizes of the pieces before it. Keys must not be null.
     """
     keys = list(keys)
-    staged = df.withColumn("__piece", coarse)
-    sizes = staged.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    staged = df.withColumns({"__piece": coarse, "__flag": flag.cast("int")})
+    sizes = staged.groupBy(*keys, "__piece").agg(F.sum("__flag").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*keys, "__piece").orderBy(*order)
-    local = staged.withColumn("__row", F.row_number().over(inside))
+    inside = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumn("__row", F.sum("__flag").over(inside))
     return (
         local.join(offsets, keys + ["__piece"])
         .withColumn(name, F.col("__row") + F.col("__before"))
-        .drop("__piece", "__row", "__before")
+        .drop("__piece", "__flag", "__row", "__before")
     )
 
 
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, name: str) -> DataFrame:
+    """1-based position of each row within its key, see ``running_count``."""
+    return running_count(df, keys, order, coarse, F.lit(True), name)
+
+
 def shuffled_ordinal(df: DataFrame, keys: Sequence[str], rank_key: Column, name: str) -> DataFrame:
     """``ordinal`` in the order of a 32-digit hex key; pieces are its first three digits."""
     staged = df.withColumn("__hex", rank_key)

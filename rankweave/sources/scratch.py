@@ -1,0 +1,16 @@
+"""A folder that every executor can reach, for tables a job writes and reads back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+
+from rankweave.session import ensure_checkpoint_dir
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the session's checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/rankweave-{name}-{uuid.uuid4().hex}"
