@@ -55,7 +55,7 @@ def paired(spark, sf):
     return left.join(right, "other").select("id", r6(cosine(F.col("vec"), F.col("b"))).alias("score"))
 
 
-@query("V5_similarity_self_join", f"WITH {SQL_ALL} SELECT query_id AS src, item_id AS dst, {q6('score')} AS score FROM sims WHERE query_id < item_id AND round(score, 9) > 0.35")
+@query("V5_similarity_self_join", f"WITH {SQL_V}, s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.vec, b.vec) AS score FROM v a JOIN v b ON a.id < b.id) SELECT src, dst, {q6('round(score, 9)')} AS score FROM s WHERE round(score, 9) > 0.35")
 def self_join(spark, sf):
     return knn.similar_pairs(vectors(spark, sf), 0.35).withColumn("score", r6("score"))
 

@@ -23,13 +23,13 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, flag: Column, name: str) -> DataFrame:
-    """Number of flagged rows up to and including each row of its key, without sorting a whole key in one task.
+    """Running sum of ``flag`` (a count or a boolean) up to each row of its key, without sorting a whole key in one task.
 
     ``coarse`` cuts a key into consecutive pieces: it must not decrease along ``order``. Rows are
-    counted inside a piece and shifted by the flagged sizes of the pieces before it. Keys must not be null.
+    summed inside a piece and shifted by the totals of the pieces before it. Keys must not be null.
     """
     keys = list(keys)
-    staged = df.withColumns({"__piece": coarse, "__flag": flag.cast("int")})
+    staged = df.withColumns({"__piece": coarse, "__flag": flag.cast("long")})
     sizes = staged.groupBy(*keys, "__piece").agg(F.sum("__flag").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
