@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table of few files one partition per core before CPU-heavy row work.
+
+    A table that already has as many splits as the cluster has cores is left alone, so large inputs
+    are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def r6(value: Column | str, places: int = 6) -> Column:
     col = F.col(value) if isinstance(value, str) else value
     return F.round(col.cast("double"), places)
@@ -57,7 +67,7 @@ CANDIDATES_PER_LINE = 6
 
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested log lines: clicks, impressions and a short candidate list per event."""
-    events = table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         "ts",
         "event_type",

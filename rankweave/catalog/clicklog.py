@@ -9,13 +9,16 @@ from rankweave.functions.text import tokenize_alnum
 from rankweave.operators import clicklog as cl
 
 
-def items(spark, sf):
-    return cl.unnest_sessions(session_log(spark, sf))
+def items(spark, sf, roles=("clicked", "shown", "candidate")):
+    return cl.unnest_sessions(session_log(spark, sf), roles)
+
+
+def logged_items(spark, sf):
+    return items(spark, sf, ("clicked", "shown"))
 
 
 def logged_examples(spark, sf):
-    rows = items(spark, sf)
-    return cl.label_positives(rows).unionByName(cl.label_negatives(rows), allowMissingColumns=True)
+    return cl.label_logged(logged_items(spark, sf))
 
 
 LOGGED = f"WITH {SQL_EXAMPLES}, logged AS (SELECT * FROM weighted WHERE skip_type IS NULL OR skip_type = 'impression')"
@@ -24,13 +27,13 @@ LOGGED = f"WITH {SQL_EXAMPLES}, logged AS (SELECT * FROM weighted WHERE skip_typ
 @query("L1_explode_session_positives", f"""
 WITH {SQL_EXAMPLES} SELECT type, label, session_id, user_id, query, session_time, nav_link, position, click_time, dwell_time FROM pos""")
 def positives(spark, sf):
-    return cl.label_positives(items(spark, sf))
+    return cl.label_positives(logged_items(spark, sf))
 
 
 @query("L2_explode_session_negatives", f"""
 WITH {SQL_EXAMPLES} SELECT type, label, session_id, user_id, query, session_time, nav_link, position, shown_time, skip_type FROM neg""")
 def negatives(spark, sf):
-    return cl.label_negatives(items(spark, sf))
+    return cl.label_negatives(logged_items(spark, sf))
 
 
 @query("L3_position_propensity", f"""
@@ -70,7 +73,7 @@ def snips(spark, sf):
 
 @query("L6_dedup_candidates", f"WITH {SQL_EXAMPLES} SELECT session_id, nav_link, position FROM best")
 def dedup_candidates(spark, sf):
-    return cl.best_candidates(items(spark, sf)).select("session_id", "nav_link", "position")
+    return cl.best_candidates(items(spark, sf, ("candidate",))).select("session_id", "nav_link", "position")
 
 
 @query("L7_mixed_negative_sampling", f"WITH {SQL_EXAMPLES} SELECT session_id, nav_link, position, shown_time, skip_type FROM sampled")
@@ -126,7 +129,7 @@ WITH {SQL_ITEMS}, c AS (SELECT session_id, user_id, query, link, row_number() OV
 s AS (SELECT session_id, link, row_number() OVER (PARTITION BY session_id ORDER BY position, link) AS r FROM items WHERE role = 'shown')
 SELECT c.session_id, user_id, query, c.link AS pos_link, s.link AS neg_link FROM c JOIN s ON c.session_id = s.session_id AND c.r = 1 AND s.r = 1""")
 def pairs(spark, sf):
-    return cl.bpr_pairs(items(spark, sf))
+    return cl.bpr_pairs(logged_items(spark, sf))
 
 
 SQL_BCE = "-({t} * greatest(ln({p}), -100) + (1 - {t}) * greatest(ln(1 - {p}), -100))"

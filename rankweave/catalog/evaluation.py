@@ -19,15 +19,16 @@ from rankweave.operators import metrics as mt
 from rankweave.operators import models
 from rankweave.operators import tags as tg
 from rankweave.plans import retrieval as rt
+from rankweave.session import cut_lineage
 
 
 def ranked(spark, sf):
-    return bm25_ranking(spark, sf, 20).select("query_id", F.col("doc_id").alias("item_id"), "rank")
+    return cut_lineage(bm25_ranking(spark, sf, 20).select("query_id", F.col("doc_id").alias("item_id"), "rank"))
 
 
 def truth(spark, sf):
     """The ten best documents by shared words, in order."""
-    return rt.overlap_retriever(documents(spark, sf), benchmark(spark, sf), 10).select("query_id", "item_id", F.col("rank").alias("place"))
+    return cut_lineage(rt.overlap_retriever(documents(spark, sf), benchmark(spark, sf), 10).select("query_id", "item_id", F.col("rank").alias("place")))
 
 
 SQL_EVAL = f"{SQL_LISTS}, rk AS (SELECT query_id, doc_id AS item_id, rank FROM bm_ranked WHERE rank <= 20), tr AS (SELECT query_id, doc_id AS item_id, rank AS place FROM ov WHERE rank <= 10), hit AS (SELECT rk.*, place FROM rk JOIN tr USING (query_id, item_id)), qs AS (SELECT DISTINCT query_id FROM tr UNION SELECT query_id FROM rk)"
@@ -193,9 +194,9 @@ def smooth_l1(spark, sf):
 
 def pair_features(spark, sf):
     """Click and impression features per session pair: position and link number."""
-    pairs = cl.bpr_pairs(logs.items(spark, sf))
+    pairs = cl.bpr_pairs(logs.logged_items(spark, sf))
     number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("double") / 100.0
-    rows = logs.items(spark, sf).where(F.col("role") != "candidate").groupBy("session_id", "link").agg(F.min("position").cast("double").alias("position"))
+    rows = logs.logged_items(spark, sf).groupBy("session_id", "link").agg(F.min("position").cast("double").alias("position"))
     side = lambda name: rows.select("session_id", F.col("link").alias(f"{name}_link"), F.array(F.col("position") / 10.0, number("link")).alias(f"{name}_features"))
     return pairs.join(side("pos"), ["session_id", "pos_link"]).join(side("neg"), ["session_id", "neg_link"])
 

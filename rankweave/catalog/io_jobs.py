@@ -15,7 +15,7 @@ from rankweave.functions.hooks import encode_texts, map_batch
 from rankweave.functions.sampling import bucket
 from rankweave.operators import trainset as ts
 from rankweave.sources import readers, writers
-from rankweave.sources.scratch import shared_folder
+from rankweave.session import shared_folder
 from rankweave.streaming.clickstream import label_session_files
 
 

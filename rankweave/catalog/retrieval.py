@@ -11,7 +11,7 @@ from rankweave.functions.vectors import cosine, l2_normalize, norm
 from rankweave.operators import fusion, knn
 from rankweave.operators import lexical as lx
 from rankweave.plans import retrieval as rt
-from rankweave.sources.scratch import shared_folder
+from rankweave.session import shared_folder
 
 
 def vectors(spark, sf):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.catalog.base import q6, query, r6, table
-from rankweave.functions.text import tokenize_alnum
+from rankweave.catalog.base import q6, query, r6, spread, table
+from rankweave.functions.text import explode_tokens, tokenize_alnum
 from rankweave.operators import lexical as lx
 from rankweave.operators import text as tx
 
@@ -16,7 +16,7 @@ SQL_WORDS = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def benchmark(spark, sf):
@@ -82,7 +82,7 @@ def bm25_index(spark, sf):
 
 
 def bm25_ranking(spark, sf, k):
-    return lx.bm25_search(lx.bm25_index(documents(spark, sf), "text"), benchmark(spark, sf), "text", k)
+    return lx.bm25_search_docs(documents(spark, sf), benchmark(spark, sf), "text", k)
 
 
 @query("T6_bm25_search", f"WITH {SQL_BM25} SELECT query_id, doc_id, {q6('score')} AS score, rank FROM bm_ranked WHERE rank <= 10")
@@ -207,7 +207,7 @@ s AS (SELECT query_id, doc_id, sum(w * ln(1 + tf)) AS score FROM qc JOIN tf USIN
 SELECT query_id, doc_id, {q6('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def sparse(spark, sf):
     def weights(df, key, out):
-        flat = df.select(key, F.explode(lx.content_tokens(F.col("text"))).alias("term"))
+        flat = explode_tokens(df, [key], lx.content_tokens(F.col("text")))
         return flat.groupBy(key, "term").agg(F.log1p(F.count(F.lit(1))).alias(out))
 
     ranked = lx.sparse_topk(weights(benchmark(spark, sf), "query_id", "q_weight"), weights(documents(spark, sf), "doc_id", "d_weight"), 10)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankweave.functions.vectors import let
+
 
 def first_present(record: Column, names: Sequence[str], default: Column | None = None) -> Column:
     """Value of the first alias that is present in a map, even when that value is null."""
@@ -73,10 +74,11 @@ def strip_code_fence(text: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Max-shifted softmax of an array of doubles."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(weights, F.lit(0.0).cast("double"), lambda a, b: a + b)
-    return F.transform(weights, lambda w: w / total)
+    def scaled(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0).cast("double"), lambda a, b: a + b)
+        return let(total, lambda t: F.transform(weights, lambda w: w / t))
+
+    return let(scores, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda s: F.exp(s - top)), scaled)))
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -87,7 +89,3 @@ def log_sigmoid(x: Column) -> Column:
 def smooth_l1(x: Column, y: Column) -> Column:
     gap = F.abs(x - y)
     return F.when(gap < 1, 0.5 * gap * gap).otherwise(gap - 0.5)
-
-
-def add_all(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +20,12 @@ def tokenize_words(text: Column) -> Column:
 
 def tokenize_space(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+
+
+def explode_tokens(df: DataFrame, keys: Sequence[str | Column], tokens: Column, name: str = "term") -> DataFrame:
+    """One row per token.
+
+    The outer form is used on purpose: for a plain explode the optimizer adds a filter on the size of
+    the array below it, which would run the tokenizer a second and a third time on every text.
+    """
+    return df.select(*keys, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())

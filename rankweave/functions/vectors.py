@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside a lambda every mention of an outer expression is evaluated again for each element;
+    binding it to a lambda variable first avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
@@ -24,8 +35,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; null for a zero vector."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+    return let(norm(v), lambda length: F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ Sessions arrive nested (lists of item maps) or already flat. All labelling works
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from rankweave import skew
 from rankweave.functions.sampling import md5_key
 from rankweave.functions.scalar import clip, first_present, to_iso
+from rankweave.functions.text import explode_tokens
+from rankweave.session import cut_lineage
 
 # Key names under which a session log may carry each field.
 LINK_KEYS = ["nav_link", "url", "link"]
@@ -48,8 +50,8 @@ class LabelConfig:
     target_policy: Callable[[], Column] | None = None
 
 
-def unnest_sessions(sessions: DataFrame) -> DataFrame:
-    """Nested sessions to flat items; a missing or null list gives no item."""
+def unnest_sessions(sessions: DataFrame, roles: Sequence[str] = tuple(ROLE_COLUMNS)) -> DataFrame:
+    """Nested sessions to flat items of the given roles; a missing or null list gives no item."""
     present = set(sessions.columns)
 
     def tag(role: str, lists: list[Column]) -> Column:
@@ -59,15 +61,15 @@ def unnest_sessions(sessions: DataFrame) -> DataFrame:
     tagged = [
         tag(role, [F.col(name) for name in names if name in present])
         for role, names in ROLE_COLUMNS.items()
-        if present.intersection(names)
+        if role in roles and present.intersection(names)
     ]
     flat = sessions.select(
         F.col("session_id").cast("string").alias("session_id"),
         F.col("user_id").cast("string").alias("user_id"),
         "query",
         to_iso(F.col("timestamp").cast("string")).alias("session_time"),
-        F.explode(F.concat(*tagged)).alias("item"),
-    )
+        F.explode_outer(F.concat(*tagged)).alias("item"),  # outer: see explode_tokens
+    ).where(F.col("item").isNotNull())
     m, role = F.col("item.m"), F.col("item.role")
     named = flat.select(
         *SESSION_COLUMNS,
@@ -153,6 +155,25 @@ def label_negatives(items: DataFrame) -> DataFrame:
     return shown.join(_clicked_links(items), ["session_id", "nav_link"], "left_anti").select(shown.columns)
 
 
+def label_logged(items: DataFrame) -> DataFrame:
+    """``label_positives`` and ``label_negatives`` together, in one pass over the logged items."""
+    logged = items.where((F.col("role") == "clicked") | ((F.col("role") == "shown") & F.col("link").isNotNull()))
+    was_clicked = _clicked_links(items).select(F.col("session_id").alias("__s"), F.col("nav_link").alias("__l"), F.lit(True).alias("__clicked"))
+    is_click = F.col("role") == "clicked"
+    joined = logged.join(was_clicked, (F.col("session_id") == F.col("__s")) & (F.col("link") == F.col("__l")), "left")
+    return joined.where(is_click | F.col("__clicked").isNull()).select(
+        F.when(is_click, "positive").otherwise("negative").alias("type"),
+        is_click.cast("int").alias("label"),
+        *SESSION_COLUMNS,
+        F.col("link").alias("nav_link"),
+        "position",
+        F.when(is_click, F.col("event_time")).alias("click_time"),
+        F.col("dwell").alias("dwell_time"),
+        F.when(~is_click, F.col("event_time")).alias("shown_time"),
+        "skip_type",
+    )
+
+
 def best_candidates(items: DataFrame) -> DataFrame:
     """One row per session and candidate link with its lowest known position."""
     pool = items.where((F.col("role") == "candidate") & F.col("link").isNotNull())
@@ -190,7 +211,8 @@ def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> D
         .withColumn("rand_k", F.greatest(F.lit(0), F.col("k") - F.col("hard_k")))
         .select("session_id", "hard_k", "rand_k")
     )
-    sized = skew.attach(pool, quota, ["session_id"])
+    # the sized pool is read by both draws below
+    sized = cut_lineage(skew.attach(pool, quota, ["session_id"]))
     first = skew.shuffled_ordinal(sized, ["session_id", "is_hard"], md5_key(f"{config.seed}h", "session_id", "nav_link"), "draw")
     taken = F.col("is_hard") & (F.col("draw") <= F.col("hard_k"))
     marked = first.withColumn("is_taken", taken).drop("draw")
@@ -208,7 +230,7 @@ def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> D
 
 def build_dataset(items: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:
     """Positives, logged and sampled negatives with propensity, IPS and SNIPS weights."""
-    examples = label_positives(items).unionByName(label_negatives(items), allowMissingColumns=True)
+    examples = label_logged(items)
     if config.sample_negatives:
         examples = examples.unionByName(sample_negatives(items, config), allowMissingColumns=True)
     weighted = snips(with_weights(examples, config), "session_id")
@@ -294,7 +316,7 @@ def dataset_summary(examples: DataFrame, query_tokens: Column, item_tokens: Colu
     )
     side = F.col("side")
     return (
-        examples.select(F.explode(values).alias("v"))
+        explode_tokens(examples, [], values, "v")
         .groupBy("v.side", "v.value")
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(

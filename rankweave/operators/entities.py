@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rankweave import skew
 from rankweave.functions.sampling import bucket
+from rankweave.functions.text import explode_tokens
+from rankweave.functions.vectors import let
 
 # The query templates; the first slot is a merchant, the second a location.
 TEMPLATES = [
@@ -52,21 +54,23 @@ def spans_to_bio(df: DataFrame) -> DataFrame:
             (acc["at"] + F.length(w) + 1).alias("at"),
             F.concat(acc["edges"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end")))).alias("edges")),
         lambda acc: acc["edges"])
-    staged = df.withColumn("tokens", tokens).withColumn("edges", walked)
-    starts, ends = F.transform("edges", lambda e: e["start"]), F.transform("edges", lambda e: e["end"])
-    usable = F.filter("entities", lambda s: F.array_contains(starts, s["start"]) & F.array_contains(ends, s["end"]))
+    staged = df.withColumn("tokens", tokens)
 
-    def tag(edge: Column) -> Column:
-        hits = F.filter("usable", lambda s: (edge["start"] >= s["start"]) & (edge["end"] <= s["end"]))
-        last = F.element_at(hits, -1)
-        return F.when(F.size(hits) == 0, F.lit("O")).when(edge["start"] == last["start"], F.concat(F.lit("B-"), last["label"])).otherwise(F.concat(F.lit("I-"), last["label"]))
+    def tags(edges: Column) -> Column:
+        starts, ends = F.transform(edges, lambda e: e["start"]), F.transform(edges, lambda e: e["end"])
+        usable = let(starts, lambda a: let(ends, lambda z: F.filter("entities", lambda s: F.array_contains(a, s["start"]) & F.array_contains(z, s["end"]))))
+        return let(usable, lambda spans: F.transform(edges, lambda edge: tag(spans, edge)))
 
-    return staged.withColumn("usable", usable).withColumn("ner_tags", F.transform("edges", tag)).drop("edges", "usable")
+    def tag(spans: Column, edge: Column) -> Column:
+        last = F.try_element_at(F.filter(spans, lambda s: (edge["start"] >= s["start"]) & (edge["end"] <= s["end"])), F.lit(-1))
+        return let(last, lambda s: F.when(s.isNull(), F.lit("O")).otherwise(F.concat(F.when(edge["start"] == s["start"], F.lit("B-")).otherwise(F.lit("I-")), s["label"])))
+
+    return staged.withColumn("ner_tags", let(walked, tags))
 
 
 def bio_label_ids(df: DataFrame, tags: str = "ner_tags") -> DataFrame:
     """(label, id): O is 0, the others follow in order. The label set is checked to be small."""
-    labels = df.select(F.explode(tags).alias("label")).distinct()
+    labels = explode_tokens(df, [], F.col(tags), "label").distinct()
     bounded = F.when(F.count(F.lit(1)) > 10_000, F.raise_error(F.lit("too many BIO labels")))
     listed = labels.limit(10_001).agg(F.array_sort(F.collect_list(F.when(F.col("label") != "O", F.col("label")))).alias("l"), bounded.alias("checked"))
     return listed.where(F.col("checked").isNull()).select(F.posexplode(F.concat(F.array(F.lit("O")), "l")).alias("id", "label")).select("label", "id")
@@ -157,7 +161,7 @@ def tag_with_dictionary(texts: DataFrame, gazetteer: DataFrame, max_words: int =
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
         part = F.transform(starts, _gram(n))
         grams = part if grams is None else F.concat(grams, part)
-    flat = staged.select("id", F.explode(grams).alias("g")).groupBy("id", "g.value").agg(F.min("g.pos").alias("pos"))
+    flat = explode_tokens(staged, ["id"], grams, "g").groupBy("id", "g.value").agg(F.min("g.pos").alias("pos"))
     return flat.join(gazetteer.select("value", "label").distinct(), "value").select("id", "label", "value", "pos")
 
 

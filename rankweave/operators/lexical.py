@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import tokenize_space, tokenize_words
+from rankweave.functions.text import explode_tokens, tokenize_space, tokenize_words
+from rankweave.session import cut_lineage
 
 # The default English stop words of the lexical index.
 STOP_WORDS = (
@@ -31,7 +32,7 @@ def content_tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Colu
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``postings`` (doc_id, term, weight without idf) and ``terms`` (term, df, idf)."""
+    """``postings`` (doc_id, term, saturation: the weight without idf) and ``terms`` (term, df, idf)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -40,20 +41,31 @@ class Bm25Index:
         return self.postings.join(self.terms, "term").select("doc_id", "term", (F.col("idf") * F.col("saturation")).alias("weight"))
 
 
+def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str], only_terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, length). ``only_terms`` drops other words before they are counted; length is of the whole text."""
+    tokens = docs.select("doc_id", content_tokens(F.col(text), stop_words).alias("tokens"))
+    flat = explode_tokens(tokens, ["doc_id", F.size("tokens").alias("length")], F.col("tokens"))
+    if only_terms is not None:
+        flat = flat.join(only_terms, "term", "left_semi")
+    return flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def saturation(mean_length: Column, k1: float, b: float) -> Column:
+    """BM25 weight of a posting (tf, length) without idf."""
+    tf = F.col("tf").cast("double")
+    return tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("length") / mean_length))
+
+
 def bm25_index(docs: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, stop_words: Sequence[str] = STOP_WORDS) -> Bm25Index:
     """Index ``docs`` (doc_id, text); document ids must be unique."""
     tokens = docs.select("doc_id", content_tokens(F.col(text), stop_words).alias("tokens"))
-    corpus = tokens.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length")).alias("c"))
-    flat = tokens.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    counted = flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    tf = F.col("tf").cast("double")
-    relative = F.col("length") / F.col("corpus.mean_length")
-    postings = counted.withColumn("corpus", corpus.scalar()).select(
-        "doc_id", "term", (tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * relative))).alias("saturation"))
+    corpus = tokens.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length")).alias("c")).scalar()
+    counts = term_counts(docs, text, stop_words)
+    postings = counts.withColumn("corpus", corpus).select("doc_id", "term", saturation(F.col("corpus.mean_length"), k1, b).alias("saturation"))
     df = F.col("df").cast("double")
+    words = explode_tokens(tokens, [], F.array_distinct("tokens"))
     terms = (
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("corpus", corpus.scalar())
+        words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("corpus", corpus)
         .select("term", "df", F.log1p((F.col("corpus.n") - df + 0.5) / (df + 0.5)).alias("idf"))
     )
     return Bm25Index(postings, terms)
@@ -61,7 +73,7 @@ def bm25_index(docs: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, sto
 
 def query_terms(queries: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(query_id, term), each distinct term once."""
-    return queries.select("query_id", F.explode(F.array_distinct(content_tokens(F.col(text), stop_words))).alias("term"))
+    return explode_tokens(queries, ["query_id"], F.array_distinct(content_tokens(F.col(text), stop_words)))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "query_id", item: str = "doc_id", first: Sequence[Column] = ()) -> DataFrame:
@@ -86,6 +98,26 @@ def bm25_search(index: Bm25Index, queries: DataFrame, text: str, k: int, stop_wo
     return sparse_topk(terms, index.postings.withColumnRenamed("saturation", "d_weight"), k)
 
 
+def bm25_search_docs(docs: DataFrame, queries: DataFrame, text: str, k: int, k1: float = 1.2, b: float = 0.75, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Search without a stored index, for a batch of queries.
+
+    One pass measures the corpus, one counts only the words that some query asks for. The counts are
+    stored, since document frequencies and scores both read them, and so are the query terms with
+    their idf: the planner then sees how small they are and broadcasts them, so that postings stay
+    with their documents and no (query, document) pair is shuffled before it is summed.
+    """
+    terms = cut_lineage(query_terms(queries, text, stop_words))
+    corpus = docs.select(content_tokens(F.col(text), stop_words).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean_length")).first()
+    if not corpus["mean_length"]:
+        corpus = {"n": corpus["n"], "mean_length": 1.0}
+    counts = cut_lineage(term_counts(docs, text, stop_words, terms.select("term").distinct()))
+    df = F.count(F.lit(1)).cast("double")
+    idf = counts.groupBy("term").agg(F.log1p((F.lit(float(corpus["n"])) - df + 0.5) / (df + 0.5)).alias("q_weight"))
+    weighted = cut_lineage(terms.join(idf, "term").select("query_id", "term", "q_weight"))
+    postings = counts.select("doc_id", "term", saturation(F.lit(corpus["mean_length"]), k1, b).alias("d_weight"))
+    return sparse_topk(weighted, postings, k)
+
+
 def fielded_bm25(docs: DataFrame, boosts: Mapping[str, float], queries: DataFrame, text: str, exact_field: str, k: int, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Boosted sum of one BM25 score per field; documents whose ``exact_field`` equals the query come first."""
     parts = None
@@ -106,6 +138,7 @@ def fielded_bm25(docs: DataFrame, boosts: Mapping[str, float], queries: DataFram
 
 def overlap_topk(queries: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
     """Number of shared distinct whitespace words."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokenize_space(F.col(text)))).alias("term"), F.lit(1).alias("q_weight"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokenize_space(F.col(text)))).alias("term"), F.lit(1).alias("d_weight"))
+    words = F.array_distinct(tokenize_space(F.col(text)))
+    q = cut_lineage(explode_tokens(queries, ["query_id"], words).withColumn("q_weight", F.lit(1)))
+    d = explode_tokens(docs, ["doc_id"], words).withColumn("d_weight", F.lit(1))
     return sparse_topk(q, d, k)

@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.hooks import Batch, encode_texts, map_batch
 from rankweave.functions.sampling import md5_key
 from rankweave.functions.scalar import is_title_case
-from rankweave.functions.vectors import argmax, dot, l2_normalize, squared_distance
+from rankweave.functions.vectors import argmax, dot, l2_normalize, let, squared_distance
 from rankweave.operators import knn
 from rankweave.operators.graph import connected_components
 from rankweave.session import cut_lineage
@@ -235,6 +235,11 @@ def taxonomy_tag(queries: DataFrame, nodes: DataFrame, k: int, level: int | None
 MAX_CENTROIDS = 1000
 
 
+def _share(weights: Column) -> Column:
+    total = F.aggregate(weights, F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return let(total, lambda t: F.transform(weights, lambda x: x / t))
+
+
 def soft_assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, q, label): Student-t similarity to each centroid, normalized, and the arg-max cluster.
 
@@ -245,17 +250,14 @@ def soft_assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     listed = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", F.transform("vec", lambda x: x.cast("double")).alias("vec")))).alias("c")).scalar()
     staged = points.select("id", "vec").withColumn("c", listed)
     raw = F.transform("c", lambda c: 1.0 / (1.0 + squared_distance(F.col("vec"), c["vec"])))
-    total = F.aggregate("raw", F.lit(0.0).cast("double"), lambda s, x: s + x)
-    out = staged.withColumn("raw", raw).select("id", F.transform("raw", lambda x: x / total).alias("q"))
+    out = staged.select("id", let(raw, _share).alias("q"))
     return out.withColumn("label", (argmax(F.col("q")) - 1).cast("long"))
 
 
 def target_distribution(assigned: DataFrame, k: int) -> DataFrame:
     """(id, p): squared and re-normalized assignments that sharpen the clusters."""
     sums = assigned.agg(F.array(*[F.sum(F.col("q")[i]) for i in range(k)]).alias("f")).scalar()
-    weight = F.zip_with("q", "f", lambda q, f: q * q / f)
-    total = F.aggregate("w", F.lit(0.0).cast("double"), lambda s, x: s + x)
-    return assigned.withColumn("f", sums).withColumn("w", weight).select("id", F.transform("w", lambda x: x / total).alias("p"))
+    return assigned.withColumn("f", sums).select("id", let(F.zip_with("q", "f", lambda q, f: q * q / f), _share).alias("p"))
 
 
 def kmeans_centroids(points: DataFrame, k: int = 14, seed: int = 7) -> DataFrame:

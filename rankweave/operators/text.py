@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import tokenize_space
-from rankweave.functions.vectors import add_scaled
+from rankweave.functions.text import explode_tokens, tokenize_space
+from rankweave.functions.vectors import add_scaled, let
 
 PAD, UNK = 0, 1
 
@@ -22,7 +22,7 @@ def build_vocabulary(df: DataFrame, tokens: Column, min_freq: int = 1, max_size:
 
     The window numbers only the rows kept by the limit, so it is bounded by ``max_size``.
     """
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    counts = explode_tokens(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     kept = counts.where(F.col("freq") >= min_freq).orderBy(F.col("freq").desc(), "token").limit(max_size - 2)
     order = Window.orderBy(F.col("freq").desc(), "token")
     return kept.withColumn("id", F.row_number().over(order) + 1)
@@ -48,7 +48,7 @@ def mean_pool(encoded: DataFrame, key: str, table: DataFrame, dims: int) -> Data
     zero = F.array_repeat(F.lit(0.0), dims)
     summed = flat.join(table, "id").groupBy(key).agg(F.collect_list("vector").alias("vs"))
     total = F.aggregate("vs", zero, lambda acc, v: add_scaled(acc, v, 1.0))
-    mean = F.transform(total, lambda x: x / F.greatest(F.size("vs"), F.lit(1)))
+    mean = let(total, lambda t: let(F.size("vs"), lambda n: F.transform(t, lambda x: x / F.greatest(n, F.lit(1)))))
     return encoded.select(key).join(summed, key, "left").select(key, F.coalesce(mean, zero).alias("vector"))
 
 

@@ -129,7 +129,7 @@ def dense_retriever(dims: int, names: Sequence[str] = ("doc_id", "text")) -> Cal
 
 
 def lexical_retriever(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    found = lx.bm25_search(lx.bm25_index(docs, "text"), queries, "text", k)
+    found = lx.bm25_search_docs(docs, queries, "text", k)
     return found.withColumnRenamed("doc_id", "item_id")
 
 
