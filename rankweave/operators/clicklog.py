@@ -177,10 +177,7 @@ def label_logged(items: DataFrame) -> DataFrame:
 def best_candidates(items: DataFrame) -> DataFrame:
     """One row per session and candidate link with its lowest known position."""
     pool = items.where((F.col("role") == "candidate") & F.col("link").isNotNull())
-    return pool.groupBy("session_id", F.col("link").alias("nav_link")).agg(
-        F.min("position").alias("position"),
-        *[F.min(c).alias(c) for c in SESSION_COLUMNS if c != "session_id"],
-    )
+    return pool.groupBy(*SESSION_COLUMNS, F.col("link").alias("nav_link")).agg(F.min("position").alias("position"))
 
 
 def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:
@@ -191,13 +188,13 @@ def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> D
     """
     links = (
         items.where(F.col("link").isNotNull())
-        .groupBy("session_id", F.col("link").alias("nav_link"))
+        # session columns are constant in a session: as keys they keep this a hash aggregate
+        .groupBy(*SESSION_COLUMNS, F.col("link").alias("nav_link"))
         .agg(
             F.bool_or(F.col("role") == "clicked").alias("clicked"),
             F.bool_or(F.col("role") == "shown").alias("shown"),
             F.bool_or(F.col("role") == "candidate").alias("candidate"),
             F.min(F.when(F.col("role") == "candidate", F.col("position"))).alias("position"),
-            *[F.min(c).alias(c) for c in SESSION_COLUMNS if c != "session_id"],
         )
     )
     hard = F.coalesce(F.col("position").between(config.hard_low, config.hard_high), F.lit(False))
@@ -232,7 +229,8 @@ def build_dataset(items: DataFrame, config: LabelConfig = LabelConfig()) -> Data
     """Positives, logged and sampled negatives with propensity, IPS and SNIPS weights."""
     examples = label_logged(items)
     if config.sample_negatives:
-        examples = examples.unionByName(sample_negatives(items, config), allowMissingColumns=True)
+        # stored, because the per-session sums and the examples both read the draw
+        examples = examples.unionByName(cut_lineage(sample_negatives(items, config)), allowMissingColumns=True)
     weighted = snips(with_weights(examples, config), "session_id")
     if not config.n_factor:
         weighted = weighted.withColumn("snips_weight", F.col("weight_share"))
