@@ -110,10 +110,10 @@ k AS (SELECT *, array_to_string(tags, chr(1)) AS set_key FROM m),
 sets AS (SELECT set_key, any_value(tags) AS tags FROM k GROUP BY 1),
 cov AS (SELECT x.set_key AS x, y.set_key AS y, len(list_intersect(x.tags, y.tags)) AS c, len(x.tags) AS n FROM sets x, sets y),
 mem AS (SELECT item_id, set_key, {sql_md5(7, 'item_id')} AS h FROM k),
-pl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY cov.y, mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE 2 * c > n),
+pl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY md5(cov.y), mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE 2 * c > n),
 pa AS (SELECT k.item_id AS anchor, k.set_key AS x, {sql_hash('7p', 'k.item_id')} % (pl.total - 1) AS r, pl.at AS own FROM k JOIN pl ON pl.x = k.set_key AND pl.item_id = k.item_id WHERE pl.total > 1),
 pp AS (SELECT anchor, pl.item_id AS positive FROM pa JOIN pl ON pl.x = pa.x AND pl.at = pa.r + CAST(pa.r >= own AS BIGINT)),
-nl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY cov.y, mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE c >= 0.5 * n),
+nl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY md5(cov.y), mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE c >= 0.5 * n),
 na AS (SELECT anchor, positive, k.set_key AS x, a.at AS pat, b.at AS aat, a.total - 1 - CAST(b.at IS NOT NULL AS BIGINT) AS rest, a.total AS total
  FROM pp JOIN k ON k.item_id = positive JOIN nl a ON a.x = k.set_key AND a.item_id = positive LEFT JOIN nl b ON b.x = k.set_key AND b.item_id = anchor),
 nr AS (SELECT *, {sql_hash('7n', 'anchor')} % rest AS r, least(pat, coalesce(aat, total)) AS e1, greatest(pat, coalesce(aat, total)) AS e2 FROM na WHERE rest > 0),

@@ -161,8 +161,9 @@ def tag_with_dictionary(texts: DataFrame, gazetteer: DataFrame, max_words: int =
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
         part = F.transform(starts, _gram(n))
         grams = part if grams is None else F.concat(grams, part)
-    flat = explode_tokens(staged, ["id"], grams, "g").groupBy("id", "g.value").agg(F.min("g.pos").alias("pos"))
-    return flat.join(gazetteer.select("value", "label").distinct(), "value").select("id", "label", "value", "pos")
+    flat = explode_tokens(staged, ["id"], grams, "g").select("id", "g.value", "g.pos")
+    known = gazetteer.select("value", "label").distinct()
+    return flat.join(known, "value").groupBy("id", "label", "value").agg(F.min("pos").alias("pos"))
 
 
 def _gram(n: int):

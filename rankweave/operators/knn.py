@@ -1,9 +1,10 @@
-"""Vector retrieval over blocks.
+"""Vector retrieval by matrix products inside tasks.
 
-Vectors are packed into blocks of about BLOCK rows, chosen by a hash of their (unique) id, so no
-block depends on how the data is skewed. One row per block pair is scored with a matrix product
-inside the task that holds it, and only the answer of that pair (k rows per query, pairs above a
-threshold, or one count per query) leaves it. Nothing is broadcast and no pair table exists.
+A set of queries whose measured size fits BROADCAST_BYTES is sent to every task, and the corpus is
+read once where it lies, with no shuffle. A larger set is packed, like the corpus, into blocks
+chosen by a hash of the (unique) id, so no block depends on how the data is skewed, and one row per
+block pair is scored. Either way only the answer (k rows per query, pairs above a threshold, or one
+count per query) leaves a task, and no table of pairs exists.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from rankweave.functions.sampling import md5_key
 from rankweave.functions.vectors import l2_normalize
 from rankweave.operators.lexical import top_k
 
-BLOCK = 1024
+BLOCK = 1024  # rows per block of the replicated side
+WIDE_BLOCK = 16 * BLOCK  # rows per block of the other side: fewer blocks, fewer replicas
+SELF_BLOCK = 4 * BLOCK
+BROADCAST_BYTES = 32 << 20
 PLACES = 9
 
 
@@ -70,10 +74,11 @@ def _schema(q: DataFrame, c: DataFrame, tail: str) -> str:
     return f"query_id {q.schema['id'].dataType.simpleString()}, item_id {c.schema['id'].dataType.simpleString()}, {tail}"
 
 
-def _block_pairs(queries: DataFrame, corpus: DataFrame, block: int, extra: Sequence[str] = ()) -> DataFrame:
+def _block_pairs(queries: DataFrame, corpus: DataFrame, nq: int, block: int, extra: Sequence[str] = ()) -> DataFrame:
     """Every (query block, corpus block) pair once; the side with fewer rows is the replicated one."""
-    nq, nc = queries.count(), corpus.count()
-    bq, bc = _blocks(nq, block), _blocks(nc, block)
+    nc = corpus.count()
+    wide = block * (WIDE_BLOCK // BLOCK)
+    bq, bc = (_blocks(nq, block), _blocks(nc, wide)) if nq <= nc else (_blocks(nq, wide), _blocks(nc, block))
     q = pack_blocks(queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq))), ["qb"], "q", extra)
     c = pack_blocks(corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc))), ["cb"], "c")
     if nq <= nc:
@@ -83,38 +88,110 @@ def _block_pairs(queries: DataFrame, corpus: DataFrame, block: int, extra: Seque
     return q.join(c, "qb")
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def _shipped(queries: DataFrame, limit: int, extra: Sequence[str] = ()) -> tuple[int, tuple | None]:
+    """Row count, and the queries as arrays when count times row size is within ``limit`` bytes."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    if size["n"] == 0 or size["n"] * (8 * size["dims"] + 64) > limit:
+        return size["n"], None
+    rows = queries.select("id", "vec", *extra).collect()
+    return size["n"], (_ids([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=np.float64), *[np.array([r[e] for r in rows]) for e in extra])
+
+
+def _ids(values: list) -> np.ndarray:
+    return np.array(values)
+
+
+def _batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors, so that equal scores keep the lower id."""
+    ids = _ids(batch["id"].to_pylist())
+    vec = batch["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], vec[order]
+
+
+def _stream_topk(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keep the k best corpus rows per query over all batches of a partition."""
+    def run(batches):
+        q_ids, q_vec = shared.value
+        kept = [None] * -(-len(q_ids) // BLOCK)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            c_ids, c_vec = _batch_rows(batch)
+            for i in range(len(kept)):
+                scores = q_vec[i * BLOCK:(i + 1) * BLOCK] @ c_vec.T
+                r, c = _best(scores, k)
+                shape = (len(scores), -1)
+                ids, best = c_ids[c].reshape(shape), scores[r, c].reshape(shape)
+                if kept[i] is not None:
+                    ids, best = np.hstack([kept[i][0], ids]), np.hstack([kept[i][1], best])
+                    order = np.lexsort((ids, -np.round(best, PLACES)), axis=-1)[:, :k]
+                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+                kept[i] = (ids, best)
+        for i, found in enumerate(kept):
+            if found is not None:
+                asked = np.repeat(q_ids[i * BLOCK:(i + 1) * BLOCK], found[0].shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(asked.tolist()), pa.array(found[0].ravel().tolist()), pa.array(found[1].ravel())], ["query_id", "item_id", "score"])
+
+    return run
+
+
+def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, item_id, score, rank): best ``k`` by inner product of (id, vec) rows; ids must be unique."""
-    pairs = _block_pairs(queries.select("id", "vec"), corpus.select("id", "vec"), block)
-    partial = pairs.select("q_id", "q_vec", "c_id", "c_vec").mapInArrow(_topk_kernel(k), _schema(queries, corpus, "score double"))
+    schema = _schema(queries, corpus, "score double")
+    nq, small = _shipped(queries.select("id", "vec"), broadcast_bytes)
+    if small is not None:
+        shared = queries.sparkSession.sparkContext.broadcast(small)
+        partial = corpus.select("id", "vec").mapInArrow(_stream_topk(shared, k), schema)
+    else:
+        pairs = _block_pairs(queries.select("id", "vec"), corpus.select("id", "vec"), nq, block)
+        partial = pairs.select("q_id", "q_vec", "c_id", "c_vec").mapInArrow(_topk_kernel(k), schema)
     return top_k(partial, k, item="item_id")
 
 
-def filtered_topk(queries: DataFrame, corpus: DataFrame, k: int, keep: Column, block: int = BLOCK) -> DataFrame:
+def filtered_topk(queries: DataFrame, corpus: DataFrame, k: int, keep: Column) -> DataFrame:
     """The filter runs before the search, so the k places are filled with rows that pass it."""
-    return exact_topk(queries, corpus.where(keep), k, block)
+    return exact_topk(queries, corpus.where(keep), k)
 
 
-def target_rank(queries: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+def target_rank(queries: DataFrame, items: DataFrame, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rank of ``target_score`` among all items: one count of better items per query, no sort.
 
     ``queries`` has id, vec and target_score; ``items`` has unique id and vec.
     """
-    def run(batches):
+    def better(q_vec, goal, c_vec):
+        return (np.round(q_vec @ c_vec.T, PLACES) > np.round(goal, PLACES)[:, None]).sum(axis=1).astype(np.int64)
+
+    def stream(batches):
+        q_ids, q_vec, goal = shared.value
+        total = np.zeros(len(q_ids), dtype=np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                scores = np.round(_matrix(batch["q_vec"][i]) @ _matrix(batch["c_vec"][i]).T, PLACES)
-                goal = np.round(batch["q_target_score"][i].values.to_numpy(zero_copy_only=False), PLACES)
-                better = (scores > goal[:, None]).sum(axis=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["q_id"][i].values, pa.array(better)], ["query_id", "better"])
+            if batch.num_rows:
+                c_vec = _batch_rows(batch)[1]
+                for i in range(0, len(q_ids), BLOCK):
+                    total[i:i + BLOCK] += better(q_vec[i:i + BLOCK], goal[i:i + BLOCK], c_vec)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids.tolist()), pa.array(total)], ["query_id", "better"])
 
-    pairs = _block_pairs(queries.select("id", "vec", "target_score"), items.select("id", "vec"), block, ["target_score"])
-    kind = queries.schema["id"].dataType.simpleString()
-    counts = pairs.select("q_id", "q_vec", "q_target_score", "c_id", "c_vec").mapInArrow(run, f"query_id {kind}, better bigint")
+    def blocks(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                goal = batch["q_target_score"][i].values.to_numpy(zero_copy_only=False)
+                count = better(_matrix(batch["q_vec"][i]), goal, _matrix(batch["c_vec"][i]))
+                yield pa.RecordBatch.from_arrays([batch["q_id"][i].values, pa.array(count)], ["query_id", "better"])
+
+    schema = f"query_id {queries.schema['id'].dataType.simpleString()}, better bigint"
+    asked = queries.select("id", "vec", "target_score")
+    nq, small = _shipped(asked, broadcast_bytes, ["target_score"])
+    if small is not None:
+        shared = queries.sparkSession.sparkContext.broadcast(small)
+        counts = items.select("id", "vec").mapInArrow(stream, schema)
+    else:
+        pairs = _block_pairs(asked, items.select("id", "vec"), nq, block, ["target_score"])
+        counts = pairs.select("q_id", "q_vec", "q_target_score", "c_id", "c_vec").mapInArrow(blocks, schema)
     return counts.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
 
 
-def similar_pairs(df: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK) -> DataFrame:
     """(src, dst, score) with cosine strictly above ``threshold`` and src < dst.
 
     Equal vectors are first merged: pairs are searched among one representative (lowest id) per

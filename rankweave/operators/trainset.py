@@ -151,9 +151,9 @@ def overlap_triplets(items: DataFrame, threshold: float = 0.5, seed: int = 7) ->
 
     def layout(need: Column) -> tuple[DataFrame, DataFrame]:
         """Qualifying sets y of each x laid end to end: (x, y, nth, start) and (x, total)."""
-        pairs = covering_sets(sets, need).join(sizes, "y")
-        line = Window.partitionBy("x").orderBy("y")
-        laid = cut_lineage(pairs.select("x", "y", "m", F.row_number().over(line).alias("nth"), (F.sum("m").over(line) - F.col("m")).alias("start")))
+        pairs = covering_sets(sets, need).join(sizes, "y").withColumn("h", F.md5("y"))
+        line = skew.running_sums(pairs, ["x"], [F.col("h")], F.substring("h", 1, 3), {"nth": F.lit(True), "upto": F.col("m")})
+        laid = cut_lineage(line.select("x", "y", "m", "nth", (F.col("upto") - F.col("m")).alias("start")))
         return laid.drop("m"), laid.groupBy("x").agg(F.sum("m").alias("total"))
 
     def look_up(picks: DataFrame, laid: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ data itself, so results do not depend on how rows were spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,28 +22,30 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(stats, list(keys), how)
 
 
-def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, flag: Column, name: str) -> DataFrame:
-    """Running sum of ``flag`` (a count or a boolean) up to each row of its key, without sorting a whole key in one task.
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, sums: Mapping[str, Column]) -> DataFrame:
+    """Running sums up to each row of its key, without sorting a whole key in one task.
 
     ``coarse`` cuts a key into consecutive pieces: it must not decrease along ``order``. Rows are
     summed inside a piece and shifted by the totals of the pieces before it. Keys must not be null.
     """
     keys = list(keys)
-    staged = df.withColumns({"__piece": coarse, "__flag": flag.cast("long")})
-    sizes = staged.groupBy(*keys, "__piece").agg(F.sum("__flag").alias("__n"))
+    staged = df.withColumns({"__piece": coarse, **{f"__in_{n}": c.cast("long") for n, c in sums.items()}})
+    totals = staged.groupBy(*keys, "__piece").agg(*[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = totals.select(*keys, "__piece", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
     inside = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = staged.withColumn("__row", F.sum("__flag").over(inside))
-    return (
-        local.join(offsets, keys + ["__piece"])
-        .withColumn(name, F.col("__row") + F.col("__before"))
-        .drop("__piece", "__flag", "__row", "__before")
-    )
+    local = staged.withColumns({f"__r_{n}": F.sum(f"__in_{n}").over(inside) for n in sums})
+    joined = local.join(offsets, keys + ["__piece"]).withColumns({n: F.col(f"__r_{n}") + F.col(f"__b_{n}") for n in sums})
+    return joined.drop("__piece", *[f"__{p}_{n}" for n in sums for p in ("in", "b", "r")])
+
+
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, flag: Column, name: str) -> DataFrame:
+    """Running sum of one flag or count, see ``running_sums``."""
+    return running_sums(df, keys, order, coarse, {name: flag})
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, name: str) -> DataFrame:
-    """1-based position of each row within its key, see ``running_count``."""
+    """1-based position of each row within its key, see ``running_sums``."""
     return running_count(df, keys, order, coarse, F.lit(True), name)
 
 

@@ -53,11 +53,12 @@ def frame(spark, v, start=0):
     return spark.createDataFrame([(start + i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
 @pytest.mark.parametrize("sizes", [(40, 130), (130, 40)])
-def test_topk_over_many_blocks(spark, sizes):
+def test_topk_over_many_blocks(spark, sizes, limit):
     q, c = unit(sizes[0], seed=2), unit(sizes[1], seed=3)
     c[7] = c[3]  # equal scores keep the lower id
-    got = knn.exact_topk(frame(spark, q), frame(spark, c), 5, block=16).collect()
+    got = knn.exact_topk(frame(spark, q), frame(spark, c), 5, block=4, broadcast_bytes=limit).collect()
     scores = np.round(q @ c.T, 9)
     want = {(i, int(j), r + 1) for i in range(len(q)) for r, j in enumerate(np.lexsort((np.arange(len(c)), -scores[i]))[:5])}
     assert {(r["query_id"], r["item_id"], r["rank"]) for r in got} == want
@@ -70,11 +71,12 @@ def test_ann_with_all_probes_is_exact(spark):
     assert exact.exceptAll(ann).count() == 0 and ann.exceptAll(exact).count() == 0
 
 
-def test_target_rank_counts_better_items(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_target_rank_counts_better_items(spark, limit):
     q, c = unit(30, seed=4), unit(70, seed=5)
     goal = (q * c[:30]).sum(axis=1)
     asked = frame(spark, q).join(spark.createDataFrame([(i, float(g)) for i, g in enumerate(goal)], "id long, target_score double"), "id")
-    got = {r["query_id"]: r["rank"] for r in knn.target_rank(asked, frame(spark, c), block=16).collect()}
+    got = {r["query_id"]: r["rank"] for r in knn.target_rank(asked, frame(spark, c), block=4, broadcast_bytes=limit).collect()}
     assert got == {i: int((np.round(q[i] @ c.T, 9) > np.round(goal[i], 9)).sum()) + 1 for i in range(30)}
 
 
