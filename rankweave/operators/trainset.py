@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankweave import skew
 from rankweave.functions.hooks import Batch, map_batch
 from rankweave.functions.sampling import bucket, md5_key, md5_long
-from rankweave.functions.vectors import cosine, dot
+from rankweave.functions.vectors import cosine, dot, let
 from rankweave.operators import knn
 from rankweave.operators.lexical import top_k
 from rankweave.session import cut_lineage
@@ -115,22 +115,34 @@ def class_triplets(df: DataFrame, text: str, label: str, n_pos: int = 5, n_neg:
     return positives.select(columns).unionByName(negatives.select(columns))
 
 
+def coded_sets(keyed: DataFrame) -> DataFrame:
+    """(set_id, set_key, codes, m) from (item_id, set_key, tags): one row per distinct tag set.
+
+    A code is a unique number of a tag that grows with the number of sets holding it, so sorted codes
+    list the rarest tags first. Set ids follow the digest of the set.
+    """
+    sets = keyed.groupBy("set_key").agg(F.first("tags").alias("tags"), F.count(F.lit(1)).alias("m"))
+    sets = cut_lineage(skew.shuffled_ordinal(sets, [], F.md5("set_key"), "set_id"))
+    flat = sets.select("set_id", F.explode("tags").alias("tag"))
+    tags = skew.shuffled_ordinal(flat.groupBy("tag").agg(F.count(F.lit(1)).alias("df")), [], F.md5("tag"), "n")
+    # 28 bits of frequency above 35 bits of number
+    codes = flat.join(tags.select("tag", F.shiftleft("df", 35).bitwiseOR(F.col("n")).alias("code")), "tag")
+    lists = codes.groupBy("set_id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    return cut_lineage(sets.select("set_id", "set_key", "m").join(lists, "set_id"))
+
+
 def covering_sets(sets: DataFrame, need: Column) -> DataFrame:
-    """(x, y) for distinct tag sets that share at least ``need`` tags of x; y = x is included.
+    """(x, y, m of y) for set ids that share at least ``need`` tags of x; y = x is included.
 
-    ``sets`` has set_key and tags. If x and y share ``need`` tags, y holds one of the rarest
-    ``|x| - need + 1`` tags of x, so only those are joined and the frequent tags are not.
+    If x and y share that many tags, their rarest shared tag is among the ``|x| - need + 1`` rarest of
+    x. Only those are joined, and a pair is kept at its rarest shared tag, so frequent tags are hardly
+    joined and no pair appears twice.
     """
-    staged = sets.select("set_key", "tags").withColumn("need", need)
-    flat = staged.select("set_key", "need", F.size("tags").alias("size"), F.explode("tags").alias("tag"))
-    rarity = flat.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("set_key").orderBy("df", "tag")
-    prefix = flat.join(rarity, "tag").withColumn("o", F.row_number().over(rare_first)).where(F.col("o") <= F.col("size") - F.col("need") + 1)
-    candidates = prefix.select(F.col("set_key").alias("x"), "tag").join(flat.select(F.col("set_key").alias("y"), "tag"), "tag").select("x", "y").distinct()
-    x = staged.select(F.col("set_key").alias("x"), F.col("tags").alias("x_tags"), "need")
-    y = staged.select(F.col("set_key").alias("y"), F.col("tags").alias("y_tags"))
-    checked = candidates.join(x, "x").join(y, "y")
-    return checked.where(F.size(F.array_intersect("x_tags", "y_tags")) >= F.col("need")).select("x", "y")
+    x = sets.select(F.col("set_id").alias("x"), F.col("codes").alias("x_codes"), need.cast("int").alias("need"))
+    x = x.withColumn("code", F.explode(F.slice("x_codes", F.lit(1), F.size("x_codes") - F.col("need") + 1)))
+    y = sets.select(F.col("set_id").alias("y"), "m", F.col("codes").alias("y_codes"), F.explode("codes").alias("code"))
+    shared = F.array_intersect("x_codes", "y_codes")
+    return x.join(y, "code").where((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("code"))).select("x", "y", "m")
 
 
 def overlap_triplets(items: DataFrame, threshold: float = 0.5, seed: int = 7) -> DataFrame:
@@ -143,16 +155,14 @@ def overlap_triplets(items: DataFrame, threshold: float = 0.5, seed: int = 7) ->
     """
     keyed = items.select("item_id", F.array_sort(F.array_distinct("tags")).alias("tags")).where(F.size("tags") > 0)
     keyed = keyed.withColumn("set_key", F.array_join("tags", "\u0001"))
-    members = skew.shuffled_ordinal(keyed.select("item_id", "set_key"), ["set_key"], md5_key(seed, "item_id"), "o").withColumn("o", F.col("o") - 1)
+    sets = coded_sets(keyed)
+    placed = keyed.select("item_id", "set_key").join(sets.select("set_key", "set_id"), "set_key").drop("set_key")
+    members = skew.shuffled_ordinal(placed, ["set_id"], md5_key(seed, "item_id"), "o").withColumn("o", F.col("o") - 1)
     members = cut_lineage(members)
-    sets = keyed.groupBy("set_key").agg(F.first("tags").alias("tags"), F.count(F.lit(1)).alias("m"))
-    sets = cut_lineage(sets)
-    sizes = sets.select(F.col("set_key").alias("y"), "m")
 
     def layout(need: Column) -> tuple[DataFrame, DataFrame]:
         """Qualifying sets y of each x laid end to end: (x, y, nth, start) and (x, total)."""
-        pairs = covering_sets(sets, need).join(sizes, "y").withColumn("h", F.md5("y"))
-        line = skew.running_sums(pairs, ["x"], [F.col("h")], F.substring("h", 1, 3), {"nth": F.lit(True), "upto": F.col("m")})
+        line = skew.running_sums(covering_sets(sets, need), ["x"], [F.col("y")], F.floor(F.col("y") / 10_000), {"nth": F.lit(True), "upto": F.col("m")})
         laid = cut_lineage(line.select("x", "y", "m", "nth", (F.col("upto") - F.col("m")).alias("start")))
         return laid.drop("m"), laid.groupBy("x").agg(F.sum("m").alias("total"))
 
@@ -163,13 +173,13 @@ def overlap_triplets(items: DataFrame, threshold: float = 0.5, seed: int = 7) ->
             picks.withColumn("is_set", F.lit(False)), allowMissingColumns=True)
         nth = skew.running_count(marks, ["x"], [F.col("at"), F.col("is_set").desc()], F.floor(F.col("at") / 10000), F.col("is_set"), "nth")
         placed = nth.where(~F.col("is_set")).join(laid, ["x", "nth"]).withColumn("o", F.col("at") - F.col("start"))
-        who = members.select(F.col("set_key").alias("y"), "o", F.col("item_id").alias("found"))
+        who = members.select(F.col("set_id").alias("y"), "o", F.col("item_id").alias("found"))
         return placed.join(who, ["y", "o"]).select(*columns, F.col("y").alias("found_set"), "found")
 
-    size = F.size("tags")
+    size = F.size("codes")
     laid, totals = layout(F.floor(size / 2) + 1)
     own = laid.where(F.col("x") == F.col("y")).select("x", F.col("start").alias("own_start")).join(totals, "x")
-    asked = members.select(F.col("set_key").alias("x"), F.col("item_id").alias("anchor"), F.col("o").alias("anchor_o")).join(own, "x").where(F.col("total") > 1)
+    asked = members.select(F.col("set_id").alias("x"), F.col("item_id").alias("anchor"), F.col("o").alias("anchor_o")).join(own, "x").where(F.col("total") > 1)
     r = F.pmod(md5_long(f"{seed}p", "anchor"), F.col("total") - 1)
     at = r + (r >= F.col("own_start") + F.col("anchor_o")).cast("int")
     first = look_up(asked.select("x", F.col("x").alias("anchor_set"), "anchor", "anchor_o", at.alias("at")), laid)
@@ -358,10 +368,14 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = 200, overla
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    last = F.greatest(F.lit(0), F.ceil((F.size("words") - size) / step)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("words", i * step + 1, size), " "))
-    staged = docs.select("doc_id", words.alias("words")).where(F.size("words") > 0).select("doc_id", chunks.alias("chunks"))
-    flat = staged.select("doc_id", "chunks", F.posexplode("chunks").alias("chunk_no", "chunk_content"))
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+
+    # outer explode and an emptied first chunk instead of a filter on the words: the text is split once
+    staged = docs.select("doc_id", let(words, cut).alias("chunks"))
+    flat = staged.select("doc_id", "chunks", F.posexplode_outer("chunks").alias("chunk_no", "chunk_content")).where(F.col("chunk_content") != "")
     return flat.select(
         "doc_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no", "chunk_content",
         F.when(F.col("chunk_no") > 0, F.element_at("chunks", F.col("chunk_no"))).otherwise(F.lit("")).alias("chunk_context"))
