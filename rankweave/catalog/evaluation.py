@@ -136,7 +136,7 @@ b AS (SELECT CASE WHEN coalesce(dwell_time, 0) >= 60 THEN 1.0::DOUBLE ELSE 0 END
 SELECT 'ctr' AS task, count(*) AS n, {q6(SQL_AUC.format(src='a'))} AS auc, {q6(SQL_LL)} AS logloss, {q6(SQL_ACC)} AS accuracy FROM a
 UNION ALL SELECT 'completion', count(*), {q6(SQL_AUC.format(src='b'))}, {q6(SQL_LL)}, {q6(SQL_ACC)} FROM b""")
 def ranker_report(spark, sf):
-    out = mt.ranker_report(scored_clicks(spark, sf))
+    out = mt.ranker_report(cut_lineage(scored_clicks(spark, sf).select("clicked", "completed", "p_click", "p_completion")))
     return out.withColumns({c: r6(c) for c in ("auc", "logloss", "accuracy")})
 
 
@@ -215,7 +215,7 @@ def ctr_model(spark, sf):
     inputs = ["pos_norm", "prop", "dwell_norm"]
     click = models.predict_probability(models.debiased_click_model(rows, inputs, "clicked"), rows, "p_click")
     both = models.predict_probability(models.debiased_click_model(rows.where(F.col("clicked") >= 0.5), inputs, "completed"), click, "p_completion")
-    return mt.ranker_report(both)
+    return mt.ranker_report(cut_lineage(both.select("clicked", "completed", "p_click", "p_completion")))
 
 
 @query("R3_text_classifier")

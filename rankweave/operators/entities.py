@@ -182,10 +182,20 @@ def understand_queries(queries: DataFrame, gazetteer: DataFrame, max_words: int
     return found.select(F.col("id").alias("query_id"), "label", "value")
 
 
-def matching_items(entities: DataFrame, item_values: DataFrame) -> DataFrame:
-    """(query_id, item_id) where the item has a matching value for every label the query names."""
+def filter_candidates(candidates: DataFrame, entities: DataFrame, item_values: DataFrame) -> DataFrame:
+    """Keep (query_id, item_id) rows whose item has a matching value for every label the query names.
+
+    Only the given candidates are looked at; queries and items that share a value are never paired up.
+    """
     asked = entities.select("query_id", "label", "value").distinct()
     wanted = asked.groupBy("query_id").agg(F.countDistinct("label").alias("n_labels"))
-    matched = asked.join(item_values.select("item_id", "label", "value").distinct(), ["label", "value"])
-    met = matched.groupBy("query_id", "item_id").agg(F.countDistinct("label").alias("n_met"))
-    return met.join(wanted, "query_id").where(F.col("n_met") == F.col("n_labels")).select("query_id", "item_id")
+    held = item_values.select("item_id", "label", "value").distinct()
+    met = (
+        candidates.select("query_id", "item_id").distinct().join(asked, "query_id").join(held, ["item_id", "label", "value"], "left_semi")
+        .groupBy("query_id", "item_id").agg(F.countDistinct("label").alias("n_met"))
+    )
+    return (
+        candidates.join(wanted, "query_id", "left").join(met, ["query_id", "item_id"], "left")
+        .where(F.coalesce("n_met", F.lit(0)) >= F.coalesce("n_labels", F.lit(0)))
+        .select(candidates.columns)
+    )

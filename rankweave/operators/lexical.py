@@ -8,7 +8,7 @@ with their documents, and a join that has to shuffle is split by the adaptive sk
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,24 +98,36 @@ def bm25_search(index: Bm25Index, queries: DataFrame, text: str, k: int, stop_wo
     return sparse_topk(terms, index.postings.withColumnRenamed("saturation", "d_weight"), k)
 
 
+def per_distinct_text(queries: DataFrame, text: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``search`` once per distinct query text and give every copy of a query its result."""
+    groups = queries.where(F.col(text).isNotNull()).groupBy(text).agg(F.min("query_id").alias("__rep"))
+    reps = cut_lineage(groups.select(F.col("__rep").alias("query_id"), text))
+    found = search(reps).withColumnRenamed("query_id", "__rep")
+    copies = queries.select("query_id", text).join(reps.withColumnRenamed("query_id", "__rep"), text).select("query_id", "__rep")
+    return copies.join(found, "__rep").drop("__rep")
+
+
 def bm25_search_docs(docs: DataFrame, queries: DataFrame, text: str, k: int, k1: float = 1.2, b: float = 0.75, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Search without a stored index, for a batch of queries.
+    """Search without a stored index, for a batch of queries; equal query texts are searched once.
 
     One pass measures the corpus, one counts only the words that some query asks for. The counts are
     stored, since document frequencies and scores both read them, and so are the query terms with
     their idf: the planner then sees how small they are and broadcasts them, so that postings stay
     with their documents and no (query, document) pair is shuffled before it is summed.
     """
-    terms = cut_lineage(query_terms(queries, text, stop_words))
     corpus = docs.select(content_tokens(F.col(text), stop_words).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean_length")).first()
-    if not corpus["mean_length"]:
-        corpus = {"n": corpus["n"], "mean_length": 1.0}
-    counts = cut_lineage(term_counts(docs, text, stop_words, terms.select("term").distinct()))
-    df = F.count(F.lit(1)).cast("double")
-    idf = counts.groupBy("term").agg(F.log1p((F.lit(float(corpus["n"])) - df + 0.5) / (df + 0.5)).alias("q_weight"))
-    weighted = cut_lineage(terms.join(idf, "term").select("query_id", "term", "q_weight"))
-    postings = counts.select("doc_id", "term", saturation(F.lit(corpus["mean_length"]), k1, b).alias("d_weight"))
-    return sparse_topk(weighted, postings, k)
+    n, mean_length = corpus["n"], corpus["mean_length"] or 1.0
+
+    def search(asked: DataFrame) -> DataFrame:
+        terms = cut_lineage(query_terms(asked, text, stop_words))
+        counts = cut_lineage(term_counts(docs, text, stop_words, terms.select("term").distinct()))
+        df = F.count(F.lit(1)).cast("double")
+        idf = counts.groupBy("term").agg(F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5)).alias("q_weight"))
+        weighted = cut_lineage(terms.join(idf, "term").select("query_id", "term", "q_weight"))
+        postings = counts.select("doc_id", "term", saturation(F.lit(mean_length), k1, b).alias("d_weight"))
+        return sparse_topk(weighted, postings, k)
+
+    return per_distinct_text(queries, text, search)
 
 
 def fielded_bm25(docs: DataFrame, boosts: Mapping[str, float], queries: DataFrame, text: str, exact_field: str, k: int, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -139,6 +151,10 @@ def fielded_bm25(docs: DataFrame, boosts: Mapping[str, float], queries: DataFram
 def overlap_topk(queries: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
     """Number of shared distinct whitespace words."""
     words = F.array_distinct(tokenize_space(F.col(text)))
-    q = cut_lineage(explode_tokens(queries, ["query_id"], words).withColumn("q_weight", F.lit(1)))
     d = explode_tokens(docs, ["doc_id"], words).withColumn("d_weight", F.lit(1))
-    return sparse_topk(q, d, k)
+
+    def search(asked: DataFrame) -> DataFrame:
+        q = cut_lineage(explode_tokens(asked, ["query_id"], words).withColumn("q_weight", F.lit(1)))
+        return sparse_topk(q, d, k)
+
+    return per_distinct_text(queries, text, search)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import tokenize_space
 from rankweave.functions.vectors import add_scaled, dot, l2_normalize
 from rankweave.operators import fusion, knn
 from rankweave.operators import lexical as lx
+from rankweave.session import cut_lineage
 
 
 def recommend(requests: DataFrame, queries: DataFrame, items: DataFrame, profiles: DataFrame, model: Column, semantic_k: int = 10, top: int = 3) -> DataFrame:
@@ -38,9 +39,23 @@ def cross_score_rank(requests: DataFrame, users: DataFrame, queries: DataFrame,
 
 
 def tag_retrieve(queries: DataFrame, tags: DataFrame, item_tags: DataFrame, n_tags: int, k: int) -> DataFrame:
-    """Query vector to its nearest tags to the items that carry them, best similarity sum first, then popularity."""
-    near = knn.exact_topk(queries, tags, n_tags).select("query_id", F.col("item_id").alias("tag"), F.col("score").alias("similarity"))
-    scored = item_tags.join(near, "tag").groupBy("query_id", "item_id").agg(F.sum("similarity").alias("score"), F.max("popularity").alias("popularity"))
+    """Query vector to its nearest tags to the items that carry them, best similarity sum first, then popularity.
+
+    Exact without pairing every query with every item of a frequent tag.
+    """
+    near = cut_lineage(knn.exact_topk(queries, tags, n_tags).select("query_id", F.col("item_id").alias("tag"), F.round("score", 12).alias("similarity")))
+    # queries with the same nearest tags share one look-up; at most n_tags values are collected per query
+    combos = cut_lineage(near.groupBy("query_id").agg(F.array_sort(F.collect_list("tag")).alias("combo")))
+    wanted = combos.select("combo").distinct().select("combo", F.explode("combo").alias("tag"))
+    held = item_tags.select("item_id", "tag", "popularity").join(wanted, "tag").groupBy("combo", "item_id").agg(
+        F.array_sort(F.collect_set("tag")).alias("held"), F.max("popularity").alias("popularity"))
+    # items that hold the same tags of a combination differ only by popularity: its k best are enough
+    best = Window.partitionBy("combo", "held").orderBy(F.col("popularity").desc(), "item_id")
+    kept = held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    listed = near.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "similarity"))).alias("similar")).join(combos, "query_id")
+    joined = listed.join(kept, "combo")
+    score = F.aggregate("held", F.lit(0.0).cast("double"), lambda s, t: s + F.element_at(F.col("similar"), t))
+    scored = joined.select("query_id", "item_id", score.alias("score"), "popularity")
     return lx.top_k(scored, k, item="item_id", first=[F.round("score", 9).desc(), F.col("popularity").desc()])
 
 
