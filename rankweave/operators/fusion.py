@@ -77,13 +77,20 @@ def cut_at_k(ranked: DataFrame, chosen: DataFrame, query: str = "query_id") -> D
     return ranked.join(chosen, query).where(F.col("rank") <= F.col("k"))
 
 
-def inverse_tag_index(item_tags: DataFrame, popularity: str) -> DataFrame:
-    """(tag, part, items): the items of a tag by falling popularity, in parts of bounded length.
+def inverse_tag_index(item_tags: DataFrame, popularity: str, size: int = 1000) -> DataFrame:
+    """(tag, part, items): the items of a tag by falling popularity, then id, in parts of at most ``size``.
 
-    ``coarse`` order pieces are whole popularity steps, so a tag on a third of all items is split.
+    Places are found in two steps, so that neither many popularity values nor one value shared by
+    very many items gathers a tag in one task: first the place where each (tag, popularity) begins,
+    then the place of an item among its equals.
     """
     pairs = item_tags.groupBy("tag", "item_id").agg(F.max(popularity).alias("pop"))
-    return skew.pack(pairs, ["tag"], F.col("item_id"), [-F.col("pop"), F.col("item_id")], F.floor(-F.col("pop")), "items")
+    steps = pairs.groupBy("tag", "pop").agg(F.count(F.lit(1)).alias("n"))
+    begins = skew.running_count(steps, ["tag"], [F.col("pop").desc()], F.floor(-F.col("pop")), F.col("n"), "upto")
+    begins = begins.select("tag", "pop", (F.col("upto") - F.col("n")).alias("before"))
+    equals = skew.ordinal(pairs, ["tag", "pop"], [F.col("item_id")], F.floor(F.col("item_id") / 100_000), "nth")
+    placed = equals.join(begins, ["tag", "pop"]).withColumn("place", F.col("before") + F.col("nth"))
+    return skew.pack_numbered(placed, ["tag"], F.col("item_id"), F.col("place"), "items", size)
 
 
 def rerank(ranked: DataFrame, k: int, texts: Callable[[DataFrame], DataFrame], ranker: Callable[[list], list] | Column) -> DataFrame:

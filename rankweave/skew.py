@@ -63,9 +63,12 @@ def pack(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Colu
     keys = list(keys)
     numbered = ordinal(df.select(*keys, value.alias("__v"), *[o.alias(f"__o{i}") for i, o in enumerate(order)], coarse.alias("__co")),
                        keys, [F.col(f"__o{i}") for i in range(len(order))], F.col("__co"), "__i")
-    part = F.floor((F.col("__i") - 1) / size).cast("long").alias("part")
-    return (
-        numbered.groupBy(*keys, part)
-        .agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__l"))
-        .select(*keys, "part", F.transform("__l", lambda s: s["__v"]).alias(out))
-    )
+    return pack_numbered(numbered, keys, F.col("__v"), F.col("__i"), out, size)
+
+
+def pack_numbered(df: DataFrame, keys: Sequence[str], value: Column, place: Column, out: str, size: int = 1000) -> DataFrame:
+    """``pack`` for rows that already carry their 1-based place within the key."""
+    part = F.floor((place - 1) / size).cast("long").alias("part")
+    rows = df.select(*keys, part, place.alias("__i"), value.alias("__v"))
+    lists = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__l"))
+    return lists.select(*keys, "part", F.transform("__l", lambda s: s["__v"]).alias(out))

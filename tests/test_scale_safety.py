@@ -11,9 +11,12 @@ from rankweave import skew
 from rankweave.functions.hooks import map_batch
 from rankweave.operators import clicklog as cl
 from rankweave.operators import features as ft
-from rankweave.operators import graph, knn, metrics as mt
+from rankweave.operators import fusion, graph, knn
+from rankweave.operators import lexical as lx
+from rankweave.operators import metrics as mt
 from rankweave.operators import tags as tg
 from rankweave.operators import trainset as ts
+from rankweave.plans import retrieval as rt
 from rankweave.session import shared_folder
 from rankweave.sources import readers, writers
 
@@ -116,6 +119,44 @@ def test_batches_have_no_repeats(spark):
     assert out.count() == 600 and per.where("n > 8 or n <> a or n <> p").count() == 0
 
 
+def test_copies_of_a_query_are_searched_once_and_all_answered(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue fox fox", "green frog", "red frog"])], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, "red fox" if i % 3 else "frog") for i in range(30)], "query_id long, text string")
+    for found in (lx.bm25_search_docs(docs, queries, "text", 2), lx.overlap_topk(queries, docs, "text", 2)):
+        per = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("l"))
+        assert per.count() == 30
+        assert per.select(F.col("l").cast("string")).distinct().count() == 2
+
+
+def test_tag_index_with_shared_and_distinct_popularity(spark):
+    rows = spark.range(400).select(F.lit("hot").alias("tag"), F.col("id").alias("item_id"), F.when(F.col("id") < 250, 5.0).otherwise(F.col("id") / 7.0).alias("pop"))
+    out = fusion.inverse_tag_index(rows, "pop", 100).orderBy("part").collect()
+    got = [i for r in out for i in r["items"]]
+    want = [r["item_id"] for r in rows.orderBy(F.col("pop").desc(), "item_id").collect()]
+    assert got == want and [len(r["items"]) for r in out] == [100] * 4
+
+
+def test_tag_retrieve_matches_full_join(spark):
+    rnd = random.Random(3)
+    tags, asked = frame(spark, unit(6, seed=8)), frame(spark, unit(25, seed=9))
+    held = [(i, t, float(rnd.randrange(4))) for i in range(120) for t in {0, rnd.randrange(6)}]
+    pops = {}
+    held = [(i, t, pops.setdefault(i, p)) for i, t, p in held]
+    item_tags = spark.createDataFrame(held, "item_id long, tag long, popularity double")
+    got = rt.tag_retrieve(asked, tags, item_tags, 3, 7).select("query_id", "item_id", "rank").collect()
+    near = knn.exact_topk(asked, tags, 3).select("query_id", F.col("item_id").alias("tag"), "score").collect()
+    want = set()
+    for q in range(25):
+        sim = {r["tag"]: r["score"] for r in near if r["query_id"] == q}
+        score = {}
+        for i, t, _ in held:
+            if t in sim:
+                score[i] = score.get(i, 0.0) + sim[t]
+        order = sorted(score, key=lambda i: (-round(score[i], 9), -pops[i], i))[:7]
+        want |= {(q, i, n + 1) for n, i in enumerate(order)}
+    assert {tuple(r) for r in got} == want
+
+
 def test_auc_with_ties_and_one_class(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.4, 1), (0.4, 0), (0.8, 1)], "score double, label int")
     assert mt.auc(rows).first()["auc"] == pytest.approx((1 + 0.5 + 2) / 4)
