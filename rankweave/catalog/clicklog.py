@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.catalog.base import SQL_EXAMPLES, SQL_ISO, SQL_ITEMS, q6, query, r6, session_log
+from rankweave.catalog.base import SQL_EXAMPLES, SQL_ITEMS, q6, query, r6, session_log
 from rankweave.functions.text import tokenize_alnum
 from rankweave.operators import clicklog as cl
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from rankweave.catalog.base import SQL_EXAMPLES, q6, query, r6, session_log, sql_hash, table
-from rankweave.catalog.features import FEATURES, SQL_MONTHLY, monthly
+from rankweave.catalog.features import SQL_MONTHLY, monthly
 from rankweave.catalog.retrieval import SQL_HASH_TOKENS, sql_hash_vectors
 from rankweave.functions import scalar as sc
 from rankweave.functions import vectors as vc

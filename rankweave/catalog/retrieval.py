@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankweave.catalog.base import q6, query, r6, sql_md5, table
 from rankweave.catalog.text import SQL_BM25, SQL_SPACE, SQL_WORDS, benchmark, bm25_ranking, documents
 from rankweave.functions.hooks import encode_texts
-from rankweave.functions.vectors import cosine, l2_normalize, norm
+from rankweave.functions.vectors import cosine, l2_normalize
 from rankweave.operators import fusion, knn
 from rankweave.operators import lexical as lx
 from rankweave.plans import retrieval as rt

@@ -6,8 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from rankweave.catalog.base import q6, query, r6, sql_hash, sql_md5, table
-from rankweave.catalog.retrieval import SQL_ALL, SQL_HASH_TOKENS, SQL_V, part_tags, sql_hash_vectors, vectors
+from rankweave.catalog.base import query, sql_hash, sql_md5, table
+from rankweave.catalog.retrieval import SQL_HASH_TOKENS, SQL_V, sql_hash_vectors, vectors
 from rankweave.catalog.text import SQL_BM25, SQL_SPACE, bm25_ranking
 from rankweave.functions.hooks import encode_texts
 from rankweave.operators import lexical as lx

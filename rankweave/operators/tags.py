@@ -159,7 +159,12 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
 # ---- taxonomy ----
 
 Labeller = Callable[[list], list]
-SAMPLED_NAMES = 40  # fixed value: names shown to the label function
+
+# Names shown to the label function, the noise parent, and the label used when the function fails.
+SAMPLED_NAMES = 40
+NOISE_NAME = "Miscellaneous Level {level}"
+NOISE_DESCRIPTION = "Items that did not fit well into dense clusters at this level."
+FALLBACK_LABEL = ("General Banking Group", "Group created during error fallback.")
 
 
 def shortest_name(rows: list) -> list:
@@ -183,11 +188,11 @@ def taxonomy_layer(nodes: DataFrame, labels: DataFrame, level: int, label_fn: La
     order = Window.partitionBy("parent_id").orderBy(md5_key(seed, "id"))
     shown = staged.where(~F.col("is_noise")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLED_NAMES)
     groups = shown.groupBy("parent_id").agg(F.sort_array(F.collect_list("name")).alias("names")).withColumn("level", F.lit(level))
-    named = map_batch(groups, ["names", "level"], label_fn, "label", "struct<name:string,description:string>", fallback=("General Banking Group", "Group created during error fallback."))
+    named = map_batch(groups, ["names", "level"], label_fn, "label", "struct<name:string,description:string>", fallback=FALLBACK_LABEL)
     parents = named.select(F.col("parent_id").alias("id"), F.lit(level + 1).alias("level"), "label.name", "label.description")
     noise = staged.where("is_noise").select(
-        F.col("parent_id").alias("id"), F.lit(level + 1).alias("level"), F.lit(f"Miscellaneous Level {level}").alias("name"),
-        F.lit("Items that did not fit well into dense clusters at this level.").alias("description")).distinct()
+        F.col("parent_id").alias("id"), F.lit(level + 1).alias("level"), F.lit(NOISE_NAME.format(level=level)).alias("name"),
+        F.lit(NOISE_DESCRIPTION).alias("description")).distinct()
     return parents.unionByName(noise), edges
 
 

@@ -110,7 +110,7 @@ def validate_and_clean(df: DataFrame, text: str) -> DataFrame:
 
 
 def instruction_format(df: DataFrame, instruction: str = "instruction", plain: str = "input", query: str = "query", items: str = "items", output: str = "output") -> DataFrame:
-    """Prompt, full text and the length of the prompt, which is not a training target.
+    """Prompt, full text and the length of the prompt, which is not a training target (the headings are fixed values).
 
     The input is ``query`` with ``items`` where ``items`` is not null, else the plain input.
     """
