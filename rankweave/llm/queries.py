@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import functions as F
 
 from rankweave.catalog.base import table
@@ -52,4 +54,7 @@ def op10(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+for _module in ("decontaminate", "near_dedup"):
+    importlib.import_module(f"rankweave.llm.queries_{_module}")
+
 LLM_QUERIES, LLM_ORACLE = base.LLM_QUERIES, base.LLM_ORACLE
