@@ -1,8 +1,8 @@
 """Quality rules with robust multivariate outliers, in SQL expressions only.
 
 Each text gives a few counts; ratios of them, transformed to be roughly normal, form its vector. Per (language, source) a
-minimum-covariance-determinant estimate is found by concentration steps: of all vectors of the group the half to three
-quarters nearest to the present centre give the next centre and covariance, until the determinant stops falling. Vectors
+minimum-covariance-determinant estimate is found by concentration steps: of all vectors of the group the
+three fifths nearest to the present centre give the next centre and covariance, until the determinant stops falling. Vectors
 far from the centre of their group by Mahalanobis distance are rejected. Groups too small for an estimate use that of
 their language, else of the whole table.
 
@@ -68,7 +68,7 @@ def vector() -> dict[str, Column]:
 #: least spread per statistic: differences well below these are never held against a text
 FLOOR = {"v_word_length": 0.04, "v_symbols": 0.05, "v_same_lines": 0.2, "v_repeats": 0.2, "v_capitals": 0.03}
 #: documents a group needs for an estimate of its own; share of a group that the estimate rests on
-LEAST_GROUP, CORE = 60, 0.75
+LEAST_GROUP, CORE = 60, 0.6
 MOST_STEPS, SETTLED = 20, 1e-6
 
 
