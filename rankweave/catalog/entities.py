@@ -110,10 +110,8 @@ def part_gazetteer(spark, sf):
 h AS (SELECT id, label, value, instr(' ' || text || ' ', ' ' || value || ' ') AS pos FROM ex, g WHERE contains(' ' || replace(text, '_', ' _') || ' ', ' ' || replace(value, '_', ' _') || ' '))
 SELECT id, label, 0 AS part, string_agg(value, '|' ORDER BY pos, value) AS "values" FROM h GROUP BY 1, 2""")
 def extract(spark, sf):
-    words = part_gazetteer(spark, sf).withColumn("value", F.regexp_replace("value", "_", " "))
-    found = en.extract_entities(examples(spark, sf).select("id", "text"), words)
-    shown = F.transform("values", lambda v: F.regexp_replace(v, r"^nation (\d+)$", "nation_$1"))
-    return found.select("id", "label", "part", F.array_join(shown, "|").alias("values"))
+    found = en.extract_entities(examples(spark, sf).select("id", "text"), part_gazetteer(spark, sf))
+    return found.select("id", "label", "part", F.array_join("values", "|").alias("values"))
 
 
 @query("V17_query_understanding", f"""WITH {SQL_EX}, q AS (SELECT id AS query_id, text FROM ex),
@@ -125,8 +123,7 @@ m AS (SELECT c.query_id, c.item_id, count(DISTINCT h.label) AS n FROM c JOIN h O
 SELECT c.query_id, c.item_id FROM c LEFT JOIN m ON m.query_id = c.query_id AND m.item_id = c.item_id LEFT JOIN (SELECT query_id, count(DISTINCT label) AS w FROM h GROUP BY 1) k ON k.query_id = c.query_id WHERE coalesce(n, 0) >= coalesce(w, 0)""")
 def understanding(spark, sf):
     asked = examples(spark, sf).select(F.col("id").alias("query_id"), "text")
-    plain = F.regexp_replace("value", "_", " ")
-    found = en.understand_queries(asked, part_gazetteer(spark, sf).withColumn("value", plain))
+    found = en.understand_queries(asked, part_gazetteer(spark, sf))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.lower("n_name").alias("place"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.lower("p_name").alias("name")).withColumn("n", bucket(13, 25, "item_id")).join(nation, "n")
     values = parts.select("item_id", F.explode(F.array(
@@ -134,4 +131,4 @@ def understanding(spark, sf):
     # each request comes with a list of 40 candidate items
     n = table(spark, sf, "part").agg(F.count(F.lit(1))).scalar()
     candidates = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j")).select("query_id", ((F.col("query_id") + F.col("j")) % n).alias("item_id"))
-    return en.filter_candidates(candidates, found, values.select("item_id", "v.label", "v.value").withColumn("value", plain))
+    return en.filter_candidates(candidates, found, values.select("item_id", "v.label", "v.value"))

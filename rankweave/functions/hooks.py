@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 Batch = Callable[[list], list]
 
 
-def map_batch(df: DataFrame, inputs: Sequence[str], fn: Callable[..., list], out: str, kind: str, setup: Callable[[], object] | None = None, fallback: object = None) -> DataFrame:
+def map_batch(df: DataFrame, inputs: Sequence[str], fn: Callable[..., list], out: str, kind: str, setup: Callable[[], object] | None = None, fallback: object = None, strict: bool = False) -> DataFrame:
     """Add ``out`` = fn(list of input tuples); a batch that raises is retried row by row.
 
-    A row that still raises gets ``fallback``, so one bad row never fails the job.
+    A row that still raises gets ``fallback``, so one bad row never fails the job. With ``strict`` the error is
+    raised instead: for models whose output has no honest stand-in.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
 
@@ -40,6 +41,8 @@ def map_batch(df: DataFrame, inputs: Sequence[str], fn: Callable[..., list], out
                     try:
                         values.append(list(call([row]))[0])
                     except Exception:
+                        if strict:
+                            raise
                         values.append(fallback)
             yield frame.assign(**{out: pd.Series(values, index=frame.index, dtype=object)})
 
@@ -70,9 +73,9 @@ def hash_encoder(dims: int) -> Callable[[Column], Column]:
 
 
 def encode_texts(df: DataFrame, text: str, fn: Batch | None, out: str = "vec", dims: int = 64, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Embed ``text`` with a caller's batch encoder, or with ``hash_encoder``."""
+    """Embed ``text`` with a caller's batch encoder, or with ``hash_encoder``. An encoder that fails on a row fails the job."""
     if fn is None:
         from rankweave.functions.text import tokenize_words
 
         return df.withColumn(out, hash_encoder(dims)((tokenizer or tokenize_words)(F.col(text))))
-    return map_batch(df, [text], lambda rows: fn([r[0] for r in rows]), out, "array<double>")
+    return map_batch(df, [text], lambda rows: fn([r[0] for r in rows]), out, "array<double>", strict=True)

@@ -19,8 +19,10 @@ def first_present(record: Column, names: Sequence[str], default: Column | None =
 
 
 def epoch_to_iso(number: Column) -> Column:
-    """Epoch seconds, or milliseconds from 1e11 on, as UTC ISO-8601."""
-    return timestamp_to_iso(F.timestamp_micros(F.round(number * F.when(number >= 1e11, 1e3).otherwise(1e6)).cast("long")))
+    """Epoch seconds, or milliseconds from 1e11 on, as UTC ISO-8601; null outside the years 1 to 9999."""
+    seconds = F.when(number >= 1e11, number / 1e3).otherwise(number)
+    known = (seconds >= -62135596800) & (seconds < 253402300800)
+    return timestamp_to_iso(F.timestamp_micros(F.round(F.when(known, number) * F.when(number >= 1e11, 1e3).otherwise(1e6)).try_cast("long")))
 
 
 def timestamp_to_iso(ts: Column) -> Column:

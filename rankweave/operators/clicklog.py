@@ -30,7 +30,11 @@ ROLE_COLUMNS = {
     "candidate": ["candidates", "all_nav_links"],
 }
 
-SESSION_COLUMNS = ["session_id", "user_id", "query", "session_time"]
+SESSION_KEYS = ["session_id", "id"]
+SESSION_TIME_KEYS = ["timestamp", "session_time", "start_time"]
+
+#: ``record`` tells log records without a session id apart; it is null where there is an id
+SESSION_COLUMNS = ["session_id", "user_id", "query", "session_time", "record"]
 
 
 @dataclass(frozen=True)
@@ -50,10 +54,35 @@ class LabelConfig:
     target_policy: Callable[[], Column] | None = None
 
 
+def _session(df: DataFrame) -> Column:
+    """A key that is never null: the session id, else the record, else one key for all rows without either."""
+    record = F.col("record") if "record" in df.columns else F.lit(None).cast("string")
+    return F.coalesce(F.concat(F.lit("s"), F.col("session_id").cast("string")), F.concat(F.lit("r"), record), F.lit("n"))
+
+
+def _with_record(items: DataFrame) -> DataFrame:
+    return items if "record" in items.columns else items.withColumn("record", F.lit(None).cast("string"))
+
+
+def _rank(raw: Column) -> Column:
+    """A rank as int: null if missing, the first place if it is no finite number, the nearest int if it is too large."""
+    number = raw.try_cast("double")
+    odd = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+    bounded = F.least(F.lit(2147483647.0), F.greatest(F.lit(-2147483648.0), number))
+    return F.when(raw.isNull(), F.lit(None).cast("int")).when(odd, F.lit(1)).otherwise(bounded.cast("int"))
+
+
 def unnest_sessions(sessions: DataFrame, roles: Sequence[str] = tuple(ROLE_COLUMNS)) -> DataFrame:
-    """Nested sessions to flat items of the given roles; a missing or null list gives no item."""
+    """Nested sessions to flat items of the given roles; a missing or null list gives no item.
+
+    ``place`` is the order of the items in the record's lists. A record without a session id is a session of its own.
+    """
     present = set(sessions.columns)
 
+    def first_column(names: Sequence[str]) -> Column:
+        found = [F.col(n).cast("string") for n in names if n in present]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
     def tag(role: str, lists: list[Column]) -> Column:
         maps = F.coalesce(*lists, F.array().cast("array<map<string,string>>"))
         return F.transform(maps, lambda m: F.struct(F.lit(role).alias("role"), m.alias("m")))
@@ -63,19 +92,23 @@ def unnest_sessions(sessions: DataFrame, roles: Sequence[str] = tuple(ROLE_COLUM
         for role, names in ROLE_COLUMNS.items()
         if role in roles and present.intersection(names)
     ]
+    session = first_column(SESSION_KEYS)
+    whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in sessions.columns])).cast("binary"))
     flat = sessions.select(
-        F.col("session_id").cast("string").alias("session_id"),
-        F.col("user_id").cast("string").alias("user_id"),
-        "query",
-        to_iso(F.col("timestamp").cast("string")).alias("session_time"),
-        F.explode_outer(F.concat(*tagged)).alias("item"),  # outer: see explode_tokens
+        session.alias("session_id"),
+        first_column(["user_id"]).alias("user_id"),
+        first_column(["query"]).alias("query"),
+        to_iso(first_column(SESSION_TIME_KEYS)).alias("session_time"),
+        F.when(session.isNull(), whole).alias("record"),
+        F.posexplode_outer(F.concat(*tagged)).alias("place", "item"),  # outer: see explode_tokens
     ).where(F.col("item").isNotNull())
     m, role = F.col("item.m"), F.col("item.role")
     named = flat.select(
         *SESSION_COLUMNS,
+        "place",
         role.alias("role"),
         first_present(m, LINK_KEYS).alias("link"),
-        first_present(m, POSITION_KEYS).try_cast("double").cast("int").alias("position"),
+        _rank(first_present(m, POSITION_KEYS)).alias("position"),
         F.when(role == "clicked", first_present(m, CLICK_TIME_KEYS)).otherwise(first_present(m, SHOWN_TIME_KEYS)).alias("event_time"),
         F.when(role == "clicked", first_present(m, DWELL_KEYS)).try_cast("double").alias("dwell"),
         F.when(role == "shown", first_present(m, ["skip_type"], F.lit("impression"))).alias("skip_type"),
@@ -114,19 +147,20 @@ def with_weights(examples: DataFrame, config: LabelConfig = LabelConfig()) -> Da
 def snips(examples: DataFrame, by: str = "session_id") -> DataFrame:
     """Self-normalized weights within ``by``: ``snips_weight`` (w * N / sum) and ``weight_share`` (w / sum).
 
-    Both are 1.0 where the group has no usable weight.
+    Both are 1.0 where the group has no usable weight. Rows without a session are grouped by record (see ``_session``).
     """
-    sums = examples.groupBy(by).agg(F.sum("ips_weight").alias("__s"), F.count("ips_weight").alias("__n"))
+    keyed = examples.withColumn("__g", _session(examples) if by == "session_id" else F.coalesce(F.concat(F.lit("s"), F.col(by).cast("string")), F.lit("n")))
+    sums = keyed.groupBy("__g").agg(F.sum("ips_weight").alias("__s"), F.count("ips_weight").alias("__n"))
     usable = (F.col("__s") > 0) & F.col("ips_weight").isNotNull()
     share = F.col("ips_weight") / F.col("__s")
-    return skew.attach(examples, sums, [by]).withColumns({
+    return skew.attach(keyed, sums, ["__g"]).withColumns({
         "snips_weight": F.when(usable, share * F.col("__n")).otherwise(F.lit(1.0)),
         "weight_share": F.when(usable, share).otherwise(F.lit(1.0)),
-    }).drop("__s", "__n")
+    }).drop("__g", "__s", "__n")
 
 
 def label_positives(items: DataFrame) -> DataFrame:
-    return items.where(F.col("role") == "clicked").select(
+    return _with_record(items).where(F.col("role") == "clicked").select(
         F.lit("positive").alias("type"),
         F.lit(1).alias("label"),
         *SESSION_COLUMNS,
@@ -138,12 +172,15 @@ def label_positives(items: DataFrame) -> DataFrame:
 
 
 def _clicked_links(items: DataFrame) -> DataFrame:
-    return items.where((F.col("role") == "clicked") & F.col("link").isNotNull()).select("session_id", F.col("link").alias("nav_link")).distinct()
+    """(__s, __l): session key and link."""
+    return items.where((F.col("role") == "clicked") & F.col("link").isNotNull()).select(_session(items).alias("__s"), F.col("link").alias("__l")).distinct()
 
 
 def label_negatives(items: DataFrame) -> DataFrame:
     """Shown items whose link was not clicked in the same session."""
+    items = _with_record(items)
     shown = items.where((F.col("role") == "shown") & F.col("link").isNotNull()).select(
+        _session(items).alias("__s"),
         F.lit("negative").alias("type"),
         F.lit(0).alias("label"),
         *SESSION_COLUMNS,
@@ -152,15 +189,18 @@ def label_negatives(items: DataFrame) -> DataFrame:
         F.col("event_time").alias("shown_time"),
         F.col("skip_type"),
     )
-    return shown.join(_clicked_links(items), ["session_id", "nav_link"], "left_anti").select(shown.columns)
+    clicked = _clicked_links(items).withColumnRenamed("__l", "nav_link")
+    return shown.join(clicked, ["__s", "nav_link"], "left_anti").select([c for c in shown.columns if c != "__s"])
 
 
 def label_logged(items: DataFrame) -> DataFrame:
     """``label_positives`` and ``label_negatives`` together, in one pass over the logged items."""
+    items = _with_record(items)
     logged = items.where((F.col("role") == "clicked") | ((F.col("role") == "shown") & F.col("link").isNotNull()))
-    was_clicked = _clicked_links(items).select(F.col("session_id").alias("__s"), F.col("nav_link").alias("__l"), F.lit(True).alias("__clicked"))
+    was_clicked = _clicked_links(items).withColumn("__clicked", F.lit(True))
     is_click = F.col("role") == "clicked"
-    joined = logged.join(was_clicked, (F.col("session_id") == F.col("__s")) & (F.col("link") == F.col("__l")), "left")
+    keyed = logged.withColumns({"__s": _session(logged), "__l": F.col("link")})
+    joined = keyed.join(was_clicked, ["__s", "__l"], "left")
     return joined.where(is_click | F.col("__clicked").isNull()).select(
         F.when(is_click, "positive").otherwise("negative").alias("type"),
         is_click.cast("int").alias("label"),
@@ -176,7 +216,7 @@ def label_logged(items: DataFrame) -> DataFrame:
 
 def best_candidates(items: DataFrame) -> DataFrame:
     """One row per session and candidate link with its lowest known position."""
-    pool = items.where((F.col("role") == "candidate") & F.col("link").isNotNull())
+    pool = _with_record(items).where((F.col("role") == "candidate") & F.col("link").isNotNull())
     return pool.groupBy(*SESSION_COLUMNS, F.col("link").alias("nav_link")).agg(F.min("position").alias("position"))
 
 
@@ -187,7 +227,7 @@ def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> D
     instead of a window over the session.
     """
     links = (
-        items.where(F.col("link").isNotNull())
+        _with_record(items).where(F.col("link").isNotNull())
         # session columns are constant in a session: as keys they keep this a hash aggregate
         .groupBy(*SESSION_COLUMNS, F.col("link").alias("nav_link"))
         .agg(
@@ -198,22 +238,23 @@ def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> D
         )
     )
     hard = F.coalesce(F.col("position").between(config.hard_low, config.hard_high), F.lit(False))
+    links = links.withColumn("__s", _session(links))
     pool_row = F.col("candidate") & ~F.col("clicked") & ~F.col("shown")
     pool = links.where(pool_row).drop("clicked", "shown", "candidate").withColumn("is_hard", hard)
     quota = (
-        links.groupBy("session_id")
+        links.groupBy("__s")
         .agg(F.count_if(pool_row & hard).alias("n_hard"), F.count_if("clicked").alias("n_pos"))
         .withColumn("k", F.bround(F.lit(float(config.negatives_per_positive)) * F.greatest(F.lit(1), F.col("n_pos"))).cast("long"))
         .withColumn("hard_k", F.least(F.col("n_hard"), F.bround(F.lit(float(config.hard_fraction)) * F.col("k")).cast("long")))
         .withColumn("rand_k", F.greatest(F.lit(0), F.col("k") - F.col("hard_k")))
-        .select("session_id", "hard_k", "rand_k")
+        .select("__s", "hard_k", "rand_k")
     )
     # the sized pool is read by both draws below
-    sized = cut_lineage(skew.attach(pool, quota, ["session_id"]))
-    first = skew.shuffled_ordinal(sized, ["session_id", "is_hard"], md5_key(f"{config.seed}h", "session_id", "nav_link"), "draw")
+    sized = cut_lineage(skew.attach(pool, quota, ["__s"]))
+    first = skew.shuffled_ordinal(sized, ["__s", "is_hard"], md5_key(f"{config.seed}h", "session_id", "nav_link"), "draw")
     taken = F.col("is_hard") & (F.col("draw") <= F.col("hard_k"))
     marked = first.withColumn("is_taken", taken).drop("draw")
-    second = skew.shuffled_ordinal(marked, ["session_id", "is_taken"], md5_key(f"{config.seed}r", "session_id", "nav_link"), "draw")
+    second = skew.shuffled_ordinal(marked, ["__s", "is_taken"], md5_key(f"{config.seed}r", "session_id", "nav_link"), "draw")
     return second.where(F.col("is_taken") | (F.col("draw") <= F.col("rand_k"))).select(
         F.lit("negative").alias("type"),
         F.lit(0).alias("label"),
@@ -265,17 +306,20 @@ def ranker_features(examples: DataFrame) -> DataFrame:
 def bpr_pairs(items: DataFrame) -> DataFrame:
     """First click against first impression for sessions that have both.
 
-    "First" is the lowest (position, link), because rows of a table have no list order.
+    "First" follows the order of the record's lists; items without a place go by the lowest (position, link).
     """
+    items = _with_record(items)
+    place = F.col("place") if "place" in items.columns else F.lit(0)
+
     def first(role: str) -> Column:
-        return F.min(F.when(F.col("role") == role, F.struct("position", "link")))["link"]
+        return F.min(F.when(F.col("role") == role, F.struct(place.alias("place"), "position", "link")))["link"]
 
     return (
         items.where(F.col("role").isin("clicked", "shown"))
-        .groupBy("session_id", "user_id", "query")
+        .groupBy("session_id", "user_id", "query", "record")
         .agg(first("clicked").alias("pos_link"), first("shown").alias("neg_link"), F.count_if(F.col("role") == "clicked").alias("nc"), F.count_if(F.col("role") == "shown").alias("ns"))
         .where((F.col("nc") > 0) & (F.col("ns") > 0))
-        .drop("nc", "ns")
+        .drop("nc", "ns", "record")
     )
 
 

@@ -69,11 +69,11 @@ def spans_to_bio(df: DataFrame) -> DataFrame:
 
 
 def bio_label_ids(df: DataFrame, tags: str = "ner_tags") -> DataFrame:
-    """(label, id): O is 0, the others follow in order. The label set is checked to be small."""
-    labels = explode_tokens(df, [], F.col(tags), "label").distinct()
-    bounded = F.when(F.count(F.lit(1)) > 10_000, F.raise_error(F.lit("too many BIO labels")))
-    listed = labels.limit(10_001).agg(F.array_sort(F.collect_list(F.when(F.col("label") != "O", F.col("label")))).alias("l"), bounded.alias("checked"))
-    return listed.where(F.col("checked").isNull()).select(F.posexplode(F.concat(F.array(F.lit("O")), "l")).alias("id", "label")).select("label", "id")
+    """(label, id): O is 0, the others follow in order; numbered in pieces, so any number of labels will do."""
+    labels = explode_tokens(df, [], F.col(tags), "label").where(F.col("label").isNotNull() & (F.col("label") != "O")).distinct()
+    numbered = skew.ordinal(labels, [], [F.col("label")], skew.coarse_id(labels, "label", letters=8), "id")
+    outside = df.sparkSession.range(1).select(F.lit("O").alias("label"), F.lit(0).cast("long").alias("id"))
+    return numbered.select("label", F.col("id").cast("long")).unionByName(outside)
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -103,8 +103,8 @@ def entity_metrics(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return _with_ratios(counts.withColumn("label", F.coalesce("label", F.lit("overall"))))
 
 
-def entity_errors(predicted: DataFrame, truth: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Examples whose span sets differ, with the extra and the missing spans; ``limit`` caps the report."""
+def entity_errors(predicted: DataFrame, truth: DataFrame, limit: int | None = None) -> DataFrame:
+    """Examples whose span sets differ, with the extra and the missing spans; ``limit`` asks for a short report."""
     p = predicted.select("id", F.col("entities").alias("predicted"))
     both = truth.select("id", "text", F.col("entities").alias("truth")).join(p, "id", "left").withColumn("predicted", F.coalesce("predicted", F.array().cast(SPANS)))
     out = both.withColumns({"false_positives": F.array_except("predicted", "truth"), "false_negatives": F.array_except("truth", "predicted")})
@@ -114,7 +114,7 @@ def entity_errors(predicted: DataFrame, truth: DataFrame, limit: int | None = 10
 
 def bio_spans(tags: Column) -> Column:
     """Spans (start, end, label) over token positions: B- opens, I- of the same type goes on, anything else closes."""
-    kind = lambda t: F.substring(t, 3, 1000)
+    kind = lambda t: F.substr(t, F.lit(3))
     empty = F.struct(F.lit(None).cast("string").alias("open"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def close(acc: Column) -> Column:
@@ -148,35 +148,46 @@ def bio_metrics(df: DataFrame, predicted: str = "predicted", truth: str = "truth
     return _with_ratios(counts)
 
 
-def tag_with_dictionary(texts: DataFrame, gazetteer: DataFrame, max_words: int = 4) -> DataFrame:
+def dictionary_words(text: Column) -> Column:
+    """Words as texts and dictionary values are compared: lower case, parted by anything but letters, digits and # & ' -."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}#&'-]+"), lambda w: w != "")
+
+
+def tag_with_dictionary(texts: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
     """(id, label, value, pos): every dictionary value that occurs as whole words in a text, first position each.
 
-    ``texts`` has id, text; ``gazetteer`` value (lower case, single spaces) and label. Word n-grams
-    are joined to the dictionary by equality; the skew join splits a value found in very many texts.
+    ``texts`` has id, text; ``gazetteer`` value and label. Both sides are cut into words alike, so a value with
+    punctuation is found where its words follow each other, and is returned as the dictionary writes it. Word n-grams, up
+    to the longest value unless ``max_words`` says less, are joined to the dictionary by equality; the skew join splits a
+    value found in very many texts.
     """
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}#&'-]+"), lambda w: w != "")
-    staged = texts.select("id", words.alias("w"))
+    known = gazetteer.select("value", "label", dictionary_words(F.col("value")).alias("gw")).where(F.size("gw") > 0).distinct()
+    if max_words is None:
+        max_words = known.agg(F.coalesce(F.max(F.size("gw")), F.lit(0))).first()[0]
+    staged = texts.select("id", dictionary_words(F.col("text")).alias("w"))
     grams = None
     for n in range(1, max_words + 1):
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
         part = F.transform(starts, _gram(n))
         grams = part if grams is None else F.concat(grams, part)
-    flat = explode_tokens(staged, ["id"], grams, "g").select("id", "g.value", "g.pos")
-    known = gazetteer.select("value", "label").distinct()
-    return flat.join(known, "value").groupBy("id", "label", "value").agg(F.min("pos").alias("pos"))
+    if grams is None:
+        grams = F.array().cast("array<struct<pos:int,key:string>>")
+    flat = explode_tokens(staged, ["id"], grams, "g").select("id", "g.key", "g.pos")
+    keyed = known.select("value", "label", F.array_join("gw", " ").alias("key"))
+    return flat.join(keyed, "key").groupBy("id", "label", "value").agg(F.min("pos").alias("pos"))
 
 
 def _gram(n: int):
-    return lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("value"))
+    return lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("key"))
 
 
-def extract_entities(texts: DataFrame, gazetteer: DataFrame, max_words: int = 4, size: int = 1000) -> DataFrame:
+def extract_entities(texts: DataFrame, gazetteer: DataFrame, max_words: int | None = None, size: int = 1000) -> DataFrame:
     """(id, label, part, values): distinct values by label in order of appearance, in bounded parts."""
     found = tag_with_dictionary(texts, gazetteer, max_words)
     return skew.pack(found, ["id", "label"], F.col("value"), [F.col("pos"), F.col("value")], F.floor(F.col("pos") / 10_000), "values", size)
 
 
-def understand_queries(queries: DataFrame, gazetteer: DataFrame, max_words: int = 4) -> DataFrame:
+def understand_queries(queries: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
     """(query_id, label, value): entities of a query, to be used as filters."""
     found = tag_with_dictionary(queries.select(F.col("query_id").alias("id"), "text"), gazetteer, max_words)
     return found.select(F.col("id").alias("query_id"), "label", "value")

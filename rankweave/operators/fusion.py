@@ -88,7 +88,7 @@ def inverse_tag_index(item_tags: DataFrame, popularity: str, size: int = 1000) -
     steps = pairs.groupBy("tag", "pop").agg(F.count(F.lit(1)).alias("n"))
     begins = skew.running_count(steps, ["tag"], [F.col("pop").desc()], F.floor(-F.col("pop")), F.col("n"), "upto")
     begins = begins.select("tag", "pop", (F.col("upto") - F.col("n")).alias("before"))
-    equals = skew.ordinal(pairs, ["tag", "pop"], [F.col("item_id")], F.floor(F.col("item_id") / 100_000), "nth")
+    equals = skew.ordinal(pairs, ["tag", "pop"], [F.col("item_id")], skew.coarse_id(pairs, "item_id"), "nth")
     placed = equals.join(begins, ["tag", "pop"]).withColumn("place", F.col("before") + F.col("nth"))
     return skew.pack_numbered(placed, ["tag"], F.col("item_id"), F.col("place"), "items", size)
 

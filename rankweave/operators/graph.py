@@ -28,22 +28,20 @@ def _toward_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id of the component; isolated nodes keep their own.
 
     ``nodes`` has id, ``edges`` src and dst. Alternating star steps (Kiveris et al., 2014) need a number
-    of rounds that grows with the logarithm of the graph; each round is checkpointed.
+    of rounds that grows with the logarithm of the graph; each round is checkpointed, and they end at the fixed point.
     """
     current = cut_lineage(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where(F.col("a") != F.col("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_toward_minimum(_toward_minimum(current, True), False))
         # the edge set is compared by its size and an order-free sum of hashes: two numbers
         print_of = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if print_of == seen:
             break
         seen = print_of
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))

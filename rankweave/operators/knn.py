@@ -89,14 +89,24 @@ def _block_pairs(queries: DataFrame, corpus: DataFrame, nq: int, block: int, ext
 
 
 def _shipped(queries: DataFrame, limit: int, extra: Sequence[str] = ()) -> tuple[int, tuple | None]:
-    """Row count, and the queries as arrays when count times row size is within ``limit`` bytes."""
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
-    if size["n"] == 0 or size["n"] * (8 * size["dims"] + 64) > limit:
+    """Row count, and the queries as arrays when their measured bytes are within ``limit``.
+
+    NumPy pads every id to the longest one, so ids count with the longest.
+    """
+    width = F.max(F.octet_length(F.col("id").cast("string"))).alias("width")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims"), width).first()
+    if size["n"] == 0 or size["n"] * (8 * size["dims"] + 64 + 4 * (size["width"] or 0)) > limit:
         return size["n"], None
     rows = queries.select("id", "vec", *extra).collect()
     return size["n"], (_ids([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=np.float64), *[np.array([r[e] for r in rows]) for e in extra])
 
 
+def _arrow_kind(df: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema["id"].dataType)
+
+
 def _ids(values: list) -> np.ndarray:
     return np.array(values)
 
@@ -109,7 +119,7 @@ def _batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], vec[order]
 
 
-def _stream_topk(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _stream_topk(shared, k: int, q_kind: pa.DataType, c_kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Keep the k best corpus rows per query over all batches of a partition."""
     def run(batches):
         q_ids, q_vec = shared.value
@@ -131,18 +141,22 @@ def _stream_topk(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for i, found in enumerate(kept):
             if found is not None:
                 asked = np.repeat(q_ids[i * BLOCK:(i + 1) * BLOCK], found[0].shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(asked.tolist()), pa.array(found[0].ravel().tolist()), pa.array(found[1].ravel())], ["query_id", "item_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(asked.tolist(), q_kind), pa.array(found[0].ravel().tolist(), c_kind), pa.array(found[1].ravel())], ["query_id", "item_id", "score"])
 
     return run
 
 
 def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(query_id, item_id, score, rank): best ``k`` by inner product of (id, vec) rows; ids must be unique."""
+    """(query_id, item_id, score, rank): best ``k`` by inner product of (id, vec) rows; ids must be unique.
+
+    Rows with a null vector have no score: such a query gets no answer and such an item is never one.
+    """
+    queries, corpus = queries.where(F.col("vec").isNotNull()), corpus.where(F.col("vec").isNotNull())
     schema = _schema(queries, corpus, "score double")
     nq, small = _shipped(queries.select("id", "vec"), broadcast_bytes)
     if small is not None:
         shared = queries.sparkSession.sparkContext.broadcast(small)
-        partial = corpus.select("id", "vec").mapInArrow(_stream_topk(shared, k), schema)
+        partial = corpus.select("id", "vec").mapInArrow(_stream_topk(shared, k, _arrow_kind(queries), _arrow_kind(corpus)), schema)
     else:
         pairs = _block_pairs(queries.select("id", "vec"), corpus.select("id", "vec"), nq, block)
         partial = pairs.select("q_id", "q_vec", "c_id", "c_vec").mapInArrow(_topk_kernel(k), schema)
@@ -170,7 +184,7 @@ def target_rank(queries: DataFrame, items: DataFrame, block: int = BLOCK, broadc
                 c_vec = _batch_rows(batch)[1]
                 for i in range(0, len(q_ids), BLOCK):
                     total[i:i + BLOCK] += better(q_vec[i:i + BLOCK], goal[i:i + BLOCK], c_vec)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids.tolist()), pa.array(total)], ["query_id", "better"])
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids.tolist(), kind), pa.array(total)], ["query_id", "better"])
 
     def blocks(batches):
         for batch in batches:
@@ -179,6 +193,8 @@ def target_rank(queries: DataFrame, items: DataFrame, block: int = BLOCK, broadc
                 count = better(_matrix(batch["q_vec"][i]), goal, _matrix(batch["c_vec"][i]))
                 yield pa.RecordBatch.from_arrays([batch["q_id"][i].values, pa.array(count)], ["query_id", "better"])
 
+    queries, items = queries.where(F.col("vec").isNotNull()), items.where(F.col("vec").isNotNull())
+    kind = _arrow_kind(queries)
     schema = f"query_id {queries.schema['id'].dataType.simpleString()}, better bigint"
     asked = queries.select("id", "vec", "target_score")
     nq, small = _shipped(asked, broadcast_bytes, ["target_score"])
@@ -199,8 +215,10 @@ def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK) -> D
     thus costs a linear number of edges, and connected components stay the same.
     """
     # the representative is found by groupBy, so a vector shared by many rows merges map-side
-    groups = df.select("id", "vec").groupBy("vec").agg(F.min("id").alias("rep"))
-    reps = groups.select(F.col("rep").alias("id"), l2_normalize(F.col("vec")).alias("vec")).where(F.col("vec").isNotNull())
+    # a null or zero vector has no direction: it is like nothing, not even like itself
+    df = df.select("id", "vec").where(l2_normalize(F.col("vec")).isNotNull())
+    groups = df.groupBy("vec").agg(F.min("id").alias("rep"))
+    reps = groups.select(F.col("rep").alias("id"), l2_normalize(F.col("vec")).alias("vec"))
     copies = (
         df.select("id", "vec").join(groups, "vec").where(F.col("id") != F.col("rep"))
         .select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("score"))

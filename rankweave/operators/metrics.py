@@ -83,7 +83,7 @@ def rank_metrics(ranks: DataFrame, ks: Sequence[int] = (10, 50, 100)) -> DataFra
 
 def _batched(pairs: DataFrame, size: int, extra: Sequence[str] = ()) -> DataFrame:
     """Consecutive batches of ``size`` rows by the order column ``id``, packed to one row each."""
-    numbered = skew.ordinal(pairs, [], [F.col("id")], F.floor(F.col("id") / 100_000), "n")
+    numbered = skew.ordinal(pairs, [], [F.col("id")], skew.coarse_span(pairs, "id"), "n")
     rows = numbered.select(F.floor((F.col("n") - 1) / size).alias("batch"), F.col("n").alias("id"), F.col("anchor_vec").alias("vec"), "positive_vec", *extra)
     return pack_blocks(rows, ["batch"], "q", ["positive_vec", *extra])
 
@@ -131,14 +131,16 @@ def in_batch_softmax_loss(pairs: DataFrame, size: int, temperature: float = 0.05
     return _batched(pairs, size, extra).select(columns).mapInArrow(run, "batch bigint, loss double, n bigint")
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label", pieces: int = 4096) -> DataFrame:
-    """Rank-sum AUC with average ranks on ties; NaN for one class. Scores are expected in [0, 1].
+def auc(scored: DataFrame, score: str = "score", label: str = "label", pieces: int = 512) -> DataFrame:
+    """Rank-sum AUC with average ranks on ties; NaN for one class. Scores may have any size and sign.
 
-    Rows are merged per distinct score first; the running count goes over pieces of the score range.
+    Rows are merged per distinct score first; the running count goes over pieces of the scores, ``pieces`` for each
+    doubling of the size, so very small probabilities and logits are spread as well.
     """
     counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) > 0.5).alias("p"))
-    running = skew.running_count(counts, [], [F.col("s")], F.floor(F.col("s") * pieces), F.col("n"), "upto")
+    size = F.floor((F.log2(F.greatest(F.abs(F.col("s")), F.lit(1e-300))) + 1000) * pieces)
+    running = skew.running_count(counts, [], [F.col("s")], F.when(F.col("s") < 0, -size).otherwise(size), F.col("n"), "upto")
     mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
     sums = running.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * mean_rank).alias("ranks"))
     neg = F.col("n") - F.col("p")

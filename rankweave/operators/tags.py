@@ -22,6 +22,11 @@ from rankweave.session import cut_lineage
 NOISE = -1
 
 
+def is_noise(label: str = "label") -> Column:
+    """Labels have the type of the ids they come from."""
+    return F.col(label).cast("string") == str(NOISE)
+
+
 def clean_tags(df: DataFrame, tag: str = "tag") -> DataFrame:
     trimmed = F.regexp_replace(F.col(tag), r"^\s+|\s+$", "")
     return df.select(trimmed.alias("tag")).where(F.col("tag") != "").distinct()
@@ -65,11 +70,14 @@ class Neighbours:
 
 def neighbours(points: DataFrame, min_similarity: float) -> Neighbours:
     """Pairs with cosine of at least ``min_similarity`` among distinct vectors."""
-    groups = cut_lineage(points.where(F.col("vec").isNotNull()).groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    # zero vectors have no direction: each such point is a group of its own and has no pairs
+    groups = cut_lineage(points.where(l2_normalize(F.col("vec")).isNotNull()).groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
     reps = groups.select(F.col("rep").alias("id"), "vec")
     pairs = cut_lineage(knn.similar_pairs(reps, min_similarity - 10.0 ** -knn.PLACES))
-    members = points.select("id", "vec").join(groups, "vec").select("id", "rep")
-    return Neighbours(members, groups.select("rep", "w"), pairs)
+    alone = points.where(F.col("vec").isNotNull() & l2_normalize(F.col("vec")).isNull()).select("id", F.col("id").alias("rep"))
+    members = points.select("id", "vec").join(groups, "vec").select("id", "rep").unionByName(alone)
+    weights = groups.select("rep", "w").unionByName(alone.select("rep", F.lit(1).cast("long").alias("w")))
+    return Neighbours(members, weights, pairs)
 
 
 def density_labels(near: Neighbours, min_similarity: float, min_points: int) -> DataFrame:
@@ -111,7 +119,8 @@ def cosine_silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
     The mean cosine distance to a cluster is one minus the dot product with its mean unit vector, so
     the nearest other cluster is a top-2 search among cluster means and no point pairs are formed.
     """
-    rows = points.select("id", l2_normalize(F.col("vec")).alias("vec")).join(labels.where(F.col("label") != NOISE), "id")
+    unit = points.select("id", l2_normalize(F.col("vec")).alias("vec")).where(F.col("vec").isNotNull())
+    rows = unit.join(labels.where(~is_noise()), "id")
     rows = cut_lineage(rows)
     summary = Summarizer.metrics("mean", "count").summary(array_to_vector("vec"))
     means = rows.groupBy("label").agg(summary.alias("s")).select(F.col("label").alias("id"), vector_to_array("s.mean").alias("vec"), F.col("s.count").alias("n"))
@@ -149,7 +158,7 @@ def cluster_grid(points: DataFrame, similarities: Sequence[float], min_points: S
 
 def cluster_report(labels: DataFrame) -> DataFrame:
     return labels.agg(
-        F.countDistinct(F.when(F.col("label") != NOISE, F.col("label"))).alias("clusters"), F.count_if(F.col("label") == NOISE).alias("noise"), F.count(F.lit(1)).alias("points"))
+        F.countDistinct(F.when(~is_noise(), F.col("label"))).alias("clusters"), F.count_if(is_noise()).alias("noise"), F.count(F.lit(1)).alias("points"))
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
@@ -160,35 +169,31 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
 
 Labeller = Callable[[list], list]
 
-# Names shown to the label function, the noise parent, and the label used when the function fails.
-SAMPLED_NAMES = 40
+# The noise parent, and the label used when the label function fails.
 NOISE_NAME = "Miscellaneous Level {level}"
 NOISE_DESCRIPTION = "Items that did not fit well into dense clusters at this level."
 FALLBACK_LABEL = ("General Banking Group", "Group created during error fallback.")
 
 
-def shortest_name(rows: list) -> list:
-    """Default label function: (names, level) -> (name, description) from the shortest name."""
-    out = []
-    for names, level in rows:
-        pick = min(names, key=lambda n: (len(n), n))
-        out.append((f"{pick} group", f"{pick} and related entries at level {level}"))
-    return out
-
-
-def taxonomy_layer(nodes: DataFrame, labels: DataFrame, level: int, label_fn: Labeller = shortest_name, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def taxonomy_layer(nodes: DataFrame, labels: DataFrame, level: int, label_fn: Labeller | None = None, names: int = 40, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Parents of one layer and their (parent_id, child_id) edges.
 
-    The label function sees a bounded md5 sample of names per cluster; noise gets a fixed parent
-    and no call. Children stay one row each, so a parent of many children is no wide row.
+    Without a label function a cluster is named by the shortest of all its names, an aggregate. A label function (a model
+    with a bounded prompt) sees ``names`` of them in md5 order; noise gets a fixed parent and no call. Children stay one
+    row each, so a parent of many children is no wide row.
     """
     named_label = F.col("label").cast("string")
     staged = nodes.join(labels, "id").withColumns({"parent_id": F.concat(F.lit(f"L{level + 1}_C"), named_label), "is_noise": named_label == str(NOISE)})
     edges = staged.select("parent_id", F.col("id").alias("child_id"))
-    order = Window.partitionBy("parent_id").orderBy(md5_key(seed, "id"))
-    shown = staged.where(~F.col("is_noise")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLED_NAMES)
-    groups = shown.groupBy("parent_id").agg(F.sort_array(F.collect_list("name")).alias("names")).withColumn("level", F.lit(level))
-    named = map_batch(groups, ["names", "level"], label_fn, "label", "struct<name:string,description:string>", fallback=FALLBACK_LABEL)
+    clustered = staged.where(~F.col("is_noise"))
+    if label_fn is None:
+        shortest = clustered.groupBy("parent_id").agg(F.min(F.struct(F.length("name").alias("n"), F.col("name").alias("name")))["name"].alias("pick"))
+        named = shortest.select("parent_id", F.struct(F.concat("pick", F.lit(" group")).alias("name"), F.concat("pick", F.lit(f" and related entries at level {level}")).alias("description")).alias("label"))
+    else:
+        order = Window.partitionBy("parent_id").orderBy(md5_key(seed, "id"))
+        shown = clustered.withColumn("r", F.row_number().over(order)).where(F.col("r") <= names)
+        groups = shown.groupBy("parent_id").agg(F.sort_array(F.collect_list("name")).alias("names")).withColumn("level", F.lit(level))
+        named = map_batch(groups, ["names", "level"], label_fn, "label", "struct<name:string,description:string>", fallback=FALLBACK_LABEL)
     parents = named.select(F.col("parent_id").alias("id"), F.lit(level + 1).alias("level"), "label.name", "label.description")
     noise = staged.where("is_noise").select(
         F.col("parent_id").alias("id"), F.lit(level + 1).alias("level"), F.lit(NOISE_NAME.format(level=level)).alias("name"),
@@ -196,15 +201,18 @@ def taxonomy_layer(nodes: DataFrame, labels: DataFrame, level: int, label_fn: La
     return parents.unionByName(noise), edges
 
 
-def taxonomy_build(tags: DataFrame, min_similarity: float, min_points: int = 2, encoder: Batch | None = None, label_fn: Labeller = shortest_name,
-                   stop_below: int = 20, max_levels: int = 6, dims: int = 64) -> tuple[DataFrame, DataFrame]:
-    """All nodes (id, level, name, description) and edges. ``tags`` has tag; ids of level 0 come from the tag."""
+def taxonomy_build(tags: DataFrame, min_similarity: float, min_points: int = 2, encoder: Batch | None = None, label_fn: Labeller | None = None,
+                   stop_below: int = 20, dims: int = 64) -> tuple[DataFrame, DataFrame]:
+    """All nodes (id, level, name, description) and edges. ``tags`` has tag; ids of level 0 come from the tag.
+
+    Layers are added until one has under ``stop_below`` nodes or is no smaller than the one below it.
+    """
     layer = tags.select(F.concat(F.lit("L0_"), F.md5("tag")).alias("id"), F.lit(0).alias("level"), F.col("tag").alias("name"), F.col("tag").alias("description")).distinct()
     layer = cut_lineage(layer)
     all_nodes, all_edges = layer, None
-    for level in range(max_levels):
-        if layer.limit(stop_below).count() < stop_below:
-            break
+    size, level = layer.count(), -1
+    while size >= stop_below:
+        level += 1
         text = F.when(F.length("description") > 0, F.col("description")).otherwise(F.col("name"))
         embedded = encode_texts(layer.withColumn("text", text), "text", encoder, dims=dims).select("id", l2_normalize(F.col("vec")).alias("vec"))
         found = density_cluster(embedded, min_similarity, min_points)
@@ -215,6 +223,9 @@ def taxonomy_build(tags: DataFrame, min_similarity: float, min_points: int = 2,
         layer = cut_lineage(parents)
         all_nodes = all_nodes.unionByName(layer)
         all_edges = edges if all_edges is None else all_edges.unionByName(edges)
+        before, size = size, layer.count()
+        if size >= before:
+            break
     if all_edges is None:
         all_edges = all_nodes.select(F.col("id").alias("parent_id"), F.col("id").alias("child_id")).limit(0)
     return all_nodes, all_edges

@@ -236,12 +236,10 @@ def named_split(splits: Mapping[str, DataFrame], key: str, seed: int = 7) -> Dat
     return train_test_split(splits["train"], key, seed=seed)
 
 
-def encode_labels(df: DataFrame, label: str, limit: int = 100_000) -> DataFrame:
-    """(label, id) in sorted order from 0. The distinct labels are checked against ``limit`` before they are numbered in one window."""
+def encode_labels(df: DataFrame, label: str) -> DataFrame:
+    """(label, id) in sorted order from 0, for any number of distinct labels: they are numbered in pieces."""
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    if labels.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} classes")
-    return labels.withColumn("id", F.row_number().over(Window.orderBy(label)) - 1)
+    return skew.ordinal(labels, [], [F.col(label)], skew.coarse_id(labels, label), "id").withColumn("id", F.col("id") - 1)
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -267,7 +265,7 @@ def group_relevance(questions: DataFrame, articles: DataFrame, judge: Column | B
 def consolidate_relevance(questions: DataFrame, judged: DataFrame, size: int = 1000) -> DataFrame:
     """(question, part, gt_docs): sorted relevant ids, in parts of at most ``size``; one empty list when there are none."""
     relevant = judged.where("is_relevant").select("question", "article_id").distinct()
-    packed = skew.pack(relevant, ["question"], F.col("article_id"), [F.col("article_id")], F.floor(F.col("article_id") / 1_000_000), "gt_docs", size)
+    packed = skew.pack(relevant, ["question"], F.col("article_id"), [F.col("article_id")], skew.coarse_id(relevant, "article_id", 1_000_000), "gt_docs", size)
     kind = judged.schema["article_id"].dataType.simpleString()
     return questions.select("question").distinct().join(packed, "question", "left").select(
         "question", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("gt_docs", F.array().cast(f"array<{kind}>")).alias("gt_docs"))

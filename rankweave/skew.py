@@ -11,6 +11,22 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+
+def coarse_id(df: DataFrame, column: str, numbers: int = 100_000, letters: int = 4) -> Column:
+    """Consecutive pieces of an id column of any type: ranges of numbers, or leading characters."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return F.floor(F.col(column) / numbers)
+    return F.coalesce(F.substring(F.col(column).cast("string"), 1, letters), F.lit(""))
+
+
+def coarse_span(df: DataFrame, column: str, rows: int = 100_000) -> Column:
+    """Consecutive pieces of a number column, as many as there are times ``rows`` rows, however sparse the numbers are."""
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    width = max(1, -(-(int(high) - int(low) + 1) // max(1, -(-n // rows)))) if n else 1
+    return F.floor((F.col(column) - F.lit(int(low or 0))) / width)
+
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-key ``stats`` (one row per key) back onto ``df``; replaces a window over the key.
