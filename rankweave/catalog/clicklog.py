@@ -27,13 +27,13 @@ LOGGED = f"WITH {SQL_EXAMPLES}, logged AS (SELECT * FROM weighted WHERE skip_typ
 @query("L1_explode_session_positives", f"""
 WITH {SQL_EXAMPLES} SELECT type, label, session_id, user_id, query, session_time, nav_link, position, click_time, dwell_time FROM pos""")
 def positives(spark, sf):
-    return cl.label_positives(logged_items(spark, sf))
+    return cl.label_positives(logged_items(spark, sf)).drop("record")
 
 
 @query("L2_explode_session_negatives", f"""
 WITH {SQL_EXAMPLES} SELECT type, label, session_id, user_id, query, session_time, nav_link, position, shown_time, skip_type FROM neg""")
 def negatives(spark, sf):
-    return cl.label_negatives(logged_items(spark, sf))
+    return cl.label_negatives(logged_items(spark, sf)).drop("record")
 
 
 @query("L3_position_propensity", f"""

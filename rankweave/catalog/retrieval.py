@@ -67,7 +67,7 @@ def filtered(spark, sf):
 
 
 @query("V7_two_stage_rank", f"""WITH {SQL_ALL},
-prof AS (SELECT o_custkey AS user_id, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent, avg(month(o_orderdate)) AS order_month FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+prof AS (SELECT o_custkey AS user_id, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent, avg(month(o_orderdate)) AS order_month FROM orders GROUP BY 1),
 req AS (SELECT c_custkey AS request_id, c_custkey AS user_id, c_custkey % (SELECT count(*) FROM v) AS query_id FROM customer),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS r FROM sims QUALIFY r <= 10),
 s AS (SELECT request_id, req.user_id, item_id, score AS semantic, CASE WHEN prof.user_id IS NULL THEN score ELSE score * (1 + urgent) - CAST(0.01 AS DOUBLE) * label * order_month END AS score
@@ -77,7 +77,7 @@ def two_stage(spark, sf):
     v = vectors(spark, sf)
     n = v.agg(F.count(F.lit(1))).scalar()
     requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % n).alias("query_id"))
-    profiles = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").groupBy(F.col("o_custkey").alias("user_id")).agg(
+    profiles = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"), F.avg(F.month("o_orderdate")).alias("order_month"))
     model = F.col("semantic") * (1 + F.col("urgent")) - 0.01 * F.col("label") * F.col("order_month")
     out = rt.recommend(requests, v.select("id", "vec"), v, profiles, model)

@@ -54,13 +54,13 @@ def encode(spark, sf):
     return encoded(spark, sf, 20000).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query("T4_mean_pool", f"""WITH {sql_vocab(2, 500)}, {SQL_ENCODED},
+@query("T4_mean_pool", f"""WITH {sql_vocab(2, 20000)}, {SQL_ENCODED},
 v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 p AS (SELECT doc_id, dim, avg(CAST(x AS DOUBLE)) AS value FROM enc JOIN v ON v.vec_id = enc.id WHERE id <> 0 GROUP BY 1, 2)
 SELECT d.doc_id, CAST(s.dim AS INTEGER) AS dim, {q6('coalesce(value, 0)')} AS value FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS dim) s LEFT JOIN p ON p.doc_id = d.doc_id AND p.dim = s.dim""")
 def mean_pool(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    pooled = tx.mean_pool(encoded(spark, sf, 500), "doc_id", vectors, 64)
+    pooled = tx.mean_pool(encoded(spark, sf, 20000), "doc_id", vectors, 64)
     return pooled.select("doc_id", F.posexplode("vector").alias("dim", "v")).select("doc_id", "dim", r6("v").alias("value"))
 
 

@@ -108,7 +108,8 @@ def class_triplets(spark, sf):
 WITH m AS (SELECT p_partkey AS item_id, list_sort(list_distinct(list_concat([p_brand, p_type], string_split(p_name, ' ')))) AS tags FROM part),
 k AS (SELECT *, array_to_string(tags, chr(1)) AS set_key FROM m),
 sets AS (SELECT set_key, any_value(tags) AS tags FROM k GROUP BY 1),
-cov AS (SELECT x.set_key AS x, y.set_key AS y, len(list_intersect(x.tags, y.tags)) AS c, len(x.tags) AS n FROM sets x, sets y),
+cov AS (SELECT a.set_key AS x, b.set_key AS y, count(*) AS c, any_value(a.n) AS n
+ FROM (SELECT set_key, len(tags) AS n, unnest(tags) AS t FROM sets) a JOIN (SELECT set_key, unnest(tags) AS t FROM sets) b ON a.t = b.t GROUP BY 1, 2),
 mem AS (SELECT item_id, set_key, {sql_md5(7, 'item_id')} AS h FROM k),
 pl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY md5(cov.y), mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE 2 * c > n),
 pa AS (SELECT k.item_id AS anchor, k.set_key AS x, {sql_hash('7p', 'k.item_id')} % (pl.total - 1) AS r, pl.at AS own FROM k JOIN pl ON pl.x = k.set_key AND pl.item_id = k.item_id WHERE pl.total > 1),

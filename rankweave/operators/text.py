@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import explode_tokens, tokenize_space
-from rankweave.functions.vectors import add_scaled, let
 
 PAD, UNK = 0, 1
 
@@ -31,11 +32,11 @@ def build_vocabulary(df: DataFrame, tokens: Column, min_freq: int = 1, max_size:
 def encode_pad(df: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, length: int = 16) -> DataFrame:
     """(key, ids): the first ``length`` tokens as ids, UNK for unknown ones, PAD at the end.
 
-    The vocabulary is broadcast: ``build_vocabulary`` bounds it by ``max_size``.
+    The planner broadcasts the vocabulary if its size allows that.
     """
     head = df.select(key, F.slice(tokens, 1, length).alias("t"))
     flat = head.select(key, F.posexplode_outer("t").alias("pos", "token"))
-    coded = flat.join(F.broadcast(vocabulary.select("token", "id")), "token", "left")
+    coded = flat.join(vocabulary.select("token", "id"), "token", "left")
     filled = F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(UNK)))
     packed = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", filled.alias("id"))))).alias("l"))
     ids = F.transform("l", lambda s: s["id"])
@@ -46,10 +47,10 @@ def mean_pool(encoded: DataFrame, key: str, table: DataFrame, dims: int) -> Data
     """Mean vector of the non-PAD ids that ``table`` (id, vector) knows; a zero vector when there is none."""
     flat = encoded.select(key, F.explode("ids").alias("id")).where(F.col("id") != PAD)
     zero = F.array_repeat(F.lit(0.0), dims)
-    summed = flat.join(table, "id").groupBy(key).agg(F.collect_list("vector").alias("vs"))
-    total = F.aggregate("vs", zero, lambda acc, v: add_scaled(acc, v, 1.0))
-    mean = let(total, lambda t: let(F.size("vs"), lambda n: F.transform(t, lambda x: x / F.greatest(n, F.lit(1)))))
-    return encoded.select(key).join(summed, key, "left").select(key, F.coalesce(mean, zero).alias("vector"))
+    # a running mean per key: the vectors of a long text are never gathered
+    vectors = table.select("id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("v"))
+    summed = flat.join(vectors, "id").groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m"))
+    return encoded.select(key).join(summed, key, "left").select(key, F.coalesce(vector_to_array("m"), zero).alias("vector"))
 
 
 def substring_search(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:

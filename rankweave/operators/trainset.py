@@ -372,8 +372,10 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = 200, overla
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
 
     # outer explode and an emptied first chunk instead of a filter on the words: the text is split once
-    staged = docs.select("doc_id", let(words, cut).alias("chunks"))
-    flat = staged.select("doc_id", "chunks", F.posexplode_outer("chunks").alias("chunk_no", "chunk_content")).where(F.col("chunk_content") != "")
-    return flat.select(
-        "doc_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no", "chunk_content",
-        F.when(F.col("chunk_no") > 0, F.element_at("chunks", F.col("chunk_no"))).otherwise(F.lit("")).alias("chunk_context"))
+    def with_context(chunks: Column) -> Column:
+        return F.transform(chunks, lambda c, i: F.struct(c.alias("content"), F.coalesce(F.get(chunks, i - 1), F.lit("")).alias("context")))
+
+    staged = docs.select("doc_id", let(let(words, cut), with_context).alias("chunks"))
+    flat = staged.select("doc_id", F.posexplode_outer("chunks").alias("chunk_no", "c")).select("doc_id", "chunk_no", F.col("c.content").alias("chunk_content"), F.col("c.context").alias("chunk_context"))
+    return flat.where(F.col("chunk_content") != "").select(
+        "doc_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no", "chunk_content", "chunk_context")
