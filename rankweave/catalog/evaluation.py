@@ -11,6 +11,7 @@ from rankweave.catalog.retrieval import SQL_LISTS, SQL_RANKS, SQL_V, cross_rank,
 from rankweave.catalog.tags import SQL_Q, label_means
 from rankweave.catalog.text import benchmark, bm25_ranking, documents
 from rankweave.catalog.trainset import vector_faq
+from rankweave.functions.sampling import bucket
 from rankweave.functions.text import tokenize_alnum
 from rankweave.functions.vectors import cosine
 from rankweave.operators import clicklog as cl
@@ -201,28 +202,35 @@ def pair_features(spark, sf):
     return pairs.join(side("pos"), ["session_id", "pos_link"]).join(side("neg"), ["session_id", "neg_link"])
 
 
+def parted(rows, key):
+    """(fit, held out): four fifths of the keys and the rest, by hash. Models are scored on rows they have not seen."""
+    own = bucket(17, 5, key)
+    return rows.where(own > 0), rows.where(own == 0)
+
+
 @query("R1_pairwise_ranker")
 def pairwise(spark, sf):
-    rows = pair_features(spark, sf)
-    weights = [float(x) for x in models.pairwise_ranker(rows).coefficients]
-    scored = rows.select("session_id", models.linear_score(weights, F.col("pos_features")).alias("pos_score"), models.linear_score(weights, F.col("neg_features")).alias("neg_score"))
+    fit, held_out = parted(pair_features(spark, sf), "session_id")
+    weights = [float(x) for x in models.pairwise_ranker(fit).coefficients]
+    scored = held_out.select("session_id", models.linear_score(weights, F.col("pos_features")).alias("pos_score"), models.linear_score(weights, F.col("neg_features")).alias("neg_score"))
     return mt.pair_accuracy(scored)
 
 
 @query("R2_debiased_ctr_model")
 def ctr_model(spark, sf):
     rows = cl.ranker_features(cl.engagement_labels(cl.with_weights(logs.logged_examples(spark, sf))))
+    fit, held_out = parted(rows, "session_id")
     inputs = ["pos_norm", "prop", "dwell_norm"]
-    click = models.predict_probability(models.debiased_click_model(rows, inputs, "clicked"), rows, "p_click")
-    both = models.predict_probability(models.debiased_click_model(rows.where(F.col("clicked") >= 0.5), inputs, "completed"), click, "p_completion")
+    click = models.predict_probability(models.debiased_click_model(fit, inputs, "clicked"), held_out, "p_click")
+    both = models.predict_probability(models.debiased_click_model(fit.where(F.col("clicked") >= 0.5), inputs, "completed"), click, "p_completion")
     return mt.ranker_report(cut_lineage(both.select("clicked", "completed", "p_click", "p_completion")))
 
 
 @query("R3_text_classifier")
 def classifier(spark, sf):
-    rows = table(spark, sf, "documents").select(tokenize_alnum(F.col("text")).alias("tokens"), "lang")
-    model = models.text_classifier(rows, "tokens", "lang")
-    return model.transform(rows).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), mt.class_accuracy(F.col("prediction"), F.col("label_id")).alias("accuracy"))
+    fit, held_out = parted(table(spark, sf, "documents").select("doc_id", tokenize_alnum(F.col("text")).alias("tokens"), "lang"), "doc_id")
+    model = models.text_classifier(fit, "tokens", "lang")
+    return model.transform(held_out).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), mt.class_accuracy(F.col("prediction"), F.col("label_id")).alias("accuracy"))
 
 
 @query("R4_user_segments")
@@ -243,5 +251,11 @@ def baselines(spark, sf):
 
 @query("R5_next_step_forecast")
 def forecast(spark, sf):
-    _, scored = models.next_step_regression(ft.prefix_windows(sequences(spark, sf), 8), 1)
-    return scored.groupBy("step").agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse"), F.count(F.lit(1)).alias("rows"))
+    windows = cut_lineage(ft.prefix_windows(sequences(spark, sf), 8))
+    fit, held_out = parted(windows, "user_id")
+    scored = None
+    for feature in range(len(windows.select("target").first()["target"])):
+        model, _ = models.next_step_regression(fit, feature)
+        part = model.transform(models.next_step_rows(held_out, feature)).withColumn("feature", F.lit(feature))
+        scored = part if scored is None else scored.unionByName(part)
+    return scored.groupBy("feature", "step").agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse"), F.count(F.lit(1)).alias("rows"))

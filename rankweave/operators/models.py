@@ -70,9 +70,14 @@ def next_step_baselines(prefixes: DataFrame, feature: int) -> DataFrame:
         F.avg(square(goal - F.element_at(seen, -1))).alias("mse_last"), F.avg(square(goal - mean)).alias("mse_mean"), F.count(F.lit(1)).alias("rows"))
 
 
-def next_step_regression(prefixes: DataFrame, feature: int) -> tuple[object, DataFrame]:
-    """Linear regression of the next month's feature on the padded prefix and its length."""
+def next_step_rows(prefixes: DataFrame, feature: int) -> DataFrame:
+    """(user_id, step, features, label): the padded prefix of one feature and its length, and the feature's next value."""
     inputs = F.concat(F.transform("input", lambda m: m[feature]), F.array(F.col("step").cast("double")))
-    rows = prefixes.select("user_id", "step", array_to_vector(inputs).alias("features"), F.col("target")[feature].alias("label"))
+    return prefixes.select("user_id", "step", array_to_vector(inputs).alias("features"), F.col("target")[feature].alias("label"))
+
+
+def next_step_regression(prefixes: DataFrame, feature: int) -> tuple[object, DataFrame]:
+    """Linear regression of the next month's feature on the padded prefix and its length; scored on the given rows."""
+    rows = next_step_rows(prefixes, feature)
     model = LinearRegression(regParam=0.1, maxIter=50).fit(rows)
     return model, model.transform(rows).select("user_id", "step", "label", "prediction")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: stage folders written by this driver and not yet removed
+_stages: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the time zone and turn on the adaptive rules; runtime settings only."""
@@ -51,5 +56,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     broadcast by measured size and a large one is not.
     """
     path = shared_folder(df.sparkSession, "stage")
+    _stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def job_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the stages that the work inside has stored; write its results before leaving.
+
+    ``with job_stages(spark): job(spark).write.parquet(path)``
+    """
+    kept = len(_stages)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _stages[kept:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _stages[kept:]

@@ -118,3 +118,17 @@ def test_auc_of_tiny_scores_and_logits(spark):
 def test_batches_of_sparse_ids(spark):
     pairs = spark.createDataFrame([(i * 10**15, [float(i), 1.0], [float(i), 1.0]) for i in range(20)], "id long, anchor_vec array<double>, positive_vec array<double>")
     assert metrics.in_batch_ranks(pairs, 8).groupBy("batch").count().count() == 3
+
+
+def test_stages_of_a_job_are_removed(spark, tmp_path):
+    import os
+
+    from rankweave.session import cut_lineage, ensure_checkpoint_dir, job_stages
+
+    ensure_checkpoint_dir(spark)
+    with job_stages(spark):
+        stage = cut_lineage(spark.range(5))
+        folder = stage.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        stage.write.parquet(str(tmp_path / "out"))
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and spark.read.parquet(str(tmp_path / "out")).count() == 5
