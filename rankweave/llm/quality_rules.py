@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.base import stripped, word_list
+from rankweave.llm.base import small_side, stripped, word_list
 from rankweave.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -69,7 +69,9 @@ def vector() -> dict[str, Column]:
 FLOOR = {"v_word_length": 0.04, "v_symbols": 0.05, "v_same_lines": 0.2, "v_repeats": 0.2, "v_capitals": 0.03}
 #: documents a group needs for an estimate of its own; share of a group that the estimate rests on
 LEAST_GROUP, CORE = 60, 0.6
-MOST_STEPS, SETTLED = 20, 1e-6
+MOST_STEPS, SETTLED = 20, 0.01
+#: groups whose estimates (some 250 bytes each) may be broadcast; more are joined by shuffle
+MOST_SENT = 100_000
 
 
 def group_ids(keys: Sequence[str]) -> list[Column]:
@@ -121,7 +123,7 @@ def _moments(sums: DataFrame, names: Sequence[str]) -> DataFrame:
 def _first_guess(rows: DataFrame, sizes: DataFrame, names: Sequence[str]) -> DataFrame:
     """Median and interquartile range per statistic, from histograms."""
     bin_width = 8
-    cells = rows.select("__g", F.posexplode(F.array(*[F.floor(F.col(v) / bin_width) for v in names])).alias("f", "bin")).groupBy("__g", "f", "bin").agg(F.count(F.lit(1)).alias("c"))
+    cells = cut_lineage(rows.select("__g", F.posexplode(F.array(*[F.floor(F.col(v) / bin_width) for v in names])).alias("f", "bin")).groupBy("__g", "f", "bin").agg(F.count(F.lit(1)).alias("c")))
     upto = Window.partitionBy("__g", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("cum", F.sum("c").over(upto)).join(sizes, "__g")
     at = lambda q: F.min(F.when(F.col("cum") >= F.col("size") * q, (F.col("bin") + 0.5) * bin_width / UNIT))
@@ -136,14 +138,19 @@ def _first_guess(rows: DataFrame, sizes: DataFrame, names: Sequence[str]) -> Dat
 def robust_estimates(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """(__g, centre, inverse covariance, limit) for every group of ``rows`` (__g and the vector) that is large enough."""
     sizes = cut_lineage(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST_GROUP))
-    rows = rows.join(sizes.select("__g"), "__g", "left_semi")
+    groups = sizes.count()
+    rows = rows.join(small_side(sizes.select("__g"), groups, MOST_SENT), "__g", "left_semi")
     n = len(names)
     params = cut_lineage(_factored(_first_guess(rows, sizes, names), n))
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"x_{i}") for i, v in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x_{i}_{j}") for i, j in _pairs(n)]]
     ring = F.floor(F.log2(_distance(names) + 1) * 32).cast("int")
     nearer = Window.partitionBy("__g").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
-    ringed = lambda p, aggregates: (rows.join(p, "__g").groupBy("__g", "size", ring.alias("ring")).agg(*aggregates)
-                                    .withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))))
+
+    def ringed(p: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+        # stored: the window would else gather the unmerged sums of every task by group alone
+        summed = cut_lineage(rows.join(small_side(p, groups, MOST_SENT), "__g").groupBy("__g", "size", ring.alias("ring")).agg(*aggregates))
+        return summed.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0)))
+
     for step in range(MOST_STEPS):
         core = ringed(params, sums).where(F.col("before") < F.col("size") * CORE)
         total = core.groupBy("__g", "size").agg(*[F.sum(c).alias(c) for c in ("n", *[f"x_{i}" for i in range(n)], *[f"x_{i}_{j}" for i, j in _pairs(n)])])
@@ -175,11 +182,13 @@ def quality_rules(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("l
     stats = cut_lineage(stats.withColumns(vector()).withColumn("base_failed", failed).drop("__lines", "__capitals"))
     rows = stats.where(~F.col("base_failed")).select(F.explode(F.array(*levels)).alias("__g"), *names)
     estimates = robust_estimates(rows, names)
+    groups = estimates.count()
     fields = [c for c in estimates.columns if c != "__g"]
     out = stats
     for level in levels:  # the narrowest group with an estimate decides
         own = estimates.join(stats.select(F.col(level).alias("__g")).distinct(), "__g", "left_semi")
-        out = out.join(cut_lineage(own.select(F.col("__g").alias(level), F.struct(*fields).alias(f"__e{level}"))), level, "left")
+        own = cut_lineage(own.select(F.col("__g").alias(level), F.struct(*fields).alias(f"__e{level}")))
+        out = out.join(small_side(own, groups, MOST_SENT), level, "left")
     chosen = out.withColumn("__e", F.coalesce(*[F.col(f"__e{level}") for level in levels]))
     judged = chosen.select(*keep, *COUNTS, "base_failed", *names, "__e.*").withColumn("distance", _distance(names))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("limit"), F.lit(True))).select(*keep, *COUNTS, "base_failed", "distance", "kept")
