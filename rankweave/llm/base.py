@@ -17,6 +17,18 @@ SPACE_RUN = "[ \\t-\\r]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: rows in an Arrow batch of texts: a few MB as a rule, so that a worker holds little at a time
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are held to BATCH_ROWS rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         LLM_QUERIES[name] = fn

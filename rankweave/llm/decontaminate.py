@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.base import row_key, small_side
+from rankweave.llm.base import row_key, small_batches, small_side
 from rankweave.llm.wordscan import ODD, WordScanner, mix
 from rankweave.session import cut_lineage
 
@@ -69,7 +69,7 @@ def marks(words: np.ndarray, bounds: np.ndarray, length: int, short: list[int])
     return hashes[order], places[order]
 
 
-def pieces(bounds: np.ndarray, most: int = 1 << 20):
+def pieces(bounds: np.ndarray, most: int = 1 << 18):
     """Consecutive texts (first, after last) of about ``most`` words together."""
     first = 0
     while first < len(bounds) - 1:
@@ -168,7 +168,8 @@ def candidate_windows(hits: DataFrame, length: int, short: list[int]) -> DataFra
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10) -> DataFrame:
-    """One row per distinct (id, text): id, copies (equal rows), n_words, n_hit, items (their ids, sorted as strings), __k, __t.
+    """One row per distinct (id, text): id, copies (equal rows), n_words, n_hit, items (their ids, sorted as strings), and the
+    row key __k, __t that ``clean`` uses.
 
     n_hit counts words inside occurrences of item windows. Null or empty texts have no words and no hits, items without
     words no windows. Equal rows are one row with copies, equal items are found alike. Either table may be empty. Other
@@ -178,7 +179,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, ident: str = "doc_id",
     short = sorted(r["n"] for r in windows.where(F.col("n") < length).select("n").distinct().collect())  # at most length - 1 numbers
     of_window = cut_lineage(windows.groupBy("n", "window").agg(F.collect_set("item").alias("items")))
     wanted = cut_lineage(windows.select(F.explode("marks").alias("mark")).distinct().withColumn("known", F.lit(True)))
-    keyed = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), *row_key(ident, text))
+    keyed = small_batches(docs).select(F.col(ident).alias("id"), F.col(text).alias("text"), *row_key(ident, text))
     key = ["__k", "__t"]
     marked = document_marks(keyed, "text", length, short, ["id", *key])
     one = marked.select("id", *key, "n_words", F.explode(F.arrays_zip("marks", "places")).alias("x"))

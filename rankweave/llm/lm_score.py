@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.base import row_key
+from rankweave.llm.base import row_key, small_batches
 from rankweave.llm.decontaminate import pieces
 from rankweave.llm.wordscan import ODD, WordScanner, chain, mix
 from rankweave.session import cut_lineage
@@ -111,9 +111,10 @@ class LogFrequencyFilter:
 
 
 def gather_counts(training: DataFrame) -> DataFrame:
-    """(bucket, words, word_counts, filter, members, pairs, single): exact word counts and one filter segment per hash range.
+    """One row per hash range: exact word counts, the filter segment with its bytes, and totals.
 
-    A task sums its own texts first and sends one row per hash range.
+    distinct and tokens count words, pairs and single word pairs and those seen once. A task sums its own texts first and
+    sends one row per hash range.
     """
     blob = "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
 
@@ -210,7 +211,7 @@ def score_texts(docs: DataFrame, held_out: Column, ident: str = "doc_id", text:
     read, whatever their names.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(ident).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(ident).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     counts = cut_lineage(gather_counts(rows.where(~F.col("held_out")).select("text")))
     v, n, pairs, single = [x or 0 for x in counts.agg(F.sum("distinct"), F.sum("tokens"), F.sum("pairs"), F.sum("single")).first()]
     weight = min(0.95, max(0.05, (pairs - single) / pairs)) if pairs else 0.05
