@@ -5,20 +5,21 @@ the ring, and signature coordinate k is the least table value over the slots shi
 are therefore neighbours in one table, and a signature is a minimum over contiguous windows.
 
 Equal sets are merged before any pair work. Documents that share a band are candidates; links are confirmed on the full
-shingle sets. A bucket is never expanded into pairs at once: its members are first compared with one leader, and only
-where members are still in different groups do later rounds go on.
+shingle sets. Members of a bucket are first compared with one leader only. Buckets that still hold several groups are compared
+further: pairs in small ones, blocks of bounded size in crowded ones, so no bucket is ever expanded into its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.base import small_side
+from rankweave.llm.base import small_batches, small_side
 from rankweave.llm.decontaminate import pieces
 from rankweave.llm.wordscan import ODD, WordScanner, chain, mix
 from rankweave.operators.graph import connected_components
@@ -29,6 +30,9 @@ RING_BITS = 20
 #: chance 4e-8
 BANDS, ROWS = 51, 5
 COMPARE_BYTES = 8 << 20
+#: buckets of more members are compared in blocks of at most so many bytes and rows
+CROWD, PART_BYTES, PART_ROWS = 24, 8 << 20, 2048
+MATRIX_CELLS = 8 << 20
 SEED = 20240607
 
 
@@ -141,43 +145,102 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, per_cent: int) -> Dat
     return cut_lineage(with_both.select("a", "b", "ta", "tb").mapInArrow(run, schema).distinct())
 
 
-def component_links(members: DataFrame, texts: DataFrame, size: int, per_cent: int, leader_rounds: int = 2) -> DataFrame | None:
+def _joined(components: DataFrame, found: DataFrame) -> DataFrame:
+    """``components`` (id, component) with the components that the links (a, b) connect put together."""
+    ends = [components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    edges = found.join(ends[0], "a").join(ends[1], "b").where("ca != cb").select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct()
+    edges = cut_lineage(edges)
+    touched = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    roots = connected_components(touched, edges).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return cut_lineage(components.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+
+
+def _intersections(sets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sizes of all pairwise intersections, as products of 0/1 matrices over slices of the vocabulary."""
+    n = len(cut) - 1
+    row = np.repeat(np.arange(n), np.diff(cut))
+    _, word, count = np.unique(sets, return_inverse=True, return_counts=True)
+    shared = count[word] > 1
+    place = np.cumsum(count > 1) - 1
+    row, word = row[shared], place[word[shared]]
+    order = np.argsort(word, kind="stable")
+    row, word = row[order], word[order]
+    both, width = np.zeros((n, n), np.float32), max(1, MATRIX_CELLS // max(1, n))
+    for low in range(0, int(word[-1]) + 1 if len(word) else 0, width):
+        at = slice(*np.searchsorted(word, [low, low + width]))
+        m = np.zeros((n, min(width, int(word[-1]) + 1 - low)), np.float32)
+        m[row[at], word[at] - low] = 1
+        both += m @ m.T
+    return both
+
+
+def block_links(crowded: DataFrame, texts: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """Links between members of different components in crowded buckets; ``crowded`` has key, id, c.
+
+    A bucket is cut into parts of bounded bytes and rows, and one row per pair of parts is compared in its task. Of the
+    links that are found there only those leave the task that put two components together.
+    """
+    sizes = crowded.join(texts.select("id", F.octet_length("text").alias("b")), "id").groupBy("key").agg(
+        F.greatest(F.ceil(F.sum("b") / PART_BYTES), F.ceil(F.count(F.lit(1)) / PART_ROWS), F.lit(1)).cast("long").alias("parts"))
+    parted = crowded.join(cut_lineage(sizes), "key").join(texts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    packs = cut_lineage(parted.groupBy("key", "part").agg(F.collect_list(F.struct("id", "c", "text")).alias("rows")))
+    kind = texts.schema["id"].dataType
+    other = packs.select("key", F.col("part").alias("q"), F.col("rows").alias("more"))
+    alone = packs.select("rows", F.slice("rows", 1, 0).alias("more"))
+    work = alone.unionByName(packs.join(other, "key").where("part < q").select("rows", "more"))
+
+    def run(batches):
+        scanner = WordScanner()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = batch.column(0)[i].values, batch.column(1)[i].values
+                rows = pa.concat_arrays([one, two])
+                ids, c, text = (rows.field(k) for k in range(3))
+                words, bounds = scanner.scan(text)
+                sets, cut = shingle_sets(words, bounds - bounds[0], size)
+                n = np.diff(cut)
+                both = _intersections(sets, cut)
+                label = pd.factorize(c.to_numpy(zero_copy_only=False))[0]
+                hit = (both > 0) & (100 * both >= per_cent * (n[:, None] + n[None, :] - both)) & (label[:, None] != label[None, :])
+                if len(two):  # pairs inside either part have a row of their own
+                    hit[:len(one), :len(one)] = hit[len(one):, len(one):] = False
+                root = np.arange(label.max(initial=-1) + 1)
+                left, right = [], []
+                for x, y in zip(*np.nonzero(np.triu(hit)), strict=True):
+                    a, b = label[x], label[y]
+                    while root[a] != a:
+                        a = root[a]
+                    while root[b] != b:
+                        b = root[b]
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        root[label[x]] = root[label[y]] = min(a, b)
+                        left.append(x)
+                        right.append(y)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))], names=["a", "b"])
+
+    return cut_lineage(work.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct())
+
+
+def component_links(members: DataFrame, texts: DataFrame, size: int, per_cent: int) -> DataFrame:
     """(id, component) over the bucket members, such that every confirmed link between bucket mates is inside a component.
 
-    ``members`` (key, id, low: the bucket's least id). Round 0 compares each member with the least id of its buckets. The
-    next rounds take the buckets that still hold several components and compare members with one seeded leader per bucket
-    of another component. What is then left is compared in full: pairs of different components that share two bands.
+    ``members`` (key, id, low: the bucket's least id). First each member is compared with the least id of its buckets.
+    Then only buckets that still hold several components matter: in small ones, pairs of different components that share
+    two bands are compared; crowded ones are compared in blocks.
     """
-    links, tested, components = [], [], None
-    for step in range(leader_rounds + 2):
-        if step == 0:
-            pairs = members.where("low < id").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a"))
-        else:
-            placed = members.join(components.withColumnRenamed("component", "c"), "id")
-            placed = cut_lineage(placed.join(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "key", "left_semi").select("key", "id", "c"))
-            if placed.isEmpty():
-                break
-            if step <= leader_rounds:
-                leaders = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("h"), F.col("id").alias("l"), F.col("c").alias("lc"))).alias("x"))
-                met = placed.join(leaders.select("key", "x.l", "x.lc"), "key").where("c != lc")
-                pairs = met.groupBy("id", "lc").agg(F.min("l").alias("l")).select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
-            else:
-                other = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-                pairs = (placed.join(other, "key").where("id < b and c != cb").groupBy(F.col("id").alias("a"), "b")
-                         .agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").drop("shared"))
-            for before in tested:
-                pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs.select("a", "b"))
-        tested.append(pairs)
-        found = confirm(pairs, texts, size, per_cent)
-        links.append(found)
-        if step and found.isEmpty():
-            continue
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        components = cut_lineage(connected_components(members.select("id"), edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "component"))
-    return components
+    pairs = cut_lineage(members.where("low < id").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")))
+    found = confirm(pairs, texts, size, per_cent)
+    components = cut_lineage(connected_components(members.select("id"), found.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    placed = members.select("key", "id").join(components.withColumnRenamed("component", "c"), "id")
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "n")
+    placed = cut_lineage(placed.join(cut_lineage(mixed), "key"))
+    small = placed.where(F.col("n") <= CROWD).select("key", "id", "c")
+    other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    rest = (small.join(other, "key").where("id < b and c != cb").groupBy(F.col("id").alias("a"), "b")
+            .agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    more = confirm(cut_lineage(rest), texts, size, per_cent).unionByName(block_links(placed.where(F.col("n") > CROWD).select("key", "id", "c"), texts, size, per_cent))
+    return _joined(components, more)
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = 2, per_cent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -188,7 +251,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     is kept. Rows that share an id are one document. A row with a null id belongs to no group and is kept. An empty table
     gives an empty table. Other columns are not read, whatever their names.
     """
-    rows_of = cut_lineage(sketch(docs, ident, text, size, bands, rows))
+    rows_of = cut_lineage(sketch(small_batches(docs), ident, text, size, bands, rows))
     same_set = ["n", "d1", "d2"]
     sets = cut_lineage(rows_of.where("n > 0").groupBy(*same_set).agg(F.min("id").alias("node")))
     lead = rows_of.where("n > 0").join(sets, [F.col("id") == F.col("node"), *[rows_of[c] == sets[c] for c in same_set]], "left_semi")

@@ -1,5 +1,6 @@
 """Every operator against its plain version: the small driver tables and the odd rows, empty tables, order of the rows."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -212,6 +213,28 @@ def test_near_duplicate_chains_and_hot_groups(spark):
     assert got == plain.components(rows)
 
 
+def test_crowded_buckets_in_parts(spark, monkeypatch):
+    r = random.Random(3)
+    core = [f"c{i}" for i in range(120)]
+    vary = lambda i, n: " ".join([f"v{i}_{j}" if j in picked else w for picked in [set(r.sample(range(120), n))] for j, w in enumerate(core)])
+    rows = [(i, vary(i, r.choice([1, 3, 5, 7, 9]))) for i in range(150)]  # around the limit of similarity, in every bucket
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain.components(rows)
+    assert 1 < len({c for _, c in want.values()}) < 150
+    for part_rows, cells in ((near_dedup.PART_ROWS, near_dedup.MATRIX_CELLS), (20, 500)):
+        monkeypatch.setattr(near_dedup, "PART_ROWS", part_rows)
+        monkeypatch.setattr(near_dedup, "MATRIX_CELLS", cells)
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_intersections_of_a_block():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 30, 50, 70)]
+    flat, cut = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    both = near_dedup._intersections(flat, cut)
+    assert all(both[i, j] == len(set(a.tolist()) & set(b.tolist())) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     got = near_dedup.near_duplicates(odd).collect()
     want = plain.components({r[0]: r[1] for r in odd_rows if r[0] is not None}.items())
