@@ -1,8 +1,9 @@
 """The corpus pipeline: documents through five training-data operators, each stage on all that the one before kept.
 
-quality: documents that the rules reject go. near_dedup: one document of each near-duplicate group stays. decontaminate:
-documents that hold a window of a benchmark item go. mix: each document as often as the mix to target weights takes it.
-shard: every row with its size, its shard and its slot there; equal texts share a shard.
+quality: documents that the rules reject go. near_dedup: one document of each near-duplicate group stays
+(shingles of five words, similarity 0.8). decontaminate: documents that hold a window of a benchmark item go. mix: each
+document as often as the mix to target weights takes it. shard: every row with its size, its shard and its slot there;
+equal texts share a shard.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 from rankweave.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 from rankweave.session import configure, cut_lineage
 
+#: words of a shingle in the near_dedup stage; two are op6's contract only
+SHINGLE = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.clean(docs, near_dedup.near_duplicates(docs))
+    return near_dedup.clean(docs, near_dedup.near_duplicates(docs, size=SHINGLE))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,4 +11,4 @@ from rankweave.llm.base import query
 
 @query("op6_near_dedup")
 def op6(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").select("doc_id", F.col("n_shingles"), "component_id", "kept")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2).withColumnRenamed("id", "doc_id").select("doc_id", F.col("n_shingles"), "component_id", "kept")
