@@ -2,7 +2,8 @@
 
 Each text gives a few counts; ratios of them, transformed to be roughly normal, form its vector. Per (language, source) a
 minimum-covariance-determinant estimate is found by concentration steps: of all vectors of the group the
-three fifths nearest to the present centre give the next centre and covariance, until the determinant stops falling. Vectors
+three fifths nearest to the present centre give the next centre and covariance, until they give themselves again. As whole
+rings of distance are taken, a few groups end in a cycle of cores instead; they use its core of least determinant. Vectors
 far from the centre of their group by Mahalanobis distance are rejected. Groups too small for an estimate use that of
 their language, else of the whole table.
 
@@ -13,6 +14,7 @@ same verdicts whatever the order of the rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,7 +71,8 @@ def vector() -> dict[str, Column]:
 FLOOR = {"v_word_length": 0.04, "v_symbols": 0.05, "v_same_lines": 0.2, "v_repeats": 0.2, "v_capitals": 0.03}
 #: documents a group needs for an estimate of its own; share of a group that the estimate rests on
 LEAST_GROUP, CORE = 60, 0.6
-MOST_STEPS, SETTLED = 20, 0.01
+#: steps after which a group that is not at its end is an error; log determinants that differ by less are of one core
+MOST_STEPS, SETTLED = 200, 1e-9
 #: groups whose estimates (some 250 bytes each) may be broadcast; more are joined by shuffle
 MOST_SENT = 100_000
 
@@ -90,18 +93,20 @@ def _pairs(n: int):
 def _factored(params: DataFrame, n: int) -> DataFrame:
     """Params with log determinant and the inverse covariance: Cholesky factor, its inverse, and their product."""
     at = lambda p, i, j: F.col(f"{p}_{i}_{j}")
+    for j in range(n):  # a column at a time: fewer projections to analyze
+        rest = {i: at("s", i, j) for i in range(j, n)}
+        for k in range(j):
+            rest = {i: r - at("l", i, k) * at("l", j, k) for i, r in rest.items()}
+        params = params.withColumn(f"l_{j}_{j}", F.sqrt(rest.pop(j)))
+        params = params.withColumns({f"l_{i}_{j}": r / at("l", j, j) for i, r in rest.items()})
     for i in range(n):
+        row = {}
         for j in range(i + 1):
-            rest = at("s", i, j)
-            for k in range(j):
-                rest = rest - at("l", i, k) * at("l", j, k)
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / at("l", j, j))
-    for j in range(n):
-        for i in range(j, n):
             value = F.lit(1.0 if i == j else 0.0)
             for k in range(j, i):
                 value = value - at("l", i, k) * at("w", k, j)
-            params = params.withColumn(f"w_{i}_{j}", value / at("l", i, i))
+            row[f"w_{i}_{j}"] = value / at("l", i, i)
+        params = params.withColumns(row)
     inverse = {f"a_{i}_{j}": sum((at("w", k, i) * at("w", k, j) for k in range(i + 1, n)), at("w", i, i) * at("w", i, j)) for i, j in _pairs(n)}
     logdet = 2 * sum((F.log(at("l", i, i)) for i in range(1, n)), F.log(at("l", 0, 0)))
     return params.select("__g", "size", *[f"m_{i}" for i in range(n)], *[c.alias(k) for k, c in inverse.items()], logdet.alias("logdet"))
@@ -151,14 +156,25 @@ def robust_estimates(rows: DataFrame, names: Sequence[str]) -> DataFrame:
         summed = cut_lineage(rows.join(small_side(p, groups, MOST_SENT), "__g").groupBy("__g", "size", ring.alias("ring")).agg(*aggregates))
         return summed.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0)))
 
-    for step in range(MOST_STEPS):
+    fields = [*[f"m_{i}" for i in range(n)], *[f"a_{i}_{j}" for i, j in _pairs(n)]]
+    state = F.struct("logdet", *fields)
+    params = params.withColumn("past", F.slice(F.array(state), 1, 0))
+    settled = []
+    for _ in range(MOST_STEPS):
         core = ringed(params, sums).where(F.col("before") < F.col("size") * CORE)
         total = core.groupBy("__g", "size").agg(*[F.sum(c).alias(c) for c in ("n", *[f"x_{i}" for i in range(n)], *[f"x_{i}_{j}" for i, j in _pairs(n)])])
-        following = cut_lineage(_factored(_moments(total, names), n))
-        fall = params.select("__g", F.col("logdet").alias("was")).join(following, "__g").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        params = following
-        if step and (fall is None or fall < SETTLED):
+        following = _factored(_moments(total, names), n).join(small_side(params.select("__g", "past"), groups, MOST_SENT), "__g")
+        again = F.array_position(F.transform("past", lambda p: F.abs(p["logdet"] - F.col("logdet")) < SETTLED), True)
+        following = cut_lineage(following.withColumn("again", again).withColumn("past", F.concat("past", F.array(state))))
+        cycle = F.slice("past", F.greatest(F.col("again"), F.lit(1)).cast("int"), F.size("past"))
+        settled.append(following.where("again > 0").select("__g", "size", F.array_min(cycle).alias("p")).select("__g", "size", "p.*"))
+        params = following.where("again = 0")  # groups at their end take no part in later steps
+        moving = params.count()
+        if not moving:
             break
+    else:
+        raise RuntimeError(f"{moving} groups are not at a fixed point after {MOST_STEPS} concentration steps")
+    params = cut_lineage(reduce(DataFrame.unionByName, settled))
     middle = ringed(params, sums[:1]).where(F.col("before") < F.col("size") * 0.5).groupBy("__g").agg((F.pow(F.lit(2.0), (F.max("ring") + 1) / 32) - 1).alias("half"))
     return cut_lineage(params.join(middle, "__g").withColumn("limit", F.greatest(F.lit(1.0), F.col("half") / CHI2_HALF[n]) * CHI2_TAIL[n]).drop("size", "logdet", "half"))
 
