@@ -13,6 +13,7 @@ same verdicts whatever the order of the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -67,8 +68,14 @@ def vector() -> dict[str, Column]:
     return {f"v_{k}": F.round(c * UNIT).cast("long") for k, c in raw.items()}
 
 
-#: least spread per statistic: differences well below these are never held against a text
-FLOOR = {"v_word_length": 0.04, "v_symbols": 0.05, "v_same_lines": 0.2, "v_repeats": 0.2, "v_capitals": 0.03}
+def _alone(share: float) -> float:
+    """The floor at which a share that no other text of the group has rejects by itself beyond ``share``."""
+    return math.asin(math.sqrt(share)) / math.sqrt(CHI2_TAIL[5])
+
+
+#: least spread per statistic: differences well below these are never held against a text. Most groups have no spread of
+#: the two shares of copies, so these floors decide there; the spread that a group has comes on top
+FLOOR = {"v_word_length": 0.04, "v_symbols": 0.05, "v_same_lines": _alone(0.45), "v_repeats": _alone(0.35), "v_capitals": 0.03}
 #: documents a group needs for an estimate of its own; share of a group that the estimate rests on
 LEAST_GROUP, CORE = 60, 0.6
 #: steps after which a group that is not at its end is an error; log determinants that differ by less are of one core

@@ -1,9 +1,11 @@
-"""Robust estimates of the quality rules: at their fixed points."""
+"""Robust estimates of the quality rules: at their fixed points, and with floors that leave every statistic a say."""
 
 import numpy as np
 import pytest
 
 from rankweave.llm import quality_rules
+from tests.llm import plain
+from tests.llm.conftest import prose
 
 NAMES = [f"v_{k}" for k in ("word_length", "symbols", "same_lines", "repeats", "capitals")]
 
@@ -53,3 +55,21 @@ def test_steps_that_run_out_are_an_error(spark, monkeypatch):
     rows = [(1, *map(int, r)) for r in slow(1, 1000)]
     with pytest.raises(RuntimeError, match="fixed point"):
         quality_rules.robust_estimates(spark.createDataFrame(rows, ["__g", *NAMES]), NAMES)
+
+
+def test_copied_lines_or_words_reject_by_themselves(spark):
+    clean = [(i, "\n".join(prose(1000 * i + j, 10) for j in range(20))) for i in range(80)]
+    lines = [prose(10**6 + j, 10) for j in range(16)]
+    copied = [y for i, line in enumerate(lines) for y in (["melons"] * (1 + (i < 10)) + [line])][:-1]
+    words = prose(2 * 10**6, 155).split()
+    repeated = words[:110] + words[:45] + words[110:]
+    rows = [*clean, (900, "\n".join(copied)), (901, "\n".join(" ".join(repeated[i:i + 7]) for i in range(0, 200, 7)))]
+    *_, n_dup, n_repeat = plain.text_counts(rows[-2][1])
+    assert n_dup / len(copied) > 0.6 and n_repeat == 0
+    n_words, _, _, n_dup, n_repeat = plain.text_counts(rows[-1][1])
+    assert n_dup == 0 and 0.44 <= n_repeat / n_words <= 0.46
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert not out[900]["kept"] and not out[901]["kept"]
+    assert all(out[i]["kept"] for i, _ in clean)
