@@ -14,8 +14,22 @@ from pyspark.sql import functions as F
 from rankweave.llm.base import ascii_lower, row_key, stripped
 from rankweave.session import cut_lineage
 
-#: lines that name a holder or a year, in lower case
-COPYRIGHT_LINE = r"(?m)^[ \t]*((portions[ \t]+)?copyright[ \t]*(\(c\)|©|[0-9<\[:])|\(c\)|©|all rights reserved[.]?[ \t]*$)[^\n]*"
+#: words that follow "copyright" in the prose of licences; any other word on a short line begins a holder's name
+PROSE = ["a", "act", "and", "are", "as", "can", "claim", "claims", "disclaimer", "doctrines", "for", "holder", "holders", "if", "in", "infringement", "interest", "interests", "is", "it", "law", "laws", "licence", "licences", "license", "licenses", "licensor", "notice", "notices", "of", "on", "or", "owner", "owners", "ownership", "permission", "protection", "resulting", "right", "rights", "statement", "statements", "that", "the", "this", "to", "treaty", "under", "with"]
+
+
+def _other_than(words: list[str], inside: bool = False) -> str:
+    """A pattern for a word that is none of ``words``, for engines without look-ahead; ``inside``: it may have ended before."""
+    heads = sorted({w[0] for w in words if w})
+    end = r" \t\n.,;:()"
+    ways = [f"[^{''.join(heads)}{end}][^{end}]*", *[h + _other_than([w[1:] for w in words if w[:1] == h], True) for h in heads]]
+    return f"({'|'.join(ways)}){'?' if inside and '' not in words else ''}"
+
+
+MARKS = r"[ \t#*/;-]*"
+HOLDER = rf"[ \t]+(by[ \t]+)?(the[ \t][^\n]{{1,50}}(authors|contributors|project|team|foundation)|{_other_than(PROSE)}([ \t.,;:()][^\n]{{0,60}})?)[ \t.*/]*$"
+#: lines that name a holder or a year, in lower case, also behind comment marks
+COPYRIGHT_LINE = rf"(?m)^{MARKS}(((portions[ \t]+)?copyright[ \t]*(\(c\)|©|[0-9<\[:])|\(c\)|©|all rights reserved[.]?[ \t*/]*$)[^\n]*|(portions[ \t]+)?copyright{HOLDER})"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—©]+"
 # equivalent spellings (fixed values): whole words of the canonical form
 SPELLINGS = {

@@ -18,3 +18,21 @@ def test_whole_texts_are_known(spark):
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     got = {r["id"]: r["license"] for r in license_scan.scan_licenses(docs, license_scan.known_digests(spark)).collect()}
     assert got == {**{k: k for k in texts}, "cut": "Apache-2.0", "part": None}
+
+
+def test_copyright_lines_in_comments_and_without_a_year(spark):
+    mit = license_scan.KNOWN[0][2]
+    heads = ["# Copyright (c) 2020 X", " * Copyright 2020 X", "// (c) X", "Copyright Acme Inc.", ";; copyright by Jane Doe", "-- Copyright The Tool Authors", "# All rights reserved."]
+    rows = [(i, f"{h}\n{mit}") for i, h in enumerate(heads)]
+    rows += [(100, "\n".join(f"# {x}" for x in [heads[3], *mit.split("\n")]))]
+    rows += [(101, "Copyright Acme Inc. and then a sentence which runs on for far longer than the name of any holder would\n" + mit)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["license"] for r in license_scan.scan_licenses(docs, license_scan.known_digests(spark)).collect()}
+    assert got == {**{i: "MIT" for i, _ in rows}, 101: None}
+
+
+def test_prose_after_copyright_stays(spark):
+    rows = [(i, body, body.replace(" copyright ", "\ncopyright ").replace(" COPYRIGHT ", "\nCOPYRIGHT ")) for i, (_, kind, body) in enumerate(license_scan.KNOWN) if kind == "text"]
+    docs = spark.createDataFrame(rows, "i long, a string, b string")
+    forms = docs.select("i", license_scan.canonical(docs["a"]).alias("a"), license_scan.canonical(docs["b"]).alias("b"))
+    assert forms.where("a != b").count() == 0
