@@ -54,7 +54,7 @@ def op10(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-for _module in ("decontaminate", "near_dedup", "lm_score", "quality", "license", "classifier"):
+for _module in ("decontaminate", "near_dedup", "lm_score", "quality", "license", "classifier", "runs", "tournament", "packing"):
     importlib.import_module(f"rankweave.llm.queries_{_module}")
 
 LLM_QUERIES, LLM_ORACLE = base.LLM_QUERIES, base.LLM_ORACLE
