@@ -2,16 +2,26 @@
 
 Two copies of a licence differ in case, punctuation, line breaks, copyright lines and spelling. A canonical form removes
 these, so a copy is found by an equi-join on its digest; no text is compared with any other.
+
+Every rule of the form works on a line or on a word, so a line has a form of its own and the form of a text is that of its
+lines one after the other: each line is brought into form once, for both purposes. Patterns run only over the lines that hold
+what they look for, and a line has a digest only if some known text has as many words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankweave.llm.base import ascii_lower, row_key, stripped
+from rankweave.llm.base import row_key, small_batches
 from rankweave.session import cut_lineage
 
 #: words that follow "copyright" in the prose of licences; any other word on a short line begins a holder's name
@@ -84,24 +94,95 @@ KNOWN = [
 ]
 
 
+#: a line without any of these has nothing that names a holder
+HINTS = ("copyright", "(c)", "©", "all rights reserved")
+VARIANT = " (" + "|".join(map(re.escape, SPELLINGS)) + ") "
+
+
+def replaced_where(values: pa.Array, where: pa.Array, change) -> pa.Array:
+    """``values`` with ``change`` applied to those that ``where`` marks."""
+    return pc.replace_with_mask(values, where, change(values.filter(where))) if pc.any(where).as_py() else values
+
+
+def padded(values: pa.Array) -> pa.Array:
+    blank, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    return pc.binary_join_element_wise(blank, values, blank, nothing)
+
+
+def _respelled(forms: pa.Array) -> pa.Array:
+    for variant, form in SPELLINGS.items():
+        forms = pc.replace_substring(forms, f" {variant} ", f" {form} ")
+    return forms
+
+
+def line_forms(lines: pa.Array) -> pa.Array:
+    """The words of every line in lower case and one spelling, joined by single spaces; nothing of a copyright line."""
+    out = pc.ascii_lower(lines)
+    hinted = pc.match_substring(out, HINTS[0])
+    for hint in HINTS[1:]:
+        hinted = pc.or_(hinted, pc.match_substring(out, hint))
+    out = replaced_where(out, hinted, lambda x: pc.replace_substring_regex(x, COPYRIGHT_LINE, ""))
+    out = pc.ascii_trim(pc.replace_substring_regex(out, NO_WORD, " "), " ")
+
+    def respelled(x):  # two blanks between words, so that neighbours do not share one
+        wide = padded(pc.replace_substring(x, " ", "  "))
+        return pc.ascii_trim(pc.replace_substring_regex(_respelled(wide), " +", " "), " ")
+
+    return replaced_where(out, pc.match_substring_regex(padded(out), VARIANT), respelled)
+
+
+def text_forms(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(forms of the texts, forms of their lines that are not empty, bounds of each text in those)."""
+    lists = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
+    forms = line_forms(lists.flatten())
+    filled = pc.not_equal(forms, "")
+    count = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    bounds = count[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
+    forms = forms.filter(filled)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), forms), pa.scalar(" ", pa.large_string())), forms, bounds
+
+
+@F.arrow_udf(T.StringType())
+def _canonical(text: pa.Array) -> pa.Array:
+    return text_forms(text)[0].cast(pa.string())
+
+
 def canonical(text: Column) -> Column:
     """Words of the text in lower case, joined by single spaces, without copyright lines and in one spelling."""
-    lower = ascii_lower(F.coalesce(text, F.lit("")))
-    words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, ""), NO_WORD, "  "), F.lit(" "))
-    for variant, form in SPELLINGS.items():
-        if variant != form:
-            words = F.replace(words, F.lit(f" {variant} "), F.lit(f" {form} "))
-    return stripped(F.regexp_replace(words, " +", " "))
+    return _canonical(text)
+
+
+def sha(form: str) -> str:
+    return hashlib.sha256(form.encode()).hexdigest()
+
+
+def digests(docs: DataFrame, ident: str, text: str, word_counts: set[int]) -> DataFrame:
+    """(id, k, t, digest, lines): digest of the whole form, and of the lines that have one of ``word_counts`` words."""
+    schema = T.StructType([
+        T.StructField("id", docs.schema[ident].dataType), T.StructField("k", T.LongType()), T.StructField("t", T.LongType()),
+        T.StructField("digest", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType()))])
+    counts = np.array(sorted(word_counts), np.int64)
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole, forms, bounds = text_forms(batch.column(3))
+            right = np.isin(pc.count_substring(forms, " ").to_numpy(zero_copy_only=False) + 1, counts)
+            marks = [sha(x) for x in forms.filter(pa.array(right)).to_pylist()]
+            place = np.concatenate([[0], np.cumsum(right)])[bounds].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(place), pa.array(marks, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([sha(x) for x in whole.to_pylist()]), lists], names=schema.names)
 
-def digest(text: Column) -> Column:
-    return F.sha2(F.encode(canonical(text), "UTF-8"), 256)
+    keys = [c.alias(n) for c, n in zip(row_key(ident, text), ("k", "t"), strict=True)]
+    return small_batches(docs).select(F.col(ident).alias("id"), *keys, F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """(digest, license), one row per digest."""
+    """(digest, license, n_words), one row per digest."""
     table = spark.createDataFrame([(i, t) for i, _, t in (KNOWN if known is None else known)], "license string, body string")
-    return table.select(digest(F.col("body")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    formed = cut_lineage(table.select("license", canonical(F.col("body")).alias("form")))
+    return formed.groupBy(F.sha2(F.encode("form", "UTF-8"), 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.size(F.split("form", " "))).alias("n_words"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,13 +190,15 @@ def scan_licenses(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text
 
     ``license``: the entire text is a known licence, else null. The lines (at \\n) that are known notices are counted, their
     licences listed once each, sorted and joined by commas. A null, empty or all-punctuation text has the digest of the
-    empty form and no licence. Equal rows get equal answers; empty tables stay empty; other columns are not read.
+    empty form and no licence. Equal rows get equal answers; empty tables stay empty; other columns are not read. The driver
+    sees the distinct word counts of the known texts.
     """
     known = cut_lineage(known)
-    rows = docs.select(F.col(ident).alias("id"), *row_key(ident, text), F.col(text).alias("text"))
-    lines = rows.select("__k", "__t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    found = (lines.select("__k", "__t", "pos", digest(F.col("line")).alias("digest")).join(known, "digest")
-             .groupBy("__k", "__t").agg(F.count_distinct("pos").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names")))
-    whole = rows.select("id", "__k", "__t", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
-    return whole.join(cut_lineage(found), ["__k", "__t"], "left").select(
+    word_counts = {r["n_words"] for r in known.select("n_words").distinct().collect()}
+    names = known.select("digest", "license")
+    rows = cut_lineage(digests(docs, ident, text, word_counts))
+    lines = rows.where(F.size("lines") > 0).select("k", "t", F.posexplode("lines").alias("pos", "digest"))
+    found = lines.join(names, "digest").groupBy("k", "t").agg(F.count_distinct("pos").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"))
+    whole = rows.select("id", "k", "t", "digest").join(names, "digest", "left")
+    return whole.join(cut_lineage(found), ["k", "t"], "left").select(
         "id", "digest", "license", F.coalesce("n", F.lit(0).cast("long")).alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
