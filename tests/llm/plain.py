@@ -58,9 +58,9 @@ def shingles(text, size=2):
     return frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def components(docs, per_cent=80):
+def components(docs, per_cent=80, size=2):
     """[(id, text)] with distinct ids -> {id: (n_shingles, component)}"""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     parent = {i: i for i in sets}
 
     def root(i):

@@ -27,7 +27,7 @@ def test_stages(spark, base, tmp_path):
             passing = {i for i in good & set(texts) if counts[i][0] >= 50 and 2 * counts[i][4] <= counts[i][0]}
             assert len(passing - set(ids)) <= 0.01 * len(passing)
         elif name == "near_dedup":
-            assert set(ids) == {i for i, (_, c) in plain.components(texts.items()).items() if i == c} and max(ids.values()) == 1
+            assert set(ids) == {i for i, (_, c) in plain.components(texts.items(), size=5).items() if i == c} and max(ids.values()) == 1
         elif name == "decontaminate":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()]
             assert set(ids) == {w[0] for w in plain.contamination(texts.items(), items) if not w[2]}
