@@ -50,7 +50,8 @@ def mean_pool(encoded: DataFrame, key: str, table: DataFrame, dims: int) -> Data
     # a running mean per key: the vectors of a long text are never gathered
     vectors = table.select("id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("v"))
     summed = flat.join(vectors, "id").groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m"))
-    return encoded.select(key).join(summed, key, "left").select(key, F.coalesce(vector_to_array("m"), zero).alias("vector"))
+    # the zero vector takes the place of a missing mean before the conversion, which takes no nulls
+    return encoded.select(key).join(summed, key, "left").select(key, vector_to_array(F.coalesce("m", array_to_vector(zero))).alias("vector"))
 
 
 def substring_search(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
