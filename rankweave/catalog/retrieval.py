@@ -46,6 +46,17 @@ def ann(spark, sf):
     return knn.ann_topk(v, v, 10, pivots=32, probes=8).withColumn("score", r6("score"))
 
 
+@query("V3_ann_recall", f"""WITH {SQL_V},
+p AS (SELECT id, vec, row_number() OVER (ORDER BY id) - 1 AS cell FROM (SELECT id, vec FROM v ORDER BY {sql_md5(7, 'id')} LIMIT 32)),
+near AS MATERIALIZED (SELECT v.id, cell, row_number() OVER (PARTITION BY v.id ORDER BY round(list_dot_product(v.vec, p.vec), 9) DESC, cell) AS r FROM v, p),
+t AS (SELECT a.id AS q, b.id AS item, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.vec, b.vec), 9) DESC, b.id) AS o FROM v a, v b WHERE a.id % 100 = 0 QUALIFY o <= 10),
+w AS (SELECT o.r FROM t JOIN near h ON h.id = t.item AND h.r = 1 JOIN near o ON o.id = t.q AND o.cell = h.cell)
+SELECT CAST(n AS INTEGER) AS probes, {q6('(SELECT count(*) FROM w WHERE r <= n) / (SELECT count(*) FROM w)')} AS recall FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM p))) AS n)""")
+def ann_recall(spark, sf):
+    v = vectors(spark, sf)
+    return knn.probe_recall(v.where(F.col("id") % 100 == 0), v, 10, pivots=32).withColumn("recall", r6("recall"))
+
+
 @query("V4_pairwise_paired_cosine", f"WITH {SQL_V} SELECT a.id, {q6('list_cosine_similarity(a.vec, b.vec)')} AS score FROM v a JOIN v b ON b.id = (a.id + 1) % a.n")
 def paired(spark, sf):
     v = vectors(spark, sf)
@@ -139,10 +150,11 @@ def merge(spark, sf):
 
 
 @query("V12_adaptive_k", f"""WITH {SQL_BM25}, s AS (SELECT query_id, rank, score, lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS nxt, count(*) OVER (PARTITION BY query_id) AS n FROM bm_ranked WHERE rank <= 20),
-g AS (SELECT query_id, n, rank, row_number() OVER (PARTITION BY query_id ORDER BY round((score - nxt) * score, 12) DESC NULLS LAST, rank) AS o FROM s WHERE rank >= 2)
-SELECT query_id, rank AS k FROM g WHERE o = 1""")
+g AS (SELECT query_id, n, rank, row_number() OVER (PARTITION BY query_id ORDER BY round((score - nxt) * score, 12) DESC NULLS LAST, rank) AS o FROM s WHERE rank >= 2),
+k AS (SELECT query_id, max(n) AS n, max(CASE WHEN o = 1 THEN rank END) AS k FROM (SELECT query_id, n, NULL AS rank, NULL AS o FROM s UNION ALL SELECT * FROM g) GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 0 WHEN n <= 2 THEN n ELSE k END AS k FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN k ON k.query_id = b.item_id""")
 def adaptive(spark, sf):
-    return fusion.adaptive_k(bm25_ranking(spark, sf, 20), min_k=2, max_k=20)
+    return fusion.adaptive_k(bm25_ranking(spark, sf, 20), min_k=2, max_k=20, queries=benchmark(spark, sf))
 
 
 def part_tags(spark, sf):
@@ -237,7 +249,7 @@ def model_rerank(spark, sf):
 
 
 @query("V18_build_indices", f"""WITH {SQL_BM25}, {SQL_TAGS}, {SQL_V}
-SELECT 'lexical_postings' AS index_name, (SELECT count(*) FROM post) AS n_rows UNION ALL SELECT 'lexical_terms', (SELECT count(*) FROM idf) UNION ALL SELECT 'dense', (SELECT count(*) FROM v)
+SELECT 'lexical_documents' AS index_name, (SELECT count(*) FROM documents) AS n_rows UNION ALL SELECT 'lexical_stats', 1 UNION ALL SELECT 'lexical_terms', (SELECT count(*) FROM idf) UNION ALL SELECT 'dense', (SELECT count(*) FROM v)
 UNION ALL SELECT 'inverse_tag', (SELECT sum(ceil(c / 1000.0))::BIGINT FROM (SELECT count(*) AS c FROM it GROUP BY tag)) UNION ALL SELECT 'tag_vector', (SELECT count(DISTINCT tag) FROM it) UNION ALL SELECT 'query_cache', (SELECT count(*) FROM benchmark)""")
 def indices(spark, sf):
     paths = rt.build_indices(documents(spark, sf), part_tags(spark, sf), vectors(spark, sf), tag_vectors(spark, sf), benchmark(spark, sf), shared_folder(spark, "indices"))
@@ -246,3 +258,9 @@ def indices(spark, sf):
         counted = spark.read.parquet(path).agg(F.lit(name).alias("index_name"), F.count(F.lit(1)).alias("n_rows"))
         out = counted if out is None else out.unionByName(counted)
     return out
+
+
+@query("V18_search_stored_index", f"WITH {SQL_BM25} SELECT query_id, doc_id, {q6('score')} AS score, rank FROM bm_ranked WHERE rank <= 10")
+def stored_search(spark, sf):
+    path = rt.build_lexical_index(documents(spark, sf), shared_folder(spark, "lexical"))
+    return lx.bm25_search(rt.open_lexical_index(spark, path), benchmark(spark, sf), "text", 10).select("query_id", "doc_id", r6("score").alias("score"), "rank")

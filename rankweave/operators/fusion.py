@@ -53,9 +53,10 @@ def final_merge(exact: DataFrame, reranked: DataFrame, fused: DataFrame, top: in
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "item_id", F.col("p.stage").alias("stage"), "rank")
 
 
-def adaptive_k(ranked: DataFrame, min_k: int = 1, max_k: int | None = None, query: str = "query_id") -> DataFrame:
+def adaptive_k(ranked: DataFrame, min_k: int = 1, max_k: int | None = None, query: str = "query_id", queries: DataFrame | None = None) -> DataFrame:
     """Length at which to cut each score list: the largest gap to the next score, weighted by the score.
 
+    ``queries`` names all queries: one without any result is cut at 0.
     The list is read by ``rank``; the next score comes from an equi-join on rank + 1, so a very
     long list is not sorted in one task.
     """
@@ -67,10 +68,13 @@ def adaptive_k(ranked: DataFrame, min_k: int = 1, max_k: int | None = None, quer
     gap = F.round((F.col("score") - F.col("next")) * F.col("score"), 12)
     joined = here.join(after, [query, "rank"], "left")
     usable = F.col("next").isNotNull() & (F.col("rank") >= min_k)
-    return joined.groupBy(query).agg(
+    cut = joined.groupBy(query).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(usable, F.struct((-gap).alias("g"), F.col("rank").alias("r"))))["r"].alias("elbow"),
     ).select(query, F.when(F.col("n") <= min_k, F.col("n")).otherwise(F.coalesce("elbow", F.lit(min_k))).cast("long").alias("k"))
+    if queries is None:
+        return cut
+    return queries.select(query).distinct().join(cut, query, "left").select(query, F.coalesce("k", F.lit(0).cast("long")).alias("k"))
 
 
 def cut_at_k(ranked: DataFrame, chosen: DataFrame, query: str = "query_id") -> DataFrame:
@@ -80,16 +84,11 @@ def cut_at_k(ranked: DataFrame, chosen: DataFrame, query: str = "query_id") -> D
 def inverse_tag_index(item_tags: DataFrame, popularity: str, size: int = 1000) -> DataFrame:
     """(tag, part, items): the items of a tag by falling popularity, then id, in parts of at most ``size``.
 
-    Places are found in two steps, so that neither many popularity values nor one value shared by
-    very many items gathers a tag in one task: first the place where each (tag, popularity) begins,
-    then the place of an item among its equals.
+    Places come from ranges over (tag, popularity, item), so neither a hot tag nor a popularity that very many
+    items share is gathered in one task.
     """
     pairs = item_tags.groupBy("tag", "item_id").agg(F.max(popularity).alias("pop"))
-    steps = pairs.groupBy("tag", "pop").agg(F.count(F.lit(1)).alias("n"))
-    begins = skew.running_count(steps, ["tag"], [F.col("pop").desc()], F.floor(-F.col("pop")), F.col("n"), "upto")
-    begins = begins.select("tag", "pop", (F.col("upto") - F.col("n")).alias("before"))
-    equals = skew.ordinal(pairs, ["tag", "pop"], [F.col("item_id")], skew.coarse_id(pairs, "item_id"), "nth")
-    placed = equals.join(begins, ["tag", "pop"]).withColumn("place", F.col("before") + F.col("nth"))
+    placed = skew.numbered(pairs, [F.col("pop").desc(), F.col("item_id")], "place", ["tag"])
     return skew.pack_numbered(placed, ["tag"], F.col("item_id"), F.col("place"), "items", size)
 
 

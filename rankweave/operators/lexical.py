@@ -1,9 +1,8 @@
 """Sparse retrieval: BM25, fielded BM25, word overlap and given term weights.
 
-All of them are one plan: postings stay grouped by document, the (smaller) query terms are
-joined onto them, scores are summed per (document, query) and cut to the top k before anything
-is sent to the query's task. A frequent term is never gathered in one place: its postings lie
-with their documents, and a join that has to shuffle is split by the adaptive skew join.
+All of them are one plan: a document is one row of distinct terms and counts, the (smaller) query terms are shipped to the
+documents, and each task returns k documents per query (see ``postings``). Document frequencies and mean lengths are
+aggregates of the same stored rows, so a text is tokenised once.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import explode_tokens, tokenize_space, tokenize_words
+from rankweave.operators import postings as ps
 from rankweave.session import cut_lineage
 
 # The default English stop words of the lexical index.
@@ -30,45 +30,57 @@ def content_tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Colu
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))
 
 
+def frequencies(lists: DataFrame) -> DataFrame:
+    """(term, df) of stored term lists."""
+    return explode_tokens(lists, [], F.col("terms")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_size(lists: DataFrame, fields: int = 1) -> tuple[int, list[float]]:
+    """Number of documents and the mean length of every field."""
+    n, *means = lists.agg(F.count(F.lit(1)), *[F.avg(F.col("lengths")[i]) for i in range(fields)]).first()
+    return n, [m or 1.0 for m in means]
+
+
+def idf(n: int) -> Column:
+    df = F.col("df").cast("double")
+    return F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5))
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    """``postings`` (doc_id, term, saturation: the weight without idf) and ``terms`` (term, df, idf)."""
+    """``lists``: one row a document (see ``postings.term_lists``); ``terms``: (term, df, idf)."""
 
-    postings: DataFrame
+    lists: DataFrame
     terms: DataFrame
+    mean_length: float
+    k1: float
+    b: float
+
+    @property
+    def weigh(self) -> ps.Weigh:
+        return ps.bm25_weigh([self.mean_length], self.k1, self.b)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, term, saturation: the weight without idf), one row a posting."""
+        flat = self.lists.select("doc_id", F.col("lengths")[0].alias("length"), F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+        tf = F.col("p.counts").cast("double")
+        share = tf / (tf + F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("length") / F.lit(self.mean_length)))
+        return flat.select("doc_id", F.col("p.terms").alias("term"), share.alias("saturation"))
 
     def weighted(self) -> DataFrame:
         return self.postings.join(self.terms, "term").select("doc_id", "term", (F.col("idf") * F.col("saturation")).alias("weight"))
 
 
-def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str], only_terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf, length). ``only_terms`` drops other words before they are counted; length is of the whole text."""
-    tokens = docs.select("doc_id", content_tokens(F.col(text), stop_words).alias("tokens"))
-    flat = explode_tokens(tokens, ["doc_id", F.size("tokens").alias("length")], F.col("tokens"))
-    if only_terms is not None:
-        flat = flat.join(only_terms, "term", "left_semi")
-    return flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def bm25_index(docs: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, stop_words: Sequence[str] = STOP_WORDS) -> Bm25Index:
+    """Index ``docs`` (doc_id, text) in one pass over the texts; document ids must be unique."""
+    return bm25_of(cut_lineage(ps.term_lists(docs, {"": tokenize_words(F.col(text))}, stop_words)), k1, b)
 
 
-def saturation(mean_length: Column, k1: float, b: float) -> Column:
-    """BM25 weight of a posting (tf, length) without idf."""
-    tf = F.col("tf").cast("double")
-    return tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("length") / mean_length))
-
-
-def bm25_index(docs: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, stop_words: Sequence[str] = STOP_WORDS) -> Bm25Index:
-    """Index ``docs`` (doc_id, text); document ids must be unique."""
-    tokens = docs.select("doc_id", content_tokens(F.col(text), stop_words).alias("tokens"))
-    corpus = tokens.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length")).alias("c")).scalar()
-    counts = term_counts(docs, text, stop_words)
-    postings = counts.withColumn("corpus", corpus).select("doc_id", "term", saturation(F.col("corpus.mean_length"), k1, b).alias("saturation"))
-    df = F.col("df").cast("double")
-    words = explode_tokens(tokens, [], F.array_distinct("tokens"))
-    terms = (
-        words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("corpus", corpus)
-        .select("term", "df", F.log1p((F.col("corpus.n") - df + 0.5) / (df + 0.5)).alias("idf"))
-    )
-    return Bm25Index(postings, terms)
+def bm25_of(lists: DataFrame, k1: float = 1.2, b: float = 0.75) -> Bm25Index:
+    """The index over stored term lists of one field."""
+    n, (mean_length,) = corpus_size(lists)
+    return Bm25Index(lists, frequencies(lists).select("term", "df", idf(n).alias("idf")), mean_length, k1, b)
 
 
 def query_terms(queries: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -82,20 +94,17 @@ def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "query_i
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_scores(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Dot product over shared terms of (query_id, term, q_weight) and (doc_id, term, d_weight)."""
-    product = F.sum(F.col("q_weight") * F.col("d_weight")).alias("score")
-    return postings.join(terms, "term").groupBy("doc_id", "query_id").agg(product)
-
-
 def sparse_topk(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    return top_k(sparse_scores(terms, postings), k)
+    """Best ``k`` by the dot product over shared terms of (query_id, term, q_weight) and (doc_id, term, d_weight)."""
+    terms = cut_lineage(terms)
+    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    return top_k(ps.best_documents(ps.given_weights(asked), terms, k), k)
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, text: str, k: int, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """idf travels with the few query terms, so postings are never joined with the whole vocabulary."""
     terms = query_terms(queries, text, stop_words).join(index.terms, "term").select("query_id", "term", F.col("idf").alias("q_weight"))
-    return sparse_topk(terms, index.postings.withColumnRenamed("saturation", "d_weight"), k)
+    return top_k(ps.best_documents(index.lists, terms, k, index.weigh), k)
 
 
 def per_distinct_text(queries: DataFrame, text: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -110,51 +119,56 @@ def per_distinct_text(queries: DataFrame, text: str, search: Callable[[DataFrame
 def bm25_search_docs(docs: DataFrame, queries: DataFrame, text: str, k: int, k1: float = 1.2, b: float = 0.75, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Search without a stored index, for a batch of queries; equal query texts are searched once.
 
-    One pass measures the corpus, one counts only the words that some query asks for. The counts are
-    stored, since document frequencies and scores both read them, and so are the query terms with
-    their idf: the planner then sees how small they are and broadcasts them, so that postings stay
-    with their documents and no (query, document) pair is shuffled before it is summed.
+    One pass over the texts counts the words that some query asks for (all words, if those asked for are too many to be shipped)
+    and measures the documents. Document frequencies, mean length and scores come from these rows.
     """
-    corpus = docs.select(content_tokens(F.col(text), stop_words).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean_length")).first()
-    n, mean_length = corpus["n"], corpus["mean_length"] or 1.0
-
     def search(asked: DataFrame) -> DataFrame:
         terms = cut_lineage(query_terms(asked, text, stop_words))
-        counts = cut_lineage(term_counts(docs, text, stop_words, terms.select("term").distinct()))
-        df = F.count(F.lit(1)).cast("double")
-        idf = counts.groupBy("term").agg(F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5)).alias("q_weight"))
-        weighted = cut_lineage(terms.join(idf, "term").select("query_id", "term", "q_weight"))
-        postings = counts.select("doc_id", "term", saturation(F.lit(mean_length), k1, b).alias("d_weight"))
-        return sparse_topk(weighted, postings, k)
+        lists = cut_lineage(ps.term_lists(docs, {"": tokenize_words(F.col(text))}, stop_words, ps.distinct_terms(terms)))
+        return bm25_search_terms(bm25_of(lists, k1, b), terms, k)
 
     return per_distinct_text(queries, text, search)
 
 
+def bm25_search_terms(index: Bm25Index, terms: DataFrame, k: int) -> DataFrame:
+    weighted = terms.join(index.terms, "term").select("query_id", "term", F.col("idf").alias("q_weight"))
+    return top_k(ps.best_documents(index.lists, weighted, k, index.weigh), k)
+
+
 def fielded_bm25(docs: DataFrame, boosts: Mapping[str, float], queries: DataFrame, text: str, exact_field: str, k: int, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Boosted sum of one BM25 score per field; documents whose ``exact_field`` equals the query come first."""
-    parts = None
-    for name, boost in boosts.items():
-        index = bm25_index(docs.select("doc_id", F.col(name).alias("t")), "t", stop_words=stop_words)
-        terms = query_terms(queries, text, stop_words).join(index.terms, "term").select(
-            "query_id", F.concat(F.lit(name + ":"), F.col("term")).alias("term"), (F.col("idf") * F.lit(float(boost))).alias("q_weight"))
-        postings = index.postings.select("doc_id", F.concat(F.lit(name + ":"), F.col("term")).alias("term"), F.col("saturation").alias("d_weight"))
-        parts = (terms, postings) if parts is None else (parts[0].unionByName(terms), parts[1].unionByName(postings))
-    scored = sparse_scores(*parts)
-    named = docs.select(F.col("doc_id"), F.lower(F.trim(exact_field)).alias("__name"))
-    asked = queries.select("query_id", F.lower(F.trim(text)).alias("__name"))
-    exact = named.join(asked, "__name").select("doc_id", "query_id").withColumn("is_exact", F.lit(1))
-    merged = scored.join(exact, ["doc_id", "query_id"], "full").select(
-        "query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("is_exact", F.lit(0)).alias("is_exact"))
+    """Boosted sum of one BM25 score per field; documents whose ``exact_field`` equals the query come first.
+
+    The name of a document is one more field of a single term. Exact matches are searched on their own, as documents that
+    hold the query's name, so they surface however little they score.
+    """
+    name = lambda c: F.lower(F.trim(c))
+    marks = {f"{field}:": tokenize_words(F.col(field)) for field in boosts}
+    lists = cut_lineage(ps.term_lists(docs, {**marks, "=": F.array_compact(F.array(name(exact_field)))}, stop_words, whole=["="]))
+    n, means = corpus_size(lists, len(marks) + 1)
+    known = frequencies(lists.select(F.filter("terms", lambda t: ~F.startswith(t, F.lit("="))).alias("terms"))).select("term", idf(n).alias("idf"))
+    words = query_terms(queries, text, stop_words)
+    terms = None
+    for field, boost in boosts.items():
+        own = words.select("query_id", F.concat(F.lit(f"{field}:"), F.col("term")).alias("term")).join(known, "term").select(
+            "query_id", "term", (F.col("idf") * F.lit(float(boost))).alias("q_weight"))
+        terms = own if terms is None else terms.unionByName(own)
+    weigh = ps.bm25_weigh(means, 1.2, 0.75)
+    scored = ps.best_documents(lists, terms, k, weigh)
+    asked = queries.where(F.col(text).isNotNull()).select("query_id", F.concat(F.lit("="), name(text)).alias("term"), F.lit(0.0).alias("q_weight"), F.lit(True).alias("required"))
+    exact = ps.best_documents(lists, terms.withColumn("required", F.lit(False)).unionByName(asked), k, weigh)
+    both = scored.withColumn("is_exact", F.lit(0)).unionByName(exact.withColumn("is_exact", F.lit(1)))
+    merged = both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max("is_exact").alias("is_exact"))
     return top_k(merged, k, first=[F.col("is_exact").desc()])
 
 
 def overlap_topk(queries: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
     """Number of shared distinct whitespace words."""
-    words = F.array_distinct(tokenize_space(F.col(text)))
-    d = explode_tokens(docs, ["doc_id"], words).withColumn("d_weight", F.lit(1))
+    words = tokenize_space(F.col(text))
 
     def search(asked: DataFrame) -> DataFrame:
-        q = cut_lineage(explode_tokens(asked, ["query_id"], words).withColumn("q_weight", F.lit(1)))
-        return sparse_topk(q, d, k)
+        q = cut_lineage(explode_tokens(asked, ["query_id"], F.array_distinct(words)).withColumn("q_weight", F.lit(1.0)))
+        lists = ps.term_lists(docs, {"": words}, only=ps.distinct_terms(q))
+        found = ps.best_documents(lists, q, k, lambda counts, lengths, sizes: (counts > 0).astype(float))
+        return top_k(found.withColumn("score", F.col("score").cast("long")), k)
 
     return per_distinct_text(queries, text, search)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import tokenize_space
@@ -110,25 +110,63 @@ def run_cascade(config: Mapping, docs: DataFrame, queries: DataFrame, retrievers
     return fusion.final_merge(none, head, fused, config["top_k"])
 
 
-def build_indices(docs: DataFrame, item_tags: DataFrame, vectors: DataFrame, tag_vectors: DataFrame, cache: DataFrame, path: str) -> Mapping[str, str]:
-    """Write the lexical, dense, inverse-tag, tag-vector and cache tables; returns their paths.
+#: files that a stored table is cut into by the hash of its key
+BUCKETS = 64
+
+
+def write_clustered(table: DataFrame, path: str, key: str, buckets: int = BUCKETS, name: str | None = None) -> str:
+    """Write ``table`` clustered by a unique ``key``: one file a bucket, sorted inside. Returns the path.
+
+    With a ``name`` the table is also known to the catalogue with its buckets, so joins of two such tables on their keys are
+    planned without a shuffle.
+    """
+    placed = table.repartition(buckets, key).sortWithinPartitions(key)
+    if name is None:
+        placed.write.mode("overwrite").parquet(path)
+    else:
+        placed.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return path
+
+
+def build_lexical_index(docs: DataFrame, path: str, prefix: str | None = None, buckets: int = BUCKETS) -> str:
+    """Store a BM25 index: one row a document with its terms and counts, the terms, and the corpus statistics.
 
-    Postings are bucketed by document through their partitioning, terms stay one small table.
+    A search reads the document rows where they lie (see ``postings``), so it shuffles no posting.
     """
     index = lx.bm25_index(docs, "text")
+    named = lambda part: f"{prefix}_lexical_{part}" if prefix else None
+    write_clustered(index.lists, f"{path}/lexical_documents", "doc_id", buckets, named("documents"))
+    write_clustered(index.terms, f"{path}/lexical_terms", "term", buckets, named("terms"))
+    stats = [(index.mean_length, index.k1, index.b)]
+    docs.sparkSession.createDataFrame(stats, "mean_length double, k1 double, b double").write.mode("overwrite").parquet(f"{path}/lexical_stats")
+    return path
+
+
+def open_lexical_index(spark: SparkSession, path: str) -> lx.Bm25Index:
+    stats = spark.read.parquet(f"{path}/lexical_stats").first()
+    return lx.Bm25Index(spark.read.parquet(f"{path}/lexical_documents"), spark.read.parquet(f"{path}/lexical_terms"), stats["mean_length"], stats["k1"], stats["b"])
+
+
+def build_indices(docs: DataFrame, item_tags: DataFrame, vectors: DataFrame, tag_vectors: DataFrame, cache: DataFrame, path: str,
+                  prefix: str | None = None, buckets: int = BUCKETS) -> Mapping[str, str]:
+    """Write the lexical, dense, inverse-tag, tag-vector and cache tables; returns their paths.
+
+    Tables with a unique key are clustered by it, and with a ``prefix`` registered as bucketed tables ``{prefix}_{name}``. The
+    inverse tag index is sorted by tag instead: a bucket would gather a hot tag.
+    """
+    build_lexical_index(docs, path, prefix, buckets)
     tables = {
-        "lexical_postings": index.postings,
-        "lexical_terms": index.terms,
-        "dense": vectors.select("id", l2_normalize(F.col("vec")).alias("vec")),
-        "inverse_tag": fusion.inverse_tag_index(item_tags, "popularity"),
-        "tag_vector": tag_vectors.select("id", l2_normalize(F.col("vec")).alias("vec")),
-        "query_cache": cache,
+        "dense": (vectors.select("id", l2_normalize(F.col("vec")).alias("vec")), "id"),
+        "inverse_tag": (fusion.inverse_tag_index(item_tags, "popularity"), None),
+        "tag_vector": (tag_vectors.select("id", l2_normalize(F.col("vec")).alias("vec")), "id"),
+        "query_cache": (cache, "query_id"),
     }
-    paths = {}
-    for name, table in tables.items():
-        paths[name] = f"{path}/{name}"
-        table.write.mode("overwrite").parquet(paths[name])
-    return paths
+    for name, (table, key) in tables.items():
+        if key is None:
+            table.sortWithinPartitions("tag", "part").write.mode("overwrite").parquet(f"{path}/{name}")
+        else:
+            write_clustered(table, f"{path}/{name}", key, buckets, f"{prefix}_{name}" if prefix else None)
+    return {name: f"{path}/{name}" for name in ("lexical_documents", "lexical_terms", "lexical_stats", *tables)}
 
 
 def dense_retriever(dims: int, names: Sequence[str] = ("doc_id", "text")) -> Callable[[DataFrame, DataFrame, int], DataFrame]:

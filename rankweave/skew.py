@@ -11,14 +11,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
+from rankweave.session import cut_lineage
 
-def coarse_id(df: DataFrame, column: str, numbers: int = 100_000, letters: int = 4) -> Column:
-    """Consecutive pieces of an id column of any type: ranges of numbers, or leading characters."""
-    if isinstance(df.schema[column].dataType, NumericType):
-        return F.floor(F.col(column) / numbers)
-    return F.coalesce(F.substring(F.col(column).cast("string"), 1, letters), F.lit(""))
+
+def range_pieces(df: DataFrame, order: Sequence[Column], rows: int = 100_000) -> DataFrame:
+    """``df`` in stored, consecutive ranges of ``order``, with its range ``__piece`` and place ``__local`` (from 0) in it.
+
+    The ranges are cut at splitters that Spark samples from the keys themselves, of whatever type, so they hold about ``rows``
+    rows each however the keys are spread (long common prefixes, sparse numbers). Rows that are equal in all of ``order``
+    stay together, so end it with what tells rows apart.
+    """
+    stored = cut_lineage(df)
+    n = max(1, -(-stored.count() // rows))
+    placed = stored.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    # the number is the partition in the high bits, the row in the low 33
+    split = {"__piece": F.shiftright("__m", 33), "__local": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}
+    return cut_lineage(placed.withColumns(split).drop("__m"))
+
+
+def piece_offsets(pieces: DataFrame) -> DataFrame:
+    """(__piece, __before): exact rows in the ranges before each one; one row a range."""
+    before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    return totals.select("__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = (), rows: int = 100_000) -> DataFrame:
+    """1-based place of each row in ``order``, or in it within its key, from one range shuffle.
+
+    Rows are placed in their range, ranges by their exact counts; a key starts at the least place of its rows, so a hot key
+    is cut into ranges like the rest.
+    """
+    keys = list(keys)
+    pieces = range_pieces(df, [*[F.col(k) for k in keys], *order], rows)
+    out = pieces.join(F.broadcast(piece_offsets(pieces)), "__piece").withColumn(name, F.col("__before") + F.col("__local") + 1).drop("__piece", "__local", "__before")
+    if not keys:
+        return out
+    firsts = out.groupBy(*keys).agg(F.min(name).alias("__first"))
+    return attach(out, firsts, keys).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
 
 
 def coarse_span(df: DataFrame, column: str, rows: int = 100_000) -> Column:
@@ -82,6 +113,14 @@ def pack(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Colu
     return pack_numbered(numbered, keys, F.col("__v"), F.col("__i"), out, size)
 
 
+def pack_ranged(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Column], out: str, size: int = 1000) -> DataFrame:
+    """Ordered lists per key, as ``pack``, from places by ``numbered``: for an order without a natural piece.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, value.alias("__v"), *[o.alias(f"__o{i}") for i, o in enumerate(order)])
+    return pack_numbered(numbered(rows, [F.col(f"__o{i}") for i in range(len(order))], "__i", keys), keys, F.col("__v"), F.col("__i"), out, size)
+
+
 def pack_numbered(df: DataFrame, keys: Sequence[str], value: Column, place: Column, out: str, size: int = 1000) -> DataFrame:
     """``pack`` for rows that already carry their 1-based place within the key."""
     part = F.floor((place - 1) / size).cast("long").alias("part")
