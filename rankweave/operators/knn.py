@@ -10,19 +10,23 @@ count per query) leaves a task, and no table of pairs exists.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import md5_key
 from rankweave.functions.vectors import l2_normalize
 from rankweave.operators.lexical import top_k
+from rankweave.session import cut_lineage
 
 BLOCK = 1024  # rows per block of the replicated side
 WIDE_BLOCK = 16 * BLOCK  # rows per block of the other side: fewer blocks, fewer replicas
 SELF_BLOCK = 4 * BLOCK
+RINGS = 64  # rings of a cell at most; a ring of more rows than a block has several parts
+GUESTS = 2048  # rows that are placed at once
 BROADCAST_BYTES = 32 << 20
 PLACES = 9
 
@@ -207,7 +211,129 @@ def target_rank(queries: DataFrame, items: DataFrame, block: int = BLOCK, broadc
     return counts.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
 
 
-def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK) -> DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """A partition of unit vectors by their nearest pivot, in blocks of bounded size.
+
+    A cell is cut into rings by the angle to its pivot, a ring into parts by a hash of the id. Block b holds rows of cell
+    ``cell[b]`` at angles in [low[b], high[b]]; blocks are numbered by cell, ring and part.
+    """
+
+    pivots: np.ndarray
+    edges: list[np.ndarray]
+    parts: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def fit(rows: DataFrame, block: int, most_pivots: int, seed: int = 7) -> Cells:
+        """Pivots and cell sizes; the driver holds four times ``most_pivots`` vectors and RINGS angles of each pivot."""
+        n = rows.count()
+        wanted = min(most_pivots, max(1, 4 * n // block))
+        pivots = spread_out(np.array([v for _, v in choose_pivots(rows, 4 * wanted, seed)], dtype=np.float64), wanted) if n else np.zeros((1, 1))
+
+        def angles(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    angle = np.arccos(np.clip(_vectors(batch["vec"], batch.num_rows) @ pivots.T, -1.0, 1.0))
+                    home = angle.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(angle[np.arange(len(home)), home])], ["cell", "angle"])
+
+        cuts = F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)], 10 * RINGS)
+        found = rows.select("vec").mapInArrow(angles, "cell long, angle double").groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"), cuts.alias("cuts")).collect()
+        edges, parts = [np.array([0.0, np.pi])] * len(pivots), np.ones(len(pivots), np.int64)
+        for r in found:
+            rings = min(RINGS, -(-r["n"] // block))
+            inner = sorted({r["cuts"][i * RINGS // rings - 1] for i in range(1, rings)} - {r["low"], r["high"]})
+            edges[r["cell"]] = np.array([r["low"], *inner, r["high"]])
+            parts[r["cell"]] = -(-r["n"] // (rings * block))
+        sizes = np.array([(len(e) - 1) for e in edges]) * parts
+        return Cells(pivots, edges, parts, np.concatenate([[0], np.cumsum(sizes)]))
+
+    def placed(self, vec: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(angles to all pivots, home cell, home block) of each row; ``ids`` are hashes."""
+        angle = np.arccos(np.clip(vec @ self.pivots.T, -1.0, 1.0))
+        home, block = angle.argmin(axis=1), np.empty(len(vec), np.int64)
+        for c in np.unique(home):
+            own = np.flatnonzero(home == c)
+            ring = np.clip(np.searchsorted(self.edges[c], angle[own, c], "right") - 1, 0, len(self.edges[c]) - 2)
+            block[own] = self.first[c] + ring * self.parts[c] + ids[own] % self.parts[c]
+        return angle, home, block
+
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, low, high) of every block."""
+        cell = np.repeat(np.arange(len(self.pivots)), np.diff(self.first))
+        low = np.concatenate([np.repeat(e[:-1], p) for e, p in zip(self.edges, self.parts, strict=True)])
+        high = np.concatenate([np.repeat(e[1:], p) for e, p in zip(self.edges, self.parts, strict=True)])
+        return cell, low, high
+
+
+def spread_out(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the sampled unit vectors, each the one farthest from those before it: every dense region gets one."""
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def _vectors(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _packs(batches, cells: Cells, reach: float | None) -> Iterator[pa.RecordBatch]:
+    """(block, ids, vecs): the rows of a batch that are at home in a block, or, with ``reach``, its guests.
+
+    A row is a guest of a later block if a vector in there can be nearer to it than ``reach``: its angle to the block's pivot
+    differs from the block's angles by no more than that, and from its angle to its own pivot by no more than twice that.
+    """
+    cell, low, high = cells.layout()
+    number = np.arange(len(cell))
+    for batch in batches:
+        for at in range(0, batch.num_rows, GUESTS):
+            rows = batch.slice(at, GUESTS)
+            vec = _vectors(rows["vec"], rows.num_rows)
+            angle, home, block = cells.placed(vec, rows["hash"].to_numpy())
+            if reach is None:
+                row, target = np.arange(len(block)), block
+            else:
+                picked = [(np.empty(0, np.int64),) * 2]
+                step = max(1, (1 << 22) // len(cell))
+                for i in range(0, len(block), step):
+                    a, own = angle[i:i + step], angle[np.arange(len(block)), home][i:i + step, None]
+                    near = (a <= own + 2 * reach)[:, cell]
+                    wide = a[:, cell]
+                    r, b = np.nonzero(near & (wide >= low - reach) & (wide <= high + reach) & (number > block[i:i + step, None]))
+                    picked.append((r + i, b))
+                row, target = (np.concatenate([p[j] for p in picked]) for j in range(2))
+            order = np.argsort(target, kind="stable")
+            row, target = row[order], target[order]
+            used, first = np.unique(target, return_index=True)
+            edge = np.append(first, len(target))
+            ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), rows["id"].take(pa.array(row)))
+            vecs = pa.array([vec[row[x:y]].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), ids, vecs], ["block", "ids", "vecs"])
+
+
+def pivot_blocks(reps: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096) -> DataFrame:
+    """(q_ids, q_vecs, packs, same): what has to be compared for all pairs of unit vectors with cosine above ``threshold``.
+
+    ``packs`` is a whole block, the q rows some of its guests (``same``: the block itself). Angles are a metric, so a row is
+    copied only to blocks within the threshold's angle of it; how few these are depends on how clustered the vectors are, at
+    worst (vectors spread evenly over all directions) it meets every block once, as in a plain comparison of all blocks.
+    """
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+    stored = cut_lineage(reps.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hash")))
+    cells = stored.sparkSession.sparkContext.broadcast(Cells.fit(stored, block, most_pivots))
+    schema = f"block bigint, ids array<{reps.schema['id'].dataType.simpleString()}>, vecs binary"
+    homes = cut_lineage(stored.mapInArrow(lambda b: _packs(b, cells.value, None), schema).groupBy("block").agg(F.collect_list(F.struct("ids", "vecs")).alias("packs")))
+    guests = stored.mapInArrow(lambda b: _packs(b, cells.value, reach), schema)
+    met = guests.join(homes, "block").select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "packs", F.lit(False).alias("same"))
+    alone = homes.select(F.flatten(F.col("packs.ids")).alias("q_ids"), F.lit(None).cast("binary").alias("q_vecs"), "packs", F.lit(True).alias("same"))
+    return met.unionByName(alone)
+
+
+def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096) -> DataFrame:
     """(src, dst, score) with cosine strictly above ``threshold`` and src < dst.
 
     Equal vectors are first merged: pairs are searched among one representative (lowest id) per
@@ -225,69 +351,109 @@ def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK) -> D
     )
     if threshold >= 1.0:
         copies = copies.limit(0)
-    n = _blocks(df.count(), block)
-    packed = pack_blocks(reps.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))), ["b"], "q")
-    left = packed.withColumn("other", F.explode(F.sequence(F.col("b"), F.lit(n - 1).cast("long"))))
-    right = packed.select(F.col("b").alias("r"), F.col("q_id").alias("c_id"), F.col("q_vec").alias("c_vec"))
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                q_id, c_id = batch["q_id"][i].values, batch["c_id"][i].values
-                scores = np.round(_matrix(batch["q_vec"][i]) @ _matrix(batch["c_vec"][i]).T, PLACES)
+                packs, same = batch["packs"][i].values, batch["same"][i].as_py()
+                c_id = pa.concat_arrays([p.values for p in packs.field("ids")])
+                data = np.frombuffer(b"".join(v.as_py() for v in packs.field("vecs")))
+                c_vec = data.reshape(len(c_id), -1)
+                q_id = batch["q_ids"][i].values
+                q_vec = c_vec if same else np.frombuffer(batch["q_vecs"][i].as_py()).reshape(len(q_id), -1)
+                scores = np.round(q_vec @ c_vec.T, PLACES)
                 hit = scores > threshold
-                if batch["b"][i].as_py() == batch["other"][i].as_py():
+                if same:
                     hit &= np.triu(np.ones(hit.shape, dtype=bool), k=1)
                 r, c = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays([q_id.take(pa.array(r)), c_id.take(pa.array(c)), pa.array(scores[r, c])], ["a", "z", "score"])
 
-    found = left.join(right, F.col("other") == F.col("r")).select("b", "other", "q_id", "q_vec", "c_id", "c_vec").mapInArrow(run, f"a {kind}, z {kind}, score double")
+    found = pivot_blocks(reps, threshold, block, most_pivots).mapInArrow(run, f"a {kind}, z {kind}, score double")
     return found.select(F.least("a", "z").alias("src"), F.greatest("a", "z").alias("dst"), "score").unionByName(copies)
 
 
 def choose_pivots(corpus: DataFrame, pivots: int, seed: int = 7) -> list[tuple[object, list[float]]]:
-    """A bounded md5-ordered sample of the corpus that spans the cells; only these rows reach the driver."""
-    if pivots > 4096:
-        raise ValueError("at most 4096 pivots")
+    """An md5-ordered sample of the corpus that spans the cells; only these rows reach the driver."""
     rows = corpus.select("id", "vec").withColumn("o", md5_key(seed, "id")).orderBy("o").limit(pivots).collect()
     return sorted(((r["id"], list(r["vec"])) for r in rows), key=lambda p: p[0])
 
 
-def assign_cells(df: DataFrame, pivots: Sequence[tuple[object, Sequence[float]]], probes: int) -> DataFrame:
-    """(id, vec, cell) for the ``probes`` nearest pivots of each row."""
-    centers = np.asarray([p[1] for p in pivots], dtype=np.float64)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vec = batch["vec"]
-            scores = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) @ centers.T
-            r, c = _best(scores, probes)
-            rows = pa.array(r)
-            yield pa.RecordBatch.from_arrays([batch["id"].take(rows), vec.take(rows), pa.array(c.astype(np.int64))], ["id", "vec", "cell"])
+def assign_cells(df: DataFrame, pivots: Sequence[tuple[object, Sequence[float]]], probes: int, group: int = 4096) -> DataFrame:
+    """(id, vec, cell, place) for the ``probes`` nearest pivots of each row, the nearest at place 1.
 
+    Pivots beyond ``group`` are compared group by group, and the best of all groups kept.
+    """
     kind, vec_kind = df.schema["id"].dataType.simpleString(), df.schema["vec"].dataType.simpleString()
-    return df.select("id", "vec").mapInArrow(run, f"id {kind}, vec {vec_kind}, cell bigint")
+
+    def nearest(centers: np.ndarray, first: int):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                scores = _vectors(batch["vec"], batch.num_rows) @ centers.T
+                r, c = _best(scores, probes)
+                score = np.round(scores[r, c], PLACES)
+                order = np.lexsort((c, -score, r))
+                place = np.tile(np.arange(1, min(probes, len(centers)) + 1, dtype=np.int32), batch.num_rows)
+                rows = pa.array(r[order])
+                yield pa.RecordBatch.from_arrays([batch["id"].take(rows), batch["vec"].take(rows), pa.array(c[order].astype(np.int64) + first), pa.array(score[order]), pa.array(place)], ["id", "vec", "cell", "score", "place"])
+
+        return run
+
+    found = None
+    for low in range(0, len(pivots), group):
+        centers = np.asarray([p[1] for p in pivots[low:low + group]], dtype=np.float64)
+        part = df.select("id", "vec").mapInArrow(nearest(centers, low), f"id {kind}, vec {vec_kind}, cell bigint, score double, place int")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return df.select("id", "vec", F.lit(0).cast("long").alias("cell"), F.lit(1).alias("place")).limit(0)
+    if len(pivots) <= group:
+        return found.drop("score")
+    order = Window.partitionBy("id").orderBy(F.col("score").desc(), "cell")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= probes).drop("score")
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, probes: int = 4, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """Search only the cells of the ``probes`` nearest pivots; scores inside them are exact.
 
-    A crowded cell is cut into parts of about ``block`` rows that are scored apart.
+    A crowded cell is cut into parts of about ``block`` rows, each a key of its own, and met by its queries
+    part by part. ``probe_recall`` tells what a number of probes finds.
     """
     centers = choose_pivots(corpus, pivots, seed)
-    members = assign_cells(corpus, centers, 1)
-    asked = assign_cells(queries, centers, probes)
-
-    def parts(df: DataFrame) -> Column:
-        # at most one row per pivot comes back
-        sizes = {r["cell"]: _blocks(r["n"], block) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        table = F.create_map(*[F.lit(x).cast("long") for pair in sizes.items() for x in pair])
-        return F.element_at(table, F.col("cell"))
-
-    c = pack_blocks(members.withColumn("cp", F.pmod(F.xxhash64("id"), parts(members))), ["cell", "cp"], "c")
-    q = pack_blocks(asked.withColumn("qp", F.pmod(F.xxhash64("id"), parts(asked))), ["cell", "qp"], "q")
-    pairs = q.join(c, "cell").select("q_id", "q_vec", "c_id", "c_vec")
+    members = cut_lineage(assign_cells(corpus, centers, 1).drop("place"))
+    asked = cut_lineage(assign_cells(queries, centers, probes).drop("place"))
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name))  # a row a pivot
+
+    c_parts = parts(members, "n_c")
+    c = pack_blocks(members.join(F.broadcast(c_parts), "cell").withColumn("cp", F.pmod(F.xxhash64("id"), F.col("n_c"))), ["cell", "cp"], "c")
+    q = pack_blocks(asked.join(F.broadcast(parts(asked, "n_q")), "cell").withColumn("qp", F.pmod(F.xxhash64("id"), F.col("n_q"))), ["cell", "qp"], "q")
+    q = q.join(F.broadcast(c_parts), "cell").withColumn("cp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_c") - 1)))
+    pairs = q.join(c, ["cell", "cp"]).select("q_id", "q_vec", "c_id", "c_vec")
     return top_k(pairs.mapInArrow(_topk_kernel(k), _schema(queries, corpus, "score double")), k, item="item_id")
+
+
+def probe_recall(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, seed: int = 7) -> DataFrame:
+    """(probes, recall): the share of the exact ``k`` nearest items of ``queries`` that each number of probes finds.
+
+    An item is found if its cell is among the probed ones, so one exact search tells the recall of every number of probes.
+    """
+    centers = choose_pivots(corpus, pivots, seed)
+    exact = exact_topk(queries.select("id", "vec"), corpus.select("id", "vec"), k).select("query_id", F.col("item_id").alias("id"))
+    home = assign_cells(corpus.join(exact.select("id").distinct(), "id", "left_semi"), centers, 1).select("id", "cell")
+    order = assign_cells(queries, centers, len(centers)).select(F.col("id").alias("query_id"), "cell", "place")
+    wanted = exact.join(home, "id").join(order, ["query_id", "cell"])
+    counts = wanted.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("probes").rowsBetween(Window.unboundedPreceding, 0)  # a row a pivot
+    steps = queries.sparkSession.range(1, len(centers) + 1).select(F.col("id").cast("int").alias("probes"))
+    filled = steps.join(counts, steps["probes"] == counts["place"], "left").select("probes", F.coalesce("n", F.lit(0)).alias("n"))
+    total = filled.agg(F.sum("n")).first()[0] or 0
+    return filled.select("probes", (F.sum("n").over(upto) / F.lit(float(max(1, total)))).alias("recall"))
+
+
+def probes_for_recall(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.9, pivots: int = 64, seed: int = 7) -> int:
+    """The least number of probes that finds ``recall`` of the exact answers of the (sampled) ``queries``."""
+    found = probe_recall(queries, corpus, k, pivots, seed).where(F.round("recall", PLACES) >= recall).agg(F.min("probes")).first()[0]
+    return found or pivots
