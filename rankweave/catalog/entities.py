@@ -114,21 +114,34 @@ def extract(spark, sf):
     return found.select("id", "label", "part", F.array_join("values", "|").alias("values"))
 
 
-@query("V17_query_understanding", f"""WITH {SQL_EX}, q AS (SELECT id AS query_id, text FROM ex),
+SQL_NAMED = f"""{SQL_EX}, q AS (SELECT id AS query_id, text FROM ex),
 g AS (SELECT DISTINCT lower(trim(p_name)) AS value, 'MERCHANT' AS label FROM part WHERE length(p_name) > 4 UNION SELECT DISTINCT lower(n_name), 'LOCATION' FROM nation WHERE length(n_name) > 4),
-h AS (SELECT DISTINCT query_id, label, value FROM q, g WHERE contains(' ' || text || ' ', ' ' || value || ' ')),
+h AS MATERIALIZED (SELECT DISTINCT query_id, label, value FROM q, g WHERE contains(' ' || text || ' ', ' ' || value || ' ')),
+es AS MATERIALIZED (SELECT query_id, string_agg(label || '=' || value, '; ' ORDER BY label, value) AS entities FROM h GROUP BY 1)"""
+
+
+def named(spark, sf):
+    asked = examples(spark, sf).select(F.col("id").alias("query_id"), "text")
+    return en.entity_sets(en.understand_queries(asked, part_gazetteer(spark, sf)))
+
+
+def _entity_text():
+    return F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["label"], e["value"])), "; ").alias("entities")
+
+
+@query("V17_query_entities", f"WITH {SQL_NAMED} SELECT query_id, entities FROM es")
+def query_entities(spark, sf):
+    return named(spark, sf).select("query_id", _entity_text())
+
+
+@query("V17_query_understanding", f"""WITH {SQL_NAMED},
 iv AS (SELECT p_partkey AS item_id, 'MERCHANT' AS label, lower(p_name) AS value FROM part UNION ALL SELECT p_partkey, 'LOCATION', lower(n_name) FROM part JOIN nation ON n_nationkey = {sql_hash(13, 'p_partkey')} % 25),
-c AS (SELECT query_id, (query_id + j) % (SELECT count(*) FROM part) AS item_id FROM q, (SELECT unnest(range(40)) AS j)),
-m AS (SELECT c.query_id, c.item_id, count(DISTINCT h.label) AS n FROM c JOIN h ON h.query_id = c.query_id JOIN iv ON iv.item_id = c.item_id AND iv.label = h.label AND iv.value = h.value GROUP BY 1, 2)
-SELECT c.query_id, c.item_id FROM c LEFT JOIN m ON m.query_id = c.query_id AND m.item_id = c.item_id LEFT JOIN (SELECT query_id, count(DISTINCT label) AS w FROM h GROUP BY 1) k ON k.query_id = c.query_id WHERE coalesce(n, 0) >= coalesce(w, 0)""")
+one AS (SELECT entities, min(query_id) AS query_id FROM es GROUP BY 1),
+w AS (SELECT entities, label, value, count(DISTINCT label) OVER (PARTITION BY entities) AS n FROM one JOIN h USING (query_id))
+SELECT entities, item_id FROM w JOIN iv USING (label, value) GROUP BY 1, 2 HAVING count(DISTINCT label) = any_value(n)""")
 def understanding(spark, sf):
-    asked = examples(spark, sf).select(F.col("id").alias("query_id"), "text")
-    found = en.understand_queries(asked, part_gazetteer(spark, sf))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.lower("n_name").alias("place"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.lower("p_name").alias("name")).withColumn("n", bucket(13, 25, "item_id")).join(nation, "n")
     values = parts.select("item_id", F.explode(F.array(
         F.struct(F.lit("MERCHANT").alias("label"), F.col("name").alias("value")), F.struct(F.lit("LOCATION").alias("label"), F.col("place").alias("value")))).alias("v"))
-    # each request comes with a list of 40 candidate items
-    n = table(spark, sf, "part").agg(F.count(F.lit(1))).scalar()
-    candidates = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j")).select("query_id", ((F.col("query_id") + F.col("j")) % n).alias("item_id"))
-    return en.filter_candidates(candidates, found, values.select("item_id", "v.label", "v.value"))
+    return en.matching_items(named(spark, sf), values.select("item_id", "v.label", "v.value")).select(_entity_text(), "item_id")

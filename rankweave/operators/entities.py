@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankweave import skew
 from rankweave.functions.sampling import bucket
 from rankweave.functions.text import explode_tokens
 from rankweave.functions.vectors import let
+from rankweave.session import cut_lineage
 
 # The query templates; the first slot is a merchant, the second a location.
 TEMPLATES = [
@@ -44,34 +49,45 @@ def template_expand(examples: DataFrame, templates: Sequence[str] = TEMPLATES, s
     return staged.select("id", F.lower(text).alias("text"), F.when(slots == 2, F.array(merchant, place)).otherwise(F.array(merchant)).alias("entities"))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _bio_tags(tokens: pa.Array, entities: pa.Array) -> pa.Array:
+    """Tags of all tokens of a batch: span edges are looked up among the token edges, which are running sums of lengths."""
+    n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    edge = np.concatenate([[0], np.cumsum(n)])
+    length = pc.utf8_length(tokens.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    passed = np.concatenate([[0], np.cumsum(length + 1)])
+    start = passed[:-1] - passed[edge[row]]
+    spans, m = entities.flatten(), pc.fill_null(pc.list_value_length(entities), 0).to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(m)), m) << 32
+    starts, ends = (row << 32) + start, (row << 32) + start + length
+    low, high = (own + pc.fill_null(spans.field(f), -1).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "end"))
+    first, last = np.searchsorted(starts, low), np.searchsorted(ends, high)
+    good = np.flatnonzero((first < len(row)) & (last < len(row)))
+    good = good[(starts[first[good]] == low[good]) & (ends[last[good]] == high[good]) & (first[good] <= last[good])]
+    span_of = np.full(len(row), -1, np.int64)
+    if len(good):
+        size = last[good] - first[good] + 1
+        inside = np.repeat(first[good] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        np.maximum.at(span_of, inside, np.repeat(good, size))  # a later span wins
+    tagged = np.flatnonzero(span_of >= 0)
+    labels = spans.field("label").take(pa.array(span_of[tagged]))
+    opens = np.where(first[span_of[tagged]] == tagged, "B-", "I-").tolist()
+    tags = np.full(len(row), "O", dtype=object)
+    tags[tagged] = [o + label if label is not None else None for o, label in zip(opens, labels.to_pylist(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(tags, pa.string()))
+
+
 def spans_to_bio(df: DataFrame) -> DataFrame:
     """Adds tokens and ner_tags. A span counts when its edges are token edges; a later span wins."""
     tokens = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("edges"))
-    walked = F.aggregate(
-        "tokens", zero,
-        lambda acc, w: F.struct(
-            (acc["at"] + F.length(w) + 1).alias("at"),
-            F.concat(acc["edges"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end")))).alias("edges")),
-        lambda acc: acc["edges"])
-    staged = df.withColumn("tokens", tokens)
-
-    def tags(edges: Column) -> Column:
-        starts, ends = F.transform(edges, lambda e: e["start"]), F.transform(edges, lambda e: e["end"])
-        usable = let(starts, lambda a: let(ends, lambda z: F.filter("entities", lambda s: F.array_contains(a, s["start"]) & F.array_contains(z, s["end"]))))
-        return let(usable, lambda spans: F.transform(edges, lambda edge: tag(spans, edge)))
-
-    def tag(spans: Column, edge: Column) -> Column:
-        last = F.try_element_at(F.filter(spans, lambda s: (edge["start"] >= s["start"]) & (edge["end"] <= s["end"])), F.lit(-1))
-        return let(last, lambda s: F.when(s.isNull(), F.lit("O")).otherwise(F.concat(F.when(edge["start"] == s["start"], F.lit("B-")).otherwise(F.lit("I-")), s["label"])))
-
-    return staged.withColumn("ner_tags", let(walked, tags))
+    return df.withColumn("tokens", tokens).withColumn("ner_tags", _bio_tags(F.coalesce("tokens", F.array().cast("array<string>")), F.col("entities")))
 
 
 def bio_label_ids(df: DataFrame, tags: str = "ner_tags") -> DataFrame:
-    """(label, id): O is 0, the others follow in order; numbered in pieces, so any number of labels will do."""
+    """(label, id): O is 0, the others follow in order; numbered by ranges, so any number of labels will do."""
     labels = explode_tokens(df, [], F.col(tags), "label").where(F.col("label").isNotNull() & (F.col("label") != "O")).distinct()
-    numbered = skew.ordinal(labels, [], [F.col("label")], skew.coarse_id(labels, "label", letters=8), "id")
+    numbered = skew.numbered(labels, [F.col("label")], "id")
     outside = df.sparkSession.range(1).select(F.lit("O").alias("label"), F.lit(0).cast("long").alias("id"))
     return numbered.select("label", F.col("id").cast("long")).unionByName(outside)
 
@@ -113,25 +129,26 @@ def entity_errors(predicted: DataFrame, truth: DataFrame, limit: int | None = No
 
 
 def bio_spans(tags: Column) -> Column:
-    """Spans (start, end, label) over token positions: B- opens, I- of the same type goes on, anything else closes."""
+    """Spans (start, end, label) over token positions: B- opens, I- of the same type goes on, anything else closes.
+
+    A token opens a span or goes on with that of the token before, and is the last of it if the next one does not go on, so the
+    i-th opening token and the i-th last one belong together.
+    """
     kind = lambda t: F.substr(t, F.lit(3))
-    empty = F.struct(F.lit(None).cast("string").alias("open"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def close(acc: Column) -> Column:
-        span = F.struct(acc["start"].alias("start"), acc["at"].alias("end"), acc["open"].alias("label"))
-        return F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
+    def goes_on(before: Column, tag: Column) -> Column:
+        return F.coalesce(F.startswith(tag, F.lit("I-")) & (before != "O") & (kind(before) == kind(tag)), F.lit(False))
 
-    def step(acc: Column, tag: Column) -> Column:
-        goes_on = F.startswith(tag, F.lit("I-")) & acc["open"].isNotNull() & (acc["open"] == kind(tag))
-        opens = (tag != "O") & ~F.coalesce(goes_on, F.lit(False))
-        return F.struct(
-            F.when(tag != "O", kind(tag)).alias("open"),
-            F.when(opens, acc["at"]).otherwise(acc["start"]).alias("start"),
-            (acc["at"] + 1).alias("at"),
-            F.when(F.coalesce(goes_on, F.lit(False)), acc["out"]).otherwise(close(acc)).alias("out"),
-        )
+    def mark(all_tags: Column) -> Column:
+        return F.transform(all_tags, lambda t, i: F.struct(
+            i.alias("at"), kind(t).alias("label"), ((t != "O") & ~goes_on(F.get(all_tags, i - 1), t)).alias("first"),
+            ((t != "O") & ~goes_on(t, F.get(all_tags, i + 1))).alias("last")))
 
-    return F.aggregate(tags, empty, step, close)
+    def spans(marks: Column) -> Column:
+        opened, closed = F.filter(marks, lambda m: m["first"]), F.filter(marks, lambda m: m["last"])
+        return F.zip_with(opened, closed, lambda a, z: F.struct(a["at"].alias("start"), (z["at"] + 1).alias("end"), a["label"].alias("label")))
+
+    return let(let(tags, mark), spans)
 
 
 def bio_metrics(df: DataFrame, predicted: str = "predicted", truth: str = "truth") -> DataFrame:
@@ -153,38 +170,71 @@ def dictionary_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}#&'-]+"), lambda w: w != "")
 
 
-def tag_with_dictionary(texts: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
+#: bytes of dictionary keys that one automaton holds
+KEY_BYTES = 8 << 20
+
+
+def _matcher(shared):
+    """(id, label, value, pos) of a batch of texts, each a string of its words with a blank around every word."""
+    def run(batches):
+        import ahocorasick
+
+        entries = shared.value
+        automaton = ahocorasick.Automaton()
+        for i, (key, *_) in enumerate(entries):
+            automaton.add_word(f" {key} ", i)
+        automaton.make_automaton()
+        for batch in batches:
+            row, entry, place = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                first: dict[int, int] = {}
+                for end, found in automaton.iter(text or ""):
+                    first.setdefault(found, end)
+                if first:
+                    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+                    row += [i] * len(first)
+                    entry += first
+                    place += np.searchsorted(blanks, [end - len(entries[found][0]) - 1 for found, end in first.items()]).tolist()
+            values = [[(r, v, label, p) for v, label in entries[e][1]] for r, e, p in zip(row, entry, place, strict=True)]
+            flat = [x for own in values for x in own]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array([x[0] for x in flat], pa.int64())), pa.array([x[2] for x in flat], pa.string()),
+                pa.array([x[1] for x in flat], pa.string()), pa.array([x[3] for x in flat], pa.int32())], names=["id", "label", "value", "pos"])
+
+    return run
+
+
+def tag_with_dictionary(texts: DataFrame, gazetteer: DataFrame, max_words: int | None = None, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(id, label, value, pos): every dictionary value that occurs as whole words in a text, first position each.
 
     ``texts`` has id, text; ``gazetteer`` value and label. Both sides are cut into words alike, so a value with
-    punctuation is found where its words follow each other, and is returned as the dictionary writes it. Word n-grams, up
-    to the longest value unless ``max_words`` says less, are joined to the dictionary by equality; the skew join splits a
-    value found in very many texts.
+    punctuation is found where its words follow each other, and is returned as the dictionary writes it. All values are
+    matched in one pass over a text by an automaton, however long they are. A dictionary beyond ``key_bytes`` (measured) is cut
+    into groups of that size by a hash, with a pass over the texts each. ``max_words`` leaves out longer values.
     """
-    known = gazetteer.select("value", "label", dictionary_words(F.col("value")).alias("gw")).where(F.size("gw") > 0).distinct()
-    if max_words is None:
-        max_words = known.agg(F.coalesce(F.max(F.size("gw")), F.lit(0))).first()[0]
-    staged = texts.select("id", dictionary_words(F.col("text")).alias("w"))
-    grams = None
-    for n in range(1, max_words + 1):
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-        part = F.transform(starts, _gram(n))
-        grams = part if grams is None else F.concat(grams, part)
-    if grams is None:
-        grams = F.array().cast("array<struct<pos:int,key:string>>")
-    flat = explode_tokens(staged, ["id"], grams, "g").select("id", "g.key", "g.pos")
-    keyed = known.select("value", "label", F.array_join("gw", " ").alias("key"))
-    return flat.join(keyed, "key").groupBy("id", "label", "value").agg(F.min("pos").alias("pos"))
-
-
-def _gram(n: int):
-    return lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("key"))
+    known = gazetteer.select("value", "label", dictionary_words(F.col("value")).alias("gw")).where(F.size("gw") > 0)
+    if max_words is not None:
+        known = known.where(F.size("gw") <= max_words)
+    pairs = known.select(F.array_join("gw", " ").alias("key"), "value", "label").distinct()
+    keyed = cut_lineage(pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("value", "label"))).alias("values")))
+    size = keyed.agg(F.sum(F.octet_length("key") + F.aggregate("values", F.lit(0), lambda a, v: a + F.octet_length(v["value"])))).first()[0] or 0
+    spaced = texts.select("id", F.concat(F.lit(" "), F.array_join(dictionary_words(F.col("text")), " "), F.lit(" ")).alias("t"))
+    fields = {"id": texts.schema["id"].dataType, "label": T.StringType(), "value": T.StringType(), "pos": T.IntegerType()}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+    groups, out = max(1, -(-size // key_bytes)), None
+    for group in range(groups):
+        part = keyed.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == group).collect()  # about key_bytes
+        entries = sorted((r["key"], [(v["value"], v["label"]) for v in r["values"]]) for r in part)
+        if entries:
+            found = spaced.mapInArrow(_matcher(texts.sparkSession.sparkContext.broadcast(entries)), schema)
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else texts.sparkSession.createDataFrame([], schema)
 
 
 def extract_entities(texts: DataFrame, gazetteer: DataFrame, max_words: int | None = None, size: int = 1000) -> DataFrame:
     """(id, label, part, values): distinct values by label in order of appearance, in bounded parts."""
     found = tag_with_dictionary(texts, gazetteer, max_words)
-    return skew.pack(found, ["id", "label"], F.col("value"), [F.col("pos"), F.col("value")], F.floor(F.col("pos") / 10_000), "values", size)
+    return skew.pack_ranged(found, ["id", "label"], F.col("value"), [F.col("pos"), F.col("value")], "values", size)
 
 
 def understand_queries(queries: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
@@ -210,3 +260,30 @@ def filter_candidates(candidates: DataFrame, entities: DataFrame, item_values: D
         .where(F.coalesce("n_met", F.lit(0)) >= F.coalesce("n_labels", F.lit(0)))
         .select(candidates.columns)
     )
+
+
+def entity_sets(entities: DataFrame) -> DataFrame:
+    """(query_id, entities): what a query names, as sorted (label, value) pairs; queries that name the same share one set."""
+    return entities.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("label", "value"))).alias("entities"))
+
+
+def matching_items(sets: DataFrame, item_values: DataFrame) -> DataFrame:
+    """(entities, item_id) for distinct sets of entities: the items with a matching value for every label that is named.
+
+    The items come from the label whose values the fewest items have, by an equi-join on (label, value); the
+    other labels are then checked for these items only. A value that very many items share is joined only for
+    sets that name nothing rarer.
+    """
+    held = cut_lineage(item_values.select("item_id", "label", "value").where(F.col("value").isNotNull()).distinct())
+    counts = held.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+    distinct = sets.select("entities").distinct().withColumn("set", F.xxhash64("entities"))
+    flat = cut_lineage(distinct.select("entities", "set", F.explode("entities").alias("e")).select("entities", "set", "e.label", "e.value").join(counts, ["label", "value"], "left"))
+    offers = flat.groupBy("entities", "set", "label").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = cut_lineage(offers.groupBy("entities", "set").agg(F.min(F.struct("n", "label")).alias("r"), F.count(F.lit(1)).alias("n_labels")).select("entities", "set", F.col("r.label").alias("label"), "n_labels"))
+    keys = ["entities", "set"]
+    offered = flat.join(rarest, [*keys, "label"]).join(held, ["label", "value"]).select(*keys, "n_labels", "item_id").distinct()
+    others = flat.join(rarest.drop("n_labels"), [*keys, "label"], "left_anti").select(*keys, "label", "value")
+    single = offered.where(F.col("n_labels") == 1).select("entities", "item_id")
+    several = offered.where(F.col("n_labels") > 1).join(others, keys).join(held, ["item_id", "label", "value"], "left_semi")
+    met = several.groupBy(*keys, "item_id", "n_labels").agg(F.count_distinct("label").alias("n_met")).where(F.col("n_met") == F.col("n_labels") - 1)
+    return single.unionByName(met.select("entities", "item_id"))
