@@ -44,6 +44,24 @@ def mined(spark, sf):
     return out.select("id", F.array_join(F.transform("negatives", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
+def text_faq(spark, sf):
+    """The FAQ rows of ``vector_faq`` with texts: a document's first words ask for it, its whole text answers."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    n = vectors(spark, sf).agg(F.count(F.lit(1))).scalar()
+    asked = texts.select("id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("anchor"))
+    answer = texts.select(F.col("id").alias("next"), F.col("text").alias("positive"))
+    rows = vector_faq(spark, sf).withColumn("next", (F.col("id") + 1) % n)
+    return rows.join(asked, "id").join(answer, "next").drop("next")
+
+
+@query("N2_hard_negative_rows", f"""WITH {SQL_MINED}, t2 AS (SELECT f.id, a.text AS qt, b.text AS pt FROM f JOIN documents a ON a.doc_id = f.id JOIN documents b ON b.doc_id = (f.id + 1) % (SELECT count(*) FROM v))
+SELECT t2.id, array_to_string(list_slice(string_split(qt, ' '), 1, 5), ' ') AS anchor, pt AS positive, coalesce(string_agg(n.pt, chr(31) ORDER BY o), '') AS negatives
+FROM t2 LEFT JOIN (SELECT h.id, o, x.pt FROM h JOIN t2 x ON x.id = h.item) n ON n.id = t2.id GROUP BY t2.id, qt, t2.pt""")
+def mined_rows(spark, sf):
+    out = ts.hard_negative_rows(text_faq(spark, sf))
+    return out.select("id", "anchor", "positive", F.array_join("negatives", "\x1f").alias("negatives"))
+
+
 def listed(spark, sf):
     """Rows with 0 to 3 negatives taken from the row's own columns."""
     p = table(spark, sf, "part")
@@ -93,33 +111,44 @@ c AS (SELECT DISTINCT class FROM p),
 o AS (SELECT c.class, t.text, t.g, p.text IS NOT NULL AS inside FROM c CROSS JOIN t LEFT JOIN p ON p.class = c.class AND p.text = t.text),
 pos AS (SELECT class, text, row_number() OVER (PARTITION BY class ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY class) AS n FROM o WHERE inside),
 neg AS (SELECT class, text, row_number() OVER (PARTITION BY class ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY class) AS n FROM o WHERE NOT inside),
-pd AS (SELECT *, {sql_hash('7positive', 'class', 'text', 'j')} AS draw FROM (SELECT *, unnest(range(5)) AS j FROM pos)),
-pa AS (SELECT class, text AS anchor, j, CASE WHEN n = 1 THEN i ELSE {_pick('(n - 1)', 5, 'draw')} + CAST({_pick('(n - 1)', 5, 'draw')} >= i AS BIGINT) END AS at FROM pd),
-nd AS (SELECT a.*, {sql_hash('7negative', 'class', 'text', 'j')} AS draw FROM (SELECT pos.class, pos.text, unnest(range(20)) AS j, m.n AS n FROM pos JOIN (SELECT class, any_value(n) AS n FROM neg GROUP BY 1) m ON m.class = pos.class) a),
-na AS (SELECT class, text AS anchor, j, {_pick('n', 20, 'draw')} AS at FROM nd)
-SELECT pa.class, anchor, 'positive' AS kind, j, pos.text FROM pa JOIN pos ON pos.class = pa.class AND pos.i = pa.at
-UNION ALL SELECT na.class, anchor, 'negative', j, neg.text FROM na JOIN neg ON neg.class = na.class AND neg.i = na.at""")
+rows AS (SELECT p_partkey, p_type AS class, p_brand || ' ' || p_name AS text FROM part),
+pd AS (SELECT *, {sql_hash('7positive', 'class', 'p_partkey', 'j')} AS draw FROM (SELECT rows.p_partkey, pos.*, unnest(range(5)) AS j FROM pos JOIN rows USING (class, text))),
+pa AS (SELECT p_partkey, class, text AS anchor, j, CASE WHEN n = 1 THEN i ELSE {_pick('(n - 1)', 5, 'draw')} + CAST({_pick('(n - 1)', 5, 'draw')} >= i AS BIGINT) END AS at FROM pd),
+nd AS (SELECT a.*, {sql_hash('7negative', 'class', 'p_partkey', 'j')} AS draw FROM (SELECT rows.p_partkey, rows.class, rows.text, unnest(range(20)) AS j, m.n AS n FROM rows JOIN (SELECT class, any_value(n) AS n FROM neg GROUP BY 1) m ON m.class = rows.class) a),
+na AS (SELECT p_partkey, class, text AS anchor, j, {_pick('n', 20, 'draw')} AS at FROM nd)
+SELECT p_partkey, pa.class, anchor, 'positive' AS kind, j, pos.text FROM pa JOIN pos ON pos.class = pa.class AND pos.i = pa.at
+UNION ALL SELECT p_partkey, na.class, anchor, 'negative', j, neg.text FROM na JOIN neg ON neg.class = na.class AND neg.i = na.at""")
 def class_triplets(spark, sf):
     rows = table(spark, sf, "part").withColumn("text", F.concat_ws(" ", "p_brand", "p_name"))
-    return ts.class_triplets(rows, "text", "p_type")
+    return ts.class_triplets(rows, "text", "p_type", key="p_partkey")
+
+
+def _clock(seed):
+    """Exponential clock of offer (x, y) of w items for draw g."""
+    digits = "CAST(CAST('0x' || substr(" + sql_md5(seed, "x", "y") + ", CAST(8 * g + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE)"
+    return f"-ln(({digits} + 1) / 4294967296) / w"
+
+
+SQL_CHOSEN = "arg_min(struct_pack(y := y, w := w), struct_pack(c := {c}, y := y)) AS b"
 
 
 @query("N7_tag_overlap_triplets", f"""
-WITH m AS (SELECT p_partkey AS item_id, list_sort(list_distinct(list_concat([p_brand, p_type], string_split(p_name, ' ')))) AS tags FROM part),
-k AS (SELECT *, array_to_string(tags, chr(1)) AS set_key FROM m),
-sets AS (SELECT set_key, any_value(tags) AS tags FROM k GROUP BY 1),
-cov AS (SELECT a.set_key AS x, b.set_key AS y, count(*) AS c, any_value(a.n) AS n
- FROM (SELECT set_key, len(tags) AS n, unnest(tags) AS t FROM sets) a JOIN (SELECT set_key, unnest(tags) AS t FROM sets) b ON a.t = b.t GROUP BY 1, 2),
-mem AS (SELECT item_id, set_key, {sql_md5(7, 'item_id')} AS h FROM k),
-pl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY md5(cov.y), mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE 2 * c > n),
-pa AS (SELECT k.item_id AS anchor, k.set_key AS x, {sql_hash('7p', 'k.item_id')} % (pl.total - 1) AS r, pl.at AS own FROM k JOIN pl ON pl.x = k.set_key AND pl.item_id = k.item_id WHERE pl.total > 1),
-pp AS (SELECT anchor, pl.item_id AS positive FROM pa JOIN pl ON pl.x = pa.x AND pl.at = pa.r + CAST(pa.r >= own AS BIGINT)),
-nl AS (SELECT cov.x, mem.item_id, row_number() OVER (PARTITION BY cov.x ORDER BY md5(cov.y), mem.h) - 1 AS at, count(*) OVER (PARTITION BY cov.x) AS total FROM cov JOIN mem ON mem.set_key = cov.y WHERE c >= 0.5 * n),
-na AS (SELECT anchor, positive, k.set_key AS x, a.at AS pat, b.at AS aat, a.total - 1 - CAST(b.at IS NOT NULL AS BIGINT) AS rest, a.total AS total
- FROM pp JOIN k ON k.item_id = positive JOIN nl a ON a.x = k.set_key AND a.item_id = positive LEFT JOIN nl b ON b.x = k.set_key AND b.item_id = anchor),
-nr AS (SELECT *, {sql_hash('7n', 'anchor')} % rest AS r, least(pat, coalesce(aat, total)) AS e1, greatest(pat, coalesce(aat, total)) AS e2 FROM na WHERE rest > 0),
-n2 AS (SELECT *, r + CAST(r >= e1 AS BIGINT) AS r1 FROM nr)
-SELECT anchor, positive, nl.item_id AS negative FROM n2 JOIN nl ON nl.x = n2.x AND nl.at = n2.r1 + CAST(n2.r1 >= e2 AS BIGINT)""")
+WITH k AS (SELECT p_partkey AS item_id, list_sort(list_distinct(list_concat([p_brand, p_type], string_split(p_name, ' ')))) AS tags FROM part),
+sets AS MATERIALIZED (SELECT tags, len(tags) AS n, count(*) AS m, row_number() OVER (ORDER BY md5(array_to_string(tags, chr(1)))) AS s FROM k GROUP BY tags),
+e AS MATERIALIZED (SELECT s, n, m, unnest(tags) AS t FROM sets),
+cov AS MATERIALIZED (SELECT a.s AS x, b.s AS y, any_value(a.n) AS n, any_value(b.m) AS m, count(*) AS c FROM e a JOIN e b ON a.t = b.t GROUP BY 1, 2 HAVING 2 * count(*) >= any_value(a.n)),
+mem AS MATERIALIZED (SELECT item_id, s, row_number() OVER (PARTITION BY s ORDER BY {sql_md5(7, 'item_id')}) - 1 AS o, {sql_hash('7g', 'item_id')} % 4 AS g FROM k JOIN sets USING (tags)),
+dr AS (SELECT DISTINCT s AS x, g FROM mem),
+po AS (SELECT x, g, y, m - CAST(x = y AS BIGINT) AS w FROM cov JOIN dr USING (x) WHERE 2 * c > n),
+pc AS (SELECT x, g, {SQL_CHOSEN.format(c=_clock('7p'))} FROM po WHERE w > 0 GROUP BY 1, 2),
+pa AS (SELECT a.item_id AS anchor, a.s AS x, a.g, a.o AS ao, b.y AS py, {sql_hash('7p', 'a.item_id')} % b.w AS r FROM mem a JOIN pc ON pc.x = a.s AND pc.g = a.g),
+pp AS MATERIALIZED (SELECT pa.*, mem.item_id AS positive, mem.o AS po FROM pa JOIN mem ON mem.s = py AND mem.o = r + CAST(x = py AND r >= ao AS BIGINT)),
+no AS (SELECT d.x, d.g, d.py, cov.y, cov.m - CAST(d.x = cov.y AS BIGINT) - CAST(d.py = cov.y AS BIGINT) AS w FROM (SELECT DISTINCT x, g, py FROM pp) d JOIN cov ON cov.x = d.py WHERE c >= 0.5 * n),
+nc AS (SELECT x, g, py, {SQL_CHOSEN.format(c=_clock('7n'))} FROM no WHERE w > 0 GROUP BY 1, 2, 3),
+na AS (SELECT pp.*, b.y AS ny, {sql_hash('7n', 'anchor')} % b.w AS q FROM pp JOIN nc ON nc.x = pp.x AND nc.g = pp.g AND nc.py = pp.py),
+n1 AS (SELECT *, least(CASE WHEN x = ny THEN ao END, CASE WHEN py = ny THEN po END) AS t1, CASE WHEN x = ny AND py = ny THEN greatest(ao, po) END AS t2 FROM na),
+n2 AS (SELECT *, q + CAST(coalesce(q >= t1, false) AS BIGINT) AS q1 FROM n1)
+SELECT anchor, positive, mem.item_id AS negative FROM n2 JOIN mem ON mem.s = ny AND mem.o = q1 + CAST(coalesce(q1 >= t2, false) AS BIGINT)""")
 def overlap(spark, sf):
     tags = F.array_distinct(F.concat(F.array("p_brand", "p_type"), F.split("p_name", " ")))
     return ts.overlap_triplets(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), tags.alias("tags")))

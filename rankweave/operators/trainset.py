@@ -39,6 +39,19 @@ def mine_hard_negatives(rows: DataFrame, k: int = 20, n: int = 5) -> DataFrame:
     return rows.select("id").join(packed, "id", "left").select("id", F.coalesce("negatives", F.array().cast(f"array<{kind}>")).alias("negatives"))
 
 
+def hard_negative_rows(rows: DataFrame, k: int = 20, n: int = 5) -> DataFrame:
+    """(id, anchor, positive, negatives) with the texts themselves; see ``mine_hard_negatives``.
+
+    ``rows`` has the texts anchor and positive as well. A negative is the positive text of the row that was mined.
+    """
+    mined = mine_hard_negatives(rows, k, n)
+    flat = mined.select("id", F.posexplode("negatives").alias("place", "item_id"))
+    texts = rows.select(F.col("id").alias("item_id"), F.col("positive").alias("text"))
+    listed = flat.join(texts, "item_id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("l"))
+    negatives = F.coalesce(F.transform("l", lambda s: s["text"]), F.array().cast("array<string>"))
+    return rows.select("id", "anchor", "positive").join(listed, "id", "left").select("id", "anchor", "positive", negatives.alias("negatives"))
+
+
 def pad_negatives(df: DataFrame, k: int, positive: str = "positive", negatives: str = "negatives") -> DataFrame:
     """Exactly ``k`` negatives: cycled or cut; without any, the positive repeated."""
     have = F.size(negatives) > 0
@@ -75,11 +88,11 @@ def _stratum_pick(size: Column, picks: int, j: Column, draw: Column) -> Column:
     return F.when(size >= picks, low + F.pmod(draw, F.greatest(high - low, F.lit(1)))).otherwise(F.pmod(draw, F.greatest(size, F.lit(1))))
 
 
-def class_triplets(df: DataFrame, text: str, label: str, n_pos: int = 5, n_neg: int = 20, seed: int = 7) -> DataFrame:
+def class_triplets(df: DataFrame, text: str, label: str, n_pos: int = 5, n_neg: int = 20, seed: int = 7, key: str | None = None) -> DataFrame:
     """(class, anchor, kind, j, text): positives of the anchor's class, negatives with texts that class never uses.
 
-    Works on distinct texts, so copies neither repeat nor crowd a class; join on (class, anchor) to
-    give copies their triplets. Picks are made by index: texts are numbered once over all and once
+    Works on distinct texts, so copies neither repeat nor crowd a class. With ``key`` (unique) every row is an anchor of its
+    own, copies included, with draws of its own, and ``key`` leads the columns. Picks are made by index: texts are numbered once over all and once
     per class, and every pick is an equi-join on a number. One text per stratum makes picks distinct;
     a short pool repeats, and a class of one text uses itself.
     """
@@ -92,27 +105,30 @@ def class_triplets(df: DataFrame, text: str, label: str, n_pos: int = 5, n_neg:
     texts = members.groupBy("g").agg(F.first("text").alias("text"))
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n_class"))
     total = members.agg(F.max("g") + 1).scalar()
-    anchors = skew.attach(members, sizes, ["class"]).withColumn("n_all", total)
+    who = [] if key is None else ["__key"]
+    asked = members if key is None else df.select(F.col(key).alias("__key"), F.col(label).alias("class"), F.col(text).alias("text")).join(members, ["class", "text"])
+    anchors = skew.attach(asked, sizes, ["class"]).withColumn("n_all", total)
 
     def draws(kind: str, picks: int) -> DataFrame:
         flat = anchors.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(picks - 1))))
-        return flat.withColumns({"kind": F.lit(kind), "draw": md5_long(f"{seed}{kind}", "class", "text", "j")})
+        return flat.withColumns({"kind": F.lit(kind), "draw": md5_long(f"{seed}{kind}", "class", who[0] if who else "text", "j")})
 
     pos = draws("positive", n_pos).withColumn("pool", F.col("n_class") - 1)
     pos = pos.withColumn("r", _stratum_pick(F.col("pool"), n_pos, F.col("j"), F.col("draw")))
     pos = pos.withColumn("at", F.when(F.col("pool") == 0, F.col("i")).otherwise(F.col("r") + (F.col("r") >= F.col("i")).cast("int")))
-    positives = pos.select("class", F.col("text").alias("anchor"), "kind", "j", F.col("at").alias("i")).join(members.select("class", "i", "text"), ["class", "i"])
+    positives = pos.select(*who, "class", F.col("text").alias("anchor"), "kind", "j", F.col("at").alias("i")).join(members.select("class", "i", "text"), ["class", "i"])
 
     neg = draws("negative", n_neg).withColumn("pool", F.col("n_all") - F.col("n_class")).where(F.col("pool") > 0)
-    neg = neg.select("class", F.col("text").alias("anchor"), "kind", "j", _stratum_pick(F.col("pool"), n_neg, F.col("j"), F.col("draw")).alias("r"))
+    neg = neg.select(*who, "class", F.col("text").alias("anchor"), "kind", "j", _stratum_pick(F.col("pool"), n_neg, F.col("j"), F.col("draw")).alias("r"))
     # the r-th text outside a class is number r plus the members that lie before it
     marks = members.select("class", (F.col("g") - F.col("i")).alias("r"), F.lit(True).alias("is_member")).unionByName(
-        neg.select("class", "r", F.lit(False).alias("is_member"), "anchor", "kind", "j"), allowMissingColumns=True)
+        neg.select(*who, "class", "r", F.lit(False).alias("is_member"), "anchor", "kind", "j"), allowMissingColumns=True)
     counted = skew.running_count(marks, ["class"], [F.col("r"), F.col("is_member").desc()], F.floor(F.col("r") / 1000), F.col("is_member"), "before")
-    wanted = counted.where(~F.col("is_member")).select("class", "anchor", "kind", "j", (F.col("r") + F.col("before")).alias("g"))
+    wanted = counted.where(~F.col("is_member")).select(*who, "class", "anchor", "kind", "j", (F.col("r") + F.col("before")).alias("g"))
     negatives = wanted.join(texts.select("g", "text"), "g")
-    columns = ["class", "anchor", "kind", "j", "text"]
-    return positives.select(columns).unionByName(negatives.select(columns))
+    columns = [*who, "class", "anchor", "kind", "j", "text"]
+    out = positives.select(columns).unionByName(negatives.select(columns))
+    return out if key is None else out.withColumnRenamed("__key", key)
 
 
 def coded_sets(keyed: DataFrame) -> DataFrame:
@@ -131,18 +147,30 @@ def coded_sets(keyed: DataFrame) -> DataFrame:
     return cut_lineage(sets.select("set_id", "set_key", "m").join(lists, "set_id"))
 
 
-def covering_sets(sets: DataFrame, need: Column) -> DataFrame:
-    """(x, y, m of y) for set ids that share at least ``need`` tags of x; y = x is included.
+def covering_sets(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``asked`` x (y, m of y): the sets that share at least ``need`` of the tags ``x_codes`` of a row of ``asked``.
 
     If x and y share that many tags, their rarest shared tag is among the ``|x| - need + 1`` rarest of
     x. Only those are joined, and a pair is kept at its rarest shared tag, so frequent tags are hardly
     joined and no pair appears twice.
     """
-    x = sets.select(F.col("set_id").alias("x"), F.col("codes").alias("x_codes"), need.cast("int").alias("need"))
-    x = x.withColumn("code", F.explode(F.slice("x_codes", F.lit(1), F.size("x_codes") - F.col("need") + 1)))
+    x = asked.withColumn("code", F.explode(F.slice("x_codes", F.lit(1), F.size("x_codes") - F.col("need") + 1)))
     y = sets.select(F.col("set_id").alias("y"), "m", F.col("codes").alias("y_codes"), F.explode("codes").alias("code"))
     shared = F.array_intersect("x_codes", "y_codes")
-    return x.join(y, "code").where((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("code"))).select("x", "y", "m")
+    return x.join(y, "code").where((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("code"))).drop("code", "x_codes", "need", "y_codes")
+
+
+#: draws of one tag set; its members are dealt over them by a hash
+DRAWS = 4
+
+
+def draw_clock(seed: str, weight: Column, g: Column, *key: str) -> Column:
+    """Exponential clock of a candidate for draw ``g``: the least one is ``weight``-proportionally chosen.
+
+    The chance is a slice of 8 hex digits of one md5, so all draws of a candidate take one hash.
+    """
+    digits = F.conv(F.substring(md5_key(seed, *key), (8 * g + 1).cast("int"), F.lit(8)), 16, 10).cast("double")
+    return -F.log((digits + 1.0) / 2.0**32) / weight
 
 
 def overlap_triplets(items: DataFrame, threshold: float = 0.5, seed: int = 7) -> DataFrame:
@@ -150,55 +178,47 @@ def overlap_triplets(items: DataFrame, threshold: float = 0.5, seed: int = 7) ->
 
     The positive is drawn among items that hold more than half of the anchor's tags, the negative
     among items, other than the two, that hold at least ``threshold`` of the positive's tags.
-    Items with equal tag sets are one set, only sets are compared, and a draw is a number that is
-    looked up first in the list of qualifying sets, then among the members of the chosen set.
+    Items with equal tag sets are one set and only sets are compared. A draw runs a clock for every qualifying set,
+    faster the more items it offers, and keeps the least while the sets are joined: no pair is stored or laid
+    out. The members of a set are dealt over DRAWS draws of it, and each picks an item of the drawn set by a hash of its own.
     """
     keyed = items.select("item_id", F.array_sort(F.array_distinct("tags")).alias("tags")).where(F.size("tags") > 0)
     keyed = keyed.withColumn("set_key", F.array_join("tags", "\u0001"))
     sets = coded_sets(keyed)
-    placed = keyed.select("item_id", "set_key").join(sets.select("set_key", "set_id"), "set_key").drop("set_key")
+    placed = keyed.select("item_id", "set_key").join(sets.select("set_key", "set_id", "m"), "set_key").drop("set_key")
     members = skew.shuffled_ordinal(placed, ["set_id"], md5_key(seed, "item_id"), "o").withColumn("o", F.col("o") - 1)
-    members = cut_lineage(members)
-
-    def layout(need: Column) -> tuple[DataFrame, DataFrame]:
-        """Qualifying sets y of each x laid end to end: (x, y, nth, start) and (x, total)."""
-        line = skew.running_sums(covering_sets(sets, need), ["x"], [F.col("y")], F.floor(F.col("y") / 10_000), {"nth": F.lit(True), "upto": F.col("m")})
-        laid = cut_lineage(line.select("x", "y", "m", "nth", (F.col("upto") - F.col("m")).alias("start")))
-        return laid.drop("m"), laid.groupBy("x").agg(F.sum("m").alias("total"))
-
-    def look_up(picks: DataFrame, laid: DataFrame) -> DataFrame:
-        """Replace (x, at) by the item at that place of x's layout, as ``found`` and its set ``found_set``."""
-        columns = [c for c in picks.columns if c not in ("x", "at")]
-        marks = laid.select("x", F.col("start").alias("at"), F.lit(True).alias("is_set")).unionByName(
-            picks.withColumn("is_set", F.lit(False)), allowMissingColumns=True)
-        nth = skew.running_count(marks, ["x"], [F.col("at"), F.col("is_set").desc()], F.floor(F.col("at") / 10000), F.col("is_set"), "nth")
-        placed = nth.where(~F.col("is_set")).join(laid, ["x", "nth"]).withColumn("o", F.col("at") - F.col("start"))
-        who = members.select(F.col("set_id").alias("y"), "o", F.col("item_id").alias("found"))
-        return placed.join(who, ["y", "o"]).select(*columns, F.col("y").alias("found_set"), "found")
-
+    members = cut_lineage(members.withColumn("g", bucket(f"{seed}g", DRAWS, "item_id")))
     size = F.size("codes")
-    laid, totals = layout(F.floor(size / 2) + 1)
-    own = laid.where(F.col("x") == F.col("y")).select("x", F.col("start").alias("own_start")).join(totals, "x")
-    asked = members.select(F.col("set_id").alias("x"), F.col("item_id").alias("anchor"), F.col("o").alias("anchor_o")).join(own, "x").where(F.col("total") > 1)
-    r = F.pmod(md5_long(f"{seed}p", "anchor"), F.col("total") - 1)
-    at = r + (r >= F.col("own_start") + F.col("anchor_o")).cast("int")
-    first = look_up(asked.select("x", F.col("x").alias("anchor_set"), "anchor", "anchor_o", at.alias("at")), laid)
-    first = cut_lineage(first.withColumnsRenamed({"found": "positive", "found_set": "x"}))
-
-    laid2, totals2 = layout(F.greatest(F.ceil(F.lit(float(threshold)) * size), F.lit(1)))
-    own2 = laid2.where(F.col("x") == F.col("y")).select("x", F.col("start").alias("own_start")).join(totals2, "x")
-    place = members.select(F.col("item_id").alias("positive"), F.col("o").alias("positive_o"))
-    other = laid2.select("x", F.col("y").alias("anchor_set"), F.col("start").alias("anchor_start"))
-    asked2 = first.join(place, "positive").join(own2, "x").join(other, ["x", "anchor_set"], "left")
-    positive_at = F.col("own_start") + F.col("positive_o")
-    anchor_at = F.coalesce(F.col("anchor_start") + F.col("anchor_o"), F.col("total"))
-    left = F.col("total") - 1 - F.col("anchor_start").isNotNull().cast("int")
-    asked2 = asked2.withColumns({"e1": F.least(positive_at, anchor_at), "e2": F.greatest(positive_at, anchor_at), "left": left}).where(F.col("left") > 0)
-    asked2 = asked2.withColumn("r", F.pmod(md5_long(f"{seed}n", "anchor"), F.col("left")))
-    asked2 = asked2.withColumn("r", F.col("r") + (F.col("r") >= F.col("e1")).cast("int"))
-    asked2 = asked2.withColumn("at", F.col("r") + (F.col("r") >= F.col("e2")).cast("int"))
-    second = look_up(asked2.select("x", "anchor", "positive", "at"), laid2)
-    return second.select("anchor", "positive", F.col("found").alias("negative"))
+
+    def chosen(offers: DataFrame, tag: str, keys: Sequence[str]) -> DataFrame:
+        """(keys, y, w) with the least clock; ``offers`` has x, g, y and w, the number of items that y offers."""
+        clock = draw_clock(f"{seed}{tag}", F.col("w"), F.col("g"), "x", "y")
+        best = offers.where(F.col("w") > 0).groupBy(*keys).agg(F.min(F.struct(clock.alias("c"), "y", "w")).alias("b"))
+        return best.select(*keys, "b.y", "b.w")
+
+    def pick(asked: DataFrame, tag: str, taken: Sequence[tuple[str, str]], found: str) -> DataFrame:
+        """An item of set y for each anchor, by number among those not taken: ``taken`` names (set, place) columns."""
+        at = F.pmod(md5_long(f"{seed}{tag}", "anchor"), F.col("w"))
+        # places of y that are taken, in order; a place at or after one moves up by one
+        held = F.array_sort(F.array_compact(F.array(*[F.when(F.col(s) == F.col("y"), F.col(o)) for s, o in taken])))
+        staged = asked.withColumns({"at": at, "held": held})
+        place = F.aggregate("held", F.col("at"), lambda acc, h: acc + (acc >= h).cast("long"))
+        who = members.select(F.col("set_id").alias("y"), F.col("o").alias("at"), F.col("item_id").alias(found))
+        return staged.withColumn("at", place).join(who, ["y", "at"]).drop("held", "w")
+
+    draws = members.groupBy(F.col("set_id").alias("x"), "g").agg(F.lit(1).alias("one")).drop("one")
+    asked = sets.select(F.col("set_id").alias("x"), F.col("codes").alias("x_codes"), (F.floor(size / 2) + 1).cast("int").alias("need")).join(draws, "x")
+    offers = covering_sets(asked, sets).withColumn("w", F.col("m") - (F.col("x") == F.col("y")).cast("long"))
+    anchors = members.select(F.col("set_id").alias("x"), "g", F.col("item_id").alias("anchor"), F.col("o").alias("anchor_o"))
+    first = pick(anchors.join(chosen(offers, "p", ["x", "g"]), ["x", "g"]), "p", [("x", "anchor_o")], "positive")
+    first = cut_lineage(first.withColumnsRenamed({"y": "py", "at": "positive_o"}))
+
+    wanted = F.greatest(F.ceil(F.lit(float(threshold)) * size), F.lit(1)).cast("int")
+    tags_of = sets.select(F.col("set_id").alias("py"), F.col("codes").alias("x_codes"), wanted.alias("need"))
+    offers = covering_sets(first.select("x", "g", "py").distinct().join(tags_of, "py"), sets)
+    offers = offers.withColumn("w", F.col("m") - (F.col("x") == F.col("y")).cast("long") - (F.col("py") == F.col("y")).cast("long"))
+    second = pick(first.join(chosen(offers, "n", ["x", "g", "py"]), ["x", "g", "py"]), "n", [("x", "anchor_o"), ("py", "positive_o")], "negative")
+    return second.select("anchor", "positive", "negative")
 
 
 def to_query_pos_neg(df: DataFrame) -> DataFrame:
@@ -237,9 +257,9 @@ def named_split(splits: Mapping[str, DataFrame], key: str, seed: int = 7) -> Dat
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:
-    """(label, id) in sorted order from 0, for any number of distinct labels: they are numbered in pieces."""
+    """(label, id) in sorted order from 0, for any number of distinct labels: they are numbered by ranges."""
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    return skew.ordinal(labels, [], [F.col(label)], skew.coarse_id(labels, label), "id").withColumn("id", F.col("id") - 1)
+    return skew.numbered(labels, [F.col(label)], "id").withColumn("id", F.col("id") - 1)
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -265,7 +285,7 @@ def group_relevance(questions: DataFrame, articles: DataFrame, judge: Column | B
 def consolidate_relevance(questions: DataFrame, judged: DataFrame, size: int = 1000) -> DataFrame:
     """(question, part, gt_docs): sorted relevant ids, in parts of at most ``size``; one empty list when there are none."""
     relevant = judged.where("is_relevant").select("question", "article_id").distinct()
-    packed = skew.pack(relevant, ["question"], F.col("article_id"), [F.col("article_id")], skew.coarse_id(relevant, "article_id", 1_000_000), "gt_docs", size)
+    packed = skew.pack_ranged(relevant, ["question"], F.col("article_id"), [F.col("article_id")], "gt_docs", size)
     kind = judged.schema["article_id"].dataType.simpleString()
     return questions.select("question").distinct().join(packed, "question", "left").select(
         "question", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("gt_docs", F.array().cast(f"array<{kind}>")).alias("gt_docs"))
