@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.catalog import clicklog as logs
-from rankweave.catalog.base import q6, query, r6, table
-from rankweave.catalog.features import sequences
+from rankweave.catalog.base import SQL_ITEMS, q6, query, r6, sql_hash, table
+from rankweave.catalog.features import FEATURES, SQL_MONTHLY, sequences
 from rankweave.catalog.retrieval import SQL_LISTS, SQL_RANKS, SQL_V, cross_rank, vectors
 from rankweave.catalog.tags import SQL_Q, label_means
 from rankweave.catalog.text import benchmark, bm25_ranking, documents
@@ -183,7 +183,7 @@ def bpr_loss(spark, sf):
 def kl(spark, sf):
     centroids = label_means(spark, sf)
     assigned = tg.soft_assign(vectors(spark, sf), centroids)
-    sharp = tg.target_distribution(assigned, centroids.count())
+    sharp = tg.target_distribution(assigned)
     return mt.kl_divergence(assigned.join(sharp, "id")).withColumn("kl", r6("kl", 9))
 
 
@@ -208,22 +208,74 @@ def parted(rows, key):
     return rows.where(own > 0), rows.where(own == 0)
 
 
-@query("R1_pairwise_ranker")
+def _sql_solved(name, source, d):
+    """``name`` (x0, x1, ..): the solution of the d equations a{i}_{j}, the right side last, by elimination."""
+    steps, before = [], source
+    for k in range(d):
+        row = {(i, j): f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}" for i in range(d) for j in range(k + 1, d + 1)}
+        steps.append(f"{name}_e{k} AS MATERIALIZED (SELECT {', '.join(f'{v} AS a{i}_{j}' for (i, j), v in row.items())} FROM {before})")
+        before = f"{name}_e{k}"
+    return ", ".join([*steps, f"{name} AS MATERIALIZED (SELECT {', '.join(f'a{i}_{d} AS x{i}' for i in range(d))} FROM {before})"])
+
+
+def _sql_penalty(sum_of, reg, i, d, intercept):
+    return "0" if intercept and i == d - 1 else f"CASE WHEN {sum_of} = 0 THEN 1 ELSE {reg} * {sum_of} END"
+
+
+def _sql_logistic(name, source, d, reg=0.01, intercept=True, steps=8):
+    """``name`` (x0, x1, ..): the weights after Newton steps over rows (f0, f1, .., y, w)."""
+    out = [f"{name}_p AS MATERIALIZED (SELECT {', '.join(_sql_penalty(f'sum(w * f{i} * f{i})', reg, i, d, intercept) + f' AS p{i}' for i in range(d))} FROM {source})",
+           f"{name}_b0 AS (SELECT {', '.join(f'CAST(0 AS DOUBLE) AS x{i}' for i in range(d))})"]
+    for t in range(steps):
+        score = " + ".join(f"f{i} * x{i}" for i in range(d))
+        out.append(f"{name}_r{t} AS (SELECT s.*, 1 / (1 + exp(-({score}))) AS p FROM {source} s, {name}_b{t})")
+        sums = [f"sum(w * p * (1 - p) * f{i} * f{j}) AS h{i}_{j}" for i in range(d) for j in range(d)] + [f"sum(w * (y - p) * f{i}) AS g{i}" for i in range(d)]
+        out.append(f"{name}_h{t} AS MATERIALIZED (SELECT {', '.join(sums)} FROM {name}_r{t})")
+        cells = [f"h{i}_{j}{f' + p{i}' if i == j else ''} AS a{i}_{j}" for i in range(d) for j in range(d)] + [f"g{i} - p{i} * x{i} AS a{i}_{d}" for i in range(d)]
+        out.append(f"{name}_a{t} AS (SELECT {', '.join(cells)} FROM {name}_h{t}, {name}_p, {name}_b{t})")
+        out.append(_sql_solved(f"{name}_d{t}", f"{name}_a{t}", d))
+        out.append(f"{name}_b{t + 1} AS MATERIALIZED (SELECT {', '.join(f'b.x{i} + d.x{i} AS x{i}' for i in range(d))} FROM {name}_b{t} b, {name}_d{t} d)")
+    return ", ".join([*out, f"{name} AS (SELECT * FROM {name}_b{steps})"])
+
+
+def _sql_ridge(name, source, d, reg=1e-6):
+    """``name`` (x0, x1, ..): the weights over rows (f0, f1, .., y), the last column being the intercept."""
+    cells = [f"sum(f{i} * f{j}){' + ' + _sql_penalty(f'sum(f{i} * f{i})', reg, i, d, True) if i == j else ''} AS a{i}_{j}" for i in range(d) for j in range(d)]
+    return f"{name}_a AS MATERIALIZED (SELECT {', '.join([*cells, *(f'sum(f{i} * y) AS a{i}_{d}' for i in range(d))])} FROM {source}), {_sql_solved(name, f'{name}_a', d)}"
+
+
+@query("R1_pairwise_ranker", f"""
+WITH {SQL_ITEMS}, c AS (SELECT session_id, link, row_number() OVER (PARTITION BY session_id ORDER BY position, link) AS r FROM items WHERE role = 'clicked'),
+s AS (SELECT session_id, link, row_number() OVER (PARTITION BY session_id ORDER BY position, link) AS r FROM items WHERE role = 'shown'),
+lk AS (SELECT session_id, link, min(position) / CAST(10 AS DOUBLE) AS a, CAST(regexp_extract(link, '(\\d+)', 1) AS DOUBLE) / 100 AS b FROM items WHERE role IN ('clicked', 'shown') GROUP BY 1, 2),
+d AS (SELECT c.session_id, p.a AS pa, p.b AS pb, n.a AS na, n.b AS nb, {sql_hash(17, 'c.session_id')} % 5 AS own FROM c JOIN s ON s.session_id = c.session_id AND s.r = 1
+ JOIN lk p ON p.session_id = c.session_id AND p.link = c.link JOIN lk n ON n.session_id = c.session_id AND n.link = s.link WHERE c.r = 1),
+fit AS (SELECT pa - na AS f0, pb - nb AS f1, CAST(1 AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w FROM d WHERE own > 0), {_sql_logistic('m', 'fit', 2, intercept=False)}
+SELECT {q6('avg(CASE WHEN pa * x0 + pb * x1 > na * x0 + nb * x1 THEN 1.0 ELSE 0 END)')} AS pair_accuracy FROM d, m WHERE own = 0""")
 def pairwise(spark, sf):
     fit, held_out = parted(pair_features(spark, sf), "session_id")
-    weights = [float(x) for x in models.pairwise_ranker(fit).coefficients]
+    weights = models.pairwise_ranker(fit)
     scored = held_out.select("session_id", models.linear_score(weights, F.col("pos_features")).alias("pos_score"), models.linear_score(weights, F.col("neg_features")).alias("neg_score"))
-    return mt.pair_accuracy(scored)
+    return mt.pair_accuracy(scored).withColumn("pair_accuracy", r6("pair_accuracy"))
 
 
-@query("R2_debiased_ctr_model")
+@query("R2_debiased_ctr_model", f"""{logs.LOGGED},
+e AS MATERIALIZED (SELECT (position - 1) / CAST(9 AS DOUBLE) AS f0, propensity AS f1, least(1, greatest(0, coalesce(dwell_time, 0) / CAST(180 AS DOUBLE))) AS f2, CAST(1 AS DOUBLE) AS f3, 1 / greatest(propensity, 1e-3) AS w,
+ CAST(label AS DOUBLE) AS clicked, CASE WHEN label = 1 AND coalesce(dwell_time, 0) >= 60 THEN CAST(1 AS DOUBLE) ELSE 0 END AS completed, {sql_hash(17, 'session_id')} % 5 AS own FROM logged),
+cf AS (SELECT *, clicked AS y FROM e WHERE own > 0), pf AS (SELECT *, completed AS y FROM e WHERE own > 0 AND clicked = 1),
+{_sql_logistic('cm', 'cf', 4)}, {_sql_logistic('pm', 'pf', 4)},
+a AS (SELECT clicked AS y, 1 / (1 + exp(-(f0 * x0 + f1 * x1 + f2 * x2 + f3 * x3))) AS p FROM e, cm WHERE own = 0),
+b AS (SELECT completed AS y, 1 / (1 + exp(-(f0 * x0 + f1 * x1 + f2 * x2 + f3 * x3))) AS p FROM e, pm WHERE own = 0 AND clicked = 1)
+SELECT 'ctr' AS task, count(*) AS n, {q6(SQL_AUC.format(src='a'))} AS auc, {q6(SQL_LL)} AS logloss, {q6(SQL_ACC)} AS accuracy FROM a
+UNION ALL SELECT 'completion', count(*), {q6(SQL_AUC.format(src='b'))}, {q6(SQL_LL)}, {q6(SQL_ACC)} FROM b""")
 def ctr_model(spark, sf):
     rows = cl.ranker_features(cl.engagement_labels(cl.with_weights(logs.logged_examples(spark, sf))))
     fit, held_out = parted(rows, "session_id")
     inputs = ["pos_norm", "prop", "dwell_norm"]
-    click = models.predict_probability(models.debiased_click_model(fit, inputs, "clicked"), held_out, "p_click")
-    both = models.predict_probability(models.debiased_click_model(fit.where(F.col("clicked") >= 0.5), inputs, "completed"), click, "p_completion")
-    return mt.ranker_report(cut_lineage(both.select("clicked", "completed", "p_click", "p_completion")))
+    click = models.predict_probability(models.debiased_click_model(fit, inputs, "clicked"), held_out, inputs, "p_click")
+    both = models.predict_probability(models.debiased_click_model(fit.where(F.col("clicked") >= 0.5), inputs, "completed"), click, inputs, "p_completion")
+    out = mt.ranker_report(cut_lineage(both.select("clicked", "completed", "p_click", "p_completion")))
+    return out.withColumns({c: r6(c) for c in ("auc", "logloss", "accuracy")})
 
 
 @query("R3_text_classifier")
@@ -249,13 +301,28 @@ def baselines(spark, sf):
     return out.select(F.round(F.sqrt("mse_last"), 3).alias("rmse_last"), F.round(F.sqrt("mse_mean"), 3).alias("rmse_mean"), "rows")
 
 
-@query("R5_next_step_forecast")
+def _sql_forecast(i, f):
+    """Root mean squared error by step of feature ``f``, number ``i``."""
+    inputs = ", ".join([*(f"CASE WHEN {j} < step THEN seq[{j + 1}].{f} ELSE 0 END AS f{j}" for j in range(7)), "CAST(step AS DOUBLE) AS f7", "CAST(1 AS DOUBLE) AS f8"])
+    guess = " + ".join(f"f{j} * x{j}" for j in range(9))
+    return (f"t{i} AS MATERIALIZED (SELECT step, own, seq[step + 1].{f} AS y, {inputs} FROM w), fit{i} AS (SELECT * FROM t{i} WHERE own > 0), {_sql_ridge(f'm{i}', f'fit{i}', 9)}",
+            f"SELECT {i} AS feature, CAST(step AS INTEGER) AS step, round(sqrt(avg((y - ({guess})) * (y - ({guess})))), 2) AS rmse, count(*) AS rows FROM t{i}, m{i} WHERE own = 0 GROUP BY step")
+
+
+_FORECASTS = [_sql_forecast(i, f) for i, f in enumerate(FEATURES)]
+
+
+@query("R5_next_step_forecast", f"""{SQL_MONTHLY}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY month) AS k FROM m),
+q AS (SELECT user_id, list(struct_pack(f1 := f1, f2 := f2, f3 := f3, f4 := f4) ORDER BY k) AS seq FROM r WHERE k <= 8 GROUP BY 1),
+w AS MATERIALIZED (SELECT seq, unnest(range(1, len(seq))) AS step, {sql_hash(17, 'user_id')} % 5 AS own FROM q WHERE len(seq) >= 2),
+{', '.join(ctes for ctes, _ in _FORECASTS)} {' UNION ALL '.join(select for _, select in _FORECASTS)}""")
 def forecast(spark, sf):
     windows = cut_lineage(ft.prefix_windows(sequences(spark, sf), 8))
     fit, held_out = parted(windows, "user_id")
     scored = None
     for feature in range(len(windows.select("target").first()["target"])):
-        model, _ = models.next_step_regression(fit, feature)
-        part = model.transform(models.next_step_rows(held_out, feature)).withColumn("feature", F.lit(feature))
+        weights = models.next_step_regression(fit, feature)
+        rows = models.next_step_rows(held_out, feature)
+        part = rows.select(F.lit(feature).alias("feature"), "step", "label", models.linear_score(weights, F.col("features")).alias("prediction"))
         scored = part if scored is None else scored.unionByName(part)
-    return scored.groupBy("feature", "step").agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse"), F.count(F.lit(1)).alias("rows"))
+    return scored.groupBy("feature", "step").agg(F.round(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)), 2).alias("rmse"), F.count(F.lit(1)).alias("rows"))

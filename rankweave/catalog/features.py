@@ -121,10 +121,11 @@ WITH cats AS (SELECT DISTINCT c_mktsegment AS s FROM customer), rows AS (SELECT
 SELECT c_custkey, seg, string_agg(CASE WHEN s = seg THEN '1' ELSE '0' END, '' ORDER BY s) AS hot FROM rows, cats GROUP BY 1, 2""")
 def one_hot(spark, sf):
     customers = table(spark, sf, "customer")
-    values = ft.category_values(customers, "c_mktsegment")
+    index = ft.category_index(customers, "c_mktsegment")
     seg = F.when(F.col("c_nationkey") == 0, "other").otherwise(F.col("c_mktsegment"))
-    hot = F.array_join(F.transform(ft.one_hot(F.col("seg"), values), lambda x: x.cast("int").cast("string")), "")
-    return customers.select("c_custkey", seg.alias("seg")).withColumn("hot", hot)
+    rows = ft.one_hot(customers.select("c_custkey", seg.alias("seg")), "seg", index, "vector")
+    hot = F.array_join(F.transform(ft.dense(F.col("vector")), lambda x: x.cast("int").cast("string")), "")
+    return rows.select("c_custkey", "seg", hot.alias("hot"))
 
 
 @query("U9_cyclic_time", f"""

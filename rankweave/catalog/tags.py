@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.catalog.base import q6, query, r6, table
+from rankweave.catalog.base import q6, query, r6, sql_hash, sql_md5, table
 from rankweave.catalog.retrieval import SQL_HASH_TOKENS, SQL_V, sql_hash_vectors, vectors
 from rankweave.operators import graph, knn
 from rankweave.operators import tags as tg
@@ -134,7 +134,26 @@ def part_taxonomy(spark, sf):
     return tg.taxonomy_build(tags, 0.6)
 
 
-@query("C10_taxonomy_build")
+LAYERS = 6
+
+
+def _sql_layer(i):
+    """Layer ``i`` + 1 from layer ``i``: components of similar texts, one parent each, one for those that are like no other."""
+    more = f"(SELECT count(*) FROM n{i}) >= 20" + (f" AND (SELECT count(*) FROM n{i}) < (SELECT count(*) FROM n{i - 1})" if i else "")
+    text = SQL_HASH_TOKENS.format(t="CASE WHEN length(description) > 0 THEN description ELSE name END")
+    return f"""g{i} AS MATERIALIZED (SELECT * FROM n{i} WHERE {more}), {sql_hash_vectors(f'h{i}', f'g{i}', 'id', text, 64)},
+p{i} AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM h{i} a JOIN h{i} b ON b.dim = a.dim AND b.id <> a.id GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 9) >= 0.6),
+r{i} AS (SELECT a AS id, b AS root FROM p{i} UNION SELECT r.id, p.b FROM r{i} r JOIN p{i} p ON p.a = r.root),
+l{i} AS (SELECT id, md5(least(id, min(root))) AS label FROM r{i} GROUP BY id),
+e{i} AS MATERIALIZED (SELECT g.id, g.name, 'L{i + 1}_C' || coalesce(label, '-1') AS parent_id, label IS NULL AS is_noise FROM g{i} g LEFT JOIN l{i} l ON l.id = g.id),
+n{i + 1} AS MATERIALIZED (SELECT parent_id AS id, CASE WHEN is_noise THEN 'Miscellaneous Level {i}' ELSE arg_min(name, (length(name), name)) || ' group' END AS name,
+ CASE WHEN is_noise THEN '{tg.NOISE_DESCRIPTION}' ELSE arg_min(name, (length(name), name)) || ' and related entries at level {i}' END AS description FROM e{i} GROUP BY parent_id, is_noise)"""
+
+
+@query("C10_taxonomy_build", f"""WITH RECURSIVE n0 AS MATERIALIZED (SELECT DISTINCT 'L0_' || md5(p_name || ' ' || p_type) AS id, p_name || ' ' || p_type AS name, p_name || ' ' || p_type AS description FROM part),
+{', '.join(_sql_layer(i) for i in range(LAYERS))},
+c AS (SELECT parent_id, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT parent_id FROM e{i}' for i in range(LAYERS))}) GROUP BY 1)
+SELECT id, level, name, description, coalesce(n, 0) AS children FROM ({' UNION ALL '.join(f'SELECT id, {i} AS level, name, description FROM n{i}' for i in range(LAYERS + 1))}) LEFT JOIN c ON parent_id = id""")
 def build(spark, sf):
     nodes, edges = part_taxonomy(spark, sf)
     children = edges.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("children"))
@@ -177,10 +196,36 @@ def soft(spark, sf):
 def target(spark, sf):
     centroids = label_means(spark, sf)
     assigned = tg.soft_assign(vectors(spark, sf), centroids)
-    out = tg.target_distribution(assigned, centroids.count())
+    out = tg.target_distribution(assigned)
     return out.select("id", F.posexplode("p").alias("cluster", "p")).select("id", "cluster", r6("p").alias("p"))
 
 
-@query("C14_kmeans_init")
+SEEDS, CENTRES, ROUNDS = [1, 7, 6], 14, 10
+
+
+def _sql_nearest(name, centres):
+    """(id, cluster, d): the nearest of the centres so far."""
+    return f"""{name} AS MATERIALIZED (
+ SELECT id, arg_min(cluster, struct_pack(r := round(d, 9), c := cluster)) AS cluster, arg_min(d, struct_pack(r := round(d, 9), c := cluster)) AS d
+ FROM (SELECT v.id, c.cluster, pow(list_distance(v.vec, c.vec), 2) AS d FROM v, {centres} c) GROUP BY id)"""
+
+
+def _sql_kmeans():
+    steps = [f"s0 AS MATERIALIZED (SELECT 0::BIGINT AS cluster, vec FROM v ORDER BY {sql_md5('7c0', 'id')}, id LIMIT 1)"]
+    for turn, n in enumerate(SEEDS[1:], 1):
+        clock = f"-ln((CAST({sql_hash(f'7c{turn}', 'id')} AS DOUBLE) + 1) / pow(CAST(2 AS DOUBLE), 60)) / d"
+        at = sum(SEEDS[:turn])
+        steps += [_sql_nearest(f"f{turn}", f"s{turn - 1}"),
+                  f"d{turn} AS (SELECT id, row_number() OVER (ORDER BY {clock}, id) - 1 + {at} AS cluster FROM f{turn} WHERE round(d, 9) > 0 ORDER BY {clock}, id LIMIT {n})",
+                  f"s{turn} AS MATERIALIZED (SELECT * FROM s{turn - 1} UNION ALL SELECT cluster, vec FROM d{turn} JOIN v USING (id))"]
+    last = f"s{len(SEEDS) - 1}"
+    for i in range(ROUNDS):
+        steps += [_sql_nearest(f"n{i}", last), f"""m{i} AS MATERIALIZED (SELECT c.cluster, CASE WHEN w.vec IS NULL THEN c.vec ELSE w.vec END AS vec FROM {last} c LEFT JOIN (
+ SELECT cluster, list(x ORDER BY dim) AS vec FROM (SELECT n.cluster, u.dim, avg(u.x) AS x FROM n{i} n JOIN u USING (id) GROUP BY 1, 2) GROUP BY 1) w USING (cluster))"""]
+        last = f"m{i}"
+    return f"WITH {SQL_V}, u AS (SELECT id, unnest(vec) AS x, unnest(range(64)) AS dim FROM v), {', '.join(steps)} SELECT cluster, CAST(unnest(range(64)) AS INTEGER) AS dim, unnest(list_transform(vec, lambda x: {q6('x')})) AS value FROM {last}"
+
+
+@query("C14_kmeans_init", _sql_kmeans())
 def kmeans(spark, sf):
-    return tg.kmeans_centroids(vectors(spark, sf), 14).select("cluster", F.posexplode("vec").alias("dim", "value"))
+    return tg.kmeans_centroids(vectors(spark, sf), CENTRES, rounds=ROUNDS).select("cluster", F.posexplode("vec").alias("dim", "x")).select("cluster", "dim", r6("x").alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave import skew
@@ -194,9 +194,9 @@ def label_negatives(items: DataFrame) -> DataFrame:
 
 
 def label_logged(items: DataFrame) -> DataFrame:
-    """``label_positives`` and ``label_negatives`` together, in one pass over the logged items."""
+    """``label_positives`` and ``label_negatives`` together, in one pass over the log: the logged items are stored."""
     items = _with_record(items)
-    logged = items.where((F.col("role") == "clicked") | ((F.col("role") == "shown") & F.col("link").isNotNull()))
+    logged = items = cut_lineage(items.where((F.col("role") == "clicked") | ((F.col("role") == "shown") & F.col("link").isNotNull())))
     was_clicked = _clicked_links(items).withColumn("__clicked", F.lit(True))
     is_click = F.col("role") == "clicked"
     keyed = logged.withColumns({"__s": _session(logged), "__l": F.col("link")})
@@ -220,11 +220,30 @@ def best_candidates(items: DataFrame) -> DataFrame:
     return pool.groupBy(*SESSION_COLUMNS, F.col("link").alias("nav_link")).agg(F.min("position").alias("position"))
 
 
-def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:
+#: sessions of more candidate links are numbered in pieces
+WINDOW_ROWS = 100_000
+
+
+def _drawn_by_window(pool: DataFrame, seed: int) -> DataFrame:
+    """Both draws of sessions that fit into a task: one shuffle by session, sorted twice."""
+    hard = Window.partitionBy("__s", "is_hard").orderBy(md5_key(f"{seed}h", "session_id", "nav_link"))
+    rest = Window.partitionBy("__s", "is_taken").orderBy(md5_key(f"{seed}r", "session_id", "nav_link"))
+    marked = pool.repartition("__s").withColumn("is_taken", F.col("is_hard") & (F.row_number().over(hard) <= F.col("hard_k")))
+    return marked.withColumn("draw", F.row_number().over(rest))
+
+
+def _drawn_in_pieces(pool: DataFrame, seed: int) -> DataFrame:
+    """The same for sessions of any size: members are numbered with ``skew.shuffled_ordinal``."""
+    first = skew.shuffled_ordinal(pool, ["__s", "is_hard"], md5_key(f"{seed}h", "session_id", "nav_link"), "draw")
+    marked = cut_lineage(first.withColumn("is_taken", F.col("is_hard") & (F.col("draw") <= F.col("hard_k"))).drop("draw"))
+    return skew.shuffled_ordinal(marked, ["__s", "is_taken"], md5_key(f"{seed}r", "session_id", "nav_link"), "draw")
+
+
+def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig(), window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Seeded mix of hard and random candidates per session, in md5 order.
 
-    The draw sizes differ per session, so members are numbered with ``skew.shuffled_ordinal``
-    instead of a window over the session.
+    Draw sizes differ per session. Sessions of at most ``window_rows`` candidates are numbered by windows, larger ones in
+    pieces, with the same result.
     """
     links = (
         _with_record(items).where(F.col("link").isNotNull())
@@ -238,24 +257,24 @@ def sample_negatives(items: DataFrame, config: LabelConfig = LabelConfig()) -> D
         )
     )
     hard = F.coalesce(F.col("position").between(config.hard_low, config.hard_high), F.lit(False))
-    links = links.withColumn("__s", _session(links))
     pool_row = F.col("candidate") & ~F.col("clicked") & ~F.col("shown")
-    pool = links.where(pool_row).drop("clicked", "shown", "candidate").withColumn("is_hard", hard)
+    # read by the quotas and by the draws
+    links = cut_lineage(links.select("*", _session(links).alias("__s"), pool_row.alias("pooled"), hard.alias("is_hard")).drop("shown", "candidate"))
     quota = (
         links.groupBy("__s")
-        .agg(F.count_if(pool_row & hard).alias("n_hard"), F.count_if("clicked").alias("n_pos"))
+        .agg(F.count_if(F.col("pooled") & F.col("is_hard")).alias("n_hard"), F.count_if("clicked").alias("n_pos"), F.count_if("pooled").alias("__n"))
         .withColumn("k", F.bround(F.lit(float(config.negatives_per_positive)) * F.greatest(F.lit(1), F.col("n_pos"))).cast("long"))
         .withColumn("hard_k", F.least(F.col("n_hard"), F.bround(F.lit(float(config.hard_fraction)) * F.col("k")).cast("long")))
         .withColumn("rand_k", F.greatest(F.lit(0), F.col("k") - F.col("hard_k")))
-        .select("__s", "hard_k", "rand_k")
+        .select("__s", "hard_k", "rand_k", "__n")
     )
-    # the sized pool is read by both draws below
-    sized = cut_lineage(skew.attach(pool, quota, ["__s"]))
-    first = skew.shuffled_ordinal(sized, ["__s", "is_hard"], md5_key(f"{config.seed}h", "session_id", "nav_link"), "draw")
-    taken = F.col("is_hard") & (F.col("draw") <= F.col("hard_k"))
-    marked = first.withColumn("is_taken", taken).drop("draw")
-    second = skew.shuffled_ordinal(marked, ["__s", "is_taken"], md5_key(f"{config.seed}r", "session_id", "nav_link"), "draw")
-    return second.where(F.col("is_taken") | (F.col("draw") <= F.col("rand_k"))).select(
+    quota = cut_lineage(quota)
+    pool = skew.attach(links.where("pooled").drop("clicked", "pooled"), quota, ["__s"])
+    small = F.col("__n") <= window_rows
+    drawn = _drawn_by_window(pool.where(small).drop("__n"), config.seed)
+    if (quota.agg(F.max("__n")).first()[0] or 0) > window_rows:
+        drawn = drawn.unionByName(_drawn_in_pieces(cut_lineage(pool.where(~small).drop("__n")), config.seed))
+    return drawn.where(F.col("is_taken") | (F.col("draw") <= F.col("rand_k"))).select(
         F.lit("negative").alias("type"),
         F.lit(0).alias("label"),
         *SESSION_COLUMNS,

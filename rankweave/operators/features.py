@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rankweave import skew
 from rankweave.functions.scalar import days_between, last_digits, year_month
+from rankweave.functions.vectors import let
 
 WINDOWS = (1, 7, 30, 90)
 
@@ -120,17 +121,33 @@ def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return staged.withColumns(out).drop("__fit")
 
 
-def category_values(df: DataFrame, col: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct values of a low-cardinality column; refuses more than ``limit``."""
-    values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{col} has more than {limit} distinct values")
-    return sorted(values)
+def category_index(df: DataFrame, col: str) -> DataFrame:
+    """(value, index): the distinct values in order, from 0; any number of them, numbered by ranges."""
+    values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return skew.numbered(values, [F.col("value")], "index").select("value", (F.col("index") - 1).cast("int").alias("index"))
 
 
-def one_hot(col: Column, values: Sequence[str]) -> Column:
-    """0/1 array in the order of ``values``; all zeros for an unknown category."""
-    return F.array(*[F.when(col == v, F.lit(1.0)).otherwise(F.lit(0.0)) for v in values])
+def with_index(rows: DataFrame, col: str, index: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the index of their category, null for an unknown one; the planner broadcasts the table if its size allows."""
+    return rows.join(index.select(F.col("value").alias(col), F.col("index").alias(out)), col, "left")
+
+
+def sparse(size: int, indices: Column, values: Column) -> Column:
+    """A sparse vector: its size, and the places (ascending) that are not zero."""
+    return F.struct(F.lit(size).alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"))
+
+
+def one_hot(rows: DataFrame, col: str, index: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the sparse one-hot vector of a category column; all zeros for an unknown category."""
+    found = F.array_compact(F.array(F.col("__i")))
+    return with_index(rows, col, index, "__i").withColumn(out, sparse(index.count(), found, F.transform(found, lambda i: F.lit(1.0)))).drop("__i")
+
+
+def dense(vector: Column) -> Column:
+    """All places of a sparse vector, zeros included."""
+    places = F.when(vector["size"] > 0, F.sequence(F.lit(0), vector["size"] - 1)).otherwise(F.array().cast("array<int>"))
+    filled = lambda m: F.transform(places, lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+    return let(F.map_from_arrays(vector["indices"], vector["values"]), filled)
 
 
 def cyclic(value: Column, cycle: int) -> list[Column]:
@@ -142,7 +159,8 @@ def cyclic(value: Column, cycle: int) -> list[Column]:
 class UserEncoder:
     """Fit on a user and a context table; ``transform`` gives one vector per row.
 
-    Order: min-max columns, z-score columns, one-hot blocks, pass-through columns, hour and weekday cycles.
+    Order: min-max columns, z-score columns, one-hot blocks, pass-through columns, hour and weekday cycles. Categories are
+    looked up in (value, index) tables, so a block may be of any size.
     """
 
     minmax: Sequence[str]
@@ -152,28 +170,39 @@ class UserEncoder:
     hour: str = "current_hour"
     weekday: str = "current_day_of_week"
     stats: dict = field(default_factory=dict)
-    values: dict = field(default_factory=dict)
+    indexes: dict = field(default_factory=dict)
+    sizes: dict = field(default_factory=dict)
 
     def fit(self, users: DataFrame, contexts: DataFrame) -> UserEncoder:
         aggs = [f(c).cast("double").alias(f"{n}_{c}") for c in self.minmax for n, f in (("min", F.min), ("max", F.max))]
         aggs += [f(c).cast("double").alias(f"{n}_{c}") for c in self.zscore for n, f in (("avg", F.avg), ("std", F.stddev_pop))]
         self.stats = users.agg(*aggs).first().asDict()
-        self.values = {c: category_values(contexts, c) for c in self.categorical}
+        self.indexes = {c: category_index(contexts, c) for c in self.categorical}
+        self.sizes = {c: index.count() for c, index in self.indexes.items()}
         return self
 
-    def transform(self, rows: DataFrame, out: str = "vector") -> DataFrame:
+    def transform(self, rows: DataFrame, out: str = "vector", as_sparse: bool = False) -> DataFrame:
+        """``out`` is an array of all places, or with ``as_sparse`` a sparse vector of the places that may not be zero."""
         if not self.stats:
             raise RuntimeError("fit the encoder before transform")
-        parts = []
+        head = []
         for c in self.minmax:
             low, high = self.stats[f"min_{c}"], self.stats[f"max_{c}"]
-            parts.append((F.col(c) - F.lit(low)) / F.lit(high - low) if high > low else F.lit(0.0))
+            head.append((F.col(c) - F.lit(low)) / F.lit(high - low) if high > low else F.lit(0.0))
         for c in self.zscore:
             std = self.stats[f"std_{c}"] or 1.0
-            parts.append((F.col(c) - F.lit(self.stats[f"avg_{c}"])) / F.lit(std))
-        hot = [one_hot(F.col(c), self.values[c]) for c in self.categorical]
+            head.append((F.col(c) - F.lit(self.stats[f"avg_{c}"])) / F.lit(std))
+        staged, hot, at = rows, [], len(head)
+        for i, c in enumerate(self.categorical):
+            staged = with_index(staged, c, self.indexes[c], f"__i{i}")
+            hot.append(F.col(f"__i{i}") + at)
+            at += self.sizes[c]
         tail = [F.col(c).cast("double") for c in self.passthrough] + cyclic(F.col(self.hour), 24) + cyclic(F.col(self.weekday), 7)
-        return rows.withColumn(out, F.concat(F.array(*parts), *hot, F.array(*tail)))
+        places = F.concat(F.array(*[F.lit(i) for i in range(len(head))]).cast("array<int>"), F.array_compact(F.array(*hot).cast("array<int>")), F.array(*[F.lit(at + i) for i in range(len(tail))]))
+        ones = F.transform(F.array_compact(F.array(*hot).cast("array<int>")), lambda i: F.lit(1.0))
+        values = F.concat(F.array(*head).cast("array<double>"), ones, F.array(*tail).cast("array<double>"))
+        vector = staged.withColumn(out, sparse(at + len(tail), places, values)).drop(*[f"__i{i}" for i in range(len(hot))])
+        return vector if as_sparse else vector.withColumn(out, dense(F.col(out)))
 
 
 def query_features(df: DataFrame, text: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankweave.functions.hooks import Batch, encode_texts, map_batch
-from rankweave.functions.sampling import md5_key
+from rankweave.functions.sampling import md5_key, md5_long
 from rankweave.functions.scalar import is_title_case
-from rankweave.functions.vectors import argmax, dot, l2_normalize, let, squared_distance
+from rankweave.functions.vectors import argmax, dot, l2_normalize, let
 from rankweave.operators import knn
 from rankweave.operators.graph import connected_components
 from rankweave.session import cut_lineage
@@ -248,7 +251,8 @@ def taxonomy_tag(queries: DataFrame, nodes: DataFrame, k: int, level: int | None
 
 # ---- soft clusters ----
 
-MAX_CENTROIDS = 1000
+#: bytes of centroids that a task holds at once
+CENTROID_BYTES = 32 << 20
 
 
 def _share(weights: Column) -> Column:
@@ -256,29 +260,131 @@ def _share(weights: Column) -> Column:
     return let(total, lambda t: F.transform(weights, lambda x: x / t))
 
 
-def soft_assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, q, label): Student-t similarity to each centroid, normalized, and the arg-max cluster.
+def _rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch[column].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
-    The centroids (cluster from 0, vec) are a checked, bounded table that enters as one scalar array.
-    """
-    if centroids.limit(MAX_CENTROIDS + 1).count() > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    listed = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", F.transform("vec", lambda x: x.cast("double")).alias("vec")))).alias("c")).scalar()
-    staged = points.select("id", "vec").withColumn("c", listed)
-    raw = F.transform("c", lambda c: 1.0 / (1.0 + squared_distance(F.col("vec"), c["vec"])))
-    out = staged.select("id", let(raw, _share).alias("q"))
-    return out.withColumn("label", (argmax(F.col("q")) - 1).cast("long"))
+
+def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(rows of x, rows of c), one column of ``c`` after the other: exact for equal vectors, in memory of one block."""
+    out = np.zeros((len(x), len(c)))
+    for d in range(x.shape[1]):
+        out += (x[:, d, None] - c[None, :, d]) ** 2
+    return out
+
+
+def _centroid_groups(centroids: DataFrame, limit: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The centroids (cluster from 0, vec) in order, in groups of about ``limit`` measured bytes."""
+    last, dims = centroids.agg(F.max("cluster"), F.max(F.size("vec"))).first()
+    size = max(1, limit // (8 * (dims or 1)))
+    for low in range(0, -1 if last is None else last + 1, size):
+        rows = centroids.where((F.col("cluster") >= low) & (F.col("cluster") < low + size)).orderBy("cluster").collect()
+        if rows:
+            yield [r["cluster"] for r in rows], np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
-def target_distribution(assigned: DataFrame, k: int) -> DataFrame:
+def soft_assign(points: DataFrame, centroids: DataFrame, limit: int = CENTROID_BYTES) -> DataFrame:
+    """(id, q, label): Student-t similarity to each centroid, normalized, and the arg-max cluster.
+
+    The centroids (cluster from 0, vec) meet the points block by block, in groups of ``limit`` measured bytes;
+    with several groups, the sums over all of them are joined back before the shares are taken.
+    """
+    kind = points.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, part long, w array<double>, total double"
+    rows, out = points.select("id", "vec").where(F.col("vec").isNotNull()), None
+
+    def weights(shared, part: int):
+        def run(batches):
+            c = shared.value
+            step = max(1, (1 << 20) // len(c))
+            for batch in batches:
+                for low in range(0, batch.num_rows, step):
+                    block = batch.slice(low, step)
+                    w = 1.0 / (1.0 + squared_distances(_rows_of(block, "vec"), c))
+                    edge = pa.array(np.arange(len(w) + 1, dtype=np.int32) * len(c))
+                    yield pa.RecordBatch.from_arrays([block["id"], pa.array(np.full(len(w), part)), pa.ListArray.from_arrays(edge, pa.array(w.ravel())), pa.array(w.sum(axis=1))], ["id", "part", "w", "total"])
+
+        return run
+
+    groups = 0
+    for groups, (_, c) in enumerate(_centroid_groups(centroids, limit), 1):
+        found = rows.mapInArrow(weights(points.sparkSession.sparkContext.broadcast(c), groups), schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no centroids")
+    if groups > 1:
+        packed = out.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "w"))).alias("l"), F.sum("total").alias("total"))
+        out = packed.select("id", F.flatten(F.col("l.w")).alias("w"), "total")
+    shares = out.select("id", let(F.col("total"), lambda t: F.transform("w", lambda x: x / t)).alias("q"))
+    return shares.withColumn("label", (argmax(F.col("q")) - 1).cast("long"))
+
+
+def target_distribution(assigned: DataFrame) -> DataFrame:
     """(id, p): squared and re-normalized assignments that sharpen the clusters."""
-    sums = assigned.agg(F.array(*[F.sum(F.col("q")[i]) for i in range(k)]).alias("f")).scalar()
+    sums = assigned.agg(vector_to_array(Summarizer.sum(array_to_vector("q"))).alias("f")).scalar()
     return assigned.withColumn("f", sums).select("id", let(F.zip_with("q", "f", lambda q, f: q * q / f), _share).alias("p"))
 
 
-def kmeans_centroids(points: DataFrame, k: int = 14, seed: int = 7) -> DataFrame:
-    """(cluster, vec) of the fitted centres: k rows."""
-    staged = points.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed).fit(staged)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return points.sparkSession.createDataFrame(rows, "cluster long, vec array<double>")
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of every row, the smaller one of centres equally near (to 9 places), and the squared distance."""
+    d = squared_distances(x, c)
+    best = np.round(d, knn.PLACES).argmin(axis=1)
+    return best, d[np.arange(len(x)), best]
+
+
+def _next_centres(distinct: DataFrame, centres: np.ndarray, n: int, seed: int, turn: int) -> list[list[float]]:
+    """``n`` further centres of the distinct vectors (id, vec, n), drawn with a chance in proportion to n times the squared distance."""
+    shared = distinct.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], batch["n"], pa.array(_nearest(_rows_of(batch, "vec"), shared.value)[1])], ["id", "vec", "n", "d"])
+
+    far = distinct.mapInArrow(run, T.StructType([*distinct.schema.fields, T.StructField("d", T.DoubleType())])).where(F.round("d", knn.PLACES) > 0)
+    chance = (md5_long(f"{seed}c{turn}", "id").cast("double") + 1.0) / 2.0**60
+    clock = -F.log(chance) / (F.col("d") * F.col("n"))  # the least exponential clocks are a draw without replacement
+    return [list(r["vec"]) for r in far.orderBy(clock, "id").limit(n).collect()]
+
+
+def kmeans_centroids(points: DataFrame, k: int = 14, seed: int = 7, per_turn: int = 0, rounds: int = 10) -> DataFrame:
+    """(cluster, vec) of ``k`` centres after ``rounds`` rounds of assignment and means; fewer if there are fewer distinct vectors.
+
+    The start is a parallel seeding: one vector by hash, then ``per_turn`` (half of k, if 0) at once in each pass, in
+    proportion to their squared distance from the centres so far. A round is one pass that adds up the vectors of
+    each centre; a centre without vectors stays. The same seed gives the same centres on every run.
+    """
+    rows = cut_lineage(points.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).where(F.col("vec").isNotNull()))
+    centres = [list(r["vec"]) for r in rows.orderBy(md5_key(f"{seed}c0", "id"), "id").limit(1).collect()]
+    distinct = cut_lineage(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "vec", "n"))
+    turn = 1
+    while centres and len(centres) < k:
+        more = _next_centres(distinct, np.array(centres), min(k - len(centres), per_turn or max(1, k // 2)), seed, turn)
+        if not more:
+            break
+        centres, turn = centres + more, turn + 1
+    for _ in range(rounds if centres else 0):
+        centres = _means(rows, np.array(centres))
+    return points.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster long, vec array<double>")
+
+
+def _means(rows: DataFrame, centres: np.ndarray) -> list[list[float]]:
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        c = shared.value
+        n, total = np.zeros(len(c), np.int64), np.zeros(c.shape)
+        for batch in batches:
+            if batch.num_rows:
+                x = _rows_of(batch, "vec")
+                best, _ = _nearest(x, c)
+                n += np.bincount(best, minlength=len(c))
+                for i in np.unique(best):
+                    total[i] += x[best == i].sum(axis=0)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["cluster", "n", "s"])
+
+    sums = rows.select("vec").mapInArrow(run, "cluster long, n long, s array<double>").groupBy("cluster").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    out = centres.tolist()
+    for r in sums.collect():  # a row a centre
+        out[r["cluster"]] = [x / r["n"] for x in r["s"]]
+    return out
