@@ -4,8 +4,8 @@ Texts are tokenised once and stored. Whole windows of a long text are sequences
 ``BLOCK`` windows; what is left of each document, under one window, is what has to be packed with others.
 
 The index is over whole documents, and its terms are the vocabulary's ids, so its statistics (document frequencies, mean
-length) are bounded by the vocabulary and the same in every shard. A document belongs to its topic, the shared term with
-the greatest BM25 weight in it: neighbours tend to share it. Topics are laid out in shards of about ``shard_tokens`` tokens
+length) are bounded by the vocabulary and the same in every shard. A document belongs to its topic, a term that is frequent in it and
+rare elsewhere: neighbours tend to share it. Topics are laid out in shards of about ``shard_tokens`` tokens
 by their exact totals (one number a vocabulary entry on the driver); a topic beyond that is split by a hash of the row, so
 no shard grows with a hot topic or a hot group of copies.
 
@@ -27,18 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm.base import row_key, small_batches
-from rankweave.llm.wordscan import mix
 from rankweave.session import cut_lineage
 
 #: windows in one stored row of a long text
-BLOCK = 64
+BLOCK = 16
 #: characters of a text that are encoded at once; a text is cut before a space that follows another character
 PART = 1 << 18
 #: what a row counts for beside its tokens, so that a shard holds a bounded number of tiny documents, too
 ROW_COST = 32
 K1, B = 1.2, 0.75
-#: a topic occurs in at least this many documents
-SHARED = 8
 #: the pattern of the byte-level pre-tokenizer (fixed value)
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -118,13 +115,13 @@ def widened(data: bytes, n: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, file: str, ident: str, text: str, window: int, end_id: int) -> DataFrame:
-    """Rows (id, k, t, start, length, doc_tokens, ids, terms, counts): whole windows, BLOCK at most a row, and the remainder.
+    """Rows (id, k, t, start, length, doc_tokens, topic, ids, terms, counts): whole windows, BLOCK at most a row, and the remainder.
 
-    The last row of a document of more than ``window`` tokens carries the document's distinct terms and their counts;
-    in a shorter one its ids tell them.
+    The remainder has the document's topic, whole windows -1. The last row of a document of more than ``window`` tokens
+    carries the document's distinct terms and their counts; in a shorter one its ids tell them.
     """
     schema = T.StructType([
-        T.StructField("id", docs.schema[ident].dataType), *[T.StructField(c, T.LongType()) for c in ("k", "t", "start", "length", "doc_tokens")],
+        T.StructField("id", docs.schema[ident].dataType), *[T.StructField(c, T.LongType()) for c in ("k", "t", "start", "length", "doc_tokens", "topic")],
         *[T.StructField(c, T.BinaryType()) for c in ("ids", "terms", "counts")]])
 
     def run(batches):
@@ -133,20 +130,21 @@ def tokenised(docs: DataFrame, file: str, ident: str, text: str, window: int, en
             encoder = encoder or Encoder(file)
             same = batch.column(3).fill_null("").dictionary_encode()
             encoded = [np.append(encoder.ids(x.as_py()), np.uint32(end_id)) for x in same.dictionary]
+            known = [np.unique(e[:-1], return_counts=True) for e in encoded]
+            topic = [topic_of(*k) for k in known]
             source, rows = [], []
             for i, e in enumerate(same.indices.to_pylist()):
                 ids, n = encoded[e], len(encoded[e])
                 whole = n // window * window
                 edges = [*range(0, whole, BLOCK * window), whole, *([n] if n > whole else [])]
                 for low, high in zip(edges[:-1], edges[1:], strict=True):
-                    terms = counts = None
-                    if high == n > window:
-                        terms, counts = np.unique(ids[:-1], return_counts=True)
+                    told = high == n > window
                     source.append(i)
-                    rows.append((low, high - low, n, narrow(ids[low:high]), None if terms is None else narrow(terms), None if counts is None else counts.astype("<u4").tobytes()))
+                    rows.append((low, high - low, n, topic[e] if high > whole else -1, narrow(ids[low:high]),
+                                 narrow(known[e][0]) if told else None, known[e][1].astype("<u4").tobytes() if told else None))
                 if len(rows) >= 4096 or i == batch.num_rows - 1:
                     keys = [batch.column(c).take(pa.array(source, pa.int64())) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 3 + [pa.binary()] * 3)]], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 4 + [pa.binary()] * 3)]], names=schema.names)
                     source, rows = [], []
 
     keys = [c.alias(n) for c, n in zip(row_key(ident, text), ("k", "t"), strict=True)]
@@ -207,62 +205,39 @@ def statistics(stored: DataFrame) -> Statistics:
     return Statistics(df, n, mean or 1.0)
 
 
-def topics(rows, stats: Statistics, window: int) -> np.ndarray:
-    """The topic of every row: its strongest term that enough documents share; -1 for whole windows and rows without one."""
-    out = np.full(rows.num_rows, -1, np.int64)
-    length, whole = rows.column("length").to_numpy(), rows.column("doc_tokens").to_numpy()
-    open_rows = np.flatnonzero(length < window)
-    row, term, count = term_rows(rows.take(pa.array(open_rows)))
-    row = open_rows[row]
-    shared = stats.df[term] >= SHARED
-    row, term, count = row[shared], term[shared], count[shared]
-    weight = stats.weights(term, count, whole[row] - 1)
-    order = np.lexsort((term, -weight, row))
-    first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
-    out[row[first]] = term[first]
-    return out
-
-
-class Layout:
-    """Which shards hold which topic: small topics share one, a large one is split over several."""
-
-    def __init__(self, totals: dict[int, int], shard_tokens: int):
-        self.first, self.parts = np.zeros(max(totals, default=-1) + 2, np.int64), np.ones(max(totals, default=-1) + 2, np.int64)
-        shard, used = 0, 0
-        for topic in sorted(totals):
-            size = totals[topic]
-            if used and used + size > shard_tokens:
-                shard, used = shard + 1, 0
-            self.first[topic + 1], self.parts[topic + 1] = shard, -(-size // shard_tokens)
-            if size > shard_tokens:
-                shard += int(self.parts[topic + 1])
-            else:
-                used += size
-
-    def shards(self, topic: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return self.first[topic + 1] + (mix(key) % self.parts[topic + 1].astype(np.uint64)).astype(np.int64)
-
+def topic_of(terms: np.ndarray, counts: np.ndarray) -> int:
+    """The term that says most about a document, -1 without terms: frequent there, and late in the vocabulary.
 
-def sharded(stored: DataFrame, stats: Statistics, window: int, shard_tokens: int) -> DataFrame:
-    """``stored`` with its shard."""
-
-    def sizes(batches):
-        for batch in batches:
-            topic, place = np.unique(topics(batch, stats, window), return_inverse=True)
-            size = np.bincount(place, weights=batch.column("length").to_numpy() + ROW_COST, minlength=len(topic))
-            yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(size.astype(np.int64))], names=["topic", "size"])
-
-    totals = stored.select("length", "doc_tokens", "ids", "terms", "counts").mapInArrow(sizes, "topic long, size long").groupBy("topic").agg(F.sum("size").alias("size"))
-    layout = Layout({r["topic"]: r["size"] for r in totals.collect()}, shard_tokens)  # a row a vocabulary entry at most
+    A vocabulary of merges lists frequent terms first, so a term's number tells how rare it is in general, and the topic is
+    known as soon as a text is tokenised.
+    """
+    if not len(terms):
+        return -1
+    return int(terms[np.argmax(np.log1p(terms) * (counts / (counts + K1)))])
+
+
+def layout(totals: dict[int, int], shard_tokens: int) -> list[tuple[int, int, int]]:
+    """(topic, first shard, parts): small topics share a shard, a large one is split over several."""
+    out, shard, used = [], 0, 0
+    for topic in sorted(totals):
+        size = totals[topic]
+        if used and used + size > shard_tokens:
+            shard, used = shard + 1, 0
+        parts = max(1, -(-size // shard_tokens))
+        out.append((topic, shard, parts))
+        if parts > 1:
+            shard += parts
+        else:
+            used += size
+    return out
 
-    def place(batches):
-        for batch in batches:
-            if batch.num_rows:
-                k, t, start = (batch.column(c).to_numpy().astype(np.uint64) for c in ("k", "t", "start"))
-                shard = layout.shards(topics(batch, stats, window), mix(k + mix(t)) + start)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=[*batch.schema.names, "shard"])
 
-    return stored.mapInArrow(place, T.StructType([*stored.schema.fields, T.StructField("shard", T.LongType())]))
+def sharded(stored: DataFrame, shard_tokens: int) -> DataFrame:
+    """``stored`` with its shard. The driver sees one total a topic, at most as many as the vocabulary has entries."""
+    totals = stored.groupBy("topic").agg(F.sum(F.col("length") + ROW_COST).alias("size")).collect()
+    plan = stored.sparkSession.createDataFrame(layout({r["topic"]: r["size"] for r in totals}, shard_tokens), "topic long, first long, parts long")
+    part = F.pmod(F.xxhash64("k", "t", "start"), F.col("parts"))
+    return stored.join(F.broadcast(plan), "topic").withColumn("shard", F.col("first") + part).drop("first", "parts", "topic")
 
 
 class ShardIndex:
@@ -379,6 +354,6 @@ def pack_documents(docs: DataFrame, file: str, ident: str = "doc_id", text: str
     """
     stored = cut_lineage(tokenised(docs, file, ident, text, window, end_id))
     stats = statistics(stored)
-    placed = sharded(stored, stats, window, shard_tokens)
+    placed = sharded(stored, shard_tokens)
     schema = T.StructType([stored.schema["id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
     return placed.groupBy("shard").applyInArrow(lambda rows: pack_shard(rows, stats, window, asked), schema)

@@ -92,7 +92,7 @@ def test_hot_topics_and_tiny_documents_are_split(spark):
     rows = [(i, "the same copied passage of text " * 4) for i in range(3000)] + [(9000 + i, None) for i in range(3000)] + [(20_000 + i, f"other words {i}") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     stored = rp.cut_lineage(rp.tokenised(docs, FILE, "doc_id", "text", 1024, 0))
-    sizes = [r["s"] for r in rp.sharded(stored, rp.statistics(stored), 1024, 10_000).groupBy("shard").agg(F.sum(F.col("length") + rp.ROW_COST).alias("s")).collect()]
+    sizes = [r["s"] for r in rp.sharded(stored, 10_000).groupBy("shard").agg(F.sum(F.col("length") + rp.ROW_COST).alias("s")).collect()]
     assert len(sizes) > 20 and max(sizes) < 15_000
 
 
