@@ -4,7 +4,8 @@ Two copies of a licence differ in case, punctuation, line breaks, copyright line
 these, so a copy is found by an equi-join on its digest; no text is compared with any other.
 
 Every rule of the form works on a line or on a word, so a line has a form of its own and the form of a text is that of its
-lines one after the other: each line is brought into form once, for both purposes. Patterns run only over the lines that hold
+lines one after the other: each line is brought into form once, for both purposes. Only whether a line that begins with
+"copyright" names a holder depends on its place: in the head of a text it does, and right below a copyright line. Patterns run only over the lines that hold
 what they look for, and a line has a digest only if some known text has as many words.
 """
 
@@ -24,22 +25,13 @@ from pyspark.sql import types as T
 from rankweave.llm.base import row_key, small_batches
 from rankweave.session import cut_lineage
 
-#: words that follow "copyright" in the prose of licences; any other word on a short line begins a holder's name
-PROSE = ["a", "act", "and", "are", "as", "can", "claim", "claims", "disclaimer", "doctrines", "for", "holder", "holders", "if", "in", "infringement", "interest", "interests", "is", "it", "law", "laws", "licence", "licences", "license", "licenses", "licensor", "notice", "notices", "of", "on", "or", "owner", "owners", "ownership", "permission", "protection", "resulting", "right", "rights", "statement", "statements", "that", "the", "this", "to", "treaty", "under", "with"]
-
-
-def _other_than(words: list[str], inside: bool = False) -> str:
-    """A pattern for a word that is none of ``words``, for engines without look-ahead; ``inside``: it may have ended before."""
-    heads = sorted({w[0] for w in words if w})
-    end = r" \t\n.,;:()"
-    ways = [f"[^{''.join(heads)}{end}][^{end}]*", *[h + _other_than([w[1:] for w in words if w[:1] == h], True) for h in heads]]
-    return f"({'|'.join(ways)}){'?' if inside and '' not in words else ''}"
-
-
 MARKS = r"[ \t#*/;-]*"
-HOLDER = rf"[ \t]+(by[ \t]+)?(the[ \t][^\n]{{1,50}}(authors|contributors|project|team|foundation)|{_other_than(PROSE)}([ \t.,;:()][^\n]{{0,60}})?)[ \t.*/]*$"
-#: lines that name a holder or a year, in lower case, also behind comment marks
-COPYRIGHT_LINE = rf"(?m)^{MARKS}(((portions[ \t]+)?copyright[ \t]*(\(c\)|©|[0-9<\[:])|\(c\)|©|all rights reserved[.]?[ \t*/]*$)[^\n]*|(portions[ \t]+)?copyright{HOLDER})"
+#: lines that name a holder or a year with a sign of it, in lower case, also behind comment marks
+COPYRIGHT_LINE = rf"(?m)^{MARKS}((portions[ \t]+)?copyright[ \t]*(\(c\)|©|[0-9<\[:])|\(c\)|©|all rights reserved[.]?[ \t\r*/]*$)[^\n]*"
+#: a short line that begins like one: it names a holder only in the head of a text or right below a line above
+HOLDER_LINE = rf"^{MARKS}(portions[ \t]+)?copyright[ \t]+[^ \t].{{0,60}}$"
+#: the head of a text ends before the first line of more words that names no holder: until there only titles stand
+TITLE_WORDS = 8
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—©]+"
 # equivalent spellings (fixed values): whole words of the canonical form
 SPELLINGS = {
@@ -134,14 +126,34 @@ def line_forms(lines: pa.Array) -> pa.Array:
 def text_forms(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """(forms of the texts, forms of their lines that are not empty, bounds of each text in those)."""
     lists = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
-    forms = line_forms(lists.flatten())
-    filled = pc.not_equal(forms, "")
-    count = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
-    bounds = count[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
-    forms = forms.filter(filled)
+    lines = lists.flatten()
+    forms = line_forms(lines)
+    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    filled = pc.not_equal(forms, "").to_numpy(zero_copy_only=False)
+    filled &= ~_holders_by_place(lines, forms, edge)
+    bounds = np.concatenate([[0], np.cumsum(filled)])[edge]
+    forms = forms.filter(pa.array(filled))
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), forms), pa.scalar(" ", pa.large_string())), forms, bounds
 
 
+def _holders_by_place(lines: pa.Array, forms: pa.Array, edge: np.ndarray) -> np.ndarray:
+    """Which lines name a holder by their place: above the first line of more than TITLE_WORDS words, or below a copyright line."""
+    begins = np.flatnonzero(pc.match_substring(forms, "copyright").to_numpy(zero_copy_only=False))
+    out = np.zeros(len(lines), bool)
+    if len(begins):
+        out[begins[pc.match_substring_regex(pc.ascii_lower(lines.take(pa.array(begins))), HOLDER_LINE).to_numpy(zero_copy_only=False)]] = True
+        long = np.flatnonzero((pc.count_substring(forms, " ").to_numpy(zero_copy_only=False) >= TITLE_WORDS) & ~out)
+        text = np.searchsorted(edge, np.arange(len(lines)), "right") - 1
+        after = np.append(long, len(lines))[np.searchsorted(long, edge[text])]  # the first long line from the start of the text on
+        head = np.arange(len(lines)) < after
+        later = np.flatnonzero(out & ~head)
+        if len(later):  # never the first line of a text
+            above = pc.ascii_lower(lines.take(pa.array(later - 1)))
+            head[later] = pc.match_substring_regex(above, COPYRIGHT_LINE).to_numpy(zero_copy_only=False)
+        out &= head
+    return out
+
+
 @F.arrow_udf(T.StringType())
 def _canonical(text: pa.Array) -> pa.Array:
     return text_forms(text)[0].cast(pa.string())

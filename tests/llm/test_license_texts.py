@@ -22,7 +22,7 @@ def test_whole_texts_are_known(spark):
 
 def test_copyright_lines_in_comments_and_without_a_year(spark):
     mit = license_scan.KNOWN[0][2]
-    heads = ["# Copyright (c) 2020 X", " * Copyright 2020 X", "// (c) X", "Copyright Acme Inc.", ";; copyright by Jane Doe", "-- Copyright The Tool Authors", "# All rights reserved."]
+    heads = ["# Copyright (c) 2020 X", " * Copyright 2020 X", "// (c) X", "Copyright Acme Inc.", ";; copyright by Jane Doe", "-- Copyright The Tool Authors", "# All rights reserved.", "Copyright Notice Systems Ltd", "All rights reserved.\r"]
     rows = [(i, f"{h}\n{mit}") for i, h in enumerate(heads)]
     rows += [(100, "\n".join(f"# {x}" for x in [heads[3], *mit.split("\n")]))]
     rows += [(101, "Copyright Acme Inc. and then a sentence which runs on for far longer than the name of any holder would\n" + mit)]
@@ -36,3 +36,11 @@ def test_prose_after_copyright_stays(spark):
     docs = spark.createDataFrame(rows, "i long, a string, b string")
     forms = docs.select("i", license_scan.canonical(docs["a"]).alias("a"), license_scan.canonical(docs["b"]).alias("b"))
     assert forms.where("a != b").count() == 0
+
+
+def test_holders_stand_in_the_head_only(spark):
+    mit = license_scan.KNOWN[1][2]
+    first, rest = mit.split("\n", 1)
+    rows = [(1, f"MIT License\nCopyright Acme Inc.\n\n{mit}"), (2, f"{first}\nCopyright Acme Inc.\n{rest}"), (3, f"Copyright Acme Inc.\nPortions copyright Other Ltd\nSome project\n\n{mit}")]
+    got = {r["id"]: r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known_digests(spark)).collect()}
+    assert got == {1: "MIT", 2: None, 3: None}  # a line in the body is part of the text, and so is a title that no licence has
