@@ -67,18 +67,28 @@ class RunStore:
         return self._merged(runs).where(F.col("n") >= self.enough).select(*HASH, "last") if runs else None
 
 
+def id_bounds(ids: DataFrame, batches: int, sample: int = 1000) -> list:
+    """At most ``batches - 1`` ids of any ordered type, falling, that cut them into about equal parts.
+
+    They come from the ``sample`` ids with the least hashes. They only balance the batches: every result is the same.
+    """
+    drawn = ids.where(F.col("__id").isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample).orderBy("__id").collect()
+    places = sorted({len(drawn) * i // batches for i in range(1, batches)}, reverse=True)
+    return [drawn[at]["__id"] for at in places if at < len(drawn)]
+
+
 def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_chars: int = 20, enough: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text: repeated lines stay only in the largest id that holds them.
 
     A line's key is the line without ASCII spaces at its ends, A-Z as a-z; keys under ``min_chars`` code points always
-    stay. A null or empty text is one empty line. A null id is one document, smaller than any other. Rows with the same id
+    stay. Ids may be of any type that has an order. A null or empty text is one empty line. A null id is one document, smaller than any other. Rows with the same id
     count as one document and keep or drop alike. An empty table stays empty; clashing columns are replaced.
     """
     added = ["n_lines", "n_dropped", "kept_text"]
     kept = [c for c in docs.columns if c not in added]
     lines = cut_lineage(line_hashes(docs, ident, text, min_chars))
     pairs = cut_lineage(lines.select("__id", *HASH).distinct())
-    bounds = sorted({b for b in (pairs.agg(F.percentile_approx("__id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []) if b is not None}, reverse=True)
+    bounds = id_bounds(docs.select(F.col(ident).alias("__id")), batches)
     store = RunStore(enough, fanout)
     for i in range(len(bounds) + 1):  # (bounds[0], ..], (bounds[1], bounds[0]], .., nulls with the last
         over = F.col("__id") > bounds[i] if i < len(bounds) else F.lit(True)
