@@ -226,8 +226,8 @@ def component_links(members: DataFrame, texts: DataFrame, size: int, per_cent: i
     """(id, component) over the bucket members, such that every confirmed link between bucket mates is inside a component.
 
     ``members`` (key, id, low: the bucket's least id). First each member is compared with the least id of its buckets.
-    Then only buckets that still hold several components matter: in small ones, pairs of different components that share
-    two bands are compared; crowded ones are compared in blocks.
+    Then only buckets that still hold several components matter: in small ones, pairs of different components are
+    compared; crowded ones are compared in blocks.
     """
     pairs = cut_lineage(members.where("low < id").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")))
     found = confirm(pairs, texts, size, per_cent)
@@ -237,13 +237,12 @@ def component_links(members: DataFrame, texts: DataFrame, size: int, per_cent: i
     placed = cut_lineage(placed.join(cut_lineage(mixed), "key"))
     small = placed.where(F.col("n") <= CROWD).select("key", "id", "c")
     other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = (small.join(other, "key").where("id < b and c != cb").groupBy(F.col("id").alias("a"), "b")
-            .agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    rest = small.join(other, "key").where("id < b and c != cb").select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = confirm(cut_lineage(rest), texts, size, per_cent).unionByName(block_links(placed.where(F.col("n") > CROWD).select("key", "id", "c"), texts, size, per_cent))
     return _joined(components, more)
 
 
-def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = 2, per_cent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = 5, per_cent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``.
 
     Words are split at ASCII spaces, A-Z as a-z; a text of fewer than ``size`` words is one shingle; null, empty and blank
