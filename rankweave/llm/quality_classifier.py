@@ -139,10 +139,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def training_sample(rows: DataFrame, labels: DataFrame, ident: str, label: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` labelled rows, those with the least hash of id and features; rows without a 0/1 label are left out."""
+    """At most ``most`` labelled rows, those with the least hash of id and features; rows without a 0/1 label are left out.
+
+    A threshold from the counted rows leaves little more than ``most`` of them (six standard deviations), so what the tasks
+    send to the driver does not grow with their number.
+    """
     own = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y"))
     joined = rows.where(~F.col("held_out")).select("id", "x").join(own, "id").select("x", "y", F.xxhash64("id", "x").alias("at"))
-    drawn = joined.orderBy("at", "y").limit(most).toPandas()
+    n = joined.count()
+    share = min(1.0, (most + 6 * most**0.5) / max(1, n))
+    below = joined if share == 1.0 else joined.where(F.col("at") < F.lit(int(share * 2**64) - 2**63))
+    drawn = below.orderBy("at", "y").limit(most).toPandas()
     if not len(drawn):
         return np.empty((0, len(FEATURES))), np.empty(0)
     return np.array(drawn["x"].tolist(), float), drawn["y"].to_numpy(float)
