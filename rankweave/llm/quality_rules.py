@@ -78,7 +78,7 @@ def _alone(share: float) -> float:
 FLOOR = {"v_word_length": 0.04, "v_symbols": 0.05, "v_same_lines": _alone(0.45), "v_repeats": _alone(0.35), "v_capitals": 0.03}
 #: documents a group needs for an estimate of its own; share of a group that the estimate rests on
 LEAST_GROUP, CORE = 60, 0.6
-#: steps after which a group that is not at its end is an error; log determinants that differ by less are of one core
+#: steps after which a group that is not at its end keeps its least determinant; log determinants that differ by less are of one core
 MOST_STEPS, SETTLED = 200, 1e-9
 #: groups whose estimates (some 250 bytes each) may be broadcast; more are joined by shuffle
 MOST_SENT = 100_000
@@ -148,7 +148,10 @@ def _first_guess(rows: DataFrame, sizes: DataFrame, names: Sequence[str]) -> Dat
 
 
 def robust_estimates(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(__g, centre, inverse covariance, limit) for every group of ``rows`` (__g and the vector) that is large enough."""
+    """(__g, centre, inverse covariance, settled, limit) for every group of ``rows`` (__g and the vector) that is large enough.
+
+    ``settled`` is false for a group that was not at a fixed point after MOST_STEPS; its least determinant so far stands.
+    """
     sizes = cut_lineage(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST_GROUP))
     groups = sizes.count()
     rows = rows.join(small_side(sizes.select("__g"), groups, MOST_SENT), "__g", "left_semi")
@@ -174,27 +177,27 @@ def robust_estimates(rows: DataFrame, names: Sequence[str]) -> DataFrame:
         again = F.array_position(F.transform("past", lambda p: F.abs(p["logdet"] - F.col("logdet")) < SETTLED), True)
         following = cut_lineage(following.withColumn("again", again).withColumn("past", F.concat("past", F.array(state))))
         cycle = F.slice("past", F.greatest(F.col("again"), F.lit(1)).cast("int"), F.size("past"))
-        settled.append(following.where("again > 0").select("__g", "size", F.array_min(cycle).alias("p")).select("__g", "size", "p.*"))
+        ended = F.array_min(cycle).alias("p")
+        settled.append(following.where("again > 0").select("__g", "size", ended).select("__g", "size", "p.*", F.lit(True).alias("settled")))
         params = following.where("again = 0")  # groups at their end take no part in later steps
-        moving = params.count()
-        if not moving:
+        if not params.count():
             break
     else:
-        raise RuntimeError(f"{moving} groups are not at a fixed point after {MOST_STEPS} concentration steps")
+        settled.append(params.select("__g", "size", F.array_min("past").alias("p")).select("__g", "size", "p.*", F.lit(False).alias("settled")))
     params = cut_lineage(reduce(DataFrame.unionByName, settled))
     middle = ringed(params, sums[:1]).where(F.col("before") < F.col("size") * 0.5).groupBy("__g").agg((F.pow(F.lit(2.0), (F.max("ring") + 1) / 32) - 1).alias("half"))
     return cut_lineage(params.join(middle, "__g").withColumn("limit", F.greatest(F.lit(1.0), F.col("half") / CHI2_HALF[n]) * CHI2_TAIL[n]).drop("size", "logdet", "half"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("lang", "source"), keep: Sequence[str] | None = None, least_words: int = 50) -> DataFrame:
-    """``keep`` (all columns by default) with the counts, base_failed, distance and kept.
+    """``keep`` (all columns by default) with the counts, base_failed, distance, settled (see ``robust_estimates``) and kept.
 
     base_failed: fewer than ``least_words`` words, or over half of them inside repeated three-word windows. A null, empty or
     blank text has no words. Null keys are values of their own. Equal rows get equal verdicts. Groups of fewer than 60
     documents that pass the base rules use the estimate of their outer group; a table that small keeps all that pass.
     Columns of ``docs`` that clash with the new ones are replaced.
     """
-    added = {*COUNTS, "base_failed", "distance", "kept"}
+    added = {*COUNTS, "base_failed", "distance", "settled", "kept"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     names = [f"v_{k}" for k in ("word_length", "symbols", "same_lines", "repeats", "capitals")]
     ids = group_ids(keys)
@@ -214,4 +217,4 @@ def quality_rules(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("l
         out = out.join(small_side(own, groups, MOST_SENT), level, "left")
     chosen = out.withColumn("__e", F.coalesce(*[F.col(f"__e{level}") for level in levels]))
     judged = chosen.select(*keep, *COUNTS, "base_failed", *names, "__e.*").withColumn("distance", _distance(names))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("limit"), F.lit(True))).select(*keep, *COUNTS, "base_failed", "distance", "kept")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("limit"), F.lit(True))).select(*keep, *COUNTS, "base_failed", "distance", "settled", "kept")
