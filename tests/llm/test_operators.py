@@ -81,6 +81,14 @@ def test_line_dedup_of_odd_rows(odd, odd_rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_string_ids(spark, base):
+    docs, rows = documents(spark, base)
+    named = docs.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    rank = [(f"doc {i}", t) for i, t in rows]
+    got = line_dedup.dedup_lines(named, batches=3)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got.collect()) == sorted(plain.kept_lines(rank))
+
+
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (7, 3)])
 def test_runs_do_not_change_the_result(spark, base, batches, fanout):
     docs, rows = documents(spark, base)
@@ -199,7 +207,7 @@ def test_token_counts(spark, base, odd, odd_rows, empty):
 def test_near_duplicates(spark, base):
     docs, rows = documents(spark, base)
     want = plain.components(rows)
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, size=2).collect()}
     assert got == want and len({c for _, c in want.values()}) < len(want)
 
 
@@ -209,7 +217,7 @@ def test_near_duplicate_chains_and_hot_groups(spark):
     rows += [(100 + i, " ".join([*words[200:300], f"x{i}"])) for i in range(300)]  # a group of near copies
     rows += [(500 + i, " ".join([*words[300:330], *[f"y{i}_{j}" for j in range(25)]])) for i in range(120)]  # half in common, never linked
     rows += [(700 + i, "the very same words in every one of these") for i in range(200)]
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
     assert got == plain.components(rows)
 
 
@@ -224,7 +232,7 @@ def test_crowded_buckets_in_parts(spark, monkeypatch):
     for part_rows, cells in ((near_dedup.PART_ROWS, near_dedup.MATRIX_CELLS), (20, 500)):
         monkeypatch.setattr(near_dedup, "PART_ROWS", part_rows)
         monkeypatch.setattr(near_dedup, "MATRIX_CELLS", cells)
-        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == want
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, size=2).collect()} == want
 
 
 def test_intersections_of_a_block():
@@ -236,7 +244,7 @@ def test_intersections_of_a_block():
 
 
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
-    got = near_dedup.near_duplicates(odd).collect()
+    got = near_dedup.near_duplicates(odd, size=2).collect()
     want = plain.components({r[0]: r[1] for r in odd_rows if r[0] is not None}.items())
     assert len(got) == len(odd_rows)
     for r in got:
@@ -245,7 +253,7 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
         else:
             assert (r["n_shingles"], r["component_id"]) == want[r["id"]] and r["kept"] == (r["id"] == want[r["id"]][1])
     assert near_dedup.near_duplicates(empty).count() == 0
-    kept = near_dedup.clean(odd, near_dedup.near_duplicates(odd))
+    kept = near_dedup.clean(odd, near_dedup.near_duplicates(odd, size=2))
     assert kept.columns == odd.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in odd_rows if r[0] is None or want[r[0]][1] == r[0])
 
@@ -293,6 +301,15 @@ def test_estimate_ignores_a_third_of_outliers(spark):
     assert all(abs(est[f"m_{i}"] - 1) < 0.15 for i in range(5))
 
 
+def test_groups_that_do_not_settle_keep_their_least_determinant(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MOST_STEPS", 1)
+    rng = np.random.default_rng(6)
+    names = [f"v_{k}" for k in ("word_length", "symbols", "same_lines", "repeats", "capitals")]
+    rows = [(1, *map(int, np.round(r * quality_rules.UNIT))) for r in np.vstack([rng.normal(1, 0.5, (300, 5)), rng.normal(4, 0.1, (100, 5))])]
+    est = quality_rules.robust_estimates(spark.createDataFrame(rows, ["__g", *names]), names).collect()
+    assert len(est) == 1 and est[0]["settled"] is False and est[0]["limit"] > 0
+
+
 # ---- 8 ----
 
 def test_license_scan(spark, odd, empty):
@@ -324,6 +341,15 @@ def out_of(docs, labels):
     return quality_classifier.classify(docs, labels, crc_is(0)).select("id", "score").collect()
 
 
+def test_draw_of_labelled_rows_is_bounded(spark):
+    rows = spark.range(20_000).select("id", F.lit(False).alias("held_out"), F.array(*[F.col("id").cast("double")] * len(quality_classifier.FEATURES)).alias("x"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    whole, _ = quality_classifier.training_sample(rows, labels, "doc_id", "quality", 20_000)
+    x, y = quality_classifier.training_sample(rows, labels, "doc_id", "quality", 500)
+    assert len(whole) == 20_000 and len(x) == len(y) == 500
+    assert x[:, 0].tolist() == whole[:500, 0].tolist()
+
+
 def test_classifier_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1), (13, 0), (6, 1), (6, None), (99, 0), (None, 1), (8, 7)], "doc_id long, quality int")
     out = quality_classifier.classify(odd, labels, crc_is(0)).collect()
