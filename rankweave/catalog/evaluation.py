@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave import skew
 from rankweave.catalog import clicklog as logs
 from rankweave.catalog.base import SQL_ITEMS, q6, query, r6, sql_hash, table
 from rankweave.catalog.features import FEATURES, SQL_MONTHLY, sequences
-from rankweave.catalog.retrieval import SQL_LISTS, SQL_RANKS, SQL_V, cross_rank, vectors
+from rankweave.catalog.retrieval import SQL_RANKS, SQL_V, cross_rank, vectors
 from rankweave.catalog.tags import SQL_Q, label_means
-from rankweave.catalog.text import benchmark, bm25_ranking, documents
+from rankweave.catalog.text import SQL_BM25, benchmark, bm25_ranking, documents
 from rankweave.catalog.trainset import vector_faq
 from rankweave.functions.sampling import bucket
 from rankweave.functions.text import tokenize_alnum
 from rankweave.functions.vectors import cosine
 from rankweave.operators import clicklog as cl
+from rankweave.operators import entities as en
 from rankweave.operators import features as ft
 from rankweave.operators import metrics as mt
 from rankweave.operators import models
 from rankweave.operators import tags as tg
-from rankweave.plans import retrieval as rt
 from rankweave.session import cut_lineage
 
 
@@ -28,22 +29,29 @@ def ranked(spark, sf):
 
 
 def truth(spark, sf):
-    """The ten best documents by shared words, in order."""
-    return cut_lineage(rt.overlap_retriever(documents(spark, sf), benchmark(spark, sf), 10).select("query_id", "item_id", F.col("rank").alias("place")))
+    """The documents that hold a benchmark passage, its words one after the other, by id."""
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    passages = benchmark(spark, sf).select(F.col("text").alias("value"), F.col("query_id").cast("string").alias("label"))
+    held = en.tag_with_dictionary(docs, passages).select(F.col("label").cast("long").alias("query_id"), F.col("id").alias("item_id")).distinct()
+    return cut_lineage(skew.numbered(held, [F.col("item_id")], "place", ["query_id"]))
 
 
-SQL_EVAL = f"{SQL_LISTS}, rk AS (SELECT query_id, doc_id AS item_id, rank FROM bm_ranked WHERE rank <= 20), tr AS (SELECT query_id, doc_id AS item_id, rank AS place FROM ov WHERE rank <= 10), hit AS (SELECT rk.*, place FROM rk JOIN tr USING (query_id, item_id)), qs AS (SELECT DISTINCT query_id FROM tr UNION SELECT query_id FROM rk)"
+SQL_DICTIONARY_WORDS = r"' ' || array_to_string(list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}#&''-]+'), lambda w: w <> ''), ' ') || ' '"
+SQL_EVAL = f"""{SQL_BM25}, rk AS (SELECT query_id, doc_id AS item_id, rank FROM bm_ranked WHERE rank <= 20),
+tr AS MATERIALIZED (SELECT b.query_id, d.doc_id AS item_id, row_number() OVER (PARTITION BY b.query_id ORDER BY d.doc_id) AS place, count(*) OVER (PARTITION BY b.query_id) AS size
+ FROM (SELECT item_id AS query_id, {SQL_DICTIONARY_WORDS.format(t='text')} AS w FROM benchmark) b JOIN (SELECT doc_id, {SQL_DICTIONARY_WORDS.format(t='text')} AS w FROM documents) d ON contains(d.w, b.w)),
+hit AS (SELECT rk.*, place, size FROM rk JOIN tr USING (query_id, item_id)), qs AS (SELECT DISTINCT query_id, coalesce(size, 0) AS size FROM (SELECT query_id FROM tr UNION SELECT query_id FROM rk) LEFT JOIN (SELECT DISTINCT query_id, size FROM tr) USING (query_id))"""
 
 
-@query("M1_ndcg_at_k", f"""WITH {SQL_EVAL}, d AS (SELECT query_id, sum((11 - place) / log2(rank + 1)) AS dcg FROM hit WHERE rank <= 5 GROUP BY 1), i AS (SELECT query_id, sum((11 - place) / log2(place + 1)) AS idcg FROM tr WHERE place <= 5 GROUP BY 1)
-SELECT query_id, {q6('coalesce(dcg, 0)')} AS dcg, {q6('idcg')} AS idcg, {q6('coalesce(dcg, 0) / idcg')} AS ndcg FROM qs LEFT JOIN d USING (query_id) LEFT JOIN i USING (query_id)""")
+@query("M1_ndcg_at_k", f"""WITH {SQL_EVAL}, d AS (SELECT query_id, sum((size + 1 - place) / log2(rank + 1)) AS dcg FROM hit WHERE rank <= 5 GROUP BY 1), i AS (SELECT query_id, sum((size + 1 - place) / log2(place + 1)) AS idcg FROM tr WHERE place <= 5 GROUP BY 1)
+SELECT query_id, {q6('coalesce(dcg, 0)')} AS dcg, {q6('coalesce(idcg, 0)')} AS idcg, {q6('coalesce(dcg / idcg, 0)')} AS ndcg FROM qs LEFT JOIN d USING (query_id) LEFT JOIN i USING (query_id)""")
 def ndcg(spark, sf):
     out = mt.ndcg_at_k(ranked(spark, sf), truth(spark, sf), 5)
     return out.select("query_id", *[r6(c).alias(c) for c in ("dcg", "idcg", "ndcg")])
 
 
 def _at(k):
-    return f"{q6(f'count(*) FILTER (rank <= {k}) / {k}.0')} AS precision_{k}, {q6(f'count(*) FILTER (rank <= {k}) / 10.0')} AS recall_{k}, CAST(CASE WHEN count(*) FILTER (rank <= {k}) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS hitrate_{k}"
+    return f"{q6(f'count(*) FILTER (rank <= {k}) / {k}.0')} AS precision_{k}, {q6(f'count(*) FILTER (rank <= {k}) / greatest(any_value(qs.size), 1)')} AS recall_{k}, CAST(CASE WHEN count(*) FILTER (rank <= {k}) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS hitrate_{k}"
 
 
 SQL_PER_K = f"WITH {SQL_EVAL}, pk AS (SELECT query_id, {', '.join(_at(k) for k in (1, 3, 5, 10))} FROM qs LEFT JOIN hit USING (query_id) GROUP BY 1)"
@@ -63,7 +71,7 @@ def recall(spark, sf):
     return per_k(spark, sf, [10]).select("query_id", r6("recall_10").alias("recall_10"))
 
 
-SQL_AP = f"WITH {SQL_EVAL}, n AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM hit), ap AS (SELECT query_id, coalesce(sum(nth / rank), 0) / 10 AS ap FROM qs LEFT JOIN n USING (query_id) GROUP BY 1)"
+SQL_AP = f"WITH {SQL_EVAL}, n AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM hit), ap AS (SELECT query_id, coalesce(sum(nth / rank), 0) / greatest(any_value(qs.size), 1) AS ap FROM qs LEFT JOIN n USING (query_id) GROUP BY 1)"
 
 
 @query("M4_average_precision", f"{SQL_AP} SELECT query_id, {q6('ap')} AS ap FROM ap")
