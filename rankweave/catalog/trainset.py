@@ -51,10 +51,11 @@ def text_faq(spark, sf):
     asked = texts.select("id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("anchor"))
     answer = texts.select(F.col("id").alias("next"), F.col("text").alias("positive"))
     rows = vector_faq(spark, sf).withColumn("next", (F.col("id") + 1) % n)
-    return rows.join(asked, "id").join(answer, "next").drop("next")
+    blank = F.lit("")
+    return rows.join(asked, "id", "left").join(answer, "next", "left").drop("next").withColumns({c: F.coalesce(c, blank) for c in ("anchor", "positive")})
 
 
-@query("N2_hard_negative_rows", f"""WITH {SQL_MINED}, t2 AS (SELECT f.id, a.text AS qt, b.text AS pt FROM f JOIN documents a ON a.doc_id = f.id JOIN documents b ON b.doc_id = (f.id + 1) % (SELECT count(*) FROM v))
+@query("N2_hard_negative_rows", f"""WITH {SQL_MINED}, t2 AS (SELECT f.id, coalesce(a.text, '') AS qt, coalesce(b.text, '') AS pt FROM f LEFT JOIN documents a ON a.doc_id = f.id LEFT JOIN documents b ON b.doc_id = (f.id + 1) % (SELECT count(*) FROM v))
 SELECT t2.id, array_to_string(list_slice(string_split(qt, ' '), 1, 5), ' ') AS anchor, t2.pt AS positive, coalesce(string_agg(n.pt, chr(31) ORDER BY o), '') AS negatives
 FROM t2 LEFT JOIN (SELECT h.id, o, x.pt FROM h JOIN t2 x ON x.id = h.item) n ON n.id = t2.id GROUP BY t2.id, qt, t2.pt""")
 def mined_rows(spark, sf):
