@@ -1,13 +1,10 @@
 """The near_dedup stage works on shingles of five words; two are op6's contract only."""
 
-from functools import partial
-
 import corpus_pipeline
 from tests.llm import plain
 
 
-def test_stage_links_by_five_words(spark, base, monkeypatch):
-    monkeypatch.setattr(plain, "shingles", partial(plain.shingles, size=5))
+def test_stage_links_by_five_words(spark, base):
     at = base.replace("0.001", "0.01")
     words = [f"w{i}" for i in range(100)]
     odd = ["x" if i % 20 == 10 else w for i, w in enumerate(words)]  # 0.82 alike by two words, 0.59 by five
@@ -17,5 +14,5 @@ def test_stage_links_by_five_words(spark, base, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.dedup(spark, docs, at)
     kept = sorted(r["doc_id"] for r in out.collect())
-    assert kept == sorted(i for i, (_, c) in plain.components(rows).items() if i == c)
+    assert kept == sorted(i for i, (_, c) in plain.components(rows, size=5).items() if i == c)
     assert {10**6, 10**6 + 1} <= set(kept) and 10**6 + 2 not in kept
