@@ -155,7 +155,7 @@ KNOWLEDGE = {"tion the": "nouns", "ing": "verbs", "eau": "water", "ung": "german
 
 @query("T10_keyword_lookup", """
 SELECT conv_id, turn, CASE WHEN contains(lower(text), 'tion the') THEN 'nouns' WHEN contains(lower(text), 'ing') THEN 'verbs' WHEN contains(lower(text), 'eau') THEN 'water'
- WHEN contains(lower(text), 'ung') THEN 'german' ELSE 'No results found for: ''' || text || '''. Try: tion the, ing, eau, ung.' END AS answer FROM conversations""")
+ WHEN contains(lower(text), 'ung') THEN 'german' ELSE 'nothing known about <' || text || '>, ask for: tion the | ing | eau | ung' END AS answer FROM conversations""")
 def lookup(spark, sf):
     return tx.keyword_lookup(table(spark, sf, "conversations"), "text", KNOWLEDGE).select("conv_id", "turn", "answer")
 
@@ -194,8 +194,8 @@ def routes(spark, sf):
 
 
 @query("T13_validate_normalize_log", r"""
-SELECT conv_id, turn, '[PROCESSED] ' || upper(regexp_replace(replace(text, 'ß', 'ss'), '^\s+|\s+$', '', 'g')) AS cleaned, CAST(CASE WHEN length(text) > 0 THEN 0 ELSE 1 END AS INTEGER) AS error_count,
- 'validate: input=' || CASE WHEN length(text) > 0 THEN 'valid' ELSE 'empty' END || '; transform: uppercased and trimmed; enrich: added [PROCESSED] prefix' AS log FROM conversations""")
+SELECT conv_id, turn, 'clean> ' || upper(regexp_replace(replace(text, 'ß', 'ss'), '^\s+|\s+$', '', 'g')) AS cleaned, CAST(CASE WHEN length(text) > 0 THEN 0 ELSE 1 END AS INTEGER) AS error_count,
+ CASE WHEN length(text) > 0 THEN 'input ok' ELSE 'input empty' END || '; trimmed, upper case; prefix ''clean> ''' AS log FROM conversations""")
 def clean(spark, sf):
     out = tx.validate_and_clean(table(spark, sf, "conversations"), "text")
     return out.select("conv_id", "turn", "cleaned", "error_count", F.array_join("log", "; ").alias("log"))

@@ -65,9 +65,10 @@ def substring_search(df: DataFrame, query: str, columns: Sequence[str]) -> DataF
     return df.where(hit)
 
 
-def keyword_lookup(df: DataFrame, text: str, knowledge: Mapping[str, str], out: str = "answer") -> DataFrame:
-    """Value of the first key, in mapping order, that the text contains; else a message naming the keys."""
-    answer = F.concat(F.lit("No results found for: '"), F.col(text), F.lit("'. Try: " + ", ".join(knowledge) + "."))
+def keyword_lookup(df: DataFrame, text: str, knowledge: Mapping[str, str], out: str = "answer", missing: str = "nothing known about <{}>") -> DataFrame:
+    """Value of the first key, in mapping order, that the text contains; else ``missing`` around the text and the keys to ask for."""
+    before, after = missing.split("{}", 1)
+    answer = F.concat(F.lit(before), F.col(text), F.lit(f"{after}, ask for: {' | '.join(knowledge)}"))
     for key, value in reversed(list(knowledge.items())):
         answer = F.when(F.contains(F.lower(F.col(text)), F.lit(key)), F.lit(value)).otherwise(answer)
     return df.withColumn(out, answer)
@@ -97,17 +98,14 @@ def sentiment(df: DataFrame, text: str, positive: Sequence[str] = POSITIVE_WORDS
     })
 
 
-def validate_and_clean(df: DataFrame, text: str) -> DataFrame:
-    """Flag empty input, trim and upper-case, add a prefix, and log the steps."""
-    valid = F.length(text) > 0
+def validate_and_clean(df: DataFrame, text: str, prefix: str = "clean> ") -> DataFrame:
+    """Flag empty input, trim and upper-case, add a prefix; ``log`` has one entry a step, in order."""
+    filled = F.length(text) > 0
+    steps = [F.when(filled, "input ok").otherwise("input empty"), F.lit("trimmed, upper case"), F.lit(f"prefix '{prefix}'")]
     return df.withColumns({
-        "cleaned": F.concat(F.lit("[PROCESSED] "), F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))),
-        "error_count": F.when(valid, 0).otherwise(1),
-        "log": F.array(
-            F.concat(F.lit("validate: input="), F.when(valid, "valid").otherwise("empty")),
-            F.lit("transform: uppercased and trimmed"),
-            F.lit("enrich: added [PROCESSED] prefix"),
-        ),
+        "cleaned": F.concat(F.lit(prefix), F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))),
+        "error_count": F.when(filled, 0).otherwise(1),
+        "log": F.array(*steps),
     })
 
 
