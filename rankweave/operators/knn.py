@@ -27,8 +27,12 @@ WIDE_BLOCK = 16 * BLOCK  # rows per block of the other side: fewer blocks, fewer
 SELF_BLOCK = 4 * BLOCK
 RINGS = 64  # rings of a cell at most; a ring of more rows than a block has several parts
 GUESTS = 2048  # rows that are placed at once
+COPIES = 16  # guests a row at most, on average, if blocks are met by copies of rows
+PROBED = 1 << 16  # rows whose guests are counted to tell that
 BROADCAST_BYTES = 32 << 20
 PLACES = 9
+SLACK = 1.1e-9  # what rounding to PLACES can move a score, and a little more
+TILE, TILE_ROWS = 1 << 20, 256  # scores that a task holds at once, and rows of such a tile
 
 
 def _blocks(n: int, block: int) -> int:
@@ -62,14 +66,47 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(rows), k), chosen.ravel()
 
 
+def _tiles(rows: int, cols: int) -> Iterator[tuple[slice, slice]]:
+    """Parts of a matrix of scores with at most TILE cells each; all columns of a row part come one after the other."""
+    for r in range(0, rows, TILE_ROWS):
+        for c in range(0, cols, TILE // TILE_ROWS):
+            yield slice(r, r + TILE_ROWS), slice(c, min(cols, c + TILE // TILE_ROWS))
+
+
+def _merge_best(row: np.ndarray, col: np.ndarray, score: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, col, score, least): the k best per row, equal scores by the lower column; least is each row's k-th score, -inf with fewer."""
+    rounded = np.round(score, PLACES)
+    order = np.lexsort((col, -rounded, row))
+    place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    kept, last = order[place < k], order[place == k - 1]
+    least = np.full(rows, -np.inf)
+    least[row[last]] = np.where(np.isnan(rounded[last]), -np.inf, rounded[last])
+    return row[kept], col[kept], score[kept], least
+
+
+def _block_best(q_vec: np.ndarray, c_vec: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, score) of the k best columns of every row, a part of the rows at a time."""
+    kept, least = None, None
+    for rows, cols in _tiles(len(q_vec), len(c_vec)):
+        scores = q_vec[rows] @ c_vec[cols].T
+        if cols.start == 0:
+            r, c = _best(scores, k)
+            kept = r, c, scores[r, c]
+        else:
+            r, c = np.nonzero(~(scores <= least[:, None] - SLACK))
+            kept = np.concatenate([kept[0], r]), np.concatenate([kept[1], c + cols.start]), np.concatenate([kept[2], scores[r, c]])
+        *kept, least = _merge_best(*kept, len(scores), k)
+        if cols.stop == len(c_vec):
+            yield kept[0] + rows.start, kept[1], kept[2]
+
+
 def _topk_kernel(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 q_id, c_id = batch["q_id"][i].values, batch["c_id"][i].values
-                scores = _matrix(batch["q_vec"][i]) @ _matrix(batch["c_vec"][i]).T
-                r, c = _best(scores, k)
-                yield pa.RecordBatch.from_arrays([q_id.take(pa.array(r)), c_id.take(pa.array(c)), pa.array(scores[r, c])], ["query_id", "item_id", "score"])
+                for r, c, score in _block_best(_matrix(batch["q_vec"][i]), _matrix(batch["c_vec"][i]), k):
+                    yield pa.RecordBatch.from_arrays([q_id.take(pa.array(r)), c_id.take(pa.array(c)), pa.array(score)], ["query_id", "item_id", "score"])
 
     return run
 
@@ -124,28 +161,28 @@ def _batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stream_topk(shared, k: int, q_kind: pa.DataType, c_kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keep the k best corpus rows per query over all batches of a partition."""
+    """Keep the k best corpus rows per query over all batches of a partition; only a tile of scores exists at a time."""
     def run(batches):
         q_ids, q_vec = shared.value
-        kept = [None] * -(-len(q_ids) // BLOCK)
+        kept = [None] * -(-len(q_ids) // TILE_ROWS)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             c_ids, c_vec = _batch_rows(batch)
-            for i in range(len(kept)):
-                scores = q_vec[i * BLOCK:(i + 1) * BLOCK] @ c_vec.T
-                r, c = _best(scores, k)
-                shape = (len(scores), -1)
-                ids, best = c_ids[c].reshape(shape), scores[r, c].reshape(shape)
-                if kept[i] is not None:
-                    ids, best = np.hstack([kept[i][0], ids]), np.hstack([kept[i][1], best])
-                    order = np.lexsort((ids, -np.round(best, PLACES)), axis=-1)[:, :k]
-                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-                kept[i] = (ids, best)
+            for rows, cols in _tiles(len(q_ids), len(c_ids)):
+                scores, i = q_vec[rows] @ c_vec[cols].T, rows.start // TILE_ROWS
+                if kept[i] is None:
+                    r, c = _best(scores, k)
+                    row, ids, best = r, c_ids[cols][c], scores[r, c]
+                else:
+                    row, ids, best, least = kept[i]
+                    r, c = np.nonzero(~(scores < least[:, None] - SLACK))
+                    row, ids, best = np.concatenate([row, r]), np.concatenate([ids, c_ids[cols][c]]), np.concatenate([best, scores[r, c]])
+                kept[i] = _merge_best(row, ids, best, len(scores), k)
         for i, found in enumerate(kept):
             if found is not None:
-                asked = np.repeat(q_ids[i * BLOCK:(i + 1) * BLOCK], found[0].shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(asked.tolist(), q_kind), pa.array(found[0].ravel().tolist(), c_kind), pa.array(found[1].ravel())], ["query_id", "item_id", "score"])
+                row, ids, best, _ = found
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row + i * TILE_ROWS].tolist(), q_kind), pa.array(ids.tolist(), c_kind), pa.array(best)], ["query_id", "item_id", "score"])
 
     return run
 
@@ -178,16 +215,17 @@ def target_rank(queries: DataFrame, items: DataFrame, block: int = BLOCK, broadc
     ``queries`` has id, vec and target_score; ``items`` has unique id and vec.
     """
     def better(q_vec, goal, c_vec):
-        return (np.round(q_vec @ c_vec.T, PLACES) > np.round(goal, PLACES)[:, None]).sum(axis=1).astype(np.int64)
+        total, goal = np.zeros(len(q_vec), np.int64), np.round(goal, PLACES)
+        for rows, cols in _tiles(len(q_vec), len(c_vec)):
+            total[rows] += (np.round(q_vec[rows] @ c_vec[cols].T, PLACES) > goal[rows, None]).sum(axis=1)
+        return total
 
     def stream(batches):
         q_ids, q_vec, goal = shared.value
         total = np.zeros(len(q_ids), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                c_vec = _batch_rows(batch)[1]
-                for i in range(0, len(q_ids), BLOCK):
-                    total[i:i + BLOCK] += better(q_vec[i:i + BLOCK], goal[i:i + BLOCK], c_vec)
+                total += better(q_vec, goal, _batch_rows(batch)[1])
         yield pa.RecordBatch.from_arrays([pa.array(q_ids.tolist(), kind), pa.array(total)], ["query_id", "better"])
 
     def blocks(batches):
@@ -281,64 +319,197 @@ def _vectors(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _packs(batches, cells: Cells, reach: float | None) -> Iterator[pa.RecordBatch]:
-    """(block, ids, vecs): the rows of a batch that are at home in a block, or, with ``reach``, its guests.
+def _packed(rows: pa.RecordBatch, vec: np.ndarray, row: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+    """(block, ids, vecs, marks): row numbers ``row`` of a batch, a pack for each of their targets."""
+    order = np.argsort(target, kind="stable")
+    row, target = row[order], target[order]
+    used, first = np.unique(target, return_index=True)
+    edge = np.append(first, len(target))
+    ids, marks = (pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), rows[c].take(pa.array(row))) for c in ("id", "mark"))
+    vecs = pa.array([vec[row[x:y]].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), ids, vecs, marks], ["block", "ids", "vecs", "marks"])
 
-    A row is a guest of a later block if a vector in there can be nearer to it than ``reach``: its angle to the block's pivot
-    differs from the block's angles by no more than that, and from its angle to its own pivot by no more than twice that.
-    """
-    cell, low, high = cells.layout()
-    number = np.arange(len(cell))
+
+def _slices(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         for at in range(0, batch.num_rows, GUESTS):
             rows = batch.slice(at, GUESTS)
-            vec = _vectors(rows["vec"], rows.num_rows)
-            angle, home, block = cells.placed(vec, rows["hash"].to_numpy())
-            if reach is None:
-                row, target = np.arange(len(block)), block
-            else:
-                picked = [(np.empty(0, np.int64),) * 2]
-                step = max(1, (1 << 22) // len(cell))
-                for i in range(0, len(block), step):
-                    a, own = angle[i:i + step], angle[np.arange(len(block)), home][i:i + step, None]
-                    near = (a <= own + 2 * reach)[:, cell]
-                    wide = a[:, cell]
-                    r, b = np.nonzero(near & (wide >= low - reach) & (wide <= high + reach) & (number > block[i:i + step, None]))
-                    picked.append((r + i, b))
-                row, target = (np.concatenate([p[j] for p in picked]) for j in range(2))
-            order = np.argsort(target, kind="stable")
-            row, target = row[order], target[order]
-            used, first = np.unique(target, return_index=True)
-            edge = np.append(first, len(target))
-            ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), rows["id"].take(pa.array(row)))
-            vecs = pa.array([vec[row[x:y]].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), ids, vecs], ["block", "ids", "vecs"])
-
-
-def pivot_blocks(reps: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096) -> DataFrame:
-    """(q_ids, q_vecs, packs, same): what has to be compared for all pairs of unit vectors with cosine above ``threshold``.
-
-    ``packs`` is a whole block, the q rows some of its guests (``same``: the block itself). Angles are a metric, so a row is
-    copied only to blocks within the threshold's angle of it; how few these are depends on how clustered the vectors are, at
-    worst (vectors spread evenly over all directions) it meets every block once, as in a plain comparison of all blocks.
+            yield rows, _vectors(rows["vec"], rows.num_rows)
+
+
+def _guests(rows: pa.RecordBatch, vec: np.ndarray, cells: Cells, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, block): a row is a guest of a later block if a vector in there can be nearer to it than ``reach``.
+
+    Its angle to the block's pivot then differs from the block's angles by no more than that, and from its angle to its own
+    pivot by no more than twice that.
+    """
+    cell, low, high = cells.layout()
+    number = np.arange(len(cell))
+    angle, home, block = cells.placed(vec, rows["hash"].to_numpy())
+    step = max(1, TILE // len(cell))
+    for i in range(0, len(block), step):
+        a, own = angle[i:i + step], angle[np.arange(len(block)), home][i:i + step, None]
+        near = (a <= own + 2 * reach)[:, cell]
+        wide = a[:, cell]
+        r, b = np.nonzero(near & (wide >= low - reach) & (wide <= high + reach) & (number > block[i:i + step, None]))
+        yield r + i, b
+
+
+def _packs(batches, cells: Cells, reach: float | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch that are at home in a block, or, with ``reach``, its guests."""
+    for rows, vec in _slices(batches):
+        if reach is None:
+            block = cells.placed(vec, rows["hash"].to_numpy())[2]
+            yield _packed(rows, vec, np.arange(len(block)), block)
+        else:
+            for row, block in _guests(rows, vec, cells, reach):
+                yield _packed(rows, vec, row, block)
+
+
+def _guest_share(stored: DataFrame, cells, reach: float, n: int) -> float:
+    """Guests a row, counted on about PROBED rows by hash. It only tells which of two complete plans is cheaper."""
+    parts = max(1, n // PROBED)
+
+    def count(batches):
+        for rows, vec in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows]), pa.array([sum(len(r) for r, _ in _guests(rows, vec, cells.value, reach))])], ["n", "guests"])
+
+    found = stored.where(F.pmod("hash", F.lit(parts)) == 0).mapInArrow(count, "n long, guests long").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests")).first()
+    return found["guests"] / found["n"] if found["n"] else 0.0
+
+
+def pivot_blocks(reps: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096, copies: float = COPIES) -> DataFrame:
+    """(q_ids, q_vecs, q_marks, packs, same): what has to be compared for all pairs of unit vectors with cosine above ``threshold``.
+
+    ``packs`` is a whole block, the q rows (``q_vecs`` in pieces) some of its guests (``same``: the block itself). Angles are a metric,
+    so a row is copied only to blocks within the threshold's angle of it; how few these are depends on how clustered the vectors are.
+    If they are more than ``copies`` a row, as with vectors spread evenly over all directions, no row is copied: blocks by hash are
+    stored once, and Spark's product of that table with itself reads every pair of blocks where they lie, without a shuffle.
+    A long ``mark`` of a row (1 if there is no such column) goes with it.
     """
     reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
-    stored = cut_lineage(reps.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hash")))
+    mark = F.col("mark") if "mark" in reps.columns else F.lit(1).cast("long")
+    stored = cut_lineage(reps.select("id", "vec", mark.alias("mark"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hash")))
+    n = stored.count()
     cells = stored.sparkSession.sparkContext.broadcast(Cells.fit(stored, block, most_pivots))
-    schema = f"block bigint, ids array<{reps.schema['id'].dataType.simpleString()}>, vecs binary"
-    homes = cut_lineage(stored.mapInArrow(lambda b: _packs(b, cells.value, None), schema).groupBy("block").agg(F.collect_list(F.struct("ids", "vecs")).alias("packs")))
+    schema = f"block bigint, ids array<{reps.schema['id'].dataType.simpleString()}>, vecs binary, marks array<bigint>"
+    pieces = F.collect_list(F.struct("ids", "vecs", "marks")).alias("packs")
+    whole = [F.flatten(F.col("packs.ids")).alias("q_ids"), F.col("packs.vecs").alias("q_vecs"), F.flatten(F.col("packs.marks")).alias("q_marks")]
+    if _guest_share(stored, cells, reach, n) > copies:
+        parts = _blocks(n, block)
+
+        def by_hash(batches):
+            for rows, vec in _slices(batches):
+                yield _packed(rows, vec, np.arange(len(vec)), rows["hash"].to_numpy() % parts)
+
+        homes = cut_lineage(stored.mapInArrow(by_hash, schema).groupBy("block").agg(pieces))
+        left = homes.select(F.col("block").alias("q_block"), *whole)
+        met = left.crossJoin(homes).where(F.col("q_block") <= F.col("block"))
+        return met.select("q_ids", "q_vecs", "q_marks", "packs", (F.col("q_block") == F.col("block")).alias("same"))
+    homes = cut_lineage(stored.mapInArrow(lambda b: _packs(b, cells.value, None), schema).groupBy("block").agg(pieces))
     guests = stored.mapInArrow(lambda b: _packs(b, cells.value, reach), schema)
-    met = guests.join(homes, "block").select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "packs", F.lit(False).alias("same"))
-    alone = homes.select(F.flatten(F.col("packs.ids")).alias("q_ids"), F.lit(None).cast("binary").alias("q_vecs"), "packs", F.lit(True).alias("same"))
-    return met.unionByName(alone)
+    met = guests.join(homes, "block").select(F.col("ids").alias("q_ids"), F.array("vecs").alias("q_vecs"), F.col("marks").alias("q_marks"), "packs", F.lit(False).alias("same"))
+    return met.unionByName(homes.select(*whole, "packs", F.lit(True).alias("same")))
+
+
+class Compared:
+    """One row of ``pivot_blocks``: ids, vectors and marks of both sides."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        packs, self.same = batch["packs"][i].values, batch["same"][i].as_py()
+        joined = lambda vecs, n: np.frombuffer(b"".join(v.as_py() for v in vecs)).reshape(n, -1)
+        numbers = lambda marks: marks.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.c_id = pa.concat_arrays([p.values for p in packs.field("ids")])
+        self.c_vec = joined(packs.field("vecs"), len(self.c_id))
+        self.c_mark = numbers(pa.concat_arrays([p.values for p in packs.field("marks")]))
+        self.q_id = self.c_id if self.same else batch["q_ids"][i].values
+        self.q_vec = self.c_vec if self.same else joined(batch["q_vecs"][i].values, len(self.q_id))
+        self.q_mark = self.c_mark if self.same else numbers(batch["q_marks"][i].values)
+
+    def close(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, column, rounded score) of the pairs, each once, with a score of about ``least`` or more, a tile at a time."""
+        for rows, cols in _tiles(len(self.q_id), len(self.c_id)):
+            if self.same and rows.start >= cols.stop:
+                continue
+            scores = self.q_vec[rows] @ self.c_vec[cols].T
+            r, c = np.divmod(np.flatnonzero(scores >= least - SLACK), scores.shape[1])
+            score = np.round(scores[r, c], PLACES)
+            r, c = r + rows.start, c + cols.start
+            yield (r[r < c], c[r < c], score[r < c]) if self.same else (r, c, score)
+
+    @property
+    def own(self) -> int:
+        """Where the columns begin if rows and columns are numbered together."""
+        return 0 if self.same else len(self.q_id)
 
+    @property
+    def ids(self) -> pa.Array:
+        return self.c_id if self.same else pa.concat_arrays([self.q_id, self.c_id])
 
-def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096) -> DataFrame:
+
+def compared(batches) -> Iterator[Compared]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Compared(batch, i)
+
+
+def link(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of ``a`` and ``b``, edge by edge; ``root`` has the least member of each number's set."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = root[root]
+            if np.array_equal(further, root):
+                break
+            root[:] = further
+
+
+class Forest:
+    """Edges that connect the same ids as all edges added: cut down to fewer than ids whenever they double."""
+
+    def __init__(self, limit: int = TILE):
+        self.parts, self.n, self.limit = [], 0, limit
+
+    def add(self, ids: pa.Array, root: np.ndarray) -> None:
+        """Sets of ``ids`` by the position of their root."""
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if len(moved):
+            self.parts.append((ids.take(pa.array(root[moved])), ids.take(pa.array(moved))))
+            self.n += len(moved)
+        if self.n > self.limit:
+            self.cut()
+            self.limit = max(self.limit, 2 * self.n)
+
+    def cut(self) -> None:
+        a, z = (pa.concat_arrays([p[i] for p in self.parts]) for i in range(2))
+        both = pa.concat_arrays([a, z]).dictionary_encode()
+        code, root = both.indices.to_numpy(), np.arange(len(both.dictionary))
+        link(root, code[:len(a)], code[len(a):])
+        self.parts, self.n = [], 0
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if len(moved):
+            self.parts, self.n = [(both.dictionary.take(pa.array(root[moved])), both.dictionary.take(pa.array(moved)))], len(moved)
+
+    def edges(self) -> Iterator[tuple[pa.Array, pa.Array]]:
+        if self.n:
+            self.cut()
+        for a, z in self.parts:
+            for low in range(0, len(a), 1 << 16):
+                yield a.slice(low, 1 << 16), z.slice(low, 1 << 16)
+
+
+def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096, spanning: bool = False) -> DataFrame:
     """(src, dst, score) with cosine strictly above ``threshold`` and src < dst.
 
     Equal vectors are first merged: pairs are searched among one representative (lowest id) per
     distinct vector, and each copy is tied to its representative by one edge. Any number of copies
     thus costs a linear number of edges, and connected components stay the same.
+
+    With ``spanning``, every pair is compared too, but a task hands on only so many edges (src, dst) as connect what all its pairs
+    connect, fewer than it has rows: what connected components need, where nearly all rows may be alike.
     """
     # the representative is found by groupBy, so a vector shared by many rows merges map-side
     # a null or zero vector has no direction: it is like nothing, not even like itself
@@ -353,24 +524,28 @@ def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most
         copies = copies.limit(0)
     kind = df.schema["id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                packs, same = batch["packs"][i].values, batch["same"][i].as_py()
-                c_id = pa.concat_arrays([p.values for p in packs.field("ids")])
-                data = np.frombuffer(b"".join(v.as_py() for v in packs.field("vecs")))
-                c_vec = data.reshape(len(c_id), -1)
-                q_id = batch["q_ids"][i].values
-                q_vec = c_vec if same else np.frombuffer(batch["q_vecs"][i].as_py()).reshape(len(q_id), -1)
-                scores = np.round(q_vec @ c_vec.T, PLACES)
-                hit = scores > threshold
-                if same:
-                    hit &= np.triu(np.ones(hit.shape, dtype=bool), k=1)
-                r, c = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([q_id.take(pa.array(r)), c_id.take(pa.array(c)), pa.array(scores[r, c])], ["a", "z", "score"])
-
-    found = pivot_blocks(reps, threshold, block, most_pivots).mapInArrow(run, f"a {kind}, z {kind}, score double")
-    return found.select(F.least("a", "z").alias("src"), F.greatest("a", "z").alias("dst"), "score").unionByName(copies)
+    def pairs(batches):
+        for both in compared(batches):
+            for r, c, score in both.close(threshold):
+                hit = score > threshold
+                yield pa.RecordBatch.from_arrays([both.q_id.take(pa.array(r[hit])), both.c_id.take(pa.array(c[hit])), pa.array(score[hit])], ["a", "z", "score"])
+
+    def edges(batches):
+        forest = Forest()
+        for both in compared(batches):
+            root = np.arange(both.own + len(both.c_id))
+            for r, c, score in both.close(threshold):
+                hit = score > threshold
+                link(root, r[hit], c[hit] + both.own)
+            forest.add(both.ids, root)
+        for a, z in forest.edges():
+            yield pa.RecordBatch.from_arrays([a, z], ["a", "z"])
+
+    work = pivot_blocks(reps, threshold, block, most_pivots)
+    ends = [F.least("a", "z").alias("src"), F.greatest("a", "z").alias("dst")]
+    if spanning:
+        return work.mapInArrow(edges, f"a {kind}, z {kind}").select(*ends).unionByName(copies.drop("score"))
+    return work.mapInArrow(pairs, f"a {kind}, z {kind}, score double").select(*ends, "score").unionByName(copies)
 
 
 def choose_pivots(corpus: DataFrame, pivots: int, seed: int = 7) -> list[tuple[object, list[float]]]:

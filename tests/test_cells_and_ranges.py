@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +299,77 @@ def test_seeded_centres(spark):
     few = spark.createDataFrame([(i, [float(i % 3)]) for i in range(30)], "id long, vec array<double>")
     assert sorted(r["vec"][0] for r in tags.kmeans_centroids(few, 14).collect()) == [0.0, 1.0, 2.0]
     assert tags.kmeans_centroids(few.limit(0), 3).count() == 0
+
+
+# ---- pairs that are compared and not stored ----
+
+def components_of(n, edges):
+    root = list(range(n))
+    for a, z in edges:
+        a, z = sorted((root[a], root[z]))
+        root = [a if r == z else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("copies", [0, 1e9])
+def test_blocks_by_hash_and_by_guests_agree(spark, copies, monkeypatch):
+    x = clustered(400, 0.3)
+    whole = knn.pivot_blocks
+    monkeypatch.setattr(knn, "pivot_blocks", lambda reps, threshold, block, pivots: whole(reps, threshold, block, pivots, copies))
+    s = np.round(x @ x.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s > 0.7, 1)))}
+    got = [(r["src"], r["dst"]) for r in knn.similar_pairs(frame(spark, x), 0.7, block=32).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_rows_that_may_meet_all_others_are_not_copied(spark):
+    x = clustered(600, 5.0)
+    plan = knn.pivot_blocks(frame(spark, x), 0.3, 25)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "MapInArrow" not in plan
+
+
+def test_spanning_edges_connect_what_all_pairs_connect(spark):
+    x = clustered(500, 0.6)
+    s = np.round(x @ x.T, 9)
+    pairs = list(zip(*np.nonzero(np.triu(s > 0.5, 1))))
+    edges = [(r["src"], r["dst"]) for r in knn.similar_pairs(frame(spark, x), 0.5, block=60, spanning=True).coalesce(1).collect()]
+    assert components_of(500, edges) == components_of(500, pairs) and all(a < z for a, z in edges) and len(edges) < len(pairs) / 3
+    a, z = [i for i in range(40)] * 3, [i + 1 for i in range(40)] * 3
+    forest = knn.Forest(limit=5)
+    for i, j in zip(a, z):
+        forest.add(pa.array([i, j]), np.array([0, 0]))
+    assert sum(len(p) for p, _ in forest.edges()) == 40
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_density_settings_share_their_passes(spark, as_text):
+    x = np.vstack([clustered(300, 0.5), np.zeros((2, 16))])
+    x[40:50] = x[3]
+    s = np.round(x @ x.T, 9)
+    name = (lambda i: f"{i:04d}") if as_text else (lambda i: i)
+    points = spark.createDataFrame([(name(i), v.tolist()) for i, v in enumerate(x)], f"id {'string' if as_text else 'long'}, vec array<double>")
+    settings = [(0.6, 2), (0.75, 4), (0.75, 2), (0.9, 3)]
+    for (reach, least), found in zip(settings, tags.density_labels(tags.neighbours(points, 0.6), settings), strict=True):
+        near = (s >= reach) & ~np.eye(len(x), dtype=bool)
+        core = near.sum(axis=1) + 1 >= least
+        root = components_of(len(x), [(i, j) for i, j in zip(*np.nonzero(np.triu(near))) if core[i] and core[j]])
+        want = {}
+        for i in range(len(x)):
+            other = np.flatnonzero(near[i] & core)
+            want[name(i)] = name(root[i]) if core[i] else name(root[other[0]]) if len(other) else name(-1) if not as_text else "-1"
+        assert {r["id"]: r["label"] for r in found.collect()} == want
+
+
+# ---- search by tiles ----
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_search_over_many_tiles(spark, limit, monkeypatch):
+    x = np.round(clustered(700, 0.5), 1)  # many equal scores
+    want = np.argsort(-np.round(x[:90] @ x.T, 9), axis=1, kind="stable")[:, :7]
+    monkeypatch.setattr(knn, "TILE_ROWS", 16)
+    monkeypatch.setattr(knn, "TILE", 16 * 50)
+    tile = max(r.stop - r.start for r, _ in knn._tiles(90, 700)) * max(c.stop - c.start for _, c in knn._tiles(90, 700))
+    got = knn.exact_topk(frame(spark, x[:90]), frame(spark, x), 7, block=64, broadcast_bytes=limit).collect()
+    assert tile <= 800 and {(r["query_id"], r["rank"]): r["item_id"] for r in got} == {(i, p + 1): int(j) for i, row in enumerate(want) for p, j in enumerate(row)}
+    best = list(knn._block_best(x[:90], x, 7))
+    assert len(best) == 6 and all(len(r) == 7 * len(set(r.tolist())) for r, _, _ in best)
