@@ -38,7 +38,7 @@ reach AS (SELECT id AS root, id FROM v UNION SELECT root, b FROM reach JOIN pair
 @query("C2_connected_components", f"WITH RECURSIVE {sql_components(0.4)} SELECT id, component FROM comp")
 def components(spark, sf):
     v = vectors(spark, sf)
-    return graph.connected_components(v, knn.similar_pairs(v, 0.4))
+    return graph.connected_components(v, knn.similar_pairs(v, 0.4, spanning=True))
 
 
 SQL_CANON = f"""{sql_components(0.4)}, t AS (SELECT component, {SQL_TAG} AS tag FROM comp),
