@@ -172,6 +172,8 @@ def dictionary_words(text: Column) -> Column:
 
 #: bytes of dictionary keys that one automaton holds
 KEY_BYTES = 8 << 20
+#: texts that are scanned at once
+TEXT_ROWS = 256
 
 
 def _matcher(shared):
@@ -184,7 +186,7 @@ def _matcher(shared):
         for i, (key, *_) in enumerate(entries):
             automaton.add_word(f" {key} ", i)
         automaton.make_automaton()
-        for batch in batches:
+        for batch in (b.slice(low, TEXT_ROWS) for b in batches for low in range(0, b.num_rows, TEXT_ROWS)):
             row, entry, place = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 first: dict[int, int] = {}

@@ -25,6 +25,8 @@ from rankweave.session import cut_lineage
 QUERY_BYTES = 32 << 20
 #: documents in a block, and (query, document) cells or postings that are scored at once
 BLOCK_ROWS, CELLS = 4096, 1 << 20
+#: texts whose tokens are counted at once
+TEXT_ROWS = 256
 #: scores are equal if they agree to so many places; the slack covers what rounding can move
 PLACES, SLACK = 9, 1.1e-9
 
@@ -51,7 +53,7 @@ def term_lists(docs: DataFrame, fields: Mapping[str, Column], drop: Sequence[str
 
     def run(batches):
         dropped = pa.array(list(drop), pa.string())
-        for batch in batches:
+        for batch in (b.slice(low, TEXT_ROWS) for b in batches for low in range(0, b.num_rows, TEXT_ROWS)):
             n = batch.num_rows
             lengths, sizes, rows, words, counts = np.zeros((n, len(names)), np.int32), np.zeros((n, len(names)), np.int32), [], [], []
             for i, prefix in enumerate(prefixes):

@@ -38,21 +38,70 @@ def cross_score_rank(requests: DataFrame, users: DataFrame, queries: DataFrame,
     return knn.target_rank(mixed.withColumn("target_score", dot(F.col("vec"), F.col("t"))).drop("t"), items).withColumnRenamed("query_id", "request_id")
 
 
+def _held_by_pairs(combos: DataFrame, item_tags: DataFrame, k: int) -> DataFrame:
+    """(combo, item_id, held, popularity): every item that has a tag of a combination, the ``k`` best of those that hold the same tags."""
+    wanted = combos.select("combo", F.explode("combo").alias("tag"))
+    held = item_tags.join(wanted, "tag").groupBy("combo", "item_id").agg(F.array_sort(F.collect_set("tag")).alias("held"), F.max("popularity").alias("popularity"))
+    # items that hold the same tags of a combination differ only by popularity: its k best are enough
+    best = Window.partitionBy("combo", "held").orderBy(F.col("popularity").desc(), "item_id")
+    return held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def _held_by_sets(combos: DataFrame, items: DataFrame, n_tags: int, k: int) -> DataFrame:
+    """As ``_held_by_pairs``, without items that cannot be among a query's ``k`` best; no similarity may be negative.
+
+    An item is listed once per set of its tags that lies in some combination, however many combinations share that set; an item
+    beyond the k most popular ones of its set has k others before it, which hold the same tags and maybe more.
+    """
+    order = [F.col("popularity").desc(), F.col("item_id")]
+
+    def head(df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= k).drop("r")
+
+    def chosen(combo: str):
+        masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(combo)) - 1).cast("int"))
+        return F.transform(masks, lambda m: F.filter(combo, lambda t, i: F.getbit(m, i) == 1))
+
+    parts = combos.select("combo", F.explode(chosen("combo")).alias("part"))
+    wanted = cut_lineage(parts.select("part").distinct())
+    # items of equal tag sets differ only by popularity; a set grows by a later tag as long as the result is in some combination
+    rows = cut_lineage(head(items, "tags")).withColumn("part", F.array().cast(items.schema["tags"].dataType))
+    listed = None
+    for _ in range(n_tags):
+        later = F.filter("tags", lambda t: F.coalesce(t > F.try_element_at("part", F.lit(-1)), F.lit(True)))
+        grown = rows.withColumn("tag", F.explode(later)).withColumn("part", F.concat("part", F.array("tag"))).drop("tag")
+        rows = grown.join(wanted, "part", "left_semi")
+        best = head(rows, "part")
+        listed = best if listed is None else listed.unionByName(best)
+    found = parts.join(listed, "part").select("combo", "item_id", F.array_intersect("combo", "tags").alias("held"), "popularity")
+    return found.dropDuplicates(["combo", "item_id"])
+
+
+#: tags of a combination at most whose sets are all listed
+SET_TAGS = 8
+
+
 def tag_retrieve(queries: DataFrame, tags: DataFrame, item_tags: DataFrame, n_tags: int, k: int) -> DataFrame:
     """Query vector to its nearest tags to the items that carry them, best similarity sum first, then popularity.
 
-    Exact without pairing every query with every item of a frequent tag.
+    Exact without pairing every query with every item of a frequent tag. Items of several popularities, and combinations with a
+    negative similarity, where more tags are no better, are looked up pair by pair.
     """
     near = cut_lineage(knn.exact_topk(queries, tags, n_tags).select("query_id", F.col("item_id").alias("tag"), F.round("score", 12).alias("similarity")))
     # queries with the same nearest tags share one look-up; at most n_tags values are collected per query
-    combos = cut_lineage(near.groupBy("query_id").agg(F.array_sort(F.collect_list("tag")).alias("combo")))
-    wanted = combos.select("combo").distinct().select("combo", F.explode("combo").alias("tag"))
-    held = item_tags.select("item_id", "tag", "popularity").join(wanted, "tag").groupBy("combo", "item_id").agg(
-        F.array_sort(F.collect_set("tag")).alias("held"), F.max("popularity").alias("popularity"))
-    # items that hold the same tags of a combination differ only by popularity: its k best are enough
-    best = Window.partitionBy("combo", "held").orderBy(F.col("popularity").desc(), "item_id")
-    kept = held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    listed = near.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "similarity"))).alias("similar")).join(combos, "query_id")
+    combos = cut_lineage(near.groupBy("query_id").agg(F.array_sort(F.collect_list("tag")).alias("combo"), (F.min("similarity") >= 0).alias("more_is_better")))
+    asked = combos.groupBy("combo").agg(F.min("more_is_better").alias("more_is_better"))
+    asked = cut_lineage(asked.withColumn("more_is_better", F.col("more_is_better") & F.lit(n_tags <= SET_TAGS)))
+    held = item_tags.select("item_id", "tag", "popularity").join(near.select("tag").distinct(), "tag", "left_semi")
+    pops = [F.min("popularity").alias("least"), F.max("popularity").alias("popularity"), F.count("popularity").alias("known"), F.count(F.lit(1)).alias("n")]
+    items = cut_lineage(held.groupBy("item_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"), *pops))
+    even = ((F.col("least") == F.col("popularity")) & (F.col("known") == F.col("n"))) | (F.col("known") == 0)
+    uneven = items.where(~F.coalesce(even, F.lit(False))).select(F.col("item_id").alias("i"))
+    by_set = asked.where("more_is_better").select("combo")
+    kept = _held_by_sets(by_set, items.where(even).select("item_id", "tags", "popularity"), n_tags, k)
+    kept = kept.unionByName(_held_by_pairs(by_set, held.join(uneven, F.col("item_id").eqNullSafe(F.col("i")), "left_semi"), k))
+    kept = kept.unionByName(_held_by_pairs(asked.where("not more_is_better").select("combo"), held, k))
+    listed = near.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "similarity"))).alias("similar")).join(combos.drop("more_is_better"), "query_id")
     joined = listed.join(kept, "combo")
     score = F.aggregate("held", F.lit(0.0).cast("double"), lambda s, t: s + F.element_at(F.col("similar"), t))
     scored = joined.select("query_id", "item_id", score.alias("score"), "popularity")

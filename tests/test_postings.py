@@ -113,3 +113,24 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("dense", "tag_vector", "query_cache", "lexical_documents", "lexical_terms"):
             spark.sql(f"DROP TABLE IF EXISTS bucket_test_{name}")
+
+
+def test_texts_are_counted_and_scanned_in_small_parts(spark, monkeypatch):
+    from rankweave.operators import entities as en
+    from rankweave.session import configure
+
+    configure(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16777216b"
+    docs = spark.createDataFrame([(i, f"a{i % 7} b a{i % 7} c{i}" if i % 11 else None) for i in range(600)], "doc_id long, text string").coalesce(1)
+    words = spark.createDataFrame([("a3 b", "L"), ("c77", "M")], "value string, label string")
+
+    def found():
+        lists = ps.term_lists(docs, {"": F.split("text", " ")}, ["b"]).collect()
+        hits = en.tag_with_dictionary(docs.select(F.col("doc_id").alias("id"), "text"), words).collect()
+        return sorted(map(str, lists)), sorted(map(str, hits))
+
+    whole = found()
+    assert len(whole[0]) == 600 and len(whole[1]) > 50
+    for module in (ps, en):
+        monkeypatch.setattr(module, "TEXT_ROWS", 7)
+    assert found() == whole

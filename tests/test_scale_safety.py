@@ -201,3 +201,32 @@ def test_history_and_encoder(spark):
     assert out["v"]["length"] == 0 and out["v"]["history"] == [[0.0]] * 9
     with pytest.raises(RuntimeError):
         ft.UserEncoder([], [], [], []).transform(spark.range(1))
+
+
+@pytest.mark.parametrize("n_tags,k", [(3, 4), (9, 4)])
+def test_tag_retrieve_of_uneven_items(spark, n_tags, k):
+    """Popularities that differ by row or are null, repeated rows, similarities below zero."""
+    rnd = random.Random(4)
+    tags, asked = frame(spark, unit(10, dims=4, seed=8)), frame(spark, unit(30, dims=4, seed=9))
+    held = [(i, t, float(rnd.randrange(3)) if i % 5 == 0 else None if i % 7 == 0 else float(i % 4)) for i in range(150) for t in rnd.sample(range(10), 1 + i % 4)] * 2
+    got = rt.tag_retrieve(asked, tags, spark.createDataFrame(held, "item_id long, tag long, popularity double"), n_tags, k).select("query_id", "item_id", "rank").collect()
+    near = knn.exact_topk(asked, tags, n_tags).select("query_id", F.col("item_id").alias("tag"), "score").collect()
+    want = set()
+    for q in range(30):
+        sim, score, pops = {r["tag"]: round(r["score"], 12) for r in near if r["query_id"] == q}, {}, {}
+        for i, t, p in set(held):
+            if t in sim:
+                score.setdefault(i, set()).add(t)
+                pops[i] = max(pops.get(i, -1.0), -1.0 if p is None else p)
+        order = sorted(score, key=lambda i: (-round(sum(sim[t] for t in sorted(score[i])), 9), -pops[i], i))[:k]
+        want |= {(q, i, n + 1) for n, i in enumerate(order)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_an_item_is_not_paired_with_every_combination(spark):
+    """20,000 items of one frequent tag, 60 combinations: only the best of each set of tags meet them."""
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.explode(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 60))).alias("tag"), (F.col("id") % 11).alias("popularity"))
+    even = items.groupBy("item_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.max("popularity").alias("popularity"))
+    combos = spark.range(60).select(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id"))).alias("combo"))
+    found = rt._held_by_sets(combos, even, 2, 5)
+    assert found.count() <= 60 * 3 * 5 and found.where("size(held) = 2").count() >= 300
