@@ -11,7 +11,7 @@ from rankweave.functions.vectors import cosine, l2_normalize
 from rankweave.operators import fusion, knn
 from rankweave.operators import lexical as lx
 from rankweave.plans import retrieval as rt
-from rankweave.session import shared_folder
+from rankweave.session import cut_lineage, shared_folder
 
 
 def vectors(spark, sf):
@@ -182,12 +182,13 @@ def sql_hash_vectors(name, source, id_col, tokens, dims):
 
 def tag_vectors(spark, sf):
     tags = part_tags(spark, sf).select(F.col("tag").alias("id")).distinct().withColumn("text", F.col("id"))
-    return encode_texts(tags, "text", None, dims=64).select("id", "vec")
+    # stored first: the optimizer would otherwise encode every row and drop the copies afterwards
+    return encode_texts(cut_lineage(tags), "text", None, dims=64).select("id", "vec")
 
 
 def name_queries(spark, sf):
     names = table(spark, sf, "part").select(F.concat_ws(" ", "p_type", "p_name").alias("id")).distinct().withColumn("text", F.col("id"))
-    return encode_texts(names, "text", None, dims=64).select("id", "vec")
+    return encode_texts(cut_lineage(names), "text", None, dims=64).select("id", "vec")
 
 
 SQL_HASH_TOKENS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}')"

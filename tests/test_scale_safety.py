@@ -230,3 +230,13 @@ def test_an_item_is_not_paired_with_every_combination(spark):
     combos = spark.range(60).select(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id"))).alias("combo"))
     found = rt._held_by_sets(combos, even, 2, 5)
     assert found.count() <= 60 * 3 * 5 and found.where("size(held) = 2").count() >= 300
+
+
+def test_only_distinct_names_and_tags_are_encoded(spark, tmp_path):
+    from rankweave.catalog import retrieval as rc
+
+    rows = [(i, f"n{i % 3}", "B", "T", 1, 1.0) for i in range(50)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    for vectors, n in ((rc.name_queries, 3), (rc.tag_vectors, 5)):
+        df = vectors(spark, str(tmp_path))
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == n
