@@ -68,7 +68,7 @@ def paired(spark, sf):
 
 @query("V5_similarity_self_join", f"WITH {SQL_V}, s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.vec, b.vec) AS score FROM v a JOIN v b ON a.id < b.id) SELECT src, dst, {q6('round(score, 9)')} AS score FROM s WHERE round(score, 9) > 0.35")
 def self_join(spark, sf):
-    return knn.similar_pairs(vectors(spark, sf), 0.35).withColumn("score", r6("score"))
+    return knn.similar_pairs(vectors(spark, sf), 0.35, copies=True).withColumn("score", r6("score"))
 
 
 @query("V6_filtered_topk", f"WITH {SQL_ALL} SELECT query_id, item_id, {q6('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sims WHERE label = 3 QUALIFY rank <= 5")

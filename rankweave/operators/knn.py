@@ -29,6 +29,7 @@ RINGS = 64  # rings of a cell at most; a ring of more rows than a block has seve
 GUESTS = 2048  # rows that are placed at once
 COPIES = 16  # guests a row at most, on average, if blocks are met by copies of rows
 PROBED = 1 << 16  # rows whose guests are counted to tell that
+LIST = 32  # copies of a vector that are compared as one row
 BROADCAST_BYTES = 32 << 20
 PLACES = 9
 SLACK = 1.1e-9  # what rounding to PLACES can move a score, and a little more
@@ -501,7 +502,38 @@ class Forest:
                 yield a.slice(low, 1 << 16), z.slice(low, 1 << 16)
 
 
-def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096, spanning: bool = False) -> DataFrame:
+def copy_lists(df: DataFrame) -> DataFrame:
+    """(id, vec): the ids of equal vectors in lists of at most LIST; a vector of more copies gets several rows."""
+    many = cut_lineage(df.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST))
+    parts = F.coalesce(F.ceil(F.col("n") / LIST), F.lit(1)).cast("long")
+    dealt = df.join(many, "vec", "left").select("vec", "id", F.pmod(F.xxhash64("id"), parts).alias("part"))
+    lists = dealt.groupBy("vec", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # parts are dealt by a hash: some are a little longer, those of an id that comes many times much longer
+    return lists.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(LIST)), lambda i: F.slice("ids", i, LIST))).alias("id"), "vec")
+
+
+class Copies:
+    """Ids of the copies of each row, laid end to end."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.ids, self.n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.cumsum(self.n) - self.n
+
+
+def crossed(q: Copies, c: Copies, rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pair, q place, c place) for each copy of a pair's row with each copy of its column, about TILE of them at a time."""
+    each = q.n[rows] * c.n[cols]
+    upto, low = np.cumsum(each), 0
+    first = upto - each
+    while low < len(each):
+        high = max(low + 1, int(np.searchsorted(upto, first[low] + TILE, "right")))
+        pair = np.repeat(np.arange(low, high), each[low:high])
+        nth, width = np.arange(first[low], upto[high - 1]) - first[pair], c.n[cols[pair]]
+        yield pair, q.first[rows[pair]] + nth // width, c.first[cols[pair]] + nth % width
+        low = high
+
+
+def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most_pivots: int = 4096, spanning: bool = False, copies: bool = False) -> DataFrame:
     """(src, dst, score) with cosine strictly above ``threshold`` and src < dst.
 
     Equal vectors are first merged: pairs are searched among one representative (lowest id) per
@@ -510,18 +542,23 @@ def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most
 
     With ``spanning``, every pair is compared too, but a task hands on only so many edges (src, dst) as connect what all its pairs
     connect, fewer than it has rows: what connected components need, where nearly all rows may be alike.
+
+    With ``copies`` every pair of rows is returned, those of copies with each other and with what their vector is like included.
+    Vectors are still compared once: lists of copies take the place of representatives, and a task multiplies the pairs it finds.
     """
-    # the representative is found by groupBy, so a vector shared by many rows merges map-side
     # a null or zero vector has no direction: it is like nothing, not even like itself
     df = df.select("id", "vec").where(l2_normalize(F.col("vec")).isNotNull())
+    if copies:
+        return _all_pairs(df.where(F.col("id").isNotNull()), threshold, block, most_pivots)
+    # the representative is found by groupBy, so a vector shared by many rows merges map-side
     groups = df.groupBy("vec").agg(F.min("id").alias("rep"))
-    reps = groups.select(F.col("rep").alias("id"), l2_normalize(F.col("vec")).alias("vec"))
-    copies = (
+    reps = _directed(groups.select(F.col("rep").alias("id"), l2_normalize(F.col("vec")).alias("vec")))
+    tied = (
         df.select("id", "vec").join(groups, "vec").where(F.col("id") != F.col("rep"))
         .select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("score"))
     )
     if threshold >= 1.0:
-        copies = copies.limit(0)
+        tied = tied.limit(0)
     kind = df.schema["id"].dataType.simpleString()
 
     def pairs(batches):
@@ -544,8 +581,39 @@ def similar_pairs(df: DataFrame, threshold: float, block: int = SELF_BLOCK, most
     work = pivot_blocks(reps, threshold, block, most_pivots)
     ends = [F.least("a", "z").alias("src"), F.greatest("a", "z").alias("dst")]
     if spanning:
-        return work.mapInArrow(edges, f"a {kind}, z {kind}").select(*ends).unionByName(copies.drop("score"))
-    return work.mapInArrow(pairs, f"a {kind}, z {kind}, score double").select(*ends, "score").unionByName(copies)
+        return work.mapInArrow(edges, f"a {kind}, z {kind}").select(*ends).unionByName(tied.drop("score"))
+    return work.mapInArrow(pairs, f"a {kind}, z {kind}, score double").select(*ends, "score").unionByName(tied)
+
+
+def _directed(units: DataFrame) -> DataFrame:
+    """Rows without NaN: no angle to such a vector can be told, so one among the pivots would keep others from being compared."""
+    return units.where(~F.exists("vec", F.isnan))
+
+
+def _all_pairs(df: DataFrame, threshold: float, block: int, most_pivots: int) -> DataFrame:
+    """``similar_pairs`` of every two rows; a row that comes more than once pairs as often, two rows of one id do not."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def pairs(batches):
+        for both in compared(batches):
+            c = Copies(both.c_id)
+            q = c if both.same else Copies(both.q_id)
+            for row, col, score in both.close(threshold):
+                hit = score > threshold
+                for pair, a, z in crossed(q, c, row[hit], col[hit]):
+                    yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(a)), c.ids.take(pa.array(z)), pa.array(score[hit][pair])], ["a", "z", "score"])
+            if both.same and threshold < 1.0:
+                several = np.flatnonzero(c.n > 1)
+                for _, a, z in crossed(c, c, several, several):
+                    a, z = a[a < z], z[a < z]
+                    yield pa.RecordBatch.from_arrays([c.ids.take(pa.array(a)), c.ids.take(pa.array(z)), pa.array(np.ones(len(a)))], ["a", "z", "score"])
+
+    lists = cut_lineage(_directed(copy_lists(df).select("id", l2_normalize(F.col("vec")).alias("vec"))))
+    size = lists.agg(F.count(F.lit(1)).alias("lists"), F.sum(F.size("id")).alias("rows")).first()
+    # blocks of as many copies as a block of single rows has rows, so that a task's pairs do not grow with the lists
+    block = max(1, block * size["lists"] // size["rows"]) if size["lists"] else block
+    work = pivot_blocks(lists, threshold, block, most_pivots).mapInArrow(pairs, f"a {kind}, z {kind}, score double")
+    return work.where(F.col("a") != F.col("z")).select(F.least("a", "z").alias("src"), F.greatest("a", "z").alias("dst"), "score")
 
 
 def choose_pivots(corpus: DataFrame, pivots: int, seed: int = 7) -> list[tuple[object, list[float]]]:

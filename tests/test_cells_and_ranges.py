@@ -3,12 +3,14 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave import skew
+from rankweave.catalog import ORACLE, QUERIES
 from rankweave.operators import clicklog as cl
 from rankweave.operators import entities as en
 from rankweave.operators import features as ft
@@ -322,6 +324,48 @@ def test_blocks_by_hash_and_by_guests_agree(spark, copies, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+@pytest.mark.parametrize("copies,as_text", [(0, False), (1e9, False), (1e9, True)])
+def test_copies_pair_with_each_other_and_with_all_their_vector_is_like(spark, copies, as_text, monkeypatch):
+    x = clustered(300, 0.4)
+    x[100:200] = x[3]  # more than one list
+    x[210:213] = x[205]
+    whole = knn.pivot_blocks
+    monkeypatch.setattr(knn, "pivot_blocks", lambda reps, threshold, block, pivots: whole(reps, threshold, block, pivots, copies))
+    name = (lambda i: f"{i:04d}") if as_text else int
+    points = spark.createDataFrame([(name(i), v.tolist()) for i, v in enumerate(x)], f"id {'string' if as_text else 'long'}, vec array<double>").repartition(4)
+    s = np.round(x @ x.T, 9)
+    want = {(name(i), name(j)): s[i, j] for i, j in zip(*np.nonzero(np.triu(s > 0.6, 1)))}
+    got = [tuple(r) for r in knn.similar_pairs(points, 0.6, block=64, copies=True).collect()]
+    assert len(got) == len(want) > 5000 and {(a, z): pytest.approx(score, abs=1e-8) for a, z, score in got} == want
+    assert knn.similar_pairs(points, 1.0, block=64, copies=True).count() == 0 == knn.similar_pairs(points.limit(0), 0.6, copies=True).count()
+
+
+def test_self_join_returns_what_its_sql_does_on_copies_and_repeated_ids(spark, tmp_path):
+    x = clustered(60, 0.4, dims=8, centres=6).astype(np.float32)
+    x[20:40] = x[3]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    rows += rows[3:6] + [(5, x[50].tolist(), 0), (None, x[3].tolist(), 0), (70, None, 0), (None, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(ORACLE["V5_similarity_self_join"]).fetchall()
+    got = QUERIES["V5_similarity_self_join"](spark, str(tmp_path)).select("src", "dst", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len({r[:2] for r in want}) > 500
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_vectors_with_nan_keep_no_pair_of_others_away(spark, copies):
+    x = clustered(600, 0.05)
+    s = np.round(x @ x.T, 9)
+    odd = list(range(5, 25))
+    s[odd] = s[:, odd] = -1
+    x[odd[:10], 3], x[odd[10:], 3] = np.nan, np.inf
+    x[odd, 0] = odd
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s > 0.9, 1)))}
+    got = [(r["src"], r["dst"]) for r in knn.similar_pairs(frame(spark, x), 0.9, block=4, copies=copies).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_rows_that_may_meet_all_others_are_not_copied(spark):
     x = clustered(600, 5.0)
     plan = knn.pivot_blocks(frame(spark, x), 0.3, 25)._jdf.queryExecution().executedPlan().toString()
